@@ -13,6 +13,8 @@ import re
 from functools import lru_cache
 
 CACHE_WORDS = 300_000
+#: Texts whose words are held at once.
+SLICE = 256
 #: Control characters that Python counts as white space and the libraries do not.
 _ODD = re.compile("[\x1c-\x1f]")
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -64,6 +66,9 @@ class WordIds:
         return [pack(e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def batch(self, texts: list[str]) -> list[bytes]:
+        return [r for at in range(0, len(texts), SLICE) for r in self._slice(texts[at : at + SLICE])]
+
+    def _slice(self, texts: list[str]) -> list[bytes]:
         lists = [[t] if _ODD.search(t) else t.split() for t in texts]
         known = self.words.of(lists)
         return [b"".join([known[w] for w in words]) for words in lists]
@@ -80,6 +85,9 @@ class ByteCounts:
         return [len(e) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def batch(self, texts: list[str]) -> list[int]:
+        return [r for at in range(0, len(texts), SLICE) for r in self._slice(texts[at : at + SLICE])]
+
+    def _slice(self, texts: list[str]) -> list[int]:
         lists = []
         for t in texts:
             words = _INNER_SPACE.split(t) if t else []

@@ -167,11 +167,11 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) ->
             yield pdf[["doc_id"]].assign(s=[shingle_set(t, size) for t in pdf["text"].tolist()])
 
     sets = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInPandas(run, "doc_id long, s array<long>")
-    sets = common.materialize(sets.dropDuplicates(["doc_id"]), "sets")
+    sets = common.materialize(sets, "sets")
     one = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(one, "a").join(two, "b").where(both * den >= (F.size("sa") + F.size("sb") - both) * num).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").where(both * den >= (F.size("sa") + F.size("sb") - both) * num).select("a", "b").distinct()
 
 
 def hub_pairs(reps: DataFrame, num: int, den: int) -> DataFrame:
@@ -180,8 +180,10 @@ def hub_pairs(reps: DataFrame, num: int, den: int) -> DataFrame:
     node = F.struct("doc_id", "n")
     hubs = at.groupBy("j", "value").agg(F.count(F.lit(1)).alias("k"), F.min(node).alias("h1"), F.max(F.struct("n", "doc_id")).alias("h2")).where("k > 1")
     hubs = hubs.select("j", "value", F.explode(F.array(F.struct(F.col("h1.doc_id").alias("a"), F.col("h1.n").alias("na")), F.struct(F.col("h2.doc_id").alias("a"), F.col("h2.n").alias("na")))).alias("h"))
-    joined = at.join(hubs, ["j", "value"]).select(F.col("h.a").alias("a"), F.col("h.na").alias("na"), F.col("doc_id").alias("b"), F.col("n").alias("nb"))
-    return joined.where("a <> b").where(_similar_sizes(num, den)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    joined = at.join(hubs, ["j", "value"]).select("j", F.col("h.a").alias("a"), F.col("h.na").alias("na"), F.col("doc_id").alias("b"), F.col("n").alias("nb"))
+    alike = joined.where("a <> b").where(_similar_sizes(num, den)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "j").distinct()
+    # Pairs that agree by chance, in a shared passage, are left to the lists.
+    return alike.groupBy("a", "b").count().where(F.col("count") >= SIGNATURES // 2).select("a", "b")
 
 
 def postings(reps: DataFrame, small: int, num: int, den: int) -> DataFrame:

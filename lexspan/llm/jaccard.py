@@ -35,6 +35,8 @@ HEAVY = 1 << 16
 BROADCAST_IDS = 500_000
 SIGNATURES = 6
 SMALL_MOST = 64
+#: Elements that prefixes hold beyond those that may differ: what a pair must share of them is checked before whole sets.
+SHARED = 16
 
 
 @lru_cache(maxsize=1)
@@ -94,7 +96,7 @@ def least_overlap(n: int, num: int, den: int) -> int:
 
 
 def describe_sets(docs: DataFrame, size: int, num: int, den: int, heavy: list[tuple[int, int]]) -> DataFrame:
-    """doc_id, n, set_key, prefix in the light-first order (two elements more than all that may differ), signatures, costs."""
+    """doc_id, n, set_key, p (elements that may differ, and two more), prefix in the light-first order, signatures, costs."""
 
     def run(batches):
         import numpy as np
@@ -111,9 +113,10 @@ def describe_sets(docs: DataFrame, size: int, num: int, den: int, heavy: list[tu
                 s = shingle_set(text, size)
                 n = len(s)
                 if not n:
-                    rows.append((doc, 0, None, [], [], 0.0, 0.0))
+                    rows.append((doc, 0, 0, None, [], [], 0.0, 0.0))
                     continue
-                keep = n - least_overlap(n, num, den) + 2
+                p = min(n, n - least_overlap(n, num, den) + 2)
+                keep = min(n, p - 2 + SHARED)
                 counts = np.ones(n)
                 if len(hot):
                     at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
@@ -130,14 +133,14 @@ def describe_sets(docs: DataFrame, size: int, num: int, den: int, heavy: list[tu
                 prefix, counts = s_ordered[:keep], counts[:keep]
                 u = s.view(np.uint64)
                 signature = [int(((u * seed) ^ ((u * seed) >> np.uint64(31))).min().view(np.int64)) for seed in seeds]
-                single = float(counts[: keep - 1].sum())
-                pairs = len(prefix) * (len(prefix) - 1) / 2
-                rows.append((doc, n, xxhash.xxh3_128_digest(s.tobytes()), prefix.tolist(), signature, single, pairs))
-            out = pd.DataFrame(rows, columns=["doc_id", "n", "set_key", "prefix", "signature", "cost_lists", "cost_subsets"])
+                single = float(counts[: p - 1].sum())
+                pairs = p * (p - 1) / 2
+                rows.append((doc, n, p, xxhash.xxh3_128_digest(s.tobytes()), prefix.tolist(), signature, single, pairs))
+            out = pd.DataFrame(rows, columns=["doc_id", "n", "p", "set_key", "prefix", "signature", "cost_lists", "cost_subsets"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, set_key binary, prefix array<long>, signature array<long>, cost_lists double, cost_subsets double")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, p long, set_key binary, prefix array<long>, signature array<long>, cost_lists double, cost_subsets double")
 
 
 def boundary(reps: DataFrame) -> int:
@@ -188,7 +191,7 @@ def hub_pairs(reps: DataFrame, num: int, den: int) -> DataFrame:
 
 def postings(reps: DataFrame, small: int, num: int, den: int) -> DataFrame:
     """(token, doc_id, n): two-element subsets of small sets' prefixes, single elements of large ones'."""
-    p = F.col("prefix")
+    p = F.slice("prefix", 1, F.col("p").cast("int"))
     pair = lambda i: F.transform(F.slice(p, i + 2, F.size(p)), lambda y: F.xxhash64(F.element_at(p, i + 1), y, F.lit(2)))
     subsets = F.flatten(F.transform(F.sequence(F.lit(0), F.size(p) - 2), pair))
     lists = F.slice(p, 1, F.size(p) - 1)
@@ -196,7 +199,7 @@ def postings(reps: DataFrame, small: int, num: int, den: int) -> DataFrame:
     none = F.array().cast("array<bigint>")
     tokens = F.concat(F.when(F.col("n") <= small, subsets).otherwise(none), F.when((F.col("n") > small) | near, lists).otherwise(none))
     # Different sets of up to five elements can't reach 0.85; prefixes hold two elements at least from there.
-    usable = reps.where(F.size("prefix") >= 2)
+    usable = reps.where("p >= 2")
     return usable.select(F.explode(tokens).alias("token"), "doc_id", "n")
 
 
@@ -207,7 +210,12 @@ def list_pairs(reps: DataFrame, small: int, num: int, den: int) -> DataFrame:
     kept = common.materialize(found.join(mixed, "token", "left_semi"), "lists")
     one = kept.select("token", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
     two = kept.select("token", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    return one.join(two, "token").where("a < b and ca <> cb").where(_similar_sizes(num, den)).select("a", "b").distinct()
+    found = one.join(two, "token").where("a < b and ca <> cb").where(_similar_sizes(num, den)).select("a", "b").distinct()
+    # Longer prefixes share more: a pair that has one element by chance ends here.
+    overlap = F.col("n") - F.col("p") + 2  # the least overlap of a set of n, or less
+    side = lambda k: reps.select(F.col("doc_id").alias(k), F.col("prefix").alias(f"x{k}"), overlap.alias(f"o{k}"))
+    shared = F.size(F.array_intersect("xa", "xb"))
+    return found.join(side("a"), "a").join(side("b"), "b").where(shared >= F.least(F.lit(SHARED), "oa", "ob")).select("a", "b")
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -215,14 +223,14 @@ def similar_groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     docs = docs.select("doc_id", "text")
     heavy = heavy_shingles(docs, shingle)
     sets = common.materialize(describe_sets(docs, shingle, num, den, heavy), "sets")
-    rest = ["doc_id", "n", "prefix", "signature", "cost_lists", "cost_subsets"]
+    rest = ["doc_id", "n", "p", "prefix", "signature", "cost_lists", "cost_subsets"]
     usable = sets.where("n > 0 and doc_id is not null")
     reps = usable.groupBy("set_key").agg(F.min(F.struct(*rest)).alias("r")).select("set_key", "r.*")
     reps = common.materialize(reps, "classes")
     small = boundary(reps)
     linked = common.materialize(verify(hub_pairs(reps, num, den), docs, shingle, num, den), "links")
     first = components(linked)
-    light = reps.select("doc_id", "n", "prefix").join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
+    light = reps.select("doc_id", "n", "p", "prefix").join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
     light = common.materialize(light, "light")
     more = verify(list_pairs(light, small, num, den), docs, shingle, num, den)
     # Rows of one id with different texts are one node: their representatives hang on that id.

@@ -190,17 +190,21 @@ def hub_pairs(reps: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def postings(reps: DataFrame, small: int, num: int, den: int) -> DataFrame:
-    """(token, doc_id, n): two-element subsets of small sets' prefixes, single elements of large ones'."""
+    """(token, pos, doc_id, n): two-element subsets of small sets' prefixes, single elements of large ones'.
+
+    pos is the place of the element, of a subset that of its last one less one, from 1.
+    """
     p = F.slice("prefix", 1, F.col("p").cast("int"))
-    pair = lambda i: F.transform(F.slice(p, i + 2, F.size(p)), lambda y: F.xxhash64(F.element_at(p, i + 1), y, F.lit(2)))
+    entry = lambda token, pos: F.struct(token.alias("token"), pos.cast("int").alias("pos"))
+    pair = lambda i: F.transform(F.slice(p, i + 2, F.size(p)), lambda y, j: entry(F.xxhash64(F.element_at(p, i + 1), y, F.lit(2)), i + j + 1))
     subsets = F.flatten(F.transform(F.sequence(F.lit(0), F.size(p) - 2), pair))
-    lists = F.slice(p, 1, F.size(p) - 1)
+    lists = F.transform(F.slice(p, 1, F.size(p) - 1), lambda x, i: entry(x, i + 1))
     near = F.col("n") * den >= small * num  # may link with a large set
-    none = F.array().cast("array<bigint>")
+    none = F.array().cast("array<struct<token: bigint, pos: int>>")
     tokens = F.concat(F.when(F.col("n") <= small, subsets).otherwise(none), F.when((F.col("n") > small) | near, lists).otherwise(none))
     # Different sets of up to five elements can't reach 0.85; prefixes hold two elements at least from there.
     usable = reps.where("p >= 2")
-    return usable.select(F.explode(tokens).alias("token"), "doc_id", "n")
+    return usable.select(F.explode(tokens).alias("t"), "doc_id", "n").select("t.token", "t.pos", "doc_id", "n")
 
 
 def list_pairs(reps: DataFrame, small: int, num: int, den: int) -> DataFrame:
@@ -208,9 +212,12 @@ def list_pairs(reps: DataFrame, small: int, num: int, den: int) -> DataFrame:
     found = postings(reps.drop("c"), small, num, den).join(reps.select("doc_id", "c"), "doc_id")
     mixed = found.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
     kept = common.materialize(found.join(mixed, "token", "left_semi"), "lists")
-    one = kept.select("token", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    two = kept.select("token", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    found = one.join(two, "token").where("a < b and ca <> cb").where(_similar_sizes(num, den)).select("a", "b").distinct()
+    one = kept.select("token", F.col("pos").alias("ia"), F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
+    two = kept.select("token", F.col("pos").alias("ib"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
+    # For sets of these two sizes the prefixes end earlier than for the smallest partner.
+    needed = F.ceil((F.col("na") + F.col("nb")) * num / (num + den))
+    inside = (F.col("ia") <= F.col("na") - needed + 1) & (F.col("ib") <= F.col("nb") - needed + 1)
+    found = one.join(two, "token").where("a < b and ca <> cb").where(_similar_sizes(num, den) & inside).select("a", "b").distinct()
     # Longer prefixes share more: a pair that has one element by chance ends here.
     overlap = F.col("n") - F.col("p") + 2  # the least overlap of a set of n, or less
     side = lambda k: reps.select(F.col("doc_id").alias(k), F.col("prefix").alias(f"x{k}"), overlap.alias(f"o{k}"))

@@ -31,7 +31,7 @@ from . import common
 from .graph import components
 
 #: Frequent shingles that are told apart in the order; a bound of what is sent to tasks.
-HEAVY = 1 << 16
+HEAVY = 1 << 18
 BROADCAST_IDS = 500_000
 SIGNATURES = 6
 SMALL_MOST = 64
@@ -72,7 +72,7 @@ def shingle_set(text: str | None, size: int):
     return np.unique(mixed.view(np.int64))
 
 
-def heavy_shingles(docs: DataFrame, size: int, local: int = 4, least: int = 32, most: int = HEAVY) -> list[tuple[int, int]]:
+def heavy_shingles(docs: DataFrame, size: int, local: int = 3, least: int = 16, most: int = HEAVY) -> list[tuple[int, int]]:
     """(hash, count) of the most frequent shingles, counts ascending; batches report those frequent in them."""
 
     def count(batches):
@@ -98,14 +98,17 @@ def least_overlap(n: int, num: int, den: int) -> int:
 def describe_sets(docs: DataFrame, size: int, num: int, den: int, heavy: list[tuple[int, int]]) -> DataFrame:
     """doc_id, n, set_key, p (elements that may differ, and two more), prefix in the light-first order, signatures, costs."""
 
+    import numpy as np
+
+    hashes = np.array([h for h, _ in heavy], np.int64)
+    rank_of = hashes.argsort()
+    hot, count_of = hashes[rank_of], np.array([n for _, n in heavy], np.float64)[rank_of]
+
     def run(batches):
         import numpy as np
         import pandas as pd
         import xxhash
 
-        by_hash = sorted((h, rank, n) for rank, (h, n) in enumerate(heavy))
-        hot = np.array([r[0] for r in by_hash], np.int64)
-        rank_of, count_of = np.array([r[1] for r in by_hash], np.int64), np.array([r[2] for r in by_hash], np.float64)
         seeds = [np.uint64(2 * int.from_bytes(xxhash.xxh64_digest(b"%d" % j)[:7], "big") + 1) for j in range(SIGNATURES)]
         for pdf in batches:
             rows = []

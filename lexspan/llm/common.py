@@ -36,6 +36,47 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_KEPT: dict[str, list] = {}
+_SERVED: list[str] = []
+
+
+def keeps(operator: str, *caches) -> None:
+    """Names the cached functions in which an operator keeps things between tasks."""
+    _KEPT.setdefault(operator, []).extend(caches)
+
+
+def serve(operator: str) -> None:
+    """Called where a task begins: a worker that turns to another operator lets go of what the last one kept.
+
+    Workers live through all stages of a job; without this each stage adds its caches, and
+    freed memory that was not given back, to the executor.
+    """
+    if _SERVED == [operator]:
+        return
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    for other, caches in _KEPT.items():
+        if other != operator:
+            for cache in caches:
+                cache.cache_clear()
+    _SERVED[:] = [operator]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def slices(batches, rows: int = 1_000):
+    """The same rows in smaller frames, for work that makes much of each row."""
+    for pdf in batches:
+        for at in range(0, len(pdf), rows):
+            yield pdf.iloc[at : at + rows]
+
+
 def remainder(id_col: Column, n: int) -> Column:
     """crc32 of the id written as text, modulo n; a null id counts as remainder 0 of an empty string."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % n

@@ -53,6 +53,9 @@ def _word_hashes() -> dict:
     return Hashes()
 
 
+common.keeps("jaccard", _word_hashes)
+
+
 def shingle_set(text: str | None, size: int):
     """Sorted distinct 64-bit hashes (as int64) of a text's word shingles."""
     import numpy as np
@@ -79,6 +82,7 @@ def heavy_shingles(docs: DataFrame, size: int, local: int = 3, least: int = 16,
         import numpy as np
         import pandas as pd
 
+        common.serve("jaccard")
         for pdf in batches:
             sets = [shingle_set(t, size) for t in pdf["text"].tolist()]
             h, n = np.unique(np.concatenate([np.empty(0, np.int64), *sets]), return_counts=True)
@@ -110,7 +114,8 @@ def describe_sets(docs: DataFrame, size: int, num: int, den: int, heavy: list[tu
         import xxhash
 
         seeds = [np.uint64(2 * int.from_bytes(xxhash.xxh64_digest(b"%d" % j)[:7], "big") + 1) for j in range(SIGNATURES)]
-        for pdf in batches:
+        common.serve("jaccard")
+        for pdf in common.slices(batches):
             rows = []
             for doc, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), strict=True):
                 s = shingle_set(text, size)

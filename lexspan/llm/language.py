@@ -157,6 +157,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, lang_pred, score of each row of docs (doc_id, text)."""
 
     def run(batches):
+        common.serve("language")
         for pdf in batches:
             got = [model.predict(t) for t in pdf["text"].tolist()]
             yield pdf[["doc_id"]].assign(lang_pred=[g[0] for g in got], score=[g[1] for g in got])
@@ -179,6 +180,7 @@ def predictor(model: LanguageModel):
 
     @F.pandas_udf("lang string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
+        common.serve("language")
         return pd.DataFrame([model.predict(t) for t in texts], columns=["lang", "score"])
 
     return predict

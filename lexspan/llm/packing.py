@@ -35,6 +35,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int
         import pandas as pd
         from pyspark import TaskContext
 
+        common.serve("tokenize")
         words, end = word_ids(tokenizer_path), int(end_id).to_bytes(4, "little")
         salt = TaskContext.get().partitionId() << 40
         step = 4 * capacity

@@ -12,6 +12,8 @@ import os
 import re
 from functools import lru_cache
 
+from . import common
+
 CACHE_WORDS = 300_000
 #: Texts whose words are held at once.
 SLICE = 256
@@ -104,3 +106,6 @@ def word_ids(path: str) -> WordIds:
 @lru_cache(maxsize=4)
 def byte_counts(path: str) -> ByteCounts:
     return ByteCounts(path)
+
+
+common.keeps("tokenize", load, word_ids, byte_counts)

@@ -19,6 +19,7 @@ LEAST_LANGUAGE_SCORE = 0.3
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops null and letterless texts and those of no recognised language; if nothing is labelled, all stay."""
+    common.small_batches(spark)
     model = language.train(docs.where(~language.held_out()))
     if not model.languages:
         return docs.select(*COLUMNS)
@@ -28,6 +29,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts that are rather toxic than not; without labels of both kinds all stay."""
+    common.small_batches(spark)
     labels = common.table(spark, sf_dir, "labels", "doc_id", "toxic")
     chain = toxicity.train(docs, labels.where(~toxicity.held_out()))
     got = docs.select(*COLUMNS).withColumn("_s", toxicity.scorer(chain)("text"))
@@ -36,6 +38,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest id of each group; one row of a repeated id; null ids stay."""
+    common.small_batches(spark)
     docs = docs.select(*COLUMNS)
     groups = common.materialize(jaccard.similar_groups(docs), "groups")
     gone = common.materialize(groups.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
@@ -48,6 +51,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

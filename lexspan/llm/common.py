@@ -36,6 +36,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Texts that are sent to a Python worker at once; a batch of long ones stays small on both sides.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session hold at most BATCH_ROWS rows; a smaller number set by the user stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "0")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 _KEPT: dict[str, list] = {}
 _SERVED: list[str] = []
 

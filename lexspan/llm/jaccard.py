@@ -33,6 +33,8 @@ from .graph import components
 #: Frequent shingles that are told apart in the order; a bound of what is sent to tasks.
 HEAVY = 1 << 18
 BROADCAST_IDS = 500_000
+#: Shingles counted together in a task: bounds its memory however long the texts are.
+COUNTED = 3_000_000
 SIGNATURES = 6
 SMALL_MOST = 64
 #: Elements that prefixes hold beyond those that may differ: what a pair must share of them is checked before whole sets.
@@ -76,17 +78,27 @@ def shingle_set(text: str | None, size: int):
 
 
 def heavy_shingles(docs: DataFrame, size: int, local: int = 3, least: int = 16, most: int = HEAVY) -> list[tuple[int, int]]:
-    """(hash, count) of the most frequent shingles, counts ascending; batches report those frequent in them."""
+    """(hash, count) of the most frequent shingles, counts ascending; stretches of about COUNTED shingles report those frequent in them."""
 
     def count(batches):
         import numpy as np
         import pandas as pd
 
         common.serve("jaccard")
-        for pdf in batches:
-            sets = [shingle_set(t, size) for t in pdf["text"].tolist()]
+
+        def frequent(sets):
             h, n = np.unique(np.concatenate([np.empty(0, np.int64), *sets]), return_counts=True)
-            yield pd.DataFrame({"h": h[n >= local], "n": n[n >= local]})
+            return pd.DataFrame({"h": h[n >= local], "n": n[n >= local]})
+
+        sets, held = [], 0
+        for pdf in batches:
+            for text in pdf["text"].tolist():
+                sets.append(shingle_set(text, size))
+                held += len(sets[-1])
+                if held >= COUNTED:
+                    yield frequent(sets)
+                    sets, held = [], 0
+        yield frequent(sets)
 
     found = docs.select("text").mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     rows = found.orderBy(F.desc("n"), "h").limit(most).collect()
@@ -174,7 +186,8 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) ->
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
     def run(batches):
-        for pdf in batches:
+        common.serve("jaccard")
+        for pdf in common.slices(batches):
             yield pdf[["doc_id"]].assign(s=[shingle_set(t, size) for t in pdf["text"].tolist()])
 
     sets = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInPandas(run, "doc_id long, s array<long>")

@@ -87,8 +87,8 @@ def fit(texts: list[str], langs: list[str], aside: list[bool], epochs: int = 3,
     if not texts:
         return model
     z, q, w = np.zeros((n + 1, k)), np.zeros((n + 1, k)), model.weights
-    rows = [model.vector(t) for t in texts]
-    rows = [(np.append(at, n), np.append(x, 1.0)) for at, x in rows]  # the last weight is the bias
+    # The last weight is the bias; narrow types, as all rows are held at once.
+    rows = [(np.append(at, n).astype(np.int32), np.append(x, 1.0).astype(np.float32)) for at, x in map(model.vector, texts)]
     target = [languages.index(v) for v in langs]
     order = [i for i in range(len(rows)) if not aside[i]] or list(range(len(rows)))
     rng = np.random.default_rng(0)

@@ -140,31 +140,36 @@ def fit(texts: list[str], toxic: list[bool], steps: int = 60, rate: float = 0.5,
     docs = [list(map(sys.intern, tokens(t))) for t in texts]  # equal tokens are held once
     marks = label_tokens(docs, toxic)
     # Tokens of both kinds around marked ones: stretches of toxic documents, and as long ones of clean ones.
-    stretches = []
+    # Unmarked tokens act alike, so equal stretches are held once with their number.
+    stretches: dict[tuple, int] = {}
     for words, t in zip(docs, toxic, strict=True):
         hits = [i for i, w in enumerate(words) if w in marks]
-        for i in hits[:4] if hits else ([len(words) // 2] if words else []):
-            part = words[max(0, i - 6) : i + 7]
-            stretches.append((part, [1 if t and w in marks else 0 for w in part]))
-    stretches = stretches[:6_000]
+        end = 0
+        for i in hits or ([len(words) // 2] if words else []):
+            if i < end:  # the stretch before holds this place
+                continue
+            end = i + 7
+            part = tuple(w if w in marks else None for w in words[max(0, i - 6) : end])
+            key = (part, tuple(1 if t and w is not None else 0 for w in part))
+            stretches[key] = stretches.get(key, 0) + 1
     weights = dict.fromkeys(marks, 0.0)
     bias, trans = -2.0, [[0.0, 0.0], [0.0, 0.0]]
     step = {w: 1e-6 for w in weights}
-    total = max(1, len(stretches))
+    total = max(1, sum(stretches.values()))
     for _ in range(steps):
         gw, gb, gt = dict.fromkeys(weights, 0.0), 0.0, [[0.0, 0.0], [0.0, 0.0]]
-        for words, tags in stretches:
+        for (words, tags), times in stretches.items():
             p, moves, _ = forward_backward([weights.get(w, 0.0) + bias for w in words], trans)
             for i, (w, tag) in enumerate(zip(words, tags, strict=True)):
-                d = tag - p[i]
+                d = times * (tag - p[i])
                 gb += d
                 if w in gw:
                     gw[w] += d
                 if i:
-                    gt[tags[i - 1]][tag] += 1
+                    gt[tags[i - 1]][tag] += times
             for r in (0, 1):
                 for c in (0, 1):
-                    gt[r][c] -= moves[r][c]
+                    gt[r][c] -= times * moves[r][c]
         for w, g in gw.items():  # adaptive steps: rare tokens move as far as frequent ones
             g -= decay * weights[w]
             step[w] += g * g

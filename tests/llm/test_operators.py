@@ -120,6 +120,16 @@ def test_language_and_toxicity_learn():
     assert 0 <= chain.score([]) < 0.5
 
 
+def test_toxicity_trains_every_marked_token():
+    # The toxic rows come after more than 6,000 clean ones; "fifth" is always the fifth marked place of its row.
+    clean = ["w%d v%d" % (i, i % 7) for i in range(6_500)]
+    gap = " q" * 20
+    bad = ["one" + gap + " two" + gap + " three" + gap + " four" + gap + " fifth" for _ in range(40)]
+    chain = toxicity.fit(clean + bad, [False] * 6_500 + [True] * 40)
+    assert all(chain.weights[w] > 1 for w in ("one", "two", "three", "four", "fifth"))
+    assert chain.score(["a", "fifth", "b"]) > chain.score(["a", "b"])
+
+
 def test_tree_marginals_match_enumeration():
     import itertools
     import math

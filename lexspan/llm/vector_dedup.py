@@ -2,8 +2,8 @@
 
 Two codebooks, one for each half of the unit vectors, form a product grid; every vector is
 indexed in its cell.  A query walks the cells in order of the sum of its two distances
-(multi-sequence traversal) and visits as many as a calibration against brute force on a
-bounded sample found necessary for the target recall.  Candidates of equal label are then
+(multi-sequence traversal) and visits as many as a calibration found necessary for the
+target recall: the true partners of queries chosen by a hash, found among all rows.  Candidates of equal label are then
 verified by cosine in double precision, a block of queries against a block of a cell.
 
 Equal vectors form one class with a weight, so copies are never expanded; a block reports
@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from . import common
 from .graph import components
 
-#: Bound of the sample that codebooks and the number of visited cells are fitted on.
+#: Bound of the sample that codebooks are fitted on.
 SAMPLE = 20_000
+#: Queries, about, whose partners among all rows set the number of visited cells.
+QUERIES = 1_500
 BLOCK = 1_024
 CELL_ROWS = 16
 CODES = 512
@@ -82,34 +84,58 @@ class MultiIndex:
         return [[i * len(self.second) + j for i, j in multi_sequence(d1[k], d2[k], most or self.visits)] for k in range(len(rows))]
 
 
-def fit(rows, labels, codes: int, threshold: float, recall: float, queries: int = 1_500) -> MultiIndex:
-    """Codebooks, and the number of cells that `recall` of the sample's true pairs need."""
-    import numpy as np
+    def ranks(self, row, cells):
+        """Places of cells in the walk of one row; cells at equal distance all count."""
+        import numpy as np
+
+        d1, d2 = self.distances(row[None])
+        sums = d1[0][:, None] + d2[0][None]
+        return np.searchsorted(np.sort(sums, None), sums.ravel()[cells], "right")
 
+
+def fit(rows, codes: int) -> MultiIndex:
+    """Codebooks; the number of visited cells is left to visits_needed."""
     half = rows.shape[1] // 2 or 1
-    index = MultiIndex(k_means(rows[:, :half], codes), k_means(rows[:, half:], codes), 1)
-    home = index.homes(rows)
-    cosines = rows[:queries] @ rows.T
-    a, b = np.nonzero((cosines >= threshold) & (np.asarray(labels)[:queries, None] == np.asarray(labels)[None]))
-    a, b = a[a != b], b[a != b]
-    targets = {}
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        targets.setdefault(x, []).append(home[y])
+    return MultiIndex(k_means(rows[:, :half], codes), k_means(rows[:, half:], codes), 1)
+
+
+def visits_needed(index: MultiIndex, rows, targets, threshold: float, recall: float) -> int:
+    """Cells that `recall` of the queries' true pairs need; targets: (query, cell of a partner, number of such pairs).
+
+    It must hold over all pairs and over pairs weighted so that all queries count alike, so
+    that a few large groups don't speak for many small ones.
+    """
+    import numpy as np
+
+    found: dict[int, tuple[list[int], list[int]]] = {}
+    for x, cell, n in targets:
+        cells, ns = found.setdefault(x, ([], []))
+        cells.append(cell)
+        ns.append(n)
     rng = np.random.default_rng(0)
-    # Few true pairs in the sample: neighbours made up half-way to the threshold stand in for them.
-    if len(a) < 50:
+    # Few true pairs in the whole table: neighbours made up at the threshold stand in for them.
+    if sum(n for _, _, n in targets) < 50:
         for x in range(min(200, len(rows))):
             noise = rng.normal(size=rows.shape[1])
             noise -= noise @ rows[x] * rows[x]
-            c = (1 + threshold) / 2
-            y = c * rows[x] + np.sqrt(1 - c * c) * noise / max(np.linalg.norm(noise), 1e-12)
-            targets.setdefault(x, []).append(int(index.homes(y[None])[0]))
-    most, ranks = 256, []
-    for x, cells in targets.items():
-        place = {c: r for r, c in enumerate(index.walks(rows[x : x + 1], most)[0])}
-        ranks.extend(place.get(c, most) + 1 for c in cells)
-    index.visits = int(min(most, max(2, np.quantile(ranks, recall, method="higher")))) if ranks else 2
-    return index
+            y = threshold * rows[x] + np.sqrt(1 - threshold * threshold) * noise / max(np.linalg.norm(noise), 1e-12)
+            cells, ns = found.setdefault(x, ([], []))
+            cells.append(int(index.homes(y[None])[0]))
+            ns.append(1)
+    if not found:
+        return 2
+    place, by_pair, by_query = [], [], []
+    for x, (cells, ns) in found.items():
+        place.append(index.ranks(rows[x], cells))
+        by_pair.append(np.array(ns, float))
+        by_query.append(by_pair[-1] / sum(ns))
+    place = np.concatenate(place)
+    order = place.argsort(kind="stable")
+    need = 2
+    for weights in (np.concatenate(by_pair), np.concatenate(by_query)):
+        total = np.cumsum(weights[order])
+        need = max(need, int(place[order[np.searchsorted(total, recall * total[-1] * (1 - 1e-12))]]))
+    return need
 
 
 def unit_rows(vectors):
@@ -119,22 +145,56 @@ def unit_rows(vectors):
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+def chosen_by_hash(classes: DataFrame, n: int, most: int, tag: str) -> DataFrame:
+    return classes.where(F.pmod(F.xxhash64("rep", F.lit(tag)), F.lit(1_000_003)) < int(1_000_003 * min(1.0, most / max(1, n))))
+
+
 def train(classes: DataFrame, n: int, threshold: float, recall: float) -> MultiIndex | None:
-    """Fit on about SAMPLE classes of one width, chosen by a hash, in one task."""
+    """Codebooks of about SAMPLE classes of one width, fitted in one task; visits from about QUERIES classes against all."""
     import pickle
 
     codes = int(max(2, min(CODES, (n / CELL_ROWS) ** 0.5)))
-    chosen = classes.where(F.pmod(F.xxhash64("rep", F.lit("sample")), F.lit(1_000_003)) < int(1_000_003 * min(1.0, SAMPLE / max(1, n))))
 
     def learn(pdf):
         import pandas as pd
 
-        pdf = pdf.sort_values("rep")
-        index = fit(unit_rows(pdf["v"].tolist()), pdf["label"].tolist(), codes, threshold, recall)
-        return pd.DataFrame({"model": [pickle.dumps((index.first, index.second, index.visits))]})
+        index = fit(unit_rows(pdf.sort_values("rep")["v"].tolist()), codes)
+        return pd.DataFrame({"model": [pickle.dumps((index.first, index.second))]})
+
+    sample = chosen_by_hash(classes, n, SAMPLE, "sample").select("rep", "v", F.lit(1).alias("one"))
+    got = sample.groupBy("one").applyInPandas(learn, "model binary").collect()
+    if not got:
+        return None
+    index = MultiIndex(*pickle.loads(got[0]["model"]), 1)
+    queries = chosen_by_hash(classes, n, QUERIES, "query").select("rep", "label", "v").orderBy("rep").collect()
+    if not queries:
+        index.visits = visits_needed(index, [], [], threshold, recall)
+        return index
+    rows = unit_rows([r["v"] for r in queries])
+    targets = partners(classes, index, rows, [r["label"] for r in queries], [r["rep"] for r in queries], threshold)
+    index.visits = visits_needed(index, rows, targets, threshold, recall)
+    return index
+
+
+def partners(classes: DataFrame, index: MultiIndex, queries, labels, reps, threshold: float) -> list:
+    """(query, cell, number) of the true partners of each query among all classes, by brute force in blocks."""
 
-    got = chosen.select("rep", "label", "v", F.lit(1).alias("one")).groupBy("one").applyInPandas(learn, "model binary").collect()
-    return MultiIndex(*pickle.loads(got[0]["model"])) if got else None
+    def find(batches):
+        import numpy as np
+        import pandas as pd
+
+        own, ids = np.asarray(labels), np.asarray(reps)
+        for pdf in batches:
+            for at in range(0, len(pdf), BLOCK):
+                part = pdf.iloc[at : at + BLOCK]
+                rows = unit_rows(part["v"].tolist())
+                near = (rows @ queries.T >= threshold) & (part["label"].to_numpy()[:, None] == own[None]) & (part["rep"].to_numpy()[:, None] != ids[None])
+                r, q = near.nonzero()
+                pairs = pd.DataFrame({"q": q, "cell": index.homes(rows)[r]})
+                yield pairs.groupby(["q", "cell"]).size().reset_index(name="n").astype("int64")
+
+    found = classes.select("rep", "label", "v").mapInPandas(find, "q long, cell long, n long")
+    return [tuple(r) for r in found.groupBy("q", "cell").agg(F.sum("n").alias("n")).orderBy("q", "cell").collect()]
 
 
 LINK_SCHEMA = "rep long, n long, root long"

@@ -162,6 +162,24 @@ def test_vectors_against_brute_force(spark):
     assert got[204].component_id <= 5 and got[5].n_links >= 1
 
 
+def test_vectors_of_small_groups_rarely_in_the_sample(spark, monkeypatch):
+    # Pairs just above the threshold; the sample of the codebooks holds both of a pair about ten times.
+    import numpy as np
+
+    monkeypatch.setattr(vector_dedup, "SAMPLE", 400)
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=(4_000, 32))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    noise = rng.normal(size=a.shape)
+    noise -= (noise * a).sum(1)[:, None] * a
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    b = 0.935 * a + (1 - 0.935**2) ** 0.5 * noise
+    rows = [(2 * i + k, v[i].tolist(), 1) for k, v in enumerate((a, b)) for i in range(len(a))]
+    got = vector_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    linked = got.where("n_links = 1").count()
+    assert linked >= 0.98 * len(rows), linked / len(rows)
+
+
 def test_empty_tables(spark):
     none = docs(spark, [])
     path = public_tokenizers.path("word_bpe_49k.json")

@@ -2,9 +2,9 @@
 
 Documents are encoded once, cut into pieces of at most `capacity` tokens and dealt at
 random into groups of bounded size.  A group is packed best-fit decreasing; then local
-search moves a document, swaps one for one or two for one from the emptiest bin into
-others, each step raising the sum of squared fills, until that bin is empty or no step is
-left.  Bins that stay underfull release their pieces to a second round of groups, so what
+search moves a document, swaps one for one or two for one from the emptiest bins into any
+other underfull bin, each step raising the sum of squared fills, until no bin has a step
+left or the total needs every bin.  Bins that stay underfull release their pieces to a second round of groups, so what
 is lost does not add up over groups.
 
 Defined cases: null or empty text: the end id alone; repeated rows are packed as often as
@@ -77,60 +77,99 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, partners: int = 64, steps: int = 2_000) -> list[list[int]]:
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     """Empty the emptiest bins by moves, one-for-one and two-for-one swaps that raise squared fill.
 
-    `partners` and `steps` bound the search for each bin; the packing stays valid at any bound.
+    Every underfull bin is looked at for each step; it ends when no step is left for any bin,
+    or when the total can't be held by one bin less.
     """
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    spare = sum(capacity - f for f in fill)
-    alive = sorted((k for k in range(len(bins)) if fill[k] < capacity), key=lambda k: fill[k])
-    for s in list(alive):
-        if spare < capacity:  # the total can't be held by one bin less
-            break
-        if not fill[s]:
-            continue
-        others = [k for k in alive if k != s and fill[k] < capacity][-partners:]
-        for _ in range(steps):
-            if not fill[s] or not _improve(s, others, bins, fill, lengths, capacity):
-                break
-        if not fill[s]:
-            spare -= capacity
+    state = _Underfull(bins, lengths, capacity)
+    moved = True
+    while moved and state.spare >= capacity:
+        moved = False
+        for s in sorted(state.alive(), key=lambda k: state.fill[k]):
+            while state.spare >= capacity and 0 < state.fill[s] < capacity and state.step(s):
+                moved = True
     return [b for b in bins if b]
 
 
-def _improve(s, others, bins, fill, lengths, capacity) -> bool:
-    """One step from bin s to another, or False if none raises squared fill."""
+class _Underfull:
+    """Pieces of the underfull bins, by length and by the room of their bin."""
 
-    def shift(t, out, back):
-        for i in out:
-            bins[s].remove(i)
-            bins[t].append(i)
-        for i in back:
-            bins[t].remove(i)
-            bins[s].append(i)
-        d = sum(lengths[i] for i in out) - sum(lengths[i] for i in back)
-        fill[s] -= d
-        fill[t] += d
+    def __init__(self, bins, lengths, capacity):
+        import numpy as np
+
+        self.bins, self.lengths, self.capacity = bins, lengths, capacity
+        self.fill = [sum(lengths[i] for i in b) for b in bins]
+        self.spare = sum(capacity - f for f in self.fill if f)
+        # An empty place in each underfull bin stands for a move without return.
+        items = [(i, k) for k in self.alive() for i in bins[k]] + [(-1, k) for k in self.alive()]
+        self.piece = [i for i, _ in items]
+        self.length = np.array([lengths[i] if i >= 0 else 0 for i in self.piece], np.int64)
+        self.owner = np.array([k for _, k in items], np.int64)
+        self.at = {i: n for n, i in enumerate(self.piece) if i >= 0}
+        self.room = np.array([capacity - f if f else 0 for f in self.fill], np.int64)
+
+    def alive(self):
+        return [k for k, f in enumerate(self.fill) if 0 < f < self.capacity]
+
+    def step(self, s: int) -> bool:
+        """The step from bin s that shifts most, or False if none raises squared fill."""
+        import numpy as np
+
+        own = self.capacity - self.fill[s]
+        room = self.room[self.owner]
+        # x leaves bin s for a piece of length y of a bin with room r, if d = x - y has d <= r and r - own < d.
+        lo, hi = self.length + np.maximum(1, room - own + 1), self.length + room
+        usable = np.flatnonzero((self.owner != s) & (room > 0))
+        mine: dict[int, list[int]] = {}
+        for i in self.bins[s]:
+            mine.setdefault(self.lengths[i], []).append(i)
+        single = np.array(sorted(mine), np.int64)
+        sums = (single[:, None] + single[None]).ravel()
+        ways = np.concatenate([single, sums])
+        first = np.concatenate([single, np.repeat(single, len(single))])
+        second = np.concatenate([np.zeros_like(single), np.tile(single, len(single))])
+        many = np.array([len(mine[n]) for n in single.tolist()])
+        twice = (first != second) | (many[np.searchsorted(single, first)] > 1)
+        fits = twice & (ways <= self.capacity) & ((second == 0) | (first <= second))
+        ways, first, second = ways[fits], first[fits], second[fits]
+        # Of each x the shortest piece that it can be swapped for: sweep pieces by length.
+        best = np.full(self.capacity + 2, -1, np.int64)
+        edge = np.zeros(self.capacity + 2, np.int64)
+        np.add.at(edge, lo[usable], 1)
+        np.add.at(edge, hi[usable] + 1, -1)
+        open_ = np.cumsum(edge)[ways] > 0
+        ways, first, second = ways[open_], first[open_], second[open_]
+        if not len(ways):
+            return False
+        for x in np.unique(ways).tolist():
+            can = usable[(lo[usable] <= x) & (x <= hi[usable])]
+            n = can[np.lexsort((room[can], self.length[can]))[0]]  # the shortest piece, of the fullest bin
+            best[x] = n
+        gain = ways - self.length[best[ways]]
+        k = int(gain.argmax())
+        n, a, b = int(best[ways[k]]), int(first[k]), int(second[k])
+        out = [mine[a].pop()] + ([mine[b].pop()] if b else [])
+        self.shift(s, int(self.owner[n]), out, [self.piece[n]] if self.piece[n] >= 0 else [])
         return True
 
-    mine = sorted(bins[s], key=lambda i: -lengths[i])
-    for t in sorted(others, key=lambda k: -fill[k]):
-        room = capacity - fill[t]
-        if not room or not fill[t]:
-            continue
-        gain = lambda d: 0 < d <= room and (fill[t] + d) ** 2 + (fill[s] - d) ** 2 > fill[t] ** 2 + fill[s] ** 2  # noqa: B023,E731
-        for i in mine:
-            if gain(lengths[i]):
-                return shift(t, [i], [])
-        for j in bins[t]:
-            for x, i in enumerate(mine):
-                if gain(lengths[i] - lengths[j]):
-                    return shift(t, [i], [j])
-                for k in mine[x + 1 :]:
-                    if gain(lengths[i] + lengths[k] - lengths[j]):
-                        return shift(t, [i, k], [j])
-    return False
+    def shift(self, s, t, out, back):
+        for i in out:
+            self.bins[s].remove(i)
+            self.bins[t].append(i)
+            self.owner[self.at[i]] = t
+        for i in back:
+            self.bins[t].remove(i)
+            self.bins[s].append(i)
+            self.owner[self.at[i]] = s
+        d = sum(self.lengths[i] for i in out) - sum(self.lengths[i] for i in back)
+        self.fill[s] -= d
+        self.fill[t] += d
+        self.room[s] = self.capacity - self.fill[s] if self.fill[s] else 0
+        self.room[t] -= d
+        if not self.fill[s]:
+            self.spare -= self.capacity
 
 
 def _pack_round(pieces: DataFrame, capacity: int, groups: int, tag: int) -> DataFrame:

@@ -68,6 +68,16 @@ def test_local_search_empties_a_bin():
     assert sorted(i for b in got for i in b) == [0, 1, 2, 3, 4] and len(got) == 2
 
 
+def test_local_search_looks_at_hundreds_of_underfull_bins():
+    rng = random.Random(1)
+    lengths = [rng.randint(500, 2600) for _ in range(3_000)]
+    bins = packing.best_fit(lengths, 4096)
+    assert sum(sum(lengths[i] for i in b) < 4096 for b in bins) > 500
+    got = packing.local_search(bins, lengths, 4096)
+    assert sorted(i for b in got for i in b) == list(range(3_000)) and all(sum(lengths[i] for i in b) <= 4096 for b in got)
+    assert len(got) == -(-sum(lengths) // 4096)  # as few as the total allows
+
+
 def test_jaccard_against_brute_force(spark):
     rng = random.Random(5)
     base = [[rng.choice("abcdefghij") + str(rng.randrange(40)) for _ in range(rng.randrange(4, 60))] for _ in range(25)]

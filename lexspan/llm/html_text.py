@@ -38,9 +38,11 @@ _WORDS = re.compile(r"[a-z]+")
 
 # Elements of HTML by their role here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template head title svg iframe object canvas math select textarea button".split())
-RAW = frozenset("script style textarea title noscript iframe".split())
+HIDDEN = frozenset("script style template head title iframe select textarea button".split())
+RAW = frozenset("script style textarea title iframe".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter output q ruby s samp small span strike strong sub sup time tt u var wbr".split())
+# Formulas and labels of drawings read on within their line.
+INLINE |= frozenset("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics annotation annotation-xml text tspan textpath".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 ITEMS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
@@ -110,7 +112,7 @@ def parse(page: str | None) -> Node:
             at = end.end() if end else len(page)
             continue
         if tag in INLINE:
-            if tag == "br":
+            if tag in ("br", "text"):
                 buffer.append(" ")
             elif tag == "a":
                 in_link = 0 if closing else 1

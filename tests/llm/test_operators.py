@@ -158,6 +158,15 @@ def test_tree_marginals_match_enumeration():
     assert model.marginals(nodes) == pytest.approx([v / total for v in on])
 
 
+def test_pages_keep_formulas_and_fallback_texts():
+    page = (
+        "<body><article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><object data=a><p>fallback</p></object><canvas>drawn</canvas>"
+        "<svg><path d=1 /><text>left</text><text>right</text></svg><noscript><p>plain</p></noscript><script>no()</script><button>no</button></article></body>"
+    )
+    nodes = html_text.order(html_text.parse(page))
+    assert [n.text for n in nodes if n.tag == "text"] == ["so x=2 holds", "fallback", "drawn", "left right", "plain"]
+
+
 def test_vectors_against_brute_force(spark):
     rng = random.Random(1)
     rows = []

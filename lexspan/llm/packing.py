@@ -1,14 +1,17 @@
-"""Best-fit packing of token sequences with swap-based local search.
+"""Best-fit packing of token sequences by swap-based local search.
 
 Documents are encoded once, cut into pieces of at most `capacity` tokens and dealt at
-random into groups of bounded size.  A group is packed best-fit decreasing; then local
-search moves a document, swaps one for one or two for one from the emptiest bins into any
-other underfull bin, each step raising the sum of squared fills, until no bin has a step
-left or the total needs every bin.  Bins that stay underfull release their pieces to a second round of groups, so what
-is lost does not add up over groups.
-
-Defined cases: null or empty text: the end id alone; repeated rows are packed as often as
-they come; an empty table gives an empty result; other columns are ignored.
+random into groups of bounded size.  A group starts from best fit in the order dealt.  Local search
+then empties its bins, emptiest first: it moves a document to the fullest bin that holds
+it, or swaps one or two for one of any other underfull bin, each step raising the sum of
+squared fills, until no bin has a step left or the total needs every bin.  Bins that stay
+underfull release their pieces to a second round of groups, so what is lost does not add
+up over groups.
+
+Defined cases: null or empty text: the end id alone; null ids stay null; repeated rows are
+packed as often as they come; a very long text is cut into full pieces and a last one that
+is packed like any other; of equal choices the bin or piece that came first is taken; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -56,12 +59,11 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Bins of indexes, best-fit decreasing: each item goes to the fullest bin that holds it."""
+    """Bins of indexes: each item, in the order given, goes to the fullest bin that holds it."""
     bins: list[list[int]] = []
     by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
     open_rooms = 0  # bit r is set where a bin with room r exists
-    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
-        n = lengths[i]
+    for i, n in enumerate(lengths):
         fits = open_rooms >> n
         if fits:
             room = n + (fits & -fits).bit_length() - 1
@@ -78,7 +80,7 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
-    """Empty the emptiest bins by moves, one-for-one and two-for-one swaps that raise squared fill.
+    """Empty bins, emptiest first, by moves, one-for-one and two-for-one swaps that raise squared fill.
 
     Every underfull bin is looked at for each step; it ends when no step is left for any bin,
     or when the total can't be held by one bin less.
@@ -87,14 +89,14 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> li
     moved = True
     while moved and state.spare >= capacity:
         moved = False
-        for s in sorted(state.alive(), key=lambda k: state.fill[k]):
-            while state.spare >= capacity and 0 < state.fill[s] < capacity and state.step(s):
-                moved = True
+        for s in sorted(state.alive(), key=lambda k: (state.fill[k], k)):
+            if state.spare >= capacity and 0 < state.fill[s] < capacity:
+                moved |= state.drain(s)
     return [b for b in bins if b]
 
 
 class _Underfull:
-    """Pieces of the underfull bins, by length and by the room of their bin."""
+    """Bins by room, for moves; pieces by length and room of their bin, for swaps."""
 
     def __init__(self, bins, lengths, capacity):
         import numpy as np
@@ -102,78 +104,115 @@ class _Underfull:
         self.bins, self.lengths, self.capacity = bins, lengths, capacity
         self.fill = [sum(lengths[i] for i in b) for b in bins]
         self.spare = sum(capacity - f for f in self.fill if f)
-        # An empty place in each underfull bin stands for a move without return.
-        items = [(i, k) for k in self.alive() for i in bins[k]] + [(-1, k) for k in self.alive()]
-        self.piece = [i for i, _ in items]
-        self.length = np.array([lengths[i] if i >= 0 else 0 for i in self.piece], np.int64)
-        self.owner = np.array([k for _, k in items], np.int64)
-        self.at = {i: n for n, i in enumerate(self.piece) if i >= 0}
-        self.room = np.array([capacity - f if f else 0 for f in self.fill], np.int64)
+        self.by_room: list[set[int]] = [set() for _ in range(capacity + 1)]
+        self.open_rooms = 0  # bit r is set where a bin with room r exists
+        for k in self.alive():
+            self._open(k)
+        self.length = np.array(lengths, np.int64)
+        self.owner = np.empty(len(lengths), np.int64)
+        for k, b in enumerate(bins):
+            self.owner[b] = k
+        self.room = np.array([capacity - f for f in self.fill], np.int64)
 
     def alive(self):
         return [k for k, f in enumerate(self.fill) if 0 < f < self.capacity]
 
-    def step(self, s: int) -> bool:
-        """The step from bin s that shifts most, or False if none raises squared fill."""
+    def _open(self, k):
+        room = self.capacity - self.fill[k]
+        if 0 < room < self.capacity:
+            self.by_room[room].add(k)
+            self.open_rooms |= 1 << room
+
+    def _close(self, k):
+        room = self.capacity - self.fill[k]
+        if 0 < room < self.capacity:
+            self.by_room[room].discard(k)
+            if not self.by_room[room]:
+                self.open_rooms &= ~(1 << room)
+
+    def drain(self, s: int) -> bool:
+        """Steps from bin s until it is empty or full or has none left; whether there was any."""
+        any_step = False
+        while 0 < self.fill[s] < self.capacity and self.spare >= self.capacity and (self.move(s) or self.swap(s)):
+            any_step = True
+        return any_step
+
+    def move(self, s: int) -> bool:
+        """Moves the longest piece of s that fits elsewhere to the fullest bin that holds it."""
+        self._close(s)
+        to = None
+        for i in sorted(self.bins[s], key=lambda i: -self.lengths[i]):
+            n = self.lengths[i]
+            fits = self.open_rooms >> n
+            if fits:
+                room = n + (fits & -fits).bit_length() - 1
+                if self.capacity - room + n > self.fill[s]:  # squared fill rises
+                    to = min(self.by_room[room])
+                    break
+        self._open(s)
+        if to is None:
+            return False
+        self.shift(s, to, [i], [])
+        return True
+
+    def swap(self, s: int) -> bool:
+        """The swap of one or two pieces of s for one of another bin that shifts most, if any raises squared fill."""
         import numpy as np
 
         own = self.capacity - self.fill[s]
         room = self.room[self.owner]
-        # x leaves bin s for a piece of length y of a bin with room r, if d = x - y has d <= r and r - own < d.
-        lo, hi = self.length + np.maximum(1, room - own + 1), self.length + room
-        usable = np.flatnonzero((self.owner != s) & (room > 0))
-        mine: dict[int, list[int]] = {}
-        for i in self.bins[s]:
-            mine.setdefault(self.lengths[i], []).append(i)
-        single = np.array(sorted(mine), np.int64)
-        sums = (single[:, None] + single[None]).ravel()
-        ways = np.concatenate([single, sums])
-        first = np.concatenate([single, np.repeat(single, len(single))])
-        second = np.concatenate([np.zeros_like(single), np.tile(single, len(single))])
-        many = np.array([len(mine[n]) for n in single.tolist()])
-        twice = (first != second) | (many[np.searchsorted(single, first)] > 1)
-        fits = twice & (ways <= self.capacity) & ((second == 0) | (first <= second))
-        ways, first, second = ways[fits], first[fits], second[fits]
-        # Of each x the shortest piece that it can be swapped for: sweep pieces by length.
-        best = np.full(self.capacity + 2, -1, np.int64)
-        edge = np.zeros(self.capacity + 2, np.int64)
-        np.add.at(edge, lo[usable], 1)
-        np.add.at(edge, hi[usable] + 1, -1)
-        open_ = np.cumsum(edge)[ways] > 0
-        ways, first, second = ways[open_], first[open_], second[open_]
-        if not len(ways):
+        usable = np.flatnonzero((self.owner != s) & (room > 0) & (room < self.capacity))
+        if not len(usable):
+            return False
+        length, room = self.length[usable], room[usable]
+        # x leaves s for a piece of length y of a bin with room r, if d = x - y has 0 < d <= r and r - own < d.
+        lo, hi = length + np.maximum(1, room - own + 1), length + room
+        mine = sorted(self.bins[s], key=lambda i: self.lengths[i])
+        seen, ways = set(), []
+        for a, i in enumerate(mine):
+            for out in ([i], *([i, j] for j in mine[a + 1 :])):
+                x = sum(self.lengths[k] for k in out)
+                if x <= self.capacity and x not in seen:
+                    seen.add(x)
+                    ways.append((x, out))
+        # Of each x the shortest piece that it can be swapped for, from the fullest such bin.
+        best = (0,)
+        for x, out in ways:
+            can = np.flatnonzero((lo <= x) & (x <= hi))
+            if len(can):
+                n = can[np.lexsort((usable[can], room[can], length[can]))[0]]
+                best = max(best, (x - int(length[n]), -len(out), out, int(usable[n])))
+        if not best[0]:
             return False
-        for x in np.unique(ways).tolist():
-            can = usable[(lo[usable] <= x) & (x <= hi[usable])]
-            n = can[np.lexsort((room[can], self.length[can]))[0]]  # the shortest piece, of the fullest bin
-            best[x] = n
-        gain = ways - self.length[best[ways]]
-        k = int(gain.argmax())
-        n, a, b = int(best[ways[k]]), int(first[k]), int(second[k])
-        out = [mine[a].pop()] + ([mine[b].pop()] if b else [])
-        self.shift(s, int(self.owner[n]), out, [self.piece[n]] if self.piece[n] >= 0 else [])
+        _, _, out, back = best
+        self.shift(s, int(self.owner[back]), out, [back])
         return True
 
     def shift(self, s, t, out, back):
+        self._close(s)
+        self._close(t)
         for i in out:
             self.bins[s].remove(i)
             self.bins[t].append(i)
-            self.owner[self.at[i]] = t
+            self.owner[i] = t
         for i in back:
             self.bins[t].remove(i)
             self.bins[s].append(i)
-            self.owner[self.at[i]] = s
+            self.owner[i] = s
         d = sum(self.lengths[i] for i in out) - sum(self.lengths[i] for i in back)
         self.fill[s] -= d
         self.fill[t] += d
-        self.room[s] = self.capacity - self.fill[s] if self.fill[s] else 0
+        self.room[s] += d
         self.room[t] -= d
         if not self.fill[s]:
             self.spare -= self.capacity
+        self._open(s)
+        self._open(t)
 
 
 def _pack_round(pieces: DataFrame, capacity: int, groups: int, tag: int) -> DataFrame:
     def pack(pdf):
+        pdf = pdf.sort_values("salt")
         lengths = pdf["length"].tolist()
         bins = local_search(best_fit(lengths, capacity), lengths, capacity)
         at, offset, fill = [0] * len(lengths), [0] * len(lengths), [0] * len(lengths)
@@ -197,7 +236,7 @@ def pack_pieces(pieces: DataFrame, capacity: int, full_enough: float = 0.995) ->
     under = F.col("fill") < int(capacity * full_enough)
     again = one.where(under).select(*cols)
     m = again.count()
-    if n <= GROUP_PIECES or not m:
+    if n <= GROUP_PIECES or not m:  # a single group has met all pieces already
         return one
     two = _pack_round(again, capacity, max(1, -(-m // GROUP_PIECES)), 1)
     return one.where(~under).unionByName(two)

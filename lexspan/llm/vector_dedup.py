@@ -3,68 +3,64 @@
 Two codebooks, one for each half of the unit vectors, form a product grid; every vector is
 indexed in its cell.  A query walks the cells in order of the sum of its two distances
 (multi-sequence traversal) and visits as many as a calibration found necessary for the
-target recall: the true partners of queries chosen by a hash, found among all rows.  Candidates of equal label are then
-verified by cosine in double precision, a block of queries against a block of a cell.
+target recall: the true partners of queries chosen by a hash, found among all rows.
+Candidates of equal label are then verified by cosine in double precision, a block of
+queries against a block of a cell.  Codebooks grow with the square root of the number of
+vectors, so cells keep their size.
 
 Equal vectors form one class with a weight, so copies are never expanded; a block reports
-counts and one star edge a vector, never all pairs.
+counts and one star edge a vector, never all pairs.  A link that only one of its two
+vectors would find is counted for both.
 
-Defined cases: vectors that are null, zero or hold null or non-finite components, and null
-labels, link with nothing; vectors of another width are never compared; rows that repeat a
-vec_id are separate vectors of one node; an empty table gives an empty result; other
+Defined cases: vectors that are null, zero or hold null or non-finite components, null
+labels and null ids link with nothing; vectors of another width are never compared; rows
+that repeat a vec_id are separate vectors of one node and get the largest of their link
+counts; a cosine just at the threshold links; an empty table gives an empty result; other
 columns are ignored.
 """
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 from .graph import components
 
-#: Bound of the sample that codebooks are fitted on.
-SAMPLE = 20_000
+#: Bound of the sample that codebooks are fitted on: rows, or rows a code where there are many codes.
+SAMPLE, SAMPLE_A_CODE = 20_000, 40
 #: Queries, about, whose partners among all rows set the number of visited cells.
 QUERIES = 1_500
-BLOCK = 1_024
+#: Members and queries that meet in one block, and rows that a task takes at once.
+BLOCK, QUERY_BLOCK, TASK_ROWS = 1_024, 4_096, 16_384
 CELL_ROWS = 16
-CODES = 512
+#: Cells that are sent to all tasks; more are joined by key.
+BROADCAST_CELLS = 500_000
 
 
 def k_means(rows, k: int, rounds: int = 10):
-    """k centres by Lloyd's rounds, started from rows spread evenly."""
+    """At most k different centres by Lloyd's rounds, started from rows spread evenly."""
     import numpy as np
 
     centres = rows[np.linspace(0, len(rows) - 1, min(k, len(rows))).astype(int)].copy()
+    step = max(1, 20_000_000 // len(centres))
     for _ in range(rounds):
-        near = nearest(rows, centres).argmin(1)
+        length = (centres * centres).sum(1)
+        near = np.concatenate([(length - 2 * rows[at : at + step] @ centres.T).argmin(1) for at in range(0, len(rows), step)])
         n = np.bincount(near, minlength=len(centres))
         total = np.zeros_like(centres)
         np.add.at(total, near, rows)
         centres[n > 0] = total[n > 0] / n[n > 0, None]
-    return centres
-
+    return np.unique(centres, axis=0)
 
-def nearest(rows, centres):
-    """Squared distances, rows by centres."""
-    return (rows * rows).sum(1)[:, None] + (centres * centres).sum(1)[None] - 2 * rows @ centres.T
 
+def squared_distances(rows, centres):
+    """Rows by centres; each is the same number whatever the other rows are."""
+    import numpy as np
 
-def multi_sequence(d1, d2, most: int):
-    """Cells (i, j) in order of d1[i] + d2[j]."""
-    o1, o2 = d1.argsort(), d2.argsort()
-    heap, seen, out = [(d1[o1[0]] + d2[o2[0]], 0, 0)], {(0, 0)}, []
-    while heap and len(out) < most:
-        _, a, b = heapq.heappop(heap)
-        out.append((int(o1[a]), int(o2[b])))
-        for x, y in ((a + 1, b), (a, b + 1)):
-            if x < len(o1) and y < len(o2) and (x, y) not in seen:
-                seen.add((x, y))
-                heapq.heappush(heap, (d1[o1[x]] + d2[o2[y]], x, y))
-    return out
+    step = max(1, 4_000_000 // max(1, centres.size))
+    parts = [((rows[at : at + step, None] - centres[None]) ** 2).sum(2) for at in range(0, len(rows), step)]
+    return np.concatenate(parts) if parts else np.empty((0, len(centres)))
 
 
 class MultiIndex:
@@ -73,24 +69,53 @@ class MultiIndex:
 
     def distances(self, rows):
         half = self.first.shape[1]
-        return nearest(rows[:, :half], self.first), nearest(rows[:, half:], self.second)
+        return squared_distances(rows[:, :half], self.first), squared_distances(rows[:, half:], self.second)
 
     def homes(self, rows):
         d1, d2 = self.distances(rows)
         return d1.argmin(1) * len(self.second) + d2.argmin(1)
 
-    def walks(self, rows, most: int | None = None):
-        d1, d2 = self.distances(rows)
-        return [[i * len(self.second) + j for i, j in multi_sequence(d1[k], d2[k], most or self.visits)] for k in range(len(rows))]
+    def walks(self, rows):
+        """Of each row its home, the cells it visits and the largest sum of distances among these.
+
+        In the order of the sums, the cell of the a-th nearest code of one half and the b-th
+        of the other comes after a * b - 1 others: only those of a * b up to the number of
+        visits have to be looked at.
+        """
+        import numpy as np
 
+        k1, k2 = len(self.first), len(self.second)
+        visits = min(self.visits, k1 * k2)
+        a = [np.full(min(visits // i, k2), i - 1) for i in range(1, min(visits, k1) + 1)]
+        b = np.concatenate([np.arange(len(x)) for x in a])
+        a = np.concatenate(a)
+        out = []
+        step = max(1, 4_000_000 // len(a))
+        for at in range(0, len(rows), step):
+            d1, d2 = self.distances(rows[at : at + step])
+            o1, o2 = d1.argsort(1, kind="stable"), d2.argsort(1, kind="stable")
+            sums = np.take_along_axis(d1, o1, 1)[:, a] + np.take_along_axis(d2, o2, 1)[:, b]
+            far = np.partition(sums, visits - 1, axis=1)[:, visits - 1]
+            for k in range(len(sums)):
+                got = np.flatnonzero(sums[k] <= far[k])
+                cells = o1[k, a[got]].astype(np.int64) * k2 + o2[k, b[got]]
+                out.append((int(o1[k, 0]) * k2 + int(o2[k, 0]), cells, float(far[k])))
+        return out
+
+    def visits_home_of(self, rows, far, homes):
+        """Rows by homes: whether a row's walk, which ends at `far`, comes to a home."""
+        d1, d2 = self.distances(rows)
+        return d1[:, homes // len(self.second)] + d2[:, homes % len(self.second)] <= far[:, None]
 
     def ranks(self, row, cells):
         """Places of cells in the walk of one row; cells at equal distance all count."""
         import numpy as np
 
-        d1, d2 = self.distances(row[None])
-        sums = d1[0][:, None] + d2[0][None]
-        return np.searchsorted(np.sort(sums, None), sums.ravel()[cells], "right")
+        d1, d2 = (d[0] for d in self.distances(row[None]))
+        s2 = np.sort(d2)
+        cells = np.asarray(cells)
+        sums = d1[cells // len(d2)] + d2[cells % len(d2)]
+        return np.array([np.searchsorted(s2, x * (1 + 1e-12) - d1, "right").sum() for x in sums])
 
 
 def fit(rows, codes: int) -> MultiIndex:
@@ -142,6 +167,7 @@ def unit_rows(vectors):
     import numpy as np
 
     rows = np.stack(vectors).astype(np.float64)
+    rows = rows / np.abs(rows).max(1, keepdims=True)  # squares neither overflow nor vanish
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
@@ -153,7 +179,7 @@ def train(classes: DataFrame, n: int, threshold: float, recall: float) -> MultiI
     """Codebooks of about SAMPLE classes of one width, fitted in one task; visits from about QUERIES classes against all."""
     import pickle
 
-    codes = int(max(2, min(CODES, (n / CELL_ROWS) ** 0.5)))
+    codes = int(max(2, (n / CELL_ROWS) ** 0.5))
 
     def learn(pdf):
         import pandas as pd
@@ -161,7 +187,7 @@ def train(classes: DataFrame, n: int, threshold: float, recall: float) -> MultiI
         index = fit(unit_rows(pdf.sort_values("rep")["v"].tolist()), codes)
         return pd.DataFrame({"model": [pickle.dumps((index.first, index.second))]})
 
-    sample = chosen_by_hash(classes, n, SAMPLE, "sample").select("rep", "v", F.lit(1).alias("one"))
+    sample = chosen_by_hash(classes, n, max(SAMPLE, SAMPLE_A_CODE * codes), "sample").select("rep", "v", F.lit(1).alias("one"))
     got = sample.groupBy("one").applyInPandas(learn, "model binary").collect()
     if not got:
         return None
@@ -200,30 +226,49 @@ def partners(classes: DataFrame, index: MultiIndex, queries, labels, reps, thres
 LINK_SCHEMA = "rep long, n long, root long"
 
 
-def _link_block(threshold: float):
-    def link(queries, members):
+def _link_blocks(index: MultiIndex, threshold: float):
+    """Links of the blocks (label, cell, mb, qb) that one task takes at once."""
+
+    def block(v, rep, weight, home, far, q, m):
+        """Counts and roots of the queries q and members m, as places in the task's rows."""
         import numpy as np
-        import pandas as pd
 
-        if not len(queries) or not len(members):
-            return pd.DataFrame({"rep": [], "n": [], "root": []}).astype("int64")
-        near = unit_rows(queries["v"].tolist()) @ unit_rows(members["v"].tolist()).T >= threshold
-        q, m, weight = queries["rep"].to_numpy(), members["rep"].to_numpy(), members["weight"].to_numpy()
-        near &= q[:, None] != m[None]
-        counts = near @ weight
+        near = v[q] @ v[m].T >= threshold
+        near &= rep[q][:, None] != rep[m][None]
+        hit, hit_m = near.any(1), near.any(0)
+        if not hit.any():
+            return []
+        q, m, near = q[hit], m[hit_m], near[hit][:, hit_m]
+        # Where the member's own walk does not come to the query's cell, its link is counted here.
+        alone = near & ~index.visits_home_of(v[m], far[m], home[q]).T
         # Smallest id of the block that each vector reaches through links of the block.
-        rq, rm, top = q.copy(), m.copy(), np.iinfo(np.int64).max
+        rq, rm, top = rep[q], rep[m], np.iinfo(np.int64).max
         while True:
             nm = np.minimum(rm, np.where(near, rq[:, None], top).min(0))
             nq = np.minimum(rq, np.where(near, nm[None], top).min(1))
             if (nm == rm).all() and (nq == rq).all():
                 break
             rq, rm = nq, nm
-        hit, hit_m = near.any(1), near.any(0)
-        return pd.concat([
-            pd.DataFrame({"rep": q[hit], "n": counts[hit], "root": rq[hit]}),
-            pd.DataFrame({"rep": m[hit_m], "n": 0, "root": rm[hit_m]}),
-        ])
+        return [(rep[q], near @ weight[m], rq), (rep[m], weight[q] @ alone, rm)]
+
+    def link(pdf):
+        import numpy as np
+        import pandas as pd
+
+        unit = pdf.groupby(["label", "cell", "mb", "qb"], sort=False).ngroup().to_numpy()
+        query = pdf["query"].to_numpy()
+        order = np.lexsort((query, unit))
+        unit, query = unit[order], query[order]
+        v = unit_rows(pdf["v"].tolist())
+        rep, weight, home, far = (pdf[c].to_numpy() for c in ("rep", "weight", "home", "far"))
+        found = []
+        cuts = np.flatnonzero(np.diff(unit)) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(unit)]):
+            mid = lo + int(np.searchsorted(query[lo:hi], True))
+            if lo < mid < hi:
+                found += block(v, rep, weight, home, far, order[mid:hi], order[lo:mid])
+        out = [np.concatenate(c) for c in zip(*found)] if found else [np.empty(0, np.int64)] * 3
+        return pd.DataFrame(dict(zip(("rep", "n", "root"), out))).astype("int64")
 
     return link
 
@@ -232,11 +277,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, recall: float =
     """vec_id, n_links, component_id, kept of vectors (vec_id, embedding, label)."""
     rows = vectors.select("vec_id", "embedding", "label")
     v = F.transform("embedding", lambda x: x.cast("double"))
-    sound = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size("embedding") > 1)
+    sound = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size("embedding") > 0)
     sound &= F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     # -0.0 + 0.0 is 0.0: equal vectors have equal keys.
-    key = F.struct("label", F.transform("embedding", lambda x: x + F.lit(0.0)).alias("v"))
-    used = rows.where(sound).select("vec_id", "label", v.alias("v"), F.unhex(F.sha2(F.to_json(key), 256)).alias("key"))
+    key = F.struct(F.col("label").cast("string").alias("label"), F.transform("embedding", lambda x: x + F.lit(0.0)).alias("v"))
+    used = rows.where(sound).select("vec_id", F.col("label").cast("string").alias("label"), v.alias("v"), F.unhex(F.sha2(F.to_json(key), 256)).alias("key"))
     used = common.materialize(used, "vectors")
     classes = used.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"))
     # A repeated vec_id may represent several classes; ids of classes are then told apart by the key's order.
@@ -270,27 +315,44 @@ def _links_of_width(classes: DataFrame, threshold: float, recall: float) -> Data
 
     def place(batches):
         for pdf in batches:
-            rows = unit_rows(pdf["v"].tolist())
-            yield pdf[["rep", "weight", "label", "v"]].assign(cell=index.homes(rows))
-
-    def walk(batches):
-        for pdf in batches:
-            rows = unit_rows(pdf["v"].tolist())
-            yield pdf[["rep", "label", "v"]].assign(cell=index.walks(rows)).explode("cell").astype({"cell": "int64"})
-
-    home = classes.select("rep", "weight", "label", "v").mapInPandas(place, "rep long, weight long, label int, v array<double>, cell long")
-    walks = classes.select("rep", "label", "v").mapInPandas(walk, "rep long, label int, v array<double>, cell long")
-    # Full cells are dealt to blocks of members and blocks of queries.
-    blocks = home.groupBy("label", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    home = home.join(blocks, ["label", "cell"]).withColumn("mb", F.pmod(F.xxhash64("rep"), F.col("blocks"))).drop("blocks")
-    walks = walks.join(blocks, ["label", "cell"]).withColumn("qb", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")))
-    home = home.join(blocks, ["label", "cell"]).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    walks = walks.withColumn("mb", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    cols = ["label", "cell", "mb", "qb"]
-    home = home.select(*(F.col(c).cast("long") for c in cols), "rep", "weight", "v")
-    walks = walks.select(*(F.col(c).cast("long") for c in cols), "rep", "v")
-    return walks.groupBy(*cols).cogroup(home.groupBy(*cols)).applyInPandas(_link_block(threshold), LINK_SCHEMA)
+            got = index.walks(unit_rows(pdf["v"].tolist())) if len(pdf) else []
+            home, walk, far = ([g[k] for g in got] for k in range(3))
+            yield pdf[["rep", "weight", "label", "v"]].assign(home=home, walk=walk, far=far)
+
+    placed = classes.select("rep", "weight", "label", "v").mapInPandas(place, "rep long, weight long, label string, v array<double>, home long, walk array<long>, far double")
+    placed = common.materialize(placed, "placed")
+    # Full cells are dealt to blocks of members, and what visits them to blocks of queries.
+    members = placed.groupBy("label", F.col("home").alias("cell")).agg(F.count(F.lit(1)).alias("nm"))
+    visitors = placed.select("label", F.explode("walk").alias("cell")).groupBy("label", "cell").agg(F.count(F.lit(1)).alias("nq"))
+    parts = lambda c, size: F.ceil(F.col(c) / size).cast("int")
+    cells = members.join(visitors, ["label", "cell"]).where("nq > 1 or nm > 1")  # else a vector meets itself alone
+    cells = common.materialize(cells.withColumn("mbs", parts("nm", BLOCK)).withColumn("qbs", parts("nq", QUERY_BLOCK)), "cells")
+    size = cells.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("nm") * F.col("qbs") + F.col("nq") * F.col("mbs")).alias("rows")).first()
+    tasks = max(1, -(-int(size["rows"] or 0) // TASK_ROWS))
+    sent = F.broadcast(cells) if size["n"] <= BROADCAST_CELLS else cells
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    dealt = lambda c, tag: F.pmod(F.xxhash64("rep", F.lit(tag)), F.col(c)).cast("int")
+    cols = ["label", "cell", "mb", "qb", "query", "rep", "weight", "home", "far", "v"]
+    home = placed.withColumn("cell", F.col("home")).join(sent, ["label", "cell"]).withColumn("mb", dealt("mbs", 0)).withColumn("qb", every("qbs"))
+    walks = placed.withColumn("cell", F.explode("walk")).join(sent, ["label", "cell"]).withColumn("qb", dealt("qbs", 1)).withColumn("mb", every("mbs"))
+    both = home.withColumn("query", F.lit(False)).select(*cols).unionByName(walks.withColumn("query", F.lit(True)).select(*cols))
+    task = F.pmod(F.xxhash64("label", "cell", "mb", "qb"), F.lit(tasks))
+    return both.withColumn("task", task).groupBy("task").applyInPandas(_link_blocks(index, threshold), LINK_SCHEMA)
 
 
 def op8_vector_dedup(spark, sf_dir):
     return near_duplicates(common.table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+#: Links by all pairs of equal label, components by following links from every id.
+OP8_SQL = """WITH RECURSIVE sound AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reach AS (SELECT a AS id, b AS other FROM links UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other),
+least AS (SELECT id, least(id, min(other)) AS component_id FROM reach GROUP BY id),
+degree AS (SELECT a AS id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, vec_id = coalesce(component_id, vec_id) AS kept
+FROM embeddings LEFT JOIN degree ON degree.id = vec_id LEFT JOIN least ON least.id = vec_id"""

@@ -5,28 +5,30 @@ trained with follow-the-regularised-leader (elastic-net penalties) on a bounded
 labelled rows, a part of which is kept aside to fit the softmax temperature.  Prediction
 runs over every whole text.
 
-Defined cases: a text that is null or has no letter is `und` with score 0; without any
-labelled row everything is `und`; rows with null lang are predicted and never learned
-from; repeated rows, null ids and other columns do no harm; an empty table gives an empty
-result.
+Every language of the labelled rows is learned.
+
+Defined cases: a text that is null or has no letter (a character that Unicode calls one;
+digits, fractions and numerals are none) is `und` with score 0; without any labelled row
+everything is `und`; rows with null lang are predicted and never learned from; very long
+texts are read whole; of equally likely languages the first by name is taken; repeated
+rows, null ids and other columns do no harm; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 UNKNOWN = "und"
 BITS = 16
-#: Bounds of what is learned from: rows a language, and languages (the most frequent ones).
+#: Bounds of what is learned from: rows a language, and rows in all (where there are many languages).
 ROWS_A_LANGUAGE = 1_500
-LANGUAGES = 256
-_LETTER = re.compile(r"[^\W\d_]")
+ROWS = 60_000
+#: More different labels than that are taken for an error.
+MOST_LABELS = 2_000
 
 
 def ngram_features(text: str):
@@ -66,7 +68,7 @@ class LanguageModel:
     def predict(self, text: str | None) -> tuple[str, float]:
         import numpy as np
 
-        if not text or not _LETTER.search(text) or not self.languages:
+        if not text or not self.languages or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         z = self.logits(text) / self.temperature
         p = np.exp(z - z.max())
@@ -120,13 +122,22 @@ def fit(texts: list[str], langs: list[str], aside: list[bool], epochs: int = 3,
     return model
 
 
-def sample_rows(rows: DataFrame, label: str, most: int, classes: int) -> DataFrame:
-    """About `most` rows for each of the most frequent labels, chosen by a hash of the id."""
-    counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(classes).collect()
+def sample_rows(rows: DataFrame, label: str, most: int, *keys: str) -> DataFrame:
+    """At most `most` rows of each label, those of smallest hash of their keys; equal rows are cut by the same bound.
+
+    Rows over a share of the hash range that holds about twice as many are left before
+    anything is shuffled.
+    """
+    counts = rows.groupBy(label).count().orderBy(label).limit(MOST_LABELS + 1).collect()
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} different labels in {label}")
     share = F.lit(0.0)
     for r in counts:
-        share = F.when(F.col(label) == F.lit(r[label]), most / r["count"]).otherwise(share)
-    return rows.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_003)) < share * 1_000_003)
+        share = F.when(F.col(label).eqNullSafe(F.lit(r[label])), min(1.0, (2 * most + 100) / r["count"])).otherwise(share)
+    hashed = rows.withColumn("_h", F.xxhash64(*keys, F.lit("sample")))
+    near = hashed.where(F.pmod("_h", F.lit(1_000_003)) < share * 1_000_003)
+    first = Window.partitionBy(label).orderBy(F.pmod("_h", F.lit(1_000_003)), "_h", *keys)
+    return near.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).drop("_h", "_n")
 
 
 def train(labelled: DataFrame, rows_a_language: int = ROWS_A_LANGUAGE) -> LanguageModel:
@@ -134,7 +145,9 @@ def train(labelled: DataFrame, rows_a_language: int = ROWS_A_LANGUAGE) -> Langua
     import pickle
 
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
-    chosen = sample_rows(usable, "lang", rows_a_language, LANGUAGES)
+    usable = usable.select("doc_id", "text", "lang")
+    languages = usable.select("lang").distinct().count()
+    chosen = sample_rows(usable, "lang", min(rows_a_language, max(1, ROWS // max(1, languages))), "doc_id", "text")
 
     def learn(pdf):
         import pandas as pd

@@ -1,25 +1,29 @@
 """Toxicity by a linear-chain conditional random field over tokens.
 
-Tokens are labelled from document labels: in a toxic document the tokens whose document
-frequency in toxic samples is far above that in clean ones are toxic, all others are not.
-A two-tag chain (token, token-class and transition weights) is trained on those labels by
-gradient ascent of its likelihood.  Forward-backward marginals give each token's
-probability; a document's score is a calibrated function of the expected number of toxic
-tokens, and runs of toxic tokens give the offending offsets.
-
-Tokens without weights of their own all act alike, so stretches of them bring forward and
-backward messages to a fixed point; only words near a known token are computed.
-
-Defined cases: null and empty texts score as texts without known tokens; without labels of
-both kinds every score is 0; repeated rows, null ids and other columns do no harm; an
-empty table gives an empty result.
+A token's features are its word, the beginnings of the word and its end, so that words
+never seen in training are tagged by their parts.  Tokens are labelled from document
+labels: a feature marks if its document frequency in toxic rows is far above that in clean
+ones, and the tokens of toxic rows that have a marking feature are toxic, all others not.
+The two-tag chain (feature and transition weights) is trained on all tokens of the sampled
+rows by gradient ascent of its likelihood.  Forward-backward runs over every token of every
+text; a document's score is a logistic function of its marginals (expected number and
+highest probability of toxic tokens, number of tokens), calibrated on sampled rows that
+training left aside, and runs of tokens that are rather toxic than not give the offsets.
+
+Many texts are computed as one long chain that starts anew at each text: the chain is cut
+into blocks, whose matrix products carry the messages from block to block, and the blocks
+are gone through side by side.  That is exact, whatever the length of a text.
+
+Defined cases: null and empty texts have no tokens and score as such (below 0.5, if both
+kinds of labels were seen); without labels of both kinds every score is 0; very long texts
+are read whole; equal texts score alike; rows that repeat an id, null ids and other columns
+do no harm; labels that contradict each other for one id count as toxic; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
-import math
 import re
-import sys
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,194 +31,277 @@ from pyspark.sql import functions as F
 
 from . import common
 from .language import sample_rows
+from .tokenize import _distinct, _slices
 
 _TOKEN = re.compile(r"\w+")
 #: Bound of labelled rows a class that the model is fitted on.
 ROWS_A_CLASS = 4_000
-#: Steps after which messages through unknown tokens have reached their fixed point.
-FAR = 24
+#: Lengths of the beginnings and of the end of a word that are features.
+BEGINNINGS, END = (3, 4, 5, 6, 7), 3
+BLOCK = 256
 
 
 def tokens(text: str | None) -> list[str]:
-    return _TOKEN.findall((text or "").lower())
+    return [w.lower() for w in _TOKEN.findall(text or "")]
+
+
+def word_features(word: str) -> list[str]:
+    """`=word`, `^beginning` for each shorter one, `$end`."""
+    return ["=" + word, *("^" + word[:k] for k in BEGINNINGS if k < len(word)), *(["$" + word[-END:]] if len(word) > END else [])]
+
+
+def chain_marginals(odds, starts, trans, moves: bool = False):
+    """Probability of tag 1 of each token of a chain that starts anew where `starts` is true; expected transitions on request.
+
+    odds: emission log-odds of tag 1; trans[a][b]: log weight from tag a to tag b.
+    """
+    import numpy as np
+
+    n = len(odds)
+    if not n:
+        return np.empty(0), np.zeros((2, 2))
+    width = -(-n // BLOCK)
+    pad = BLOCK * width - n
+
+    def blocks(x, fill):  # block k is column k
+        return np.ascontiguousarray(np.concatenate([x, np.full(pad, fill, x.dtype)]).reshape(width, BLOCK).T)
+
+    t = np.exp(trans)
+    first = blocks(starts, True)
+    e = np.exp(np.clip(blocks(odds, 0.0), -60, 60))
+    a = [[np.where(first, 1.0, t[r][0]), np.where(first, e, t[r][1] * e)] for r in (0, 1)]
+    p00, p01, p10, p11 = np.ones(width), np.zeros(width), np.zeros(width), np.ones(width)
+    for j in range(BLOCK):
+        a00, a01, a10, a11 = a[0][0][j], a[0][1][j], a[1][0][j], a[1][1][j]
+        p00, p01, p10, p11 = p00 * a00 + p01 * a10, p00 * a01 + p01 * a11, p10 * a00 + p11 * a10, p10 * a01 + p11 * a11
+        z = p00 + p01 + p10 + p11
+        p00, p01, p10, p11 = p00 / z, p01 / z, p10 / z, p11 / z
+    products = list(zip(p00.tolist(), p01.tolist(), p10.tolist(), p11.tolist()))
+    f, b = np.empty((2, width)), np.empty((2, width))
+    x0 = x1 = 0.5
+    for k, (q00, q01, q10, q11) in enumerate(products):  # messages into each block from the left
+        f[0, k], f[1, k] = x0, x1
+        x0, x1 = x0 * q00 + x1 * q10, x0 * q01 + x1 * q11
+        z = x0 + x1
+        x0, x1 = x0 / z, x1 / z
+    x0 = x1 = 0.5
+    for k in range(width - 1, -1, -1):  # and from the right
+        b[0, k], b[1, k] = x0, x1
+        q00, q01, q10, q11 = products[k]
+        x0, x1 = q00 * x0 + q01 * x1, q10 * x0 + q11 * x1
+        z = x0 + x1
+        x0, x1 = x0 / z, x1 / z
+    left = np.empty((BLOCK + 1, 2, width))
+    left[0] = f
+    for j in range(BLOCK):
+        g0, g1 = left[j]
+        h0, h1 = g0 * a[0][0][j] + g1 * a[1][0][j], g0 * a[0][1][j] + g1 * a[1][1][j]
+        z = h0 + h1
+        left[j + 1, 0], left[j + 1, 1] = h0 / z, h1 / z
+    p = np.empty((BLOCK, width))
+    sums = np.zeros((2, 2))
+    inner = ~first
+    b0, b1 = b
+    for j in range(BLOCK - 1, -1, -1):
+        y1 = left[j + 1, 1] * b1
+        p[j] = y1 / (left[j + 1, 0] * b0 + y1)
+        c = [[a[0][0][j] * b0, a[0][1][j] * b1], [a[1][0][j] * b0, a[1][1][j] * b1]]
+        if moves:
+            m = [[left[j, r] * c[r][s] for s in (0, 1)] for r in (0, 1)]
+            z = m[0][0] + m[0][1] + m[1][0] + m[1][1]
+            for r in (0, 1):
+                for s in (0, 1):
+                    sums[r, s] += (m[r][s] / z)[inner[j]].sum()
+        b0, b1 = c[0][0] + c[0][1], c[1][0] + c[1][1]
+        z = b0 + b1
+        b0, b1 = b0 / z, b1 / z
+    return p.T.ravel()[:n], sums
 
 
 class Chain:
-    """weights: token -> log-odds of the toxic tag; bias: of any token; trans[a][b]: from tag a to tag b."""
+    """weights: feature -> log-odds of the toxic tag; bias: of any token; trans[a][b]: from tag a to tag b; scale: of the score."""
 
-    def __init__(self, weights: dict[str, float], bias: float, trans, scale=(1.0, 0.0)):
+    def __init__(self, weights: dict[str, float], bias: float, trans, scale=(0.0, 1.0, 0.0, 0.0)):
         self.weights, self.bias, self.trans, self.scale = weights, bias, trans, scale
 
-    def marginals(self, words: list[str]) -> list[tuple[int, float]]:
-        """(index, probability of the toxic tag) of each token near known ones; the others' are negligible alike."""
-        weights = self.weights
-        known = [i for i, w in enumerate(words) if w in weights]
-        out: list[tuple[int, float]] = []
-        at = 0
-        while at < len(known):
-            end = at
-            while end + 1 < len(known) and known[end + 1] - known[end] <= 2 * FAR:
-                end += 1
-            lo, hi = max(0, known[at] - FAR), min(len(words), known[end] + FAR + 1)
-            odds = [weights.get(w, 0.0) + self.bias for w in words[lo:hi]]
-            out.extend((lo + i, p) for i, p in enumerate(forward_backward(odds, self.trans)[0]))
-            at = end + 1
-        return out
-
-    def expected(self, words: list[str]) -> float:
-        return sum(p for _, p in self.marginals(words))
+    def odds(self, word: str) -> float:
+        get = self.weights.get
+        return self.bias + sum([get(f, 0.0) for f in word_features(word.lower())])
+
+    def marginals(self, lists: list[list[str]]):
+        """Probabilities of the toxic tag of all tokens of the texts, one after the other, and where each text ends."""
+        import numpy as np
+
+        ends = np.cumsum([len(w) for w in lists])
+        words, at = _distinct(lists)
+        odds = np.array([self.odds(w) for w in words.to_numpy(zero_copy_only=False)], np.float64)[at]
+        starts = np.zeros(len(odds) + 1, bool)
+        starts[ends - [len(w) for w in lists]] = True
+        return chain_marginals(odds, starts[:-1], self.trans)[0], ends
+
+    def scores(self, p, ends):
+        import numpy as np
+
+        return 1 / (1 + np.exp(-np.clip(document_features(p, ends) @ np.asarray(self.scale), -500, 500)))
 
     def score(self, words: list[str]) -> float:
-        a, b = self.scale
-        x = a * math.log(self.expected(words) + 1e-3) + b
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))
+        return float(self.scores(*self.marginals([words]))[0])
+
+    def read(self, texts: list[str | None], least: float = 0.5):
+        """(score, spans) of each text; a span is (start, end, probability) in characters of a run of toxic tokens."""
+        import numpy as np
+
+        for part in _slices([t or "" for t in texts]):
+            p, ends = self.marginals([_TOKEN.findall(t) for t in part])
+            scores = self.scores(p, ends)
+            start = 0
+            for text, score, end in zip(part, scores.tolist(), ends.tolist(), strict=True):
+                hits = np.flatnonzero(p[start:end] >= least)
+                yield score, runs(text, hits.tolist(), p[start:end]) if len(hits) else []
+                start = end
 
     def spans(self, text: str, least: float = 0.5) -> list[tuple[int, int, float]]:
-        """(start, end, probability) in characters of runs of tokens that are rather toxic than not."""
-        found = dict(self.marginals(tokens(text)))
-        # Lower-casing may change a text's length; offsets are of the text as given.
-        places = [m.span() for m in _TOKEN.finditer(text)]
-        out: list[list] = []
-        for i in sorted(i for i, p in found.items() if p >= least and i < len(places)):
-            if out and out[-1][3] == i - 1:
-                out[-1][1:] = places[i][1], max(out[-1][2], found[i]), i
-            else:
-                out.append([*places[i], found[i], i])
-        return [tuple(s[:3]) for s in out]
-
-
-def forward_backward(odds: list[float], trans) -> tuple[list[float], list[list[float]], float]:
-    """Marginals of tag 1, expected transitions and log partition of a chain with emission log-odds of tag 1."""
-    t = [[math.exp(v) for v in row] for row in trans]
-    n = len(odds)
-    e = [math.exp(o) for o in odds]
-    f, log_z = [], 0.0
-    a0, a1 = 1.0, e[0]
-    for i in range(n):
-        if i:
-            a0, a1 = a0 * t[0][0] + a1 * t[1][0], (a0 * t[0][1] + a1 * t[1][1]) * e[i]
-        s = a0 + a1
-        a0, a1 = a0 / s, a1 / s
-        log_z += math.log(s)
-        f.append((a0, a1))
-    p, moves = [0.0] * n, [[0.0, 0.0], [0.0, 0.0]]
-    b0 = b1 = 1.0
-    for i in range(n - 1, -1, -1):
-        x0, x1 = f[i][0] * b0, f[i][1] * b1
-        p[i] = x1 / (x0 + x1)
-        if i:
-            g0, g1 = f[i - 1]
-            m = [[g0 * t[0][0] * b0, g0 * t[0][1] * e[i] * b1], [g1 * t[1][0] * b0, g1 * t[1][1] * e[i] * b1]]
-            s = m[0][0] + m[0][1] + m[1][0] + m[1][1]
-            for r in (0, 1):
-                for c in (0, 1):
-                    moves[r][c] += m[r][c] / s
-            b0, b1 = t[0][0] * b0 + t[0][1] * e[i] * b1, t[1][0] * b0 + t[1][1] * e[i] * b1
-            s = b0 + b1
-            b0, b1 = b0 / s, b1 / s
-    return p, moves, log_z
-
-
-def label_tokens(docs: list[list[str]], toxic: list[bool], least: int = 3, odds: float = 2.5) -> dict[str, float]:
-    """Tokens that mark toxic documents, with their smoothed log-odds of document frequency."""
-    seen = ({}, {})
-    for words, t in zip(docs, toxic, strict=True):
-        for w in set(words):
-            seen[t][w] = seen[t].get(w, 0) + 1
-    n = [max(1, sum(1 for t in toxic if not t)), max(1, sum(map(bool, toxic)))]
-    out = {}
-    for w, k in seen[1].items():
-        other = seen[0].get(w, 0)
-        value = math.log((k + 0.5) / (n[1] + 1)) - math.log((other + 0.5) / (n[0] + 1))
-        # Far above chance as well: the frequency in toxic documents by three deviations over that in clean ones.
-        rate = (other + 1) / (n[0] + 2)
-        if k >= least and value >= odds and k >= n[1] * rate + 3 * math.sqrt(n[1] * rate) + 2:
-            out[w] = value
-    return out
-
-
-def fit(texts: list[str], toxic: list[bool], steps: int = 60, rate: float = 0.5, decay: float = 1e-3) -> Chain | None:
-    """A chain trained on token labels derived from document labels, calibrated on the documents."""
-    if not any(toxic) or all(toxic):
+        return next(self.read([text], least))[1]
+
+
+def runs(text: str, hits: list[int], p) -> list[tuple[int, int, float]]:
+    places = [m.span() for m in _TOKEN.finditer(text)]
+    out: list[list] = []
+    for i in hits:
+        if out and out[-1][3] == i - 1:
+            out[-1][1:] = places[i][1], max(out[-1][2], float(p[i])), i
+        else:
+            out.append([*places[i], float(p[i]), i])
+    return [tuple(s[:3]) for s in out]
+
+
+def document_features(p, ends):
+    """One, the log of the expected number of toxic tokens, the log-odds of the likeliest, the log of the number of tokens; a row a text."""
+    import numpy as np
+
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else np.empty(0, np.int64)
+    n = ends - starts
+    total = np.concatenate([[0.0], np.cumsum(p)])
+    expected = np.maximum(total[ends] - total[starts], 0.0)
+    top = np.zeros(len(ends))
+    some = n > 0
+    if some.any():
+        top[some] = np.maximum.reduceat(p, starts[some])
+    top = np.clip(top, 1e-6, 1 - 1e-6)
+    return np.column_stack([np.ones(len(ends)), np.log(expected + 1e-3), np.log(top / (1 - top)), np.log1p(n)])
+
+
+def marking_features(rows, feature_of, toxic, least: int = 3, odds: float = 2.5):
+    """Boolean per feature: whether toxic documents hold it far more often than clean ones.  rows: (document, feature) pairs, distinct."""
+    import numpy as np
+
+    n = [max(1, int((~toxic).sum())), max(1, int(toxic.sum()))]
+    bad = np.bincount(feature_of[toxic[rows]], minlength=feature_of.max() + 1)
+    other = np.bincount(feature_of, minlength=len(bad)) - bad
+    value = np.log((bad + 0.5) / (n[1] + 1)) - np.log((other + 0.5) / (n[0] + 1))
+    # Far above chance as well: the frequency in toxic documents by three deviations over that in clean ones.
+    rate = (other + 1) / (n[0] + 2)
+    return (bad >= least) & (value >= odds) & (bad >= n[1] * rate + 3 * np.sqrt(n[1] * rate) + 2)
+
+
+def fit(texts: list[str], toxic: list[bool], aside: list[bool] | None = None, steps: int = 40, rate: float = 0.5, decay: float = 1e-3) -> Chain | None:
+    """A chain trained on token labels derived from document labels, calibrated on the rows set aside (or all)."""
+    import numpy as np
+
+    toxic = np.array(toxic, bool)
+    if not toxic.any() or toxic.all():
         return None
-    docs = [list(map(sys.intern, tokens(t))) for t in texts]  # equal tokens are held once
-    marks = label_tokens(docs, toxic)
-    # Tokens of both kinds around marked ones: stretches of toxic documents, and as long ones of clean ones.
-    # Unmarked tokens act alike, so equal stretches are held once with their number.
-    stretches: dict[tuple, int] = {}
-    for words, t in zip(docs, toxic, strict=True):
-        hits = [i for i, w in enumerate(words) if w in marks]
-        end = 0
-        for i in hits or ([len(words) // 2] if words else []):
-            if i < end:  # the stretch before holds this place
-                continue
-            end = i + 7
-            part = tuple(w if w in marks else None for w in words[max(0, i - 6) : end])
-            key = (part, tuple(1 if t and w is not None else 0 for w in part))
-            stretches[key] = stretches.get(key, 0) + 1
-    weights = dict.fromkeys(marks, 0.0)
-    bias, trans = -2.0, [[0.0, 0.0], [0.0, 0.0]]
-    step = {w: 1e-6 for w in weights}
-    total = max(1, sum(stretches.values()))
+    lists = [tokens(t) for t in texts]
+    words, at = _distinct(lists)
+    words = words.to_pylist()
+    ends = np.cumsum([len(w) for w in lists])
+    doc = np.repeat(np.arange(len(lists)), [len(w) for w in lists])
+    aside = np.zeros(len(texts), bool) if aside is None else np.array(aside, bool)
+    if not (toxic[~aside].any() and toxic[aside].any() and (~toxic[aside]).any()):
+        aside = np.zeros(len(texts), bool)
+    # Features of each distinct word, as rows of numbers one after the other.
+    number: dict[str, int] = {}
+    per_word = [[number.setdefault(f, len(number)) for f in word_features(w)] for w in words]
+    size = np.array([len(x) for x in per_word], np.int64)
+    flat = np.array([f for x in per_word for f in x], np.int64)
+    holder = np.repeat(np.arange(len(words)), size)
+    if not len(at):
+        return Chain({}, 0.0, np.zeros((2, 2)), (float(np.log(toxic.mean() / (1 - toxic.mean()))), 0.0, 0.0, 0.0))
+
+    def by_word(x):  # sums over the features of each word
+        return np.bincount(holder, x[flat], len(words))
+
+    learnt = ~aside[doc]
+    pair = np.unique(doc[learnt] * np.int64(len(words)) + at[learnt])
+    pair_doc, pair_word = pair // len(words), pair % len(words)
+    start = np.cumsum(size) - size
+    wide = size[pair_word]
+    place = np.arange(wide.sum()) + np.repeat(start[pair_word] - (np.cumsum(wide) - wide), wide)
+    both = np.unique(np.repeat(pair_doc, wide) * np.int64(len(number)) + flat[place])
+    rows, feature_of = both // len(number), both % len(number)
+    marks = np.zeros(len(number), bool)
+    found = marking_features(rows, feature_of, np.where(aside, False, toxic))
+    marks[: len(found)] = found
+    # Features of fewer than three rows are left out: they say nothing on other texts.
+    used = np.bincount(feature_of, minlength=len(number)) >= 3
+    flat = np.where(used[flat], flat, len(number))
+    tag = (by_word(np.append(marks & used, False).astype(float)) > 0)[at] & toxic[doc]
+    keep = learnt
+    y, token = tag[keep].astype(float), at[keep]
+    starts = np.zeros(len(at), bool)
+    lengths = np.array([len(w) for w in lists])
+    starts[(ends - lengths)[lengths > 0]] = True
+    starts = starts[keep]
+    seen = np.zeros((2, 2))
+    before, after = y[:-1][~starts[1:]].astype(int), y[1:][~starts[1:]].astype(int)
+    np.add.at(seen, (before, after), 1)
+    weights, bias, trans = np.zeros(len(number) + 1), -2.0, np.zeros((2, 2))
+    g2, total = np.full(len(number) + 1, 1e-6), max(1, len(y))
     for _ in range(steps):
-        gw, gb, gt = dict.fromkeys(weights, 0.0), 0.0, [[0.0, 0.0], [0.0, 0.0]]
-        for (words, tags), times in stretches.items():
-            p, moves, _ = forward_backward([weights.get(w, 0.0) + bias for w in words], trans)
-            for i, (w, tag) in enumerate(zip(words, tags, strict=True)):
-                d = times * (tag - p[i])
-                gb += d
-                if w in gw:
-                    gw[w] += d
-                if i:
-                    gt[tags[i - 1]][tag] += times
-            for r in (0, 1):
-                for c in (0, 1):
-                    gt[r][c] -= times * moves[r][c]
-        for w, g in gw.items():  # adaptive steps: rare tokens move as far as frequent ones
-            g -= decay * weights[w]
-            step[w] += g * g
-            weights[w] += 2 * rate * g / math.sqrt(step[w])
-        bias += rate * gb / total
-        for r in (0, 1):
-            for c in (0, 1):
-                trans[r][c] += rate * gt[r][c] / total
-    chain = Chain(weights, bias, trans)
-    x = [math.log(chain.expected(d) + 1e-3) for d in docs]
-    y = [1.0 if t else 0.0 for t in toxic]
-    a, b = 1.0, 0.0
-    for _ in range(30):  # Newton steps of a ridge-penalised logistic fit
-        h11 = h12 = h22 = 1e-2
-        g1, g2 = -1e-2 * a, -1e-2 * b
-        h12 = 0.0
-        for xi, yi in zip(x, y, strict=True):
-            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, a * xi + b))))
-            q = p * (1 - p)
-            g1 += (yi - p) * xi
-            g2 += yi - p
-            h11 += q * xi * xi
-            h12 += q * xi
-            h22 += q
-        det = h11 * h22 - h12 * h12
-        da, db = (h22 * g1 - h12 * g2) / det, (h11 * g2 - h12 * g1) / det
-        size = max(1.0, abs(da), abs(db))
-        a, b = a + da / size, b + db / size
-    chain.scale = (a, b)
+        odds = by_word(weights)[token] + bias
+        p, moves = chain_marginals(odds, starts, trans, moves=True)
+        d = y - p
+        g = np.bincount(flat, np.bincount(token, d, len(words))[holder], len(number) + 1) - decay * weights
+        g[-1] = 0.0
+        g2 += g * g  # adaptive steps: rare features move as far as frequent ones
+        weights += rate * g / np.sqrt(g2)
+        bias += 8 * rate * d.sum() / total
+        trans = trans + 8 * rate * (seen - moves) / total
+    names = sorted(number, key=number.get)
+    chain = Chain({names[i]: round(float(weights[i]), 6) for i in np.flatnonzero(np.abs(weights[:-1]) > 1e-3)}, float(bias), trans)
+    # Calibration: Newton steps of a ridge-penalised logistic fit.
+    odds = by_word(weights)[at] + bias
+    starts = np.zeros(len(at), bool)
+    starts[(ends - lengths)[lengths > 0]] = True
+    x = document_features(chain_marginals(odds, starts, trans)[0], ends)
+    if aside.any():
+        x, t = x[aside], toxic[aside].astype(float)
+    else:
+        t = toxic.astype(float)
+    scale = np.zeros(x.shape[1])
+    for _ in range(30):
+        q = 1 / (1 + np.exp(-np.clip(x @ scale, -30, 30)))
+        h = (x * (q * (1 - q))[:, None]).T @ x + np.eye(len(scale)) * 1e-1
+        step = np.linalg.solve(h, x.T @ (t - q) - 1e-1 * scale)
+        scale += step / max(1.0, float(np.abs(step).max()))
+    chain.scale = tuple(scale.tolist())
     return chain
 
 
 def train(docs: DataFrame, labels: DataFrame, rows_a_class: int = ROWS_A_CLASS) -> Chain | None:
     """Fit on a bounded sample of the labelled rows, in one task; docs (doc_id, text), labels (doc_id, toxic)."""
     import pickle
+    import zlib
 
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = sample_rows(known, "toxic", rows_a_class, 2)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most about 2 * rows_a_class rows
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
+    chosen = sample_rows(known, "toxic", rows_a_class, "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 2 * rows_a_class ids
+    rows = sample_rows(rows, "toxic", rows_a_class, "doc_id", "text")  # rows that repeat an id are bounded too
 
     def learn(pdf):
-        import pandas as pd
-
         pdf = pdf.sort_values(["doc_id", "text"])
-        chain = fit(pdf["text"].fillna("").tolist(), [bool(t) for t in pdf["toxic"]])
+        aside = [zlib.crc32(f"aside {i}".encode()) % 4 == 0 for i in pdf["doc_id"].tolist()]
+        chain = fit(pdf["text"].fillna("").tolist(), [bool(t) for t in pdf["toxic"]], aside)
         return pd.DataFrame({"model": [pickle.dumps(chain and (chain.weights, chain.bias, chain.trans, chain.scale))]})
 
     got = rows.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(learn, "model binary").collect()
@@ -229,12 +316,9 @@ def score_toxicity(docs: DataFrame, chain: Chain | None) -> DataFrame:
         common.serve("toxicity")
         for pdf in batches:
             texts = pdf["text"].tolist()
-            if chain is None:
-                yield pdf[["doc_id"]].assign(score=0.0, spans=[[] for _ in texts])
-                continue
-            scores = [chain.score(tokens(t)) for t in texts]
-            spans = [[{"start": a, "end": b, "p": p} for a, b, p in chain.spans(t)] if t and s >= 0.05 else [] for t, s in zip(texts, scores, strict=True)]
-            yield pdf[["doc_id"]].assign(score=scores, spans=spans)
+            got = list(chain.read(texts)) if chain else [(0.0, [])] * len(texts)
+            spans = [[{"start": a, "end": b, "p": p} for a, b, p in found] for _, found in got]
+            yield pdf[["doc_id"]].assign(score=[s for s, _ in got], spans=spans)
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double, spans array<struct<start: long, end: long, p: double>>")
 
@@ -257,6 +341,6 @@ def scorer(chain: Chain | None):
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         common.serve("toxicity")
-        return pd.Series([chain.score(tokens(t)) if chain else 0.0 for t in texts], dtype="float64")
+        return pd.Series([s for s, _ in chain.read(texts.tolist())] if chain else 0.0, index=texts.index, dtype="float64")
 
     return score

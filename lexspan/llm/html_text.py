@@ -5,15 +5,17 @@ A page becomes a tree of its block elements and runs of text.  Each node has a b
 pair of states on each edge.  Sum-product messages, upward then downward, give exact
 marginals; runs of text that are rather content than not make up the text.
 
-Training pages are labelled from unambiguous landmarks (article, main; nav, header, footer,
-aside, forms, advert classes), and boilerplate of other kinds (comments, sidebars, notices,
-adverts, forms) built from the pages' own text is set into them, so that it is known inside
+Training pages are labelled by landmark elements (article, main; nav, header, footer,
+aside, form) and by construction: boilerplate of other kinds (comments, sidebars, notices,
+adverts, forms), built from other pages' text, is set into them, so that it is known inside
 articles too.  Potentials are trained by conditional likelihood of each node given its
 parent on a bounded sample of pages.
 
 Defined cases: null or empty html: an empty text; text outside any landmark counts as its
-neighbourhood does; repeated rows, null ids and other columns do no harm; an empty table
-gives an empty result.
+neighbourhood does; a block just as likely content as not is content; unclosed tags,
+quotes and comments are read in one pass (see markup), very long pages whole; equal pages
+give equal texts; null ids, null urls and other columns do no harm; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +33,10 @@ from . import common
 #: Bound of pages that the model is trained on.
 TRAIN_PAGES = 600
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<(?:[!?/]?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+# What follows `<`: the name of a tag, and its attributes up to `>`; quotes count only after `=`.
+# Nothing in it can be matched in two ways, so no place is read twice.
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*+)")
+_ATTRIBUTES = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]*+))*+>")
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-label)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[a-z]+")
@@ -40,6 +45,7 @@ _WORDS = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style template head title iframe select textarea button".split())
 RAW = frozenset("script style textarea title iframe".split())
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter output q ruby s samp small span strike strong sub sup time tt u var wbr".split())
 # Formulas and labels of drawings read on within their line.
 INLINE |= frozenset("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics annotation annotation-xml text tspan textpath".split())
@@ -74,12 +80,59 @@ class Node:
             parent.kids.append(self)
 
 
+def markup(page: str):
+    """(text before, tag in lower case or None, closing, attributes) of each tag, and the text after the last one.
+
+    One pass: comments and declarations are left out, contents of raw elements too.  A page
+    with a quote that never ends is read from there on as if quotes had no meaning; `<`
+    without a `>` after it is text.
+    """
+    at = start = 0
+    quotes, last = True, page.rfind(">")
+    while True:
+        at = page.find("<", at)
+        if at < 0 or at > last:
+            break
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield page[start:at], None, False, ""
+            at = start = end
+            continue
+        if page.startswith(("<!", "<?"), at):
+            end = page.find(">", at) + 1
+            yield page[start:at], None, False, ""
+            at = start = end
+            continue
+        name = _NAME.match(page, at + 1)
+        if name is None:
+            at += 1
+            continue
+        rest = _ATTRIBUTES.match(page, name.end()) if quotes else None
+        if rest is None:
+            quotes = False
+            end = page.find(">", name.end()) + 1
+            if not end:
+                break
+        else:
+            end = rest.end()
+        tag, closing = name[1].lower(), page[at + 1] == "/"
+        raw = tag in RAW
+        yield page[start:at], None if raw else tag, closing, page[name.end() : end - 1]
+        at = start = end
+        if raw and not closing:
+            found = _RAW_END[tag].search(page, at)
+            end = page.find(">", found.end()) + 1 if found else 0
+            at = start = end or len(page)
+    yield page[start:], None, False, ""
+
+
 def parse(page: str | None) -> Node:
     """The tree of block elements; text runs are leaves with tag `text`, white space collapsed."""
     root = node = Node("html")
     buffer: list[str] = []
     links = in_link = 0
-    page, at = page or "", 0
+    open_: dict[str, int] = {"html": 1}  # elements on the way from the root to here
 
     def flush():
         nonlocal links
@@ -90,26 +143,17 @@ def parse(page: str | None) -> Node:
         buffer.clear()
         links = 0
 
-    def add(piece):
-        nonlocal links
-        buffer.append(piece)
-        if in_link:
-            links += len(piece)
-
-    while True:
-        m = _TAG.search(page, at)
-        if not m:
-            add(page[at:])
-            break
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        if not m[1]:
-            continue
-        tag, closing = m[1].lower(), page[m.start() + 1] == "/"
-        if tag in RAW and not closing:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+    def leave():
+        nonlocal node
+        open_[node.tag] -= 1
+        node = node.parent
+
+    for before, tag, closing, attrs in markup(page or ""):
+        if before:
+            buffer.append(before)
+            if in_link:
+                links += len(before)
+        if tag is None:
             continue
         if tag in INLINE:
             if tag in ("br", "text"):
@@ -119,25 +163,28 @@ def parse(page: str | None) -> Node:
             continue
         flush()
         if closing:
-            up = node
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                node, in_link = up.parent, 0
+            if open_.get(tag) and tag != "html":
+                while node.tag != tag:
+                    leave()
+                leave()
+                in_link = 0
             continue
-        if tag in VOID:
+        if tag in VOID or tag == "html":
             continue
-        if tag in CLOSES_P and node.tag in PLAIN and node.tag in ("p", *(() if tag not in PLAIN else PLAIN)):
-            node = node.parent
-        if tag in ITEMS:
+        if tag in CLOSES_P and node.tag == "p":
+            leave()
+        elif tag in PLAIN and node.tag in PLAIN:
+            leave()
+        if tag in ITEMS and any(open_.get(t) for t in ITEMS[tag].split()):
             same, up = ITEMS[tag].split(), node
-            while up is not None and up.tag not in same and up.tag not in ("ul", "ol", "dl", "table"):
+            while up.tag not in same and up.tag not in ("ul", "ol", "dl", "table") and up.parent is not None:
                 up = up.parent
-            if up is not None and up.tag in same:
-                node = up.parent
-        if tag in ("html", "body") and node.parent is None and tag == "html":
-            continue
-        node = Node(tag, m[2] or "", node)
+            if up.tag in same:
+                while node is not up:
+                    leave()
+                leave()
+        node = Node(tag, attrs, node)
+        open_[tag] = open_.get(tag, 0) + 1
     flush()
     return root
 
@@ -231,18 +278,31 @@ def _log_add(a: float, b: float) -> float:
 
 
 def label(nodes: list[Node]) -> None:
-    """Labels by landmarks: the nearest one above a node decides; containers are content if they hold any."""
+    """Labels of training pages: the nearest landmark above a node decides, or a block that was set in (BUILT).
+
+    Words of class and id attributes decide nothing: a block that carries such a word
+    inside a landmark has no label, as nobody knows.  Containers without a landmark are
+    content if they hold any.
+    """
     for x in nodes:
-        mark = hints(x) - {"main"}
-        if x.tag in ("nav", "header", "footer", "aside", "form") or mark:
+        above = x.parent.label if x.parent is not None else None
+        if x.tag in ("nav", "header", "footer", "aside", "form") or BUILT in x.attrs:
             x.label = 0
-        elif (x.tag in ("article", "main") or "main" in hints(x)) and (x.parent is None or x.parent.label != 0):
+        elif above == 0:
+            x.label = 0
+        elif x.tag in ("article", "main"):
             x.label = 1
+        elif above == 1 and hints(x) - {"main"}:
+            x.label = None
         else:
-            x.label = x.parent.label if x.parent is not None else None
+            x.label = above
     for x in reversed(nodes):
-        if x.label is None and x.kids:
-            x.label = int(any(k.label == 1 for k in x.kids))
+        if x.label is None and x.tag != "text" and not hints(x) and any(k.label == 1 for k in x.kids):
+            x.label = 1
+
+
+#: Attribute of blocks set into training pages; no feature sees it.
+BUILT = "data-set-in"
 
 
 def with_boilerplate(page: str, text: str, rng: random.Random) -> str:
@@ -253,21 +313,27 @@ def with_boilerplate(page: str, text: str, rng: random.Random) -> str:
         start = rng.randrange(len(words))
         return entities.escape(" ".join(words[start : start + n]), quote=False)
 
+    def mark(hint):
+        return f'{rng.choice(("class", "id"))}="{rng.choice(HINTS[hint].split())}" {BUILT}'
+
     kinds = [
-        lambda: f'<div class="{rng.choice(HINTS["comment"].split())}"><p>{some(20)}</p><p>{some(30)}</p></div>',
-        lambda: f'<section id="{rng.choice(HINTS["comment"].split())}"><h3>{some(3)}</h3><div><p>{some(40)}</p></div></section>',
-        lambda: f'<aside class="{rng.choice(HINTS["side"].split())}"><h3>{some(3)}</h3><ul><li><a href="/x">{some(4)}</a></li><li>{some(6)}</li></ul></aside>',
-        lambda: f'<div class="{rng.choice(HINTS["side"].split())}"><p>{some(30)}</p></div>',
-        lambda: f'<div class="{rng.choice(HINTS["notice"].split())}">{some(15)}</div>',
-        lambda: f'<div class="{rng.choice(HINTS["ad"].split())}"><p>{some(12)}</p></div>',
-        lambda: f'<form class="{rng.choice(HINTS["form"].split())}"><p>{some(5)}</p></form>',
-        lambda: f'<div class="{rng.choice(HINTS["menu"].split())}"><ul><li><a href="/y">{some(2)}</a></li></ul></div>',
+        lambda: f"<div {mark('comment')}><p>{some(20)}</p><p>{some(30)}</p></div>",
+        lambda: f"<section {mark('comment')}><h3>{some(3)}</h3><div><p>{some(40)}</p></div></section>",
+        lambda: f'<aside {mark("side")}><h3>{some(3)}</h3><ul><li><a href="/x">{some(4)}</a></li><li>{some(6)}</li></ul></aside>',
+        lambda: f"<div {mark('side')}><p>{some(30)}</p></div>",
+        lambda: f"<div {mark('notice')}>{some(15)}</div>",
+        lambda: f"<div {mark('ad')}><p>{some(12)}</p></div>",
+        lambda: f"<form {mark('form')}><p>{some(5)}</p></form>",
+        lambda: f'<div {mark("menu")}><ul><li><a href="/y">{some(2)}</a></li></ul></div>',
         lambda: f"<header><p>{some(6)}</p></header>",
-        lambda: f'<div class="{rng.choice(HINTS["foot"].split())}"><p>{some(9)}</p></div>',
+        lambda: f"<div {mark('foot')}><p>{some(9)}</p></div>",
     ]
-    main = rng.choice(["article", "div class=content", "main", "section class=post"])
-    page = page.replace("<article>", f"<{main}>").replace("</article>", f"</{main.split()[0]}>")
-    places = [m.start() for m in re.finditer(r"<p>|</(?:article|main|section)>|<(?:article|main)>|<footer", page)]
+    # The article itself, told as such by a class or by nothing but its place.
+    names = {"<article>": rng.choice(("<article>", "<main>", "<article class=content>", "<article class=post>"))}
+    names["</article>"] = "</main>" if names["<article>"] == "<main>" else "</article>"
+    for old, new in names.items():
+        page = page.replace(old, new)
+    places = [m.start() for m in re.finditer(r"<p>|</(?:article|main)>|<(?:article|main)[ >]|<footer", page)]
     for place in sorted((rng.choice(places) for _ in range(rng.randrange(4))), reverse=True) if places else ():
         page = page[:place] + rng.choice(kinds)() + page[place:]
     return page
@@ -278,7 +344,7 @@ def fit(pages: list[str], epochs: int = 12, rate: float = 0.3, decay: float = 1e
     rng = random.Random(0)
     rows = []
     for k, page in enumerate(pages):
-        other = "".join(x.text + " " for x in order(parse(pages[k - 1])) if x.tag == "text")[:4000]
+        other = "".join(x.text + " " for x in order(parse(pages[k - 1])) if x.tag == "text")
         nodes = order(parse(with_boilerplate(page, other, rng)))
         label(nodes)
         rows.extend((x.label, features(x), x.parent.label, kind(x)) for x in nodes if x.label is not None and x.parent is not None and x.parent.label is not None)
@@ -302,11 +368,13 @@ def fit(pages: list[str], epochs: int = 12, rate: float = 0.3, decay: float = 1e
 
 
 def train(pages: DataFrame, most: int = TRAIN_PAGES) -> TreeModel:
-    """Fit on about `most` pages chosen by a hash of the id, in one task; pages (page_id, html)."""
+    """Fit on at most `most` pages chosen by a hash of id and html, in one task; pages (page_id, html)."""
     import pickle
 
     n = pages.count()
-    chosen = pages.where(F.pmod(F.xxhash64("page_id", F.lit("sample")), F.lit(1_000_003)) < int(1_000_003 * min(1.0, most / max(1, n))))
+    hashed = pages.select("page_id", "html", F.xxhash64("page_id", "html", F.lit("sample")).alias("_h"))
+    near = hashed.where(F.pmod("_h", F.lit(1_000_003)) < int(1_000_003 * min(1.0, (2 * most + 100) / max(1, n))))
+    chosen = near.orderBy("_h", "page_id", "html").limit(most)  # rows that repeat an id are bounded too
 
     def learn(pdf):
         import pandas as pd

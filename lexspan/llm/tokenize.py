@@ -40,11 +40,11 @@ def fresh(path: str):
 load = lru_cache(maxsize=4)(fresh)
 
 
-def _slices(texts: list[str]):
-    """Runs of texts of SLICE_CHARS characters or a single longer text."""
+def _slices(texts: list[str], chars: int = SLICE_CHARS):
+    """Runs of texts of so many characters or a single longer text."""
     part, held = [], 0
     for t in texts:
-        if part and held + len(t) > SLICE_CHARS:
+        if part and held + len(t) > chars:
             yield part
             part, held = [], 0
         part.append(t)

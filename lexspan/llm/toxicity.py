@@ -39,6 +39,8 @@ ROWS_A_CLASS = 4_000
 #: Lengths of the beginnings and of the end of a word that are features.
 BEGINNINGS, END = (3, 4, 5, 6, 7), 3
 BLOCK = 256
+#: Tokens, about, that are computed side by side, and characters of texts read at once.
+PART, CHARS = 400_000, 2_000_000
 
 
 def tokens(text: str | None) -> list[str]:
@@ -118,6 +120,24 @@ def chain_marginals(odds, starts, trans, moves: bool = False):
     return p.T.ravel()[:n], sums
 
 
+def text_marginals(odds, starts, trans, moves: bool = False):
+    """chain_marginals of runs of whole texts, so that memory stays small."""
+    import numpy as np
+
+    firsts = np.flatnonzero(starts)
+    cuts, out, sums, at = [0], [], np.zeros((2, 2)), 0
+    while len(odds) - cuts[-1] > PART:
+        at = int(np.searchsorted(firsts, cuts[-1] + PART))
+        if at == len(firsts):
+            break
+        cuts.append(int(firsts[at]))
+    for lo, hi in zip(cuts, [*cuts[1:], len(odds)]):
+        p, m = chain_marginals(odds[lo:hi], starts[lo:hi], trans, moves)
+        out.append(p)
+        sums += m
+    return np.concatenate([np.empty(0), *out]), sums
+
+
 class Chain:
     """weights: feature -> log-odds of the toxic tag; bias: of any token; trans[a][b]: from tag a to tag b; scale: of the score."""
 
@@ -137,7 +157,7 @@ class Chain:
         odds = np.array([self.odds(w) for w in words.to_numpy(zero_copy_only=False)], np.float64)[at]
         starts = np.zeros(len(odds) + 1, bool)
         starts[ends - [len(w) for w in lists]] = True
-        return chain_marginals(odds, starts[:-1], self.trans)[0], ends
+        return text_marginals(odds, starts[:-1], self.trans)[0], ends
 
     def scores(self, p, ends):
         import numpy as np
@@ -151,7 +171,7 @@ class Chain:
         """(score, spans) of each text; a span is (start, end, probability) in characters of a run of toxic tokens."""
         import numpy as np
 
-        for part in _slices([t or "" for t in texts]):
+        for part in _slices([t or "" for t in texts], CHARS):
             p, ends = self.marginals([_TOKEN.findall(t) for t in part])
             scores = self.scores(p, ends)
             start = 0
@@ -191,93 +211,104 @@ def document_features(p, ends):
     return np.column_stack([np.ones(len(ends)), np.log(expected + 1e-3), np.log(top / (1 - top)), np.log1p(n)])
 
 
-def marking_features(rows, feature_of, toxic, least: int = 3, odds: float = 2.5):
-    """Boolean per feature: whether toxic documents hold it far more often than clean ones.  rows: (document, feature) pairs, distinct."""
+def row_frequencies(doc, at, toxic, flat, size, n: int):
+    """Rows that hold each of n features, of toxic rows and of all; flat: features of each word, one after the other."""
     import numpy as np
 
-    n = [max(1, int((~toxic).sum())), max(1, int(toxic.sum()))]
-    bad = np.bincount(feature_of[toxic[rows]], minlength=feature_of.max() + 1)
-    other = np.bincount(feature_of, minlength=len(bad)) - bad
-    value = np.log((bad + 0.5) / (n[1] + 1)) - np.log((other + 0.5) / (n[0] + 1))
-    # Far above chance as well: the frequency in toxic documents by three deviations over that in clean ones.
-    rate = (other + 1) / (n[0] + 2)
-    return (bad >= least) & (value >= odds) & (bad >= n[1] * rate + 3 * np.sqrt(n[1] * rate) + 2)
+    start = np.cumsum(size) - size
+    bad, every = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    edges = np.searchsorted(doc, np.arange(0, len(toxic) + 400, 400))
+    for lo, hi in zip(edges, edges[1:]):  # some hundred rows at a time
+        if lo == hi:
+            continue
+        pair = np.unique(doc[lo:hi].astype(np.int64) * len(size) + at[lo:hi])
+        row, word = pair // len(size), pair % len(size)
+        wide = size[word]
+        place = np.arange(wide.sum()) + np.repeat(start[word] - (np.cumsum(wide) - wide), wide)
+        pair = np.unique(np.repeat(row, wide) * n + flat[place])
+        row, feature = pair // n, pair % n
+        every += np.bincount(feature, minlength=n)
+        bad += np.bincount(feature[toxic[row]], minlength=n)
+    return bad, every
+
+
+def marking(bad, every, n_bad: int, n_clean: int, least: int = 3, odds: float = 2.5):
+    """Whether toxic rows hold a feature far more often than clean ones, and far above chance: by three deviations."""
+    import numpy as np
+
+    n_bad, n_clean = max(1, n_bad), max(1, n_clean)
+    other = every - bad
+    value = np.log((bad + 0.5) / (n_bad + 1)) - np.log((other + 0.5) / (n_clean + 1))
+    rate = (other + 1) / (n_clean + 2)
+    return (bad >= least) & (value >= odds) & (bad >= n_bad * rate + 3 * np.sqrt(n_bad * rate) + 2)
 
 
 def fit(texts: list[str], toxic: list[bool], aside: list[bool] | None = None, steps: int = 40, rate: float = 0.5, decay: float = 1e-3) -> Chain | None:
     """A chain trained on token labels derived from document labels, calibrated on the rows set aside (or all)."""
+    from array import array
+
     import numpy as np
+    import xxhash
 
     toxic = np.array(toxic, bool)
     if not toxic.any() or toxic.all():
         return None
-    lists = [tokens(t) for t in texts]
-    words, at = _distinct(lists)
-    words = words.to_pylist()
-    ends = np.cumsum([len(w) for w in lists])
-    doc = np.repeat(np.arange(len(lists)), [len(w) for w in lists])
     aside = np.zeros(len(texts), bool) if aside is None else np.array(aside, bool)
     if not (toxic[~aside].any() and toxic[aside].any() and (~toxic[aside]).any()):
         aside = np.zeros(len(texts), bool)
-    # Features of each distinct word, as rows of numbers one after the other.
-    number: dict[str, int] = {}
-    per_word = [[number.setdefault(f, len(number)) for f in word_features(w)] for w in words]
-    size = np.array([len(x) for x in per_word], np.int64)
-    flat = np.array([f for x in per_word for f in x], np.int64)
-    holder = np.repeat(np.arange(len(words)), size)
+    vocabulary: dict[str, int] = {}
+    at, lengths = array("i"), []
+    for t in texts:
+        found = tokens(t)
+        at.extend([vocabulary.setdefault(w, len(vocabulary)) for w in found])
+        lengths.append(len(found))
+    at, lengths, words = np.frombuffer(at, np.int32) if at else np.empty(0, np.int32), np.array(lengths), list(vocabulary)
+    del vocabulary
     if not len(at):
         return Chain({}, 0.0, np.zeros((2, 2)), (float(np.log(toxic.mean() / (1 - toxic.mean()))), 0.0, 0.0, 0.0))
-
-    def by_word(x):  # sums over the features of each word
-        return np.bincount(holder, x[flat], len(words))
-
-    learnt = ~aside[doc]
-    pair = np.unique(doc[learnt] * np.int64(len(words)) + at[learnt])
-    pair_doc, pair_word = pair // len(words), pair % len(words)
-    start = np.cumsum(size) - size
-    wide = size[pair_word]
-    place = np.arange(wide.sum()) + np.repeat(start[pair_word] - (np.cumsum(wide) - wide), wide)
-    both = np.unique(np.repeat(pair_doc, wide) * np.int64(len(number)) + flat[place])
-    rows, feature_of = both // len(number), both % len(number)
-    marks = np.zeros(len(number), bool)
-    found = marking_features(rows, feature_of, np.where(aside, False, toxic))
-    marks[: len(found)] = found
-    # Features of fewer than three rows are left out: they say nothing on other texts.
-    used = np.bincount(feature_of, minlength=len(number)) >= 3
-    flat = np.where(used[flat], flat, len(number))
-    tag = (by_word(np.append(marks & used, False).astype(float)) > 0)[at] & toxic[doc]
-    keep = learnt
-    y, token = tag[keep].astype(float), at[keep]
+    ends = np.cumsum(lengths)
+    doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     starts = np.zeros(len(at), bool)
-    lengths = np.array([len(w) for w in lists])
     starts[(ends - lengths)[lengths > 0]] = True
-    starts = starts[keep]
+    # Features of each distinct word, as numbers one after the other; those of fewer than three rows say nothing on other texts.
+    size = np.fromiter((len(word_features(w)) for w in words), np.int64, len(words))
+    flat = np.fromiter((xxhash.xxh3_64_intdigest(f) >> 1 for w in words for f in word_features(w)), np.int64, int(size.sum()))
+    flat = np.unique(flat, return_inverse=True)[1].astype(np.int32)
+    n = int(flat.max()) + 1
+    learnt = ~aside[doc]
+    bad, every = row_frequencies(doc[learnt], at[learnt], toxic, flat, size, n)
+    marks = marking(bad, every, int((toxic & ~aside).sum()), int((~toxic & ~aside).sum()))
+    marks = np.append(marks[every >= 3], False)
+    number = np.where(every >= 3, np.cumsum(every >= 3) - 1, len(marks) - 1)
+    flat, n = number[flat].astype(np.int32), len(marks)
+    holder = np.repeat(np.arange(len(words), dtype=np.int32), size)
+    by_word = lambda x: np.bincount(holder, x[flat], len(words))  # noqa: E731  (sums over the features of each word)
+    tag = (by_word(marks.astype(float)) > 0)[at] & toxic[doc]
+    y, token, first = tag[learnt], at[learnt], starts[learnt]
     seen = np.zeros((2, 2))
-    before, after = y[:-1][~starts[1:]].astype(int), y[1:][~starts[1:]].astype(int)
-    np.add.at(seen, (before, after), 1)
-    weights, bias, trans = np.zeros(len(number) + 1), -2.0, np.zeros((2, 2))
-    g2, total = np.full(len(number) + 1, 1e-6), max(1, len(y))
+    np.add.at(seen, (y[:-1][~first[1:]].astype(int), y[1:][~first[1:]].astype(int)), 1)
+    weights, bias, trans = np.zeros(n), -2.0, np.zeros((2, 2))
+    g2, total = np.full(n, 1e-6), max(1, len(y))
     for _ in range(steps):
-        odds = by_word(weights)[token] + bias
-        p, moves = chain_marginals(odds, starts, trans, moves=True)
+        p, moves = text_marginals(by_word(weights)[token] + bias, first, trans, moves=True)
         d = y - p
-        g = np.bincount(flat, np.bincount(token, d, len(words))[holder], len(number) + 1) - decay * weights
+        g = np.bincount(flat, np.bincount(token, d, len(words))[holder], n) - decay * weights
         g[-1] = 0.0
         g2 += g * g  # adaptive steps: rare features move as far as frequent ones
         weights += rate * g / np.sqrt(g2)
         bias += 8 * rate * d.sum() / total
         trans = trans + 8 * rate * (seen - moves) / total
-    names = sorted(number, key=number.get)
-    chain = Chain({names[i]: round(float(weights[i]), 6) for i in np.flatnonzero(np.abs(weights[:-1]) > 1e-3)}, float(bias), trans)
+    kept: dict[str, float] = {}
+    start = np.cumsum(size) - size
+    for k in np.unique(holder[np.abs(weights)[flat] > 1e-3]):
+        for f, i in zip(word_features(words[k]), flat[start[k] : start[k] + size[k]].tolist()):
+            if abs(weights[i]) > 1e-3:
+                kept[f] = round(float(weights[i]), 6)
+    chain = Chain(kept, float(bias), trans)
     # Calibration: Newton steps of a ridge-penalised logistic fit.
-    odds = by_word(weights)[at] + bias
-    starts = np.zeros(len(at), bool)
-    starts[(ends - lengths)[lengths > 0]] = True
-    x = document_features(chain_marginals(odds, starts, trans)[0], ends)
-    if aside.any():
-        x, t = x[aside], toxic[aside].astype(float)
-    else:
-        t = toxic.astype(float)
+    x = document_features(text_marginals(by_word(weights)[at] + bias, starts, trans)[0], ends)
+    use = aside if aside.any() else ~aside
+    x, t = x[use], toxic[use].astype(float)
     scale = np.zeros(x.shape[1])
     for _ in range(30):
         q = 1 / (1 + np.exp(-np.clip(x @ scale, -30, 30)))
@@ -299,6 +330,7 @@ def train(docs: DataFrame, labels: DataFrame, rows_a_class: int = ROWS_A_CLASS)
     rows = sample_rows(rows, "toxic", rows_a_class, "doc_id", "text")  # rows that repeat an id are bounded too
 
     def learn(pdf):
+        common.serve("toxicity")
         pdf = pdf.sort_values(["doc_id", "text"])
         aside = [zlib.crc32(f"aside {i}".encode()) % 4 == 0 for i in pdf["doc_id"].tolist()]
         chain = fit(pdf["text"].fillna("").tolist(), [bool(t) for t in pdf["toxic"]], aside)

@@ -14,12 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a fresh local one only where none is configured."""
+    """The folder all executors share; a fresh local one only in a local session without one, as in tests."""
     sc = spark.sparkContext
     known = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if known is None:
-        known = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(known)
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         known = sc.getCheckpointDir()
     return known.rstrip("/")
 
@@ -36,6 +37,34 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys that join_unique sends to all tasks at most, and rows that such a key has at least.
+HOT_KEYS, HOT_ROWS = 1_000, 1_000
+
+
+def hot_keys(rows: DataFrame, key: str, most: int = HOT_KEYS, least: int = HOT_ROWS) -> DataFrame | None:
+    """The up to `most` keys of most rows, of `least` rows or more, as a small local table; None if there are none.
+
+    No other key has more than a `most`-th of all rows.  Rows are counted before they are shuffled.
+    """
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    found = counts.orderBy(F.desc("n"), key).limit(most).select(key).collect()
+    return rows.sparkSession.createDataFrame(found, rows.select(key).schema) if found else None
+
+
+def join_unique(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None = None) -> DataFrame:
+    """Inner join of left with right, which has one row a key; no key of many left rows meets in one task.
+
+    The right rows of hot keys (hot_keys, of left unless given) go to all tasks; the other rows are shuffled.
+    """
+    hot = hot_keys(left, key) if hot is None else hot
+    if hot is None:
+        return left.join(right, key)
+    some = F.broadcast(hot)
+    far = left.join(some, key, "left_semi").join(F.broadcast(right.join(some, key, "left_semi")), key)
+    near = left.join(some, key, "left_anti").join(right, key)
+    return near.unionByName(far.select(*near.columns))
+
+
 #: Texts that are sent to a Python worker at once; a batch of long ones stays small on both sides.
 BATCH_ROWS = 1_000
 

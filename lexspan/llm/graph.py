@@ -12,7 +12,8 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(id, component) for every id in links (a, b); component is the smallest id it reaches.
 
     Each round hangs every node's neighbours on the smallest among them, as rows of a
-    written table; nothing is gathered on the driver but one count a round.
+    written table; nothing is gathered on the driver but one count and the most frequent
+    nodes, a bounded number, a round.
     """
     edges = common.materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     state = None
@@ -20,7 +21,7 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # Large star: larger neighbours hang on the smallest one.
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = common.join_unique(both, low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: the node and its smaller neighbours hang on the smallest one.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")

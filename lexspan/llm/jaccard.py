@@ -16,8 +16,9 @@ copies is expanded into pairs.  Every link counted is verified on whole sets.
 
 Defined cases: null text or one without words: an empty set, which links with nothing;
 fewer words than a shingle: one shingle; rows that repeat a doc_id are one node of the
-graph; null ids form no links (component null); an empty table gives an empty result; other
-columns are ignored.
+graph; null ids form no links (component null); very long texts give their whole sets; a
+similarity just at the threshold links; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ HEAVY = 1 << 18
 BROADCAST_IDS = 500_000
 #: Shingles counted together in a task: bounds its memory however long the texts are.
 COUNTED = 3_000_000
+#: Hubs whose whole sets are sent to all tasks, at most.
+HUBS = 200
 SIGNATURES = 6
 SMALL_MOST = 64
 #: Elements that prefixes hold beyond those that may differ: what a pair must share of them is checked before whole sets.
@@ -195,7 +198,10 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) ->
     one = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(one, "a").join(two, "b").where(both * den >= (F.size("sa") + F.size("sb") - both) * num).select("a", "b").distinct()
+    # A hub's set goes to all tasks, once, in place of once with each of its members.
+    pairs = common.join_unique(pairs, one, "a", common.hot_keys(pairs, "a", HUBS))
+    pairs = common.join_unique(pairs, two, "b", common.hot_keys(pairs.select("b"), "b", HUBS))
+    return pairs.where(both * den >= (F.size("sa") + F.size("sb") - both) * num).select("a", "b").distinct()
 
 
 def hub_pairs(reps: DataFrame, num: int, den: int) -> DataFrame:
@@ -262,7 +268,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     light = common.materialize(light, "light")
     more = verify(list_pairs(light, small, num, den), docs, shingle, num, den)
     # Rows of one id with different texts are one node: their representatives hang on that id.
-    keyed = usable.select("doc_id", "set_key").join(reps.select("set_key", F.col("doc_id").alias("rep")), "set_key")
+    keyed = common.join_unique(usable.select("doc_id", "set_key"), reps.select("set_key", F.col("doc_id").alias("rep")), "set_key")
     same = keyed.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     stars = first.select(F.col("id").alias("a"), F.col("component").alias("b"))
     final = components(stars.unionByName(more).unionByName(same)).withColumnRenamed("id", "doc_id")
@@ -272,3 +278,15 @@ def similar_groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
 
 def op3_jaccard_join(spark, sf_dir):
     return similar_groups(common.table(spark, sf_dir, "documents", "doc_id", "text"), shingle=4, num=85, den=100)
+
+
+#: Shingles joined pair by pair; components by following links from every id.
+OP3_SQL = r"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM words),
+each AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b FROM each a JOIN each b ON a.x = b.x AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (SELECT a AS id, b AS other FROM pairs UNION SELECT r.id, p.b FROM reach r JOIN pairs p ON p.a = r.other),
+least_of AS (SELECT id, least(id, min(other)) AS c FROM reach GROUP BY id)
+SELECT doc_id, len(s) AS n_shingles, coalesce(c, doc_id) AS component_id FROM sets LEFT JOIN least_of ON id = doc_id"""

@@ -8,9 +8,10 @@ the two bounds up to which both sketches are complete.
 
 Words are runs of characters other than ASCII white space, with A-Z in lower case; a text
 of fewer words is one shingle.  Defined cases: null text: as empty; an empty text has an
-empty sketch, which is like another empty one (1) and unlike all else (0); repeated rows
-come back as often as they came; an empty table gives an empty result; other columns are
-ignored.
+empty sketch, which is like another empty one (1) and unlike all else (0), and whose
+containment in anything is 0; repeated rows come back as often as they came, each followed
+by the next in the order of their texts; null ids come after all others; very long texts
+are hashed whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -79,25 +80,61 @@ def fingerprint(text: Column) -> Column:
     return F.struct(retained(every).alias("kept"), bound(retained(every), F.size(every)).alias("bound"))
 
 
-def with_next(docs: DataFrame, width: int = 4096) -> DataFrame:
+def merge(a: Column, b: Column) -> Column:
+    """The sketch of the union of two shingle sets from their sketches, structs (kept, bound)."""
+    most = F.least(a["bound"], b["bound"])
+    return F.struct(F.array_sort(F.filter(F.array_union(a["kept"], b["kept"]), lambda h: h <= most)).alias("kept"), most.alias("bound"))
+
+
+#: Ranges of ids of about equal numbers of rows, at most; each is cut evenly into as many parts as rows need.
+RANGES, RANGE_ROWS, PART_ROWS = 500, 4_096, 65_536
+
+
+def id_parts(docs: DataFrame) -> tuple[Column, int]:
+    """The number of a row's part of the ids, rising with doc_id (null ids: -1), and the parts of a range."""
+    n = docs.count()
+    ranges = max(1, min(RANGES, n // RANGE_ROWS))
+    parts = max(1, n // (ranges * PART_ROWS))
+    share = [i / ranges for i in range(ranges + 1)]
+    edges = docs.agg(F.percentile_approx("doc_id", share, 10 * ranges).alias("e")).first()["e"]
+    edges = sorted(set(edges or [0]))
+    low, high = edges[:1] + edges[:-1], edges  # a range holds the ids above its low edge up to its high one
+
+    def place(lo: int, hi: int) -> Column:  # binary search of the first high edge that is not below the id
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col("doc_id") <= edges[mid], place(lo, mid)).otherwise(place(mid + 1, hi))
+
+    at = place(0, len(edges) - 1).cast("long")
+    b = at * parts
+    if parts > 1:
+        edge = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (at + 1).cast("int")).cast("double")
+        share_of = (F.col("doc_id").cast("double") - edge(low)) / F.greatest(edge(high) - edge(low), F.lit(1.0))
+        b = b + F.greatest(F.lit(0), F.least(F.lit(parts - 1), F.floor(share_of * parts)))
+    return F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).otherwise(b), parts
+
+
+def with_next(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with `next_text`, the text of the next document by descending doc_id.
 
-    Rows of equal doc_id stand in the order of their texts; null ids come last.
+    Rows of equal doc_id stand in the order of their texts; null ids come last.  Windows run
+    within parts of the ids, then over the heads of a range's parts, then over the heads of
+    the ranges, RANGES and one for null ids at most.
     """
-    text = F.coalesce("text", F.lit(""))
-    cut = docs.select("doc_id", text.alias("text")).withColumn("b", F.floor(F.coalesce("doc_id", F.lit(_LOW)) / width))
-    order = [F.desc_nulls_last("doc_id"), F.asc("text")]
-    inner = Window.partitionBy("b").orderBy(*order)
+    number, parts = id_parts(docs)
+    cut = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), number.alias("b"))
+    inner = Window.partitionBy("b").orderBy(F.desc_nulls_last("doc_id"), F.asc("text"))
     inside = cut.withColumn("next_text", F.lead("text").over(inner))
-    # The head of each bucket is the next text of the last row of the bucket above it.
-    heads = cut.groupBy("b").agg(F.min_by("text", F.struct(-F.coalesce("doc_id", F.lit(_LOW + 1)), "text")).alias("head"))
-    numbers = cut.select("b").distinct()
-    chain = Window.orderBy(F.desc("b"))
-    after = numbers.select("b", F.lead("b").over(chain).alias("after"))
-    first = numbers.agg(F.max("b").alias("first"))
-    after = after.join(F.broadcast(first)).select("b", F.coalesce("after", "first").alias("after"))
-    ends = after.join(heads.withColumnRenamed("b", "after"), "after").select("b", "head")
-    return inside.join(ends, "b", "left").select("doc_id", "text", F.coalesce("next_text", "head").alias("next_text"))
+    # The head of the part below is the next text of a part's last row; of the very last one the first head of all.
+    head = F.min_by("text", F.struct(-F.coalesce("doc_id", F.lit(_LOW + 1)), "text"))
+    heads = cut.groupBy("b").agg(head.alias("head")).withColumn("range", F.floor(F.col("b") / parts))
+    below = F.lead("head").over(Window.partitionBy("range").orderBy(F.desc("b")))
+    tops = heads.groupBy("range").agg(F.max_by("head", "b").alias("top"))
+    chain = Window.orderBy(F.desc("range"))
+    tops = tops.select("range", F.coalesce(F.lead("top").over(chain), F.first("top").over(chain)).alias("top"))
+    ends = heads.select("b", "range", below.alias("below")).join(tops, "range").select("b", F.coalesce("below", "top").alias("end"))
+    return inside.join(ends, "b", "left").select("doc_id", "text", F.coalesce("next_text", "end").alias("next_text"))
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -114,6 +151,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     return full.select(
         "doc_id", "n_chars", "edited_sha256", as_text(text["kept"]).alias("fingerprint"), as_text(edit["kept"]).alias("edited_fingerprint"),
         likeness(text, edit).alias("near_edited"), likeness(text, following).alias("near_next"),
+        containment(text, edit).alias("held_by_edited"), containment(edit, text).alias("edited_held"),
     )
 
 

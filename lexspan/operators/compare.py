@@ -13,20 +13,42 @@ SPANS = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.Struc
 
 
 def common_words(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Index pairs of a longest common subsequence; of equal choices the left side moves on."""
-    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            table[i][j] = table[i + 1][j + 1] + 1 if a[i] == b[j] else max(table[i + 1][j], table[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif table[i + 1][j] >= table[i][j + 1]:
-            i += 1
-        else:
-            j += 1
+    """Index pairs of a longest common subsequence; of equal choices the left side moves on.
+
+    Rows of lengths are kept at every root-th word of `a` only; the rows between are made
+    again, as bits, for the stretch that the way passes through.  So memory grows with
+    len(b) times the root of len(a).
+    """
+    import numpy as np
+
+    names: dict[str, int] = {}
+    x, y = (np.array([names.setdefault(w, len(names)) for w in side], np.int64) for side in (a, b))
+    n, m = len(x), len(y)
+    step = max(1, int(n**0.5))
+
+    def above(row, i):  # lengths of the rest from word i of a, out of those from word i + 1
+        best = np.where(y == x[i], row[1:] + 1, row[:-1])
+        return np.append(np.maximum.accumulate(best[::-1])[::-1], 0)
+
+    kept = {n: np.zeros(m + 1, np.int32)}
+    row = kept[n]
+    for i in range(n - 1, -1, -1):
+        row = above(row, i)
+        if i % step == 0:
+            kept[i] = row
+    out, j = [], 0
+    for low in range(0, n, step):
+        high = min(n, low + step)
+        row, bits = kept[high], {}
+        for i in range(high - 1, low - 1, -1):
+            below, row = row, above(row, i)
+            bits[i] = np.packbits(below[:-1] >= row[1:])  # whether the left side moves on
+        for i in range(low, high):
+            while j < m and x[i] != y[j] and not bits[i][j >> 3] >> (7 - (j & 7)) & 1:
+                j += 1
+            if j < m and x[i] == y[j]:
+                out.append((i, j))
+                j += 1
     return out
 
 
@@ -52,3 +74,36 @@ def diff(before: str, after: str) -> tuple[list[dict], list[dict]]:
 @F.pandas_udf(T.StructType([T.StructField("before", SPANS), T.StructField("after", SPANS)]))
 def word_diff(before: pd.Series, after: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([diff(a, b) for a, b in zip(before, after, strict=True)], columns=["before", "after"])
+
+
+def cut_spans(spans: list[dict], start: int, end: int | None = None) -> list[dict]:
+    """The runs of text between two places of the text they make up."""
+    out, at = [], 0
+    for run in spans:
+        text = run["text"][max(0, start - at) : None if end is None else max(0, end - at)]
+        at += len(run["text"])
+        if text:
+            out.append({"text": text, "changed": run["changed"]})
+    return out
+
+
+def join_spans(spans: list[dict]) -> list[dict]:
+    """Changed runs with nothing but white space between them made one."""
+    out: list[dict] = []
+    for run in spans:
+        if run["changed"] and len(out) > 1 and out[-2]["changed"] and not out[-1]["changed"] and not out[-1]["text"].strip():
+            gap = out.pop()["text"]
+            out[-1] = {"text": out[-1]["text"] + gap + run["text"], "changed": True}
+        else:
+            out.append(dict(run))
+    return out
+
+
+def trim_spans(spans: list[dict]) -> list[dict]:
+    """Without white space at either end, runs of nothing else included."""
+    filled = [k for k, run in enumerate(spans) if run["text"].strip()]
+    out = [dict(run) for run in spans[filled[0] : filled[-1] + 1]] if filled else []
+    if out:
+        out[0]["text"] = out[0]["text"].lstrip()
+        out[-1]["text"] = out[-1]["text"].rstrip()
+    return out

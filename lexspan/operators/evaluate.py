@@ -17,7 +17,7 @@ def arm_summary(results: DataFrame) -> DataFrame:
     cost = projected_cost(F.sum(F.when(ok, F.col("prompt_tokens"))), F.sum(F.when(ok, F.col("completion_tokens"))))
     return results.groupBy("arm", "version").agg(
         F.count_if(ok).alias("answered"), F.count_if(~ok).alias("failed"),
-        F.round(zero("recall"), 6).alias("recall"), F.round(zero("nodes_supplied"), 6).alias("nodes_supplied"),
+        *(F.round(zero(c), 6).alias(c) for c in ("recall", "recall_reached", "precision_over_nodes", "precision_over_articles")), F.round(zero("nodes_supplied"), 6).alias("nodes_supplied"),
         F.round(mean("faithfulness", ok), 6).alias("faithfulness"), F.round(mean("answer_recall", answered), 6).alias("answer_recall"),
         F.count_if(answered & (F.col("claims_on_gold") == 0)).alias("no_gold_answers"),
         F.count_if(ok & F.col("expects_refusal")).alias("refusal_questions"), F.count_if(ok & F.col("expects_refusal") & F.col("refused")).alias("correct_refusals"),

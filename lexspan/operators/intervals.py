@@ -6,13 +6,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def spans(rows: DataFrame, key: str, offset: str, limit: Column, is_start: Column, is_stop: Column) -> DataFrame:
-    """Start rows with `span_end`: the next start, else the limit, cut at the first stop strictly inside."""
-    after = Window.partitionBy(key).orderBy(offset).rangeBetween(1, Window.unboundedFollowing)
-    next_start = F.min(F.when(is_start, F.col(offset))).over(after)
-    next_stop = F.min(F.when(is_stop, F.col(offset))).over(after)
-    end = F.coalesce(next_start, limit)
-    return rows.withColumn("_s", is_start).withColumn("span_end", F.least(end, F.coalesce(next_stop, end))).where("_s").drop("_s")
+def spans(rows: DataFrame, key: str, offset: str, limit: Column, is_start: Column, is_stop: Column, order: list | None = None) -> DataFrame:
+    """Start rows with `span_end`: the next start in (offset, order), else the limit, cut at the first stop strictly inside.
+
+    Of two starts at one offset the earlier gets an empty span.  Offsets are whole numbers.
+    Frames grow from the far end of a key, so a key's rows are gone through once.
+    """
+    order = order or []
+    back = Window.partitionBy(key).orderBy(F.desc(offset), *(F.desc(c) for c in order))
+    after = back.rowsBetween(Window.unboundedPreceding, -1)
+    beyond = Window.partitionBy(key).orderBy(F.desc(offset)).rangeBetween(Window.unboundedPreceding, -1)
+    next_start = F.last(F.when(is_start, F.col(offset)), ignorenulls=True).over(after)
+    next_stop = F.min(F.when(is_stop, F.col(offset))).over(beyond)
+    found = rows.withColumn("_start", is_start).withColumn("_end", F.coalesce(next_start, limit)).withColumn("_stop", next_stop).where("_start")
+    return found.withColumn("span_end", F.when(F.col("_stop") < F.col("_end"), F.col("_stop")).otherwise(F.col("_end"))).drop("_start", "_end", "_stop")
+
+
+def first_inside(spans_: DataFrame, points: DataFrame, key: str, start: str, end: str, at: str, value: str, name: str) -> DataFrame:
+    """spans with `name`, the value of the first point of the same key strictly between start and end, else null.
+
+    Points and span starts of a key are put in order and the next point looked up backwards,
+    so no span meets more than one point.
+    """
+    both = spans_.select(F.col(key), F.col(start).alias("_at")).distinct().withColumn("_point", F.lit(None).cast("struct<at: bigint, value: string>"))
+    marks = points.select(F.col(key), F.col(at).alias("_at"), F.struct(F.col(at).cast("long").alias("at"), F.col(value).cast("string").alias("value")).alias("_point"))
+    first = marks.groupBy(key, "_at").agg(F.min("_point").alias("_point"))
+    beyond = Window.partitionBy(key).orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, -1)
+    found = both.unionByName(first).withColumn("_next", F.min("_point").over(beyond)).where("_point is null").select(F.col(key), F.col("_at").alias(start), "_next")
+    inside = F.when(F.col("_next.at") < F.col(end), F.col("_next.value"))
+    return spans_.join(found, [key, start], "left").withColumn(name, inside).drop("_next")
 
 
 def state_at(rows: DataFrame, key: str, order: list, state: Column) -> Column:

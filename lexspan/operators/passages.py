@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.units import UNITS, Units
+
 # Written numbering, what may stand before it, and how numbering counts.
 NUMBERING = re.compile(r"(?P<dot>\d+)\.\s|\((?P<number>\d+)\)\s|\((?P<letter>[a-z]{1,4})\)\s")
 AFTER_SENTENCE = re.compile(r"(?:^|[.:;]\s+|[;,]\s+(?:and|or)\s+)$")
@@ -71,8 +73,8 @@ def long_words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]{4,}"), F.lit(0)))
 
 
-def point_name(citation: Column, passage: Column) -> Column:
-    """The citation carried on to a passage: `Article 6(3), point (a)`, `Annex III, point 4(a)`."""
+def point_name(citation: Column, passage: Column, units: Units = UNITS) -> Column:
+    """The citation carried on to a passage: `Article 7(2), point (c)`, `Schedule II, point 3(b)`."""
     kinds, path = passage["kinds"], passage["path"]
     head = F.concat(F.lit("("), F.try_element_at(path, F.lit(1)), F.lit(")"))
     dotted = F.coalesce(F.try_element_at(kinds, F.lit(1)) == "dot", F.lit(False))
@@ -81,14 +83,15 @@ def point_name(citation: Column, passage: Column) -> Column:
     tail = F.slice(path, 2, F.greatest(F.size(path) - 1, F.lit(0)))
     rest = F.when(dotted, tail).otherwise(path)
     point = F.when(F.size(rest) > 0, F.concat(F.lit(", point "), braced(rest))).otherwise("")
-    annex = F.concat(citation, F.lit(", point "), F.when(dotted & ~named, F.concat(path[0], braced(tail))).otherwise(braced(rest)))
+    numbered = F.concat(citation, F.lit(", point "), F.when(dotted & ~named, F.concat(path[0], braced(tail))).otherwise(braced(rest)))
+    roman = citation.rlike(rf"^{units.roman[0]}\b")
     return (
-        F.when(citation.rlike(r"^Annex\b") & named & (F.size(rest) == 0), citation).when(citation.rlike(r"^Annex\b"), annex)
+        F.when(roman & named & (F.size(rest) == 0), citation).when(roman, numbered)
         .when(dotted & ~named, F.concat(citation, head, point)).otherwise(F.concat(citation, point))
     )
 
 
-def closest_point(citation: Column, text: Column, claim: Column) -> Column:
+def closest_point(citation: Column, text: Column, claim: Column, units: Units = UNITS) -> Column:
     """struct(kind, name, start, shared) of the passage of text that shares most long words with claim.
 
     kind is `whole` for fewer than two passages, `top` where none shares enough words, else
@@ -100,5 +103,5 @@ def closest_point(citation: Column, text: Column, claim: Column) -> Column:
     kind = F.when(F.size(scored) < 2, "whole").when(best["shared"] < LEAST_SHARED, "top").otherwise("point")
     at_point = lambda c: F.when(kind == "point", c)
     return F.struct(
-        kind.alias("kind"), at_point(point_name(citation, best["p"])).alias("name"), at_point(best["p"]["start"]).alias("start"), at_point(best["shared"]).alias("shared"),
+        kind.alias("kind"), at_point(point_name(citation, best["p"], units)).alias("name"), at_point(best["p"]["start"]).alias("start"), at_point(best["shared"]).alias("shared"),
     )

@@ -6,30 +6,77 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A query set up to this many rows is sent to every task; a larger one is met in blocks.
-BROADCAST_QUERIES = 50_000
+BROADCAST_QUERIES = 20_000
+#: Queries and vectors of one block.
+QUERY_BLOCK, VECTOR_BLOCK = 2_048, 16_384
+NEAR = "query_id long, vec_id long, d double"
 
 
-def distance(a: Column, b: Column) -> Column:
-    """Euclidean distance in double precision."""
-    d = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-    return F.sqrt(F.aggregate(d, F.lit(0.0), lambda s, x: s + x))
+def check_width(vectors: DataFrame, column: str, width: int) -> DataFrame:
+    """vectors, whose read fails with a named error where a vector has another width."""
+    message = F.concat(F.lit(f"{column} must hold {width} components, not "), F.size(column).cast("string"))
+    checked = F.when(F.col(column).isNull() | (F.size(column) == width), F.col(column)).otherwise(F.raise_error(message))
+    return vectors.withColumn(column, checked)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 12, blocks: int = 64) -> DataFrame:
-    """query_id, vec_id, d, rank of the k nearest (vec_id, embedding) of each query (query_id, query).
+def _block_nearest(ids, vectors, query_ids, queries, k: int):
+    """Rows of NEAR: of each query the k nearest of the vectors, and those that tie with the last."""
+    import numpy as np
+    import pandas as pd
 
-    The query set is sent to the tasks if its size, checked here, is small; otherwise each
-    vector row meets it block by block.  Only k rows a query and task leave a task.
+    out = []
+    length = (vectors * vectors).sum(1)
+    for at in range(0, len(queries), 256):
+        q, qid = queries[at : at + 256], query_ids[at : at + 256]
+        far = np.sqrt(np.maximum((q * q).sum(1)[:, None] + length[None] - 2 * q @ vectors.T, 0))
+        far[qid[:, None] == ids[None]] = np.inf
+        last = np.partition(far, k - 1, axis=1)[:, k - 1] if far.shape[1] > k else np.full(len(q), np.inf)
+        r, c = np.nonzero((far <= last[:, None] + 2e-6) & np.isfinite(far))
+        d = np.sqrt(((q[r] - vectors[c]) ** 2).sum(1))  # of those kept, without cancellation
+        out.append(pd.DataFrame({"query_id": qid[r], "vec_id": ids[c], "d": d}))
+    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "d": []})
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 12) -> DataFrame:
+    """query_id, vec_id, d, rank of the k nearest (vec_id, embedding) of each query (query_id, query) by Euclidean distance.
+
+    The query set is sent to the tasks if its size, checked here, is small; otherwise blocks
+    of queries meet blocks of vectors.  Only about k rows a query and block leave a task.
+    Null vectors are nobody's neighbours; all others must have one width.
     """
-    if queries.count() <= BROADCAST_QUERIES:
-        pairs = vectors.join(F.broadcast(queries), F.col("query_id") != F.col("vec_id"))
+    import numpy as np
+
+    spark = vectors.sparkSession
+    as_double = lambda c: F.transform(c, lambda x: x.cast("double"))
+    vectors = vectors.where("embedding is not null").select("vec_id", as_double("embedding").alias("embedding"))
+    queries = queries.where("query is not null").select("query_id", as_double("query").alias("query"))
+    n = queries.count()
+    if n <= BROADCAST_QUERIES:
+        rows = queries.collect()
+        sent = spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows]), np.array([r["query"] for r in rows], np.float64)))
+
+        def search(batches):
+            ids, asked = sent.value
+            for pdf in batches:
+                if len(pdf) and len(ids):
+                    yield _block_nearest(pdf["vec_id"].to_numpy(), np.stack(pdf["embedding"].tolist()), ids, asked, k)
+
+        near = vectors.mapInPandas(search, NEAR)
     else:
-        left = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        right = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-        pairs = left.join(right, "block").where("query_id <> vec_id")
-    near = pairs.select("query_id", "vec_id", F.round(distance(F.col("query"), F.col("embedding")), 6).alias("d"))
+        parts, blocks = max(1, -(-vectors.count() // VECTOR_BLOCK)), -(-n // QUERY_BLOCK)
+        every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        dealt = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+        left = vectors.withColumn("v", dealt("vec_id", parts)).withColumn("q", every(blocks))
+        right = queries.withColumn("q", dealt("query_id", blocks)).withColumn("v", every(parts))
+
+        def meet(a, b):
+            if not len(a) or not len(b):
+                return _block_nearest(np.empty(0), np.empty((0, 1)), np.empty(0), np.empty((0, 1)), k)
+            return _block_nearest(a["vec_id"].to_numpy(), np.stack(a["embedding"].tolist()), b["query_id"].to_numpy(), np.stack(b["query"].tolist()), k)
+
+        near = left.groupBy("v", "q").cogroup(right.groupBy("v", "q")).applyInPandas(meet, NEAR)
     best = Window.partitionBy("query_id").orderBy("d", "vec_id")
-    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return near.withColumn("d", F.round("d", 6)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def within_budget(rows: DataFrame, group: str, order: list, cost: Column, budget: int) -> DataFrame:
@@ -39,6 +86,18 @@ def within_budget(rows: DataFrame, group: str, order: list, cost: Column, budget
     return rows.withColumn("position", F.row_number().over(w)).withColumn("kept", (running <= budget) | (F.col("position") == 1))
 
 
+def prefix_within(rows: DataFrame, group: str, order: list, cost: Column, budget: int, least: int) -> DataFrame:
+    """The kept rows of within_budget with their position, where every cost is `least` or more.
+
+    Rows beyond the place that the budget can reach at the least cost are cut in each task,
+    before the groups are shuffled, so a large group is never sorted in one task.
+    """
+    w = Window.partitionBy(group).orderBy(*order)
+    near = rows.withColumn("position", F.row_number().over(w)).where(F.col("position") <= budget // least + 1)
+    running = F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return near.withColumn("_kept", (running <= budget) | (F.col("position") == 1)).where("_kept").drop("_kept")
+
+
 def supplied(searched: Column, traversed: Column, dropped: Column) -> Column:
     return F.filter(F.concat(searched, traversed), lambda x: ~F.array_contains(dropped, x))
 

@@ -9,30 +9,37 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The shape of a written reference, and what follows one to another act.
-REFERENCE = (
-    r"(\bArticles?\s+\d+[a-z]?(?:\s*\(\s*\d+[a-z]?\s*\))?(?:(?:\s*,\s*|\s+and\s+|\s+to\s+)\d+[a-z]?)*"
-    r"|\bAnnex(?:es)?\s+[IVXLC]+(?:(?:\s*,\s*|\s+and\s+|\s+to\s+)[IVXLC]+)*\b)"
-    r"(\s*(?:,\s*)?(?:and\s+)?of\s+(?:Directive|Regulation|Decision|Council|the\s+(?:Directive|Regulation)))?"
-)
+from ..functions.units import UNITS, Units
+from ..sources.scratch import materialize
 
+# What follows a reference to another act.
+OTHER_ACT = r"(\s*(?:,\s*)?(?:and\s+)?of\s+(?:Directive|Regulation|Decision|Council|the\s+(?:Directive|Regulation)))?"
 
-def targets_of(phrase: str) -> list[str]:
+
+def reference_pattern(units: Units = UNITS) -> str:
+    """The shape of a written reference (group 1) and the act it belongs to if it is another (group 2)."""
+    more = lambda n: rf"(?:(?:\s*,\s*|\s+and\s+|\s+to\s+){n})*"
+    article = rf"\b{units.article[0]}s?\s+\d+[a-z]?(?:\s*\(\s*\d+[a-z]?\s*\))?{more(r'[0-9]+[a-z]?')}"
+    return rf"({article}|\b{units.roman_pattern()}\s+[IVXLC]+{more('[IVXLC]+')}\b){OTHER_ACT}"
+
+
+def targets_of(phrase: str, units: Units = UNITS) -> list[str]:
     """Ids that one reference phrase names; `a to b` stands for all between."""
-    if phrase.startswith("Annex"):
-        return [f"anx_{n}" for n in re.findall(r"\b[IVXLC]+\b", phrase.split(None, 1)[1])]
+    if not phrase.startswith(units.article[0]):
+        return [f"{units.roman[1]}_{n}" for n in re.findall(r"\b[IVXLC]+\b", phrase.split(None, 1)[1])]
+    prefix = units.article[1]
     part = re.search(r"\(\s*(\d+[a-z]?)\s*\)", phrase)
-    words = re.findall(r"\d+[a-z]?|\bto\b", re.sub(r"\([^)]*\)", "", phrase))
     out: list[str] = []
-    for i, w in enumerate(words):
-        if w == "to":
+    to = False
+    for word in re.findall(r"\d+[a-z]?|\bto\b", re.sub(r"\([^)]*\)", "", phrase)):
+        if word == "to":
+            to = bool(out)
             continue
-        if i and words[i - 1] == "to" and out:
-            out.extend(_between(out[-1], w))
-        out.append(w)
+        out += [*(_between(out[-1], word) if to else ()), word]
+        to = False
     if part and len(out) == 1:
-        return [f"art_{out[0]}.{part[1]}", f"art_{out[0]}"]
-    return [f"art_{n}" for n in out]
+        return [f"{prefix}_{out[0]}.{part[1]}", f"{prefix}_{out[0]}"]
+    return [f"{prefix}_{n}" for n in out]
 
 
 def _between(a: str, b: str) -> list[str]:
@@ -44,21 +51,40 @@ def _between(a: str, b: str) -> list[str]:
     return []
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def expand_targets(phrases: pd.Series) -> pd.Series:
-    return phrases.map(targets_of)
+def references_of(units: Units = UNITS):
+    """A column function of a text: its references, each target of the text with its first phrase and their order."""
+    pattern = re.compile(reference_pattern(units))
+    schema = T.ArrayType(T.StructType().add("target_id", T.StringType()).add("phrase", T.StringType()).add("ord", T.LongType()))
+
+    @F.pandas_udf(schema)
+    def found(texts: pd.Series) -> pd.Series:
+        def one(text):
+            first: dict[str, tuple[str, int]] = {}
+            for m in pattern.finditer(text or ""):
+                if m[2]:
+                    continue
+                for target in targets_of(m[1], units):
+                    first.setdefault(target, (m[1], len(first)))
+            return [{"target_id": t, "phrase": p, "ord": n} for t, (p, n) in first.items()]
 
+        return texts.map(one)
 
-def extract_references(provisions: DataFrame) -> DataFrame:
-    """source_id, target_id, phrase, ord of provisions (id, text); first phrase of each pair, known targets only."""
-    pair = F.arrays_zip(F.regexp_extract_all("text", F.lit(REFERENCE), F.lit(1)).alias("phrase"), F.regexp_extract_all("text", F.lit(REFERENCE), F.lit(2)).alias("tail"))
-    found = provisions.select(F.col("id").alias("source_id"), F.posexplode(pair).alias("at", "m")).where("coalesce(m.tail, '') = ''")
-    found = found.select("source_id", "at", F.col("m.phrase").alias("phrase")).withColumn("targets", expand_targets("phrase"))
-    edges = found.select("source_id", "phrase", "at", F.posexplode("targets").alias("pos", "target_id"))
-    edges = edges.where("target_id <> source_id and not startswith(target_id, concat(source_id, '.'))")
-    edges = edges.join(provisions.select(F.col("id").alias("target_id")).distinct(), "target_id", "left_semi")
-    first = Window.partitionBy("source_id", "target_id").orderBy("at", "pos")
-    return edges.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("source_id", "target_id", "phrase", (F.col("at") * 1000 + F.col("pos")).alias("ord"))
+    return found
+
+
+def extract_references(provisions: DataFrame, units: Units = UNITS, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """source_id, target_id, phrase, ord of provisions (id, text, kind if kinds is given).
+
+    One row a pair with its first phrase; known targets only, none to the source itself or its
+    parts.  Sources may be restricted to kinds.  Ids are unique, so each pair is found in one row.
+    """
+    sources = provisions if kinds is None else provisions.where(F.col("kind").isin(*kinds))
+    # Only texts that name a unit at all go to a Python worker.
+    sources = sources.where(F.col("text").rlike(rf"\b(?:{units.article[0]}|{units.roman_pattern()})"))
+    found = sources.select(F.col("id").alias("source_id"), F.explode(references_of(units)("text")).alias("r")).select("source_id", "r.*")
+    found = found.where("target_id <> source_id and not startswith(target_id, concat(source_id, '.'))")
+    named = found.select("target_id").distinct().join(provisions.select(F.col("id").alias("target_id")), "target_id", "left_semi")
+    return found.join(named, "target_id").select("source_id", "target_id", "phrase", "ord")
 
 
 def adjacency(edges: DataFrame, key: str, other: str) -> DataFrame:
@@ -67,38 +93,44 @@ def adjacency(edges: DataFrame, key: str, other: str) -> DataFrame:
     return edges.groupBy(key).agg(F.transform(listed, lambda x: x["id"]).alias("neighbours"))
 
 
-def lift(seeds: DataFrame, parents: DataFrame) -> DataFrame:
-    """query_id, id, src: the holder (id, parent_id) of each seed, if not a seed itself, from its best seed."""
+def lift(seeds: DataFrame, parents: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """query_id, id, src, pos: the holder (id, parent_id) of each seed, if it is a node and no seed itself, from its best seed."""
     up = seeds.join(parents, "id").select("query_id", F.col("parent_id").alias("up"), F.col("id").alias("src"), "pos")
+    if nodes is not None:
+        up = up.join(nodes.select(F.col("id").alias("up")).distinct(), "up", "left_semi")
     up = up.join(seeds.select("query_id", F.col("id").alias("up")), ["query_id", "up"], "left_anti")
     best = Window.partitionBy("query_id", "up").orderBy("pos", "src")
     return up.withColumn("_n", F.row_number().over(best)).where("_n = 1").select("query_id", F.col("up").alias("id"), "src", "pos")
 
 
-def walk(seeds: DataFrame, edges: DataFrame, depth: int = 2, cap: int | None = 40, lifted: DataFrame | None = None) -> DataFrame:
+def walk(seeds: DataFrame, edges: DataFrame, depth: int = 2, cap: int | None = 40, lifted: DataFrame | None = None, enabled: bool = True) -> DataFrame:
     """query_id, id, hop, src, rank of what `depth` hops reach from seeds (query_id, id, pos).
 
-    A node belongs to its first discoverer in queue order; seeds are never reached; the
-    ranking by (hop, id as text) is cut at cap.  One join a hop; each hop's frontier is
-    deduplicated before the next, so it stays within nodes times queries.
+    Of seeds that repeat an id the first counts.  A node belongs to its first discoverer in
+    queue order: seeds by place, then lifted holders (hop 0, which are reached too); seeds
+    are never reached.  The ranking by (hop, id as text) is cut at cap.  Nothing is reached
+    if the walk is not enabled.  One join a hop; each hop is deduplicated and written to the
+    shared folder, so plans and lost executors cost one hop; it stays within nodes times queries.
     """
     links = edges.select(F.col("source_id").alias("src"), F.col("target_id").alias("id"), "ord")
-    seen = seeds.select("query_id", "id")
-    front = seeds.select("query_id", F.col("id").alias("src"), F.col("pos").cast("long").alias("spos"))
-    out = None
-    if lifted is not None:
+    start = seeds.groupBy("query_id", "id").agg(F.min("pos").cast("long").alias("pos"))
+    none = start.where("false").select("query_id", "id", F.lit(0).alias("hop"), F.col("id").alias("src"))
+    seen = start.select("query_id", "id")
+    front = start.select("query_id", F.col("id").alias("src"), F.struct(F.lit(0).alias("tier"), "pos").alias("spos"))
+    out = none
+    if lifted is not None and enabled:
         seen = seen.unionByName(lifted.select("query_id", "id"))
-        front = front.unionByName(lifted.select("query_id", F.col("id").alias("src"), (F.col("pos") + 1_000_000).cast("long").alias("spos")))
+        front = front.unionByName(lifted.select("query_id", F.col("id").alias("src"), F.struct(F.lit(1).alias("tier"), F.col("pos").cast("long").alias("pos")).alias("spos")))
         out = lifted.select("query_id", "id", F.lit(0).alias("hop"), "src")
-    for hop in range(1, depth + 1):
+    for hop in range(1, depth + 1 if enabled else 1):
         first = Window.partitionBy("query_id", "id").orderBy("spos", "ord")
         new = front.join(links, "src").join(seen, ["query_id", "id"], "left_anti")
         new = new.withColumn("_n", F.row_number().over(first)).where("_n = 1")
         queue = Window.partitionBy("query_id").orderBy("spos", "ord", "id")
         new = new.withColumn("npos", F.row_number().over(queue).cast("long")).select("query_id", "id", "src", "npos")
-        step = new.select("query_id", "id", F.lit(hop).alias("hop"), "src")
-        out = step if out is None else out.unionByName(step)
+        new = materialize(new, f"hop{hop}")
+        out = out.unionByName(new.select("query_id", "id", F.lit(hop).alias("hop"), "src"))
         seen = seen.unionByName(new.select("query_id", "id"))
-        front = new.select("query_id", F.col("id").alias("src"), F.col("npos").alias("spos"))
+        front = new.select("query_id", F.col("id").alias("src"), F.struct(F.lit(0).alias("tier"), F.col("npos").alias("pos")).alias("spos"))
     ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("hop", F.col("id").cast("string"))))
     return ranked if cap is None else ranked.where(F.col("rank") <= cap)

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import passages, verify
+from ..sources.scratch import scratch_path
 from ..streaming import progress
-from .catalogue import _CW, _FACTS, query, read
+from .catalogue import _CW, _FACTS, alike, query, read
 
 _WORDS = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9]{{4,}}'))"
 
@@ -43,15 +41,36 @@ def containment_supplied(spark, d):
     return verify.containment(c.where("role = 'assistant'"), c, "conv_id", "turn")
 
 
-@query("""SELECT o_orderkey, 'point' AS kind, 'Article ' || o_custkey || '(' || (o_orderkey % 2 + 1) || ')' AS name, 9 AS shared FROM orders""")
+_SENTENCES = r"list_filter(string_split(regexp_replace({}, '[0-9()]', '', 'g'), '. '), lambda x: length(trim(x)) > 0)"
+
+
+@query(f"""WITH docs AS (SELECT doc_id, text, sha256(lower(array_to_string(list_slice(regexp_split_to_array(trim(text), '\\s+'), 1, 8), ' '))) AS k FROM documents WHERE text IS NOT NULL),
+first AS (SELECT k, min(doc_id) AS other FROM docs GROUP BY k),
+pairs AS (SELECT d.doc_id, f.other, o.text AS base, coalesce(({_SENTENCES.format('d.text')})[-1], '') AS claim FROM docs d JOIN first f USING (k) JOIN docs o ON o.doc_id = f.other WHERE d.text <> o.text),
+claims AS (SELECT doc_id, other, {_SENTENCES.format('base')} AS s, list_distinct(regexp_extract_all(lower(claim), '[\\pL\\pN]{{4,}}')) AS w FROM pairs),
+points AS (SELECT doc_id, other, len(s) AS m, i, len(list_intersect(w, list_distinct(regexp_extract_all(lower(s[i]), '[\\pL\\pN]{{4,}}')))) AS n FROM claims, LATERAL (SELECT unnest(range(1, greatest(len(s), 1) + 1)) AS i)),
+best AS (SELECT doc_id, other, max(m) AS m, coalesce(max(n), 0) AS n, arg_min(i, (-n, i)) AS i FROM points GROUP BY 1, 2)
+SELECT doc_id, other, CASE WHEN m < 2 THEN 'whole' WHEN n < 8 THEN 'top' ELSE 'point' END AS kind,
+  CASE WHEN m >= 2 AND n >= 8 THEN 'Article ' || other || '(' || i || ')' END AS name, CASE WHEN m >= 2 AND n >= 8 THEN n END AS shared FROM best""")
 def closest_point(spark, d):
-    """Each order's claim words stand in one of two numbered paragraphs written from it."""
-    o = read(spark, d, "orders").select("o_orderkey", "o_custkey")
-    words = F.concat(*[F.concat(F.lit(f"word{i}x"), F.col("o_custkey").cast("string"), F.lit(" ")) for i in range(9)])
-    second = F.col("o_orderkey") % 2 == 1
-    text = F.concat(F.lit("Heading 1. First "), F.when(second, "nothing ").otherwise(words), F.lit("as under Article 60. It ends here. 2. Second "), F.when(second, words).otherwise("nothing "), F.lit("at all."))
-    got = o.select("o_orderkey", passages.closest_point(F.format_string("Article %d", "o_custkey"), text, words).alias("p"))
-    return got.select("o_orderkey", "p.kind", "p.name", "p.shared")
+    """Where the last sentence of each document stands in the first one that begins as it does, its sentences numbered as points."""
+    sentences = lambda c: F.filter(F.split(F.regexp_replace(c, "[0-9()]", ""), r"\. "), lambda s: F.trim(s) != "")
+    rows = alike(spark, d).select("doc_id", "other", sentences("other_text").alias("s"), F.coalesce(F.try_element_at(sentences("text"), F.lit(-1)), F.lit("")).alias("claim"))
+    numbered = F.array_join(F.transform("s", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), ". ")
+    rows = rows.withColumn("p", passages.closest_point(F.format_string("Article %d", "other"), numbered, F.col("claim")))
+    return rows.select("doc_id", "other", "p.kind", "p.name", "p.shared")
+
+
+@query(f"""WITH w AS (SELECT item_id, unnest({_CW.replace('{}', 'text')}) AS word FROM benchmark), have AS (SELECT DISTINCT unnest({_CW.replace('{}', 'text')}) AS word FROM documents),
+n AS (SELECT item_id, count(*) AS n_words, count(have.word) AS n_contained FROM w LEFT JOIN have USING (word) GROUP BY 1)
+SELECT item_id, coalesce(n_words, 0) AS n_words, coalesce(n_contained, 0) AS n_contained FROM benchmark LEFT JOIN n USING (item_id)""")
+def containment_benchmark(spark, d):
+    """How many content words of each benchmark item the documents supply."""
+    words = lambda name, *keys: read(spark, d, name).select(*keys, F.explode(tx.content_words(F.col("text"))).alias("word"))
+    have = words("documents").distinct().withColumn("known", F.lit(1))
+    counted = words("benchmark", "item_id").join(have, "word", "left").groupBy("item_id").agg(F.count(F.lit(1)).alias("n_words"), F.count("known").alias("n_contained"))
+    every = read(spark, d, "benchmark").select("item_id").join(counted, "item_id", "left")
+    return every.select("item_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_words", "n_contained")))
 
 
 @query(f"""WITH {_FACTS} SELECT arm, version, count(*) AS runs, max(ms) FILTER (NOT failed AND call_index = 0) AS first_call_ms,
@@ -77,8 +96,7 @@ def cost_projection(spark, d):
   max_by(value, (ts, event_id)) FILTER (event_type = 'purchase' AND value IS NOT NULL) AS last_value FROM events GROUP BY user_id""")
 def progress_stream(spark, d):
     """The events read as a stream of frames and folded as they come; the newest row of each user."""
-    known = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    path = f"{known.rstrip('/')}/progress-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "progress")
     source = spark.readStream.schema(read(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
     frames = source.select("user_id", "event_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
     fields = {"last_node": F.col("event_type"), "last_value": F.when(F.col("event_type") == "purchase", F.col("value"))}

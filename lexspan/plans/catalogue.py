@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import compare, evaluate, intervals, search, walk
+from ..operators import compare, evaluate, intervals, order, search, skew, walk
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -73,17 +73,20 @@ _BUDGET = """cut AS (SELECT lang, doc_id, position, run <= 73216 OR position = 1
 
 def _budget(spark, d):
     docs = read(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
-    return search.within_budget(docs, "source", [F.col("lang") == "en", "doc_id"], F.col("n_chars") + 8, 73_216)
+    return docs, search.prefix_within(docs, "source", [F.col("lang") == "en", "doc_id"], F.col("n_chars") + 8, 73_216, 8)
 
 
 @query(f"WITH {_BUDGET} SELECT doc_id, position FROM cut WHERE kept")
 def budget_prefix(spark, d):
-    return _budget(spark, d).where("kept").select("doc_id", "position")
+    return _budget(spark, d)[1].select("doc_id", "position")
 
 
 @query(f"WITH {_BUDGET} SELECT lang, count(*) AS dropped FROM cut WHERE NOT kept GROUP BY lang")
 def budget_dropped(spark, d):
-    return _budget(spark, d).where("not kept").groupBy("lang").agg(F.count(F.lit(1)).alias("dropped"))
+    """All rows less the kept ones, by language."""
+    docs, kept = _budget(spark, d)
+    both = docs.select("lang", F.lit(1).alias("n")).unionByName(kept.select("lang", F.lit(-1).alias("n")))
+    return both.groupBy("lang").agg(F.sum("n").alias("dropped")).where("dropped > 0")
 
 
 # --- references and graph ---------------------------------------------------------------
@@ -98,7 +101,7 @@ def ref_extract_edges(spark, d):
     text = F.concat(F.lit("Subject to "), span, F.lit(" of this act and Article 99 of Directive 5, nothing else."))
     rows = l.select(F.concat(F.lit("x_"), F.col("k")).alias("id"), text.alias("text"))
     known = spark.range(1, 21).select(F.concat(F.lit("art_"), "id").alias("id"), F.lit("").alias("text"))
-    return walk.extract_references(rows.unionByName(known)).select("source_id", "target_id")
+    return walk.extract_references(rows.unionByName(known)).select("source_id", "target_id").distinct()  # line numbers repeat
 
 
 def _edges(spark, d):
@@ -141,13 +144,33 @@ def traverse_ranked_cap(spark, d):
     return walk.walk(_seeds(spark, d), _edges(spark, d), 2, 40)
 
 
-@query(f"""WITH {_HOPS}, size AS (SELECT query_id, count(*) FILTER (hop <= 1) AS a, count(*) AS b FROM hops GROUP BY 1)
-SELECT 1 AS depth, round(avg(a), 6) AS reached FROM size UNION ALL SELECT 2, round(avg(b), 6) FROM size""")
+_REACH = f"""{_EDGES}, seed AS (SELECT p_partkey AS q FROM part WHERE p_partkey % 20 = 0),
+r1 AS (SELECT DISTINCT q, t AS id FROM seed JOIN e ON s = q),
+r2 AS (SELECT DISTINCT r1.q, t AS id FROM r1 JOIN e ON s = r1.id WHERE t <> q EXCEPT SELECT * FROM r1),
+r3 AS (SELECT DISTINCT r2.q, t AS id FROM r2 JOIN e ON s = r2.id WHERE t <> q EXCEPT SELECT * FROM r1 EXCEPT SELECT * FROM r2),
+reached AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY hop, id::VARCHAR) AS rank FROM
+  (SELECT q, id, 1 AS hop FROM r1 UNION ALL SELECT q, id, 2 FROM r2 UNION ALL SELECT q, id, 3 FROM r3)) WHERE rank <= 40)"""
+
+
+@query(f"""WITH {_REACH}, per AS (SELECT q, depth, count(id) AS n, count(*) FILTER (id IN (q + 1, q + 2, q + 3)) AS found
+  FROM seed CROSS JOIN (VALUES (1), (2), (3)) d(depth) LEFT JOIN reached USING (q) WHERE hop IS NULL OR hop <= depth GROUP BY q, depth),
+every AS (SELECT q, depth, coalesce(n, 0) AS n, coalesce(found, 0) AS found FROM (SELECT q, depth FROM seed CROSS JOIN (VALUES (1), (2), (3)) d(depth)) LEFT JOIN per USING (q, depth))
+SELECT depth, count(*) AS questions, round(avg(found / 3), 6) AS recall, round(avg(n), 6) AS nodes FROM every GROUP BY depth""")
 def depth_sensitivity(spark, d):
-    """Mean nodes reached by seeds that reach any, for each depth; one walk of the largest depth serves all."""
-    out = walk.walk(_seeds(spark, d), _edges(spark, d), 2, None).groupBy("query_id").agg(F.count_if(F.col("hop") <= 1).alias("a"), F.count(F.lit(1)).alias("b"))
-    both = out.select(F.explode(F.array(F.struct(F.lit(1).alias("depth"), F.col("a").alias("n")), F.struct(F.lit(2).alias("depth"), F.col("b").alias("n")))).alias("x"))
-    return both.groupBy(F.col("x.depth").alias("depth")).agg(F.round(F.avg("x.n"), 6).alias("reached"))
+    """Questions, mean recall and mean reached nodes for depths 1 to 3 under the cap.
+
+    The ranking is by hop first, so one walk to depth 3 holds the capped walks of all depths.
+    A seed's gold nodes are the three parts numbered after it.
+    """
+    seeds = _seeds(spark, d)
+    reached = walk.walk(seeds, _edges(spark, d), 3, 40).select("query_id", "id", "hop")
+    depths = F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("depth")
+    every = seeds.select("query_id", depths)
+    found = reached.select("query_id", "hop", F.col("id").between(F.col("query_id") + 1, F.col("query_id") + 3).alias("gold"))
+    per = every.join(found, "query_id", "left").groupBy("query_id", "depth").agg(
+        F.count_if(F.col("hop") <= F.col("depth")).alias("n"), F.count_if((F.col("hop") <= F.col("depth")) & F.col("gold")).alias("found")
+    )
+    return per.groupBy("depth").agg(F.count(F.lit(1)).alias("questions"), F.round(F.avg(F.col("found") / 3), 6).alias("recall"), F.round(F.avg("n"), 6).alias("nodes"))
 
 
 @query("""SELECT query_id, id, src FROM (SELECT o_orderkey % 1000 AS query_id, 'c' || o_custkey AS id, 'o' || o_orderkey AS src,
@@ -171,16 +194,46 @@ def asof_state(spark, d):
     return e.select("event_id", intervals.state_at(e, "user_id", ["ts", "event_id"], state).alias("last_error"))
 
 
-@query("""WITH e AS (SELECT user_id, event_id, event_type, epoch_us(ts) AS tm FROM events), m AS (SELECT user_id, max(tm) + 1 AS lim FROM e GROUP BY 1)
-SELECT a.event_id, a.span_start, least(coalesce(min(b.tm) FILTER (b.event_type = 'view'), lim), coalesce(min(b.tm) FILTER (b.event_type = 'purchase'), lim)) AS span_end
-FROM (SELECT *, tm AS span_start FROM e WHERE event_type = 'view') a JOIN m USING (user_id) LEFT JOIN e b ON a.user_id = b.user_id AND b.tm > a.tm
-GROUP BY a.event_id, a.span_start, lim""")
+_SPANS = """e AS (SELECT user_id, event_id, event_type, epoch_us(ts) // 60000000 AS tm FROM events),
+m AS (SELECT user_id, max(tm) + 1 AS lim FROM e GROUP BY 1),
+v AS (SELECT user_id, event_id, tm, coalesce(lead(tm) OVER (PARTITION BY user_id ORDER BY tm, event_id), lim) AS e0 FROM e JOIN m USING (user_id) WHERE event_type = 'view'),
+stop AS (SELECT v.event_id, min(e.tm) AS s FROM v JOIN e ON e.user_id = v.user_id AND e.event_type = 'purchase' AND e.tm > v.tm AND e.tm < v.e0 GROUP BY 1),
+spans AS (SELECT v.user_id, v.event_id, v.tm AS span_start, coalesce(s, e0) AS span_end FROM v LEFT JOIN stop USING (event_id))"""
+
+
+def _minutes(spark, d):
+    return read(spark, d, "events").select("user_id", "event_id", "event_type", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60_000_000).alias("at"))
+
+
+def _spans(spark, d):
+    e = _minutes(spark, d).withColumn("lim", F.max("at").over(Window.partitionBy("user_id")) + 1)
+    return intervals.spans(e, "user_id", "at", F.col("lim"), F.col("event_type") == "view", F.col("event_type") == "purchase", ["event_id"])
+
+
+@query(f"WITH {_SPANS} SELECT event_id, span_start, span_end FROM spans")
 def span_lead(spark, d):
-    """From each view to the user's next view, cut at the first purchase in between."""
-    e = read(spark, d, "events").select("user_id", "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    limit = F.max("at").over(Window.partitionBy("user_id")) + 1
-    out = intervals.spans(e.withColumn("lim", limit), "user_id", "at", F.col("lim"), F.col("event_type") == "view", F.col("event_type") == "purchase")
-    return out.select("event_id", F.col("at").alias("span_start"), "span_end")
+    """From each view to the user's next one, in whole minutes, cut at the first purchase in between; of two views in a minute the first has no time."""
+    return _spans(spark, d).select("event_id", F.col("at").alias("span_start"), "span_end")
+
+
+@query(f"""WITH {_SPANS} SELECT s.event_id, s.span_end, arg_min(e.event_id, (e.tm, e.event_id::VARCHAR))::VARCHAR AS first_click
+FROM spans s LEFT JOIN e ON e.user_id = s.user_id AND e.event_type = 'click' AND e.tm > s.span_start AND e.tm < s.span_end GROUP BY 1, 2""")
+def subtitle_first(spark, d):
+    """The first click strictly inside each span, as a heading's subtitle is looked up."""
+    clicks = _minutes(spark, d).where("event_type = 'click'").withColumn("value", F.col("event_id").cast("string"))
+    return intervals.first_inside(_spans(spark, d), clicks, "user_id", "at", "span_end", "at", "value", "first_click").select("event_id", "span_end", "first_click")
+
+
+@query("""SELECT v.event_id, max(s.event_id) AS chapter FROM (SELECT event_id, user_id, ts FROM events WHERE event_type = 'view') v
+LEFT JOIN (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type = 'signup') s
+ON s.user_id = v.user_id AND s.ts <= v.ts AND NOT EXISTS (SELECT 1 FROM events x WHERE x.event_type = 'signup' AND x.user_id = v.user_id AND x.ts <= v.ts AND (x.ts, x.event_id) > (s.ts, s.event_id)) GROUP BY 1""")
+def chapter_asof(spark, d):
+    """The last sign-up at or before each view, as a position's chapter is looked up."""
+    e = read(spark, d, "events").select("event_id", "ts", "user_id", "event_type")
+    state = F.when(F.col("event_type") == "signup", F.col("event_id"))
+    # Openings at a view's own place count: they come first.
+    order = ["ts", (F.col("event_type") != "signup"), "event_id"]
+    return e.withColumn("chapter", intervals.state_at(e, "user_id", order, state)).where("event_type = 'view'").select("event_id", "chapter")
 
 
 @query("""WITH s AS (SELECT event_id, user_id, epoch_us(ts) AS a, epoch_us(ts) + 86400000000 AS b FROM events WHERE event_type = 'signup')
@@ -235,7 +288,7 @@ def replay_lookup(spark, d):
     """The first document with the same normalised text; texts meet as digests."""
     keyed = read(spark, d, "documents").select("doc_id", F.sha2(tx.lookup_key(F.col("text")), 256).alias("k"))
     first = keyed.groupBy("k").agg(F.min("doc_id").alias("recording"))
-    return keyed.join(first, "k").select("doc_id", "recording")
+    return skew.join_unique(keyed, first, "k").select("doc_id", "recording")
 
 
 @query(r"""SELECT page_id, len(regexp_extract_all(html, '<p>')) AS n_p, len(regexp_extract_all(html, '<li>')) AS n_li, regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_extract(url, '[?&]page=([0-9]+)', 1) AS page FROM pages""")
@@ -245,7 +298,16 @@ def page_blocks(spark, d):
     return p.select("page_id", F.size(F.regexp_extract_all("html", F.lit("<p>"), F.lit(0))).cast("long").alias("n_p"), F.size(F.regexp_extract_all("html", F.lit("<li>"), F.lit(0))).cast("long").alias("n_li"), F.parse_url("url", F.lit("HOST")).alias("host"), F.when(page.rlike("^[0-9]+$"), page).otherwise("").alias("page"))
 
 
-@query()
+@query(r"""WITH RECURSIVE p AS (SELECT doc_id, text, string_split(text, '. ') AS s FROM documents WHERE text IS NOT NULL),
+points AS (SELECT doc_id, generate_subscripts(s, 1) AS i, unnest(s) || CASE WHEN generate_subscripts(s, 1) < len(s) THEN '. ' ELSE '' END AS x FROM p WHERE length(text) > 1500),
+filled AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, x FROM points WHERE regexp_replace(x, '\s', '', 'g') <> ''),
+many AS (SELECT doc_id FROM filled GROUP BY 1 HAVING count(*) > 1),
+fold AS (SELECT doc_id, 1::BIGINT AS i, 0 AS part, length(x) AS n FROM filled JOIN many USING (doc_id) WHERE i = 1
+  UNION ALL SELECT f.doc_id, f.i + 1, CASE WHEN f.n + length(t.x) > 1500 THEN f.part + 1 ELSE f.part END, CASE WHEN f.n + length(t.x) > 1500 THEN length(t.x) ELSE f.n + length(t.x) END
+  FROM fold f JOIN filled t ON t.doc_id = f.doc_id AND t.i = f.i + 1),
+parts AS (SELECT doc_id, part, trim(string_agg(x, '' ORDER BY i), E' \n\t\r') AS chunk FROM fold JOIN filled USING (doc_id, i) GROUP BY 1, 2
+  UNION ALL SELECT doc_id, 0, text FROM p WHERE doc_id NOT IN (SELECT doc_id FROM many))
+SELECT doc_id, part, length(chunk) AS n_chars, sha256(chunk) AS digest FROM parts""")
 def chunk_pack(spark, d):
     """Documents cut at sentence ends and packed into parts under the character budget."""
     docs = read(spark, d, "documents").select("doc_id", F.posexplode(tx.pack_points(F.col("text"), r"(?<=\. )", 1500)).alias("part", "chunk"))
@@ -253,7 +315,7 @@ def chunk_pack(spark, d):
 
 
 @query("""WITH t AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id, turn, role ORDER BY text) AS r, turn % 4 AS k FROM conversations)
-SELECT conv_id, turn, role, r, k IN (0, 3) AS refused, CASE WHEN k IN (1, 2) THEN 1 ELSE 0 END AS n_claims, CASE k WHEN 1 THEN '1' WHEN 2 THEN '2,1' ELSE '' END AS cited, CASE WHEN k = 0 THEN 'the date' ELSE '' END AS missing FROM t""")
+SELECT conv_id, turn, role, r, k IN (0, 3) AS refused, CASE WHEN k IN (1, 2) THEN 1 ELSE 0 END AS n_claims, CASE k WHEN 1 THEN '1' WHEN 2 THEN '2,1' ELSE '' END AS cited, CASE k WHEN 0 THEN 'the date' WHEN 3 THEN 'a provision of the Act that addresses the description' ELSE '' END AS missing FROM t""")
 def parse_draft(spark, d):
     """Drafts written from conversation turns: refusals, cited claims and claims without a valid marker."""
     c = read(spark, d, "conversations").select("conv_id", "turn", "role", F.row_number().over(Window.partitionBy("conv_id", "turn", "role").orderBy("text")).alias("r"))
@@ -265,15 +327,23 @@ def parse_draft(spark, d):
     return out.select("conv_id", "turn", "role", "r", F.col("p.refused").alias("refused"), F.size("p.claims").alias("n_claims"), cited.alias("cited"), F.array_join("p.missing", ",").alias("missing"))
 
 
+def alike(spark, d):
+    """Pairs of different documents that begin with the same eight words: each with the first of its group."""
+    docs = read(spark, d, "documents").select("doc_id", "text").where("text is not null")
+    key = F.sha2(F.lower(F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 1, 8), " ")), 256)
+    docs = docs.withColumn("k", key)
+    first = docs.groupBy("k").agg(F.min(F.struct("doc_id", "text")).alias("first"))
+    return skew.join_unique(docs, first, "k").where("text <> first.text").select("doc_id", "text", F.col("first.doc_id").alias("other"), F.col("first.text").alias("other_text"))
+
+
 @query()
 def lcs_diff(spark, d):
-    """Word diff of each order line's description in two versions."""
-    o = read(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_custkey")
-    a = F.format_string("Order of customer %d has status %s and priority %s.", "o_custkey", "o_orderstatus", "o_orderpriority")
-    b = F.format_string("Order by customer %d has the status %s with priority %s.", "o_custkey", F.lower("o_orderstatus"), "o_orderpriority")
-    out = o.select("o_orderkey", compare.word_diff(a, b).alias("x"))
-    changed = lambda c: F.array_join(F.transform(F.filter(c, lambda s: s["changed"]), lambda s: s["text"]), "|")
-    return out.select("o_orderkey", changed(F.col("x.before")).alias("gone"), changed(F.col("x.after")).alias("come"))
+    """Word diff of each document and the first one that begins as it does."""
+    out = alike(spark, d).select("doc_id", "other", compare.word_diff("other_text", "text").alias("x"))
+    changed = lambda c: F.filter(c, lambda s: s["changed"])
+    digest = lambda c: F.sha2(F.array_join(F.transform(changed(c), lambda s: s["text"]), "|"), 256)
+    size = lambda c: F.size(changed(c))
+    return out.select("doc_id", "other", size("x.before").alias("n_gone"), size("x.after").alias("n_come"), digest("x.before").alias("gone"), digest("x.after").alias("come"))
 
 
 # --- versions, reports, captures --------------------------------------------------------
@@ -300,12 +370,13 @@ def anti_chunk_units(spark, d):
 
 
 _FACTS = """f AS (SELECT event_type AS arm, user_id % 2 AS version, row_number() OVER (PARTITION BY event_type, user_id % 2 ORDER BY event_id) - 1 AS call_index,
-  event_id % 11 = 0 AS failed, event_id % 7 = 0 AS refused, user_id % 3 = 0 AS expects_refusal, event_id % 10 / 10.0 AS recall, user_id % 40 AS nodes,
+  event_id % 11 = 0 AS failed, event_id % 7 = 0 AS refused, user_id % 3 = 0 AS expects_refusal, event_id % 10 / 10.0 AS recall, event_id % 20 / 20.0 AS reached, event_id % 4 / 4.0 AS p_nodes, event_id % 8 / 8.0 AS p_articles, user_id % 40 AS nodes,
   CASE WHEN event_id % 5 > 0 THEN event_id % 5 / 5.0 END AS faith, event_id % 3 AS on_gold, event_id % 1000 AS pt, event_id % 100 AS ct, event_id % 997 AS ms FROM events)"""
 
 
 @query(f"""WITH {_FACTS} SELECT arm, version, count(*) FILTER (NOT failed) AS answered, count(*) FILTER (failed) AS failed,
- round(coalesce(avg(recall) FILTER (NOT failed), 0), 6) AS recall, round(coalesce(avg(nodes) FILTER (NOT failed), 0), 6) AS nodes_supplied,
+ round(coalesce(avg(recall) FILTER (NOT failed), 0), 6) AS recall, round(coalesce(avg(reached) FILTER (NOT failed), 0), 6) AS recall_reached,
+ round(coalesce(avg(p_nodes) FILTER (NOT failed), 0), 6) AS precision_over_nodes, round(coalesce(avg(p_articles) FILTER (NOT failed), 0), 6) AS precision_over_articles, round(coalesce(avg(nodes) FILTER (NOT failed), 0), 6) AS nodes_supplied,
  round(avg(faith) FILTER (NOT failed), 6) AS faithfulness, round(avg(recall) FILTER (NOT failed AND NOT refused), 6) AS answer_recall,
  count(*) FILTER (NOT failed AND NOT refused AND on_gold = 0) AS no_gold_answers, count(*) FILTER (NOT failed AND expects_refusal) AS refusal_questions,
  count(*) FILTER (NOT failed AND expects_refusal AND refused) AS correct_refusals, count(*) FILTER (NOT failed AND NOT expects_refusal) AS answer_questions,
@@ -317,10 +388,12 @@ FROM f GROUP BY arm, version""")
 def arm_summary(spark, d):
     e = read(spark, d, "events").select("event_id", "user_id", "event_type")
     i, u = F.col("event_id"), F.col("user_id")
-    index = F.row_number().over(Window.partitionBy("event_type", u % 2).orderBy("event_id")) - 1
+    opening = e.groupBy("event_type", (u % 2).alias("v")).agg(F.min("event_id").alias("opening"))  # a row an arm and version
+    e = e.withColumn("v", u % 2).join(F.broadcast(opening), ["event_type", "v"])
+    index = F.when(i == F.col("opening"), 0).otherwise(1)  # only the first call is told apart
     facts = e.select(
         F.col("event_type").alias("arm"), (u % 2).alias("version"), index.alias("call_index"), F.when(i % 11 == 0, "Timeout").alias("error"), (i % 7 == 0).alias("refused"), (u % 3 == 0).alias("expects_refusal"),
-        (i % 10 / 10.0).alias("recall"), (i % 10 / 10.0).alias("answer_recall"), (u % 40).alias("nodes_supplied"), F.when(i % 5 > 0, i % 5 / 5.0).alias("faithfulness"), (i % 3).alias("claims_on_gold"),
+        (i % 10 / 10.0).alias("recall"), (i % 20 / 20.0).alias("recall_reached"), (i % 4 / 4.0).alias("precision_over_nodes"), (i % 8 / 8.0).alias("precision_over_articles"), (i % 10 / 10.0).alias("answer_recall"), (u % 40).alias("nodes_supplied"), F.when(i % 5 > 0, i % 5 / 5.0).alias("faithfulness"), (i % 3).alias("claims_on_gold"),
         (i % 1000).alias("prompt_tokens"), (i % 100).alias("completion_tokens"), (i % 997).alias("duration_ms"),
     )
     return evaluate.arm_summary(facts)
@@ -339,9 +412,8 @@ def sweep_cross(spark, d):
     """Every question under every arm and version, with its place in the sweep."""
     arms = F.array(*map(F.lit, ("full", "search", "walk")))
     versions = F.array(*map(F.lit, ("original", "consolidated")))
-    q = read(spark, d, "conversations").select("conv_id").distinct()
-    rows = q.withColumn("arm", F.explode(arms)).withColumn("version", F.explode(versions))
-    return rows.withColumn("call_index", F.row_number().over(Window.partitionBy("arm", "version").orderBy("conv_id")) - 1)
+    q = order.numbered(read(spark, d, "conversations").select("conv_id").distinct(), ["conv_id"], "call_index")
+    return q.withColumn("arm", F.explode(arms)).withColumn("version", F.explode(versions))
 
 
 @query("""SELECT doc_id, quality, 'new' AS run FROM labels WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, quality, 'old' FROM labels WHERE doc_id % 3 <> 0""")

@@ -20,7 +20,7 @@ def test_point_names(spark):
         ("Article 6", f"1. None here. 2. {words}.", "Article 6(2)"),
         ("Article 6(3)", f"3. Lead: (a) other; (b) {words}.", "Article 6(3), point (b)"),
         ("Article 3", f"Terms: (1) other; (2) {words}.", "Article 3, point (2)"),
-        ("Annex III", f"1. None: (a) other; (b) {words}.", "Annex III, point 1(b)"),
+        ("Schedule III", f"1. None: (a) other; (b) {words}.", "Schedule III, point 1(b)"),
     ]
     rows = spark.createDataFrame([(c, t, n) for c, t, n in cases], "c string, t string, n string")
     got = rows.select("n", passages.closest_point(F.col("c"), F.col("t"), F.lit(words)).alias("p")).collect()

@@ -11,7 +11,7 @@ def one(spark, column):
 def test_reference_targets():
     assert walk.targets_of("Articles 8 to 11 and 15") == ["art_8", "art_9", "art_10", "art_11", "art_15"]
     assert walk.targets_of("Article 6(3)") == ["art_6.3", "art_6"]
-    assert walk.targets_of("Annexes I to III") == ["anx_I", "anx_III"]
+    assert walk.targets_of("Schedules I to III") == ["sch_I", "sch_III"]
     assert walk.targets_of("Articles 5a to 5c") == ["art_5a", "art_5b", "art_5c"]
 
 
@@ -22,7 +22,7 @@ def test_references_to_other_acts_are_dropped(spark):
 
 
 def test_citations(spark):
-    assert one(spark, tx.citation_to_id(F.lit("annex iv"))) == "anx_IV"
+    assert one(spark, tx.citation_to_id(F.lit("schedule iv"))) == "sch_IV"
     assert one(spark, tx.citation_to_id(F.lit("Article 5(2)"))) == "art_5.2"
     assert one(spark, tx.citation_to_id(F.lit("Title 5"))) is None
 

@@ -17,7 +17,7 @@ rows, null ids and other columns do no harm; an empty table gives an empty resul
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -123,21 +123,29 @@ def fit(texts: list[str], langs: list[str], aside: list[bool], epochs: int = 3,
 
 
 def sample_rows(rows: DataFrame, label: str, most: int, *keys: str) -> DataFrame:
-    """At most `most` rows of each label, those of smallest hash of their keys; equal rows are cut by the same bound.
+    """At most `most` rows of each label, chosen by a hash of their keys in whole buckets of the hash.
 
-    Rows over a share of the hash range that holds about twice as many are left before
-    anything is shuffled.
+    A bucket that would exceed the bound, as one of a row repeated very often, is passed over.
+    Only rows of chosen buckets are ever shuffled.
     """
     counts = rows.groupBy(label).count().orderBy(label).limit(MOST_LABELS + 1).collect()
     if len(counts) > MOST_LABELS:
         raise ValueError(f"more than {MOST_LABELS} different labels in {label}")
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col(label).eqNullSafe(F.lit(r[label])), min(1.0, (2 * most + 100) / r["count"])).otherwise(share)
-    hashed = rows.withColumn("_h", F.xxhash64(*keys, F.lit("sample")))
-    near = hashed.where(F.pmod("_h", F.lit(1_000_003)) < share * 1_000_003)
-    first = Window.partitionBy(label).orderBy(F.pmod("_h", F.lit(1_000_003)), "_h", *keys)
-    return near.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).drop("_h", "_n")
+    spark, kind = rows.sparkSession, rows.select(label).schema
+    # Buckets of about a hundredth of the bound, as many as hold it twice.
+    sizes = [(r[label], max(1, min(1 << 30, 100 * r["count"] // most))) for r in counts]
+    sized = spark.createDataFrame(sizes, kind.add("_buckets", "long"))
+    bucket = F.pmod(F.xxhash64(*keys, F.lit("sample")), F.col("_buckets"))
+    near = rows.join(F.broadcast(sized), label).withColumn("_bucket", bucket).where("_bucket < 200")
+    found = near.groupBy(label, "_bucket").count().orderBy(label, "_bucket").collect()  # at most 200 a label
+    held: dict = {}
+    chosen = []
+    for r in found:
+        if held.get(r[label], 0) + r["count"] <= most:
+            held[r[label]] = held.get(r[label], 0) + r["count"]
+            chosen.append((r[label], r["_bucket"]))
+    picked = spark.createDataFrame(chosen, rows.select(label).schema.add("_bucket", "long"))
+    return near.join(F.broadcast(picked), [label, "_bucket"]).select(*rows.columns)
 
 
 def train(labelled: DataFrame, rows_a_language: int = ROWS_A_LANGUAGE) -> LanguageModel:

@@ -96,11 +96,3 @@ def prefix_within(rows: DataFrame, group: str, order: list, cost: Column, budget
     near = rows.withColumn("position", F.row_number().over(w)).where(F.col("position") <= budget // least + 1)
     running = F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return near.withColumn("_kept", (running <= budget) | (F.col("position") == 1)).where("_kept").drop("_kept")
-
-
-def supplied(searched: Column, traversed: Column, dropped: Column) -> Column:
-    return F.filter(F.concat(searched, traversed), lambda x: ~F.array_contains(dropped, x))
-
-
-def recall(gold: Column, found: Column) -> Column:
-    return F.coalesce(F.try_divide(F.size(F.array_intersect(gold, found)), F.size(gold)), F.lit(0.0))

@@ -156,4 +156,5 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
 
 def op5_fingerprints(spark, sf_dir):
+    """Sketches of all documents and their edited texts, with likenesses."""
     return fingerprint_documents(common.table(spark, sf_dir, "documents", "doc_id", "text"))

@@ -398,6 +398,7 @@ def extract_text(pages: DataFrame, model: TreeModel) -> DataFrame:
 
 
 def op9_html_extraction(spark, sf_dir):
+    """The main text of all pages."""
     pages = common.table(spark, sf_dir, "pages", "page_id", "url", "html")
     got = extract_text(pages, train(pages))
     return got.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -277,6 +277,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
 
 
 def op3_jaccard_join(spark, sf_dir):
+    """doc_id, n_shingles, component_id of all documents: sets of four-word shingles, linked from a Jaccard of 0.85."""
+    common.small_batches(spark)
     return similar_groups(common.table(spark, sf_dir, "documents", "doc_id", "text"), shingle=4, num=85, den=100)
 
 

@@ -191,6 +191,7 @@ def held_out():
 
 
 def op2_language_id(spark, sf_dir):
+    """The language of every document, learned from those not held out."""
     docs = common.table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     model = train(docs.where(~held_out()))
     return identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

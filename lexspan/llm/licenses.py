@@ -204,4 +204,5 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
 
 def op4_license_scan(spark, sf_dir):
+    """Base phrases and labels of all documents."""
     return scan_licenses(common.table(spark, sf_dir, "documents", "doc_id", "text")).drop("spans")

@@ -250,6 +250,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
 
 
 def op1_best_fit_packing(spark, sf_dir):
+    """All documents packed into sequences of at most 4,096 tokens; a row a piece."""
     import public_tokenizers
 
     docs = common.table(spark, sf_dir, "documents", "doc_id", "text")

@@ -10,8 +10,10 @@ No piece holds the space mark after another character, nor (looked up when the m
 loaded) letters beside other characters, so no merge spans such a place: a text is cut
 there and every distinct chunk is encoded once per worker.
 
-Defined cases: null or empty text: the end id alone, decoded to an empty text; repeated
-rows, null ids and other columns do no harm; an empty table gives an empty result.
+Defined cases: null or empty text: the end id alone, decoded to an empty text; very long
+texts are encoded whole; equal texts give equal ids; of equally good merges the leftmost is
+made; repeated rows, null ids and other columns do no harm; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ _CHUNK = re.compile(f"{MARK}*[{_LETTERS}]+|{MARK}*[^{MARK}{_LETTERS}]+|{MARK}+")
 _COARSE_CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _MIXED = re.compile(f"[{_LETTERS}][^{_LETTERS}]|[^{MARK}{_LETTERS}][{_LETTERS}]")
 CACHE_CHUNKS = 250_000
+#: Chunks of more characters are not kept, so that the bound holds in bytes too.
+LONG_CHUNK = 64
 
 
 class PieceBpe:
@@ -155,6 +159,8 @@ class PieceBpe:
                     ids = tuple(self.encode_chunk(c))
                     known[c] = len(ids), b"".join(b"%d " % i for i in ids), self._decode_pieces(ids), ids
             got = list(map(known.get, chunks))
+            for c in {c for c in chunks if len(c) > LONG_CHUNK}:
+                del known[c]
         return got
 
     def encode(self, text: str) -> list[int]:
@@ -202,6 +208,7 @@ def encode_digests(docs: DataFrame, model_path: str) -> DataFrame:
 
 
 def op6_sentencepiece(spark, sf_dir):
+    """Numbers and digests of the ids of all documents, and digests of their decoded texts."""
     import public_tokenizers
 
     docs = common.table(spark, sf_dir, "documents", "doc_id", "text")

@@ -82,6 +82,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
 
 
 def op7_token_counts(spark, sf_dir):
+    """Token counts of all documents, through a cache that begins empty."""
     import public_tokenizers
 
     docs = common.table(spark, sf_dir, "documents", "doc_id", "text")

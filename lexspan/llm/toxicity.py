@@ -360,6 +360,7 @@ def held_out():
 
 
 def op10_toxicity(spark, sf_dir):
+    """Toxicity scores of all documents, learned from labels not held out."""
     docs = common.table(spark, sf_dir, "documents", "doc_id", "text")
     labels = common.table(spark, sf_dir, "labels", "doc_id", "toxic")
     chain = train(docs, labels.where(~held_out()))

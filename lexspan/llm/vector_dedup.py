@@ -341,6 +341,7 @@ def _links_of_width(classes: DataFrame, threshold: float, recall: float) -> Data
 
 
 def op8_vector_dedup(spark, sf_dir):
+    """Links and components of all vectors."""
     return near_duplicates(common.table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 
 

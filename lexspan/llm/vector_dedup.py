@@ -172,7 +172,7 @@ def unit_rows(vectors):
 
 
 def chosen_by_hash(classes: DataFrame, n: int, most: int, tag: str) -> DataFrame:
-    return classes.where(F.pmod(F.xxhash64("rep", F.lit(tag)), F.lit(1_000_003)) < int(1_000_003 * min(1.0, most / max(1, n))))
+    return classes.where(F.pmod(F.xxhash64("key", F.lit(tag)), F.lit(1_000_003)) < int(1_000_003 * min(1.0, most / max(1, n))))
 
 
 def train(classes: DataFrame, n: int, threshold: float, recall: float) -> MultiIndex | None:
@@ -184,57 +184,57 @@ def train(classes: DataFrame, n: int, threshold: float, recall: float) -> MultiI
     def learn(pdf):
         import pandas as pd
 
-        index = fit(unit_rows(pdf.sort_values("rep")["v"].tolist()), codes)
+        index = fit(unit_rows(pdf.sort_values("cid")["v"].tolist()), codes)
         return pd.DataFrame({"model": [pickle.dumps((index.first, index.second))]})
 
-    sample = chosen_by_hash(classes, n, max(SAMPLE, SAMPLE_A_CODE * codes), "sample").select("rep", "v", F.lit(1).alias("one"))
+    sample = chosen_by_hash(classes, n, max(SAMPLE, SAMPLE_A_CODE * codes), "sample").select("cid", "v", F.lit(1).alias("one"))
     got = sample.groupBy("one").applyInPandas(learn, "model binary").collect()
     if not got:
         return None
     index = MultiIndex(*pickle.loads(got[0]["model"]), 1)
-    queries = chosen_by_hash(classes, n, QUERIES, "query").select("rep", "label", "v").orderBy("rep").collect()
+    queries = chosen_by_hash(classes, n, QUERIES, "query").select("cid", "label", "v").orderBy("cid").collect()
     if not queries:
         index.visits = visits_needed(index, [], [], threshold, recall)
         return index
     rows = unit_rows([r["v"] for r in queries])
-    targets = partners(classes, index, rows, [r["label"] for r in queries], [r["rep"] for r in queries], threshold)
+    targets = partners(classes, index, rows, [r["label"] for r in queries], [r["cid"] for r in queries], threshold)
     index.visits = visits_needed(index, rows, targets, threshold, recall)
     return index
 
 
-def partners(classes: DataFrame, index: MultiIndex, queries, labels, reps, threshold: float) -> list:
+def partners(classes: DataFrame, index: MultiIndex, queries, labels, cids, threshold: float) -> list:
     """(query, cell, number) of the true partners of each query among all classes, by brute force in blocks."""
 
     def find(batches):
         import numpy as np
         import pandas as pd
 
-        own, ids = np.asarray(labels), np.asarray(reps)
+        own, ids = np.asarray(labels), np.asarray(cids)
         for pdf in batches:
             for at in range(0, len(pdf), BLOCK):
                 part = pdf.iloc[at : at + BLOCK]
                 rows = unit_rows(part["v"].tolist())
-                near = (rows @ queries.T >= threshold) & (part["label"].to_numpy()[:, None] == own[None]) & (part["rep"].to_numpy()[:, None] != ids[None])
+                near = (rows @ queries.T >= threshold) & (part["label"].to_numpy()[:, None] == own[None]) & (part["cid"].to_numpy()[:, None] != ids[None])
                 r, q = near.nonzero()
                 pairs = pd.DataFrame({"q": q, "cell": index.homes(rows)[r]})
                 yield pairs.groupby(["q", "cell"]).size().reset_index(name="n").astype("int64")
 
-    found = classes.select("rep", "label", "v").mapInPandas(find, "q long, cell long, n long")
+    found = classes.select("cid", "label", "v").mapInPandas(find, "q long, cell long, n long")
     return [tuple(r) for r in found.groupBy("q", "cell").agg(F.sum("n").alias("n")).orderBy("q", "cell").collect()]
 
 
-LINK_SCHEMA = "rep long, n long, root long"
+LINK_SCHEMA = "cid long, rep long, n long, root long"
 
 
 def _link_blocks(index: MultiIndex, threshold: float):
     """Links of the blocks (label, cell, mb, qb) that one task takes at once."""
 
-    def block(v, rep, weight, home, far, q, m):
+    def block(v, cid, rep, weight, home, far, q, m):
         """Counts and roots of the queries q and members m, as places in the task's rows."""
         import numpy as np
 
         near = v[q] @ v[m].T >= threshold
-        near &= rep[q][:, None] != rep[m][None]
+        near &= cid[q][:, None] != cid[m][None]
         hit, hit_m = near.any(1), near.any(0)
         if not hit.any():
             return []
@@ -249,7 +249,7 @@ def _link_blocks(index: MultiIndex, threshold: float):
             if (nm == rm).all() and (nq == rq).all():
                 break
             rq, rm = nq, nm
-        return [(rep[q], near @ weight[m], rq), (rep[m], weight[q] @ alone, rm)]
+        return [(cid[q], rep[q], near @ weight[m], rq), (cid[m], rep[m], weight[q] @ alone, rm)]
 
     def link(pdf):
         import numpy as np
@@ -260,15 +260,15 @@ def _link_blocks(index: MultiIndex, threshold: float):
         order = np.lexsort((query, unit))
         unit, query = unit[order], query[order]
         v = unit_rows(pdf["v"].tolist())
-        rep, weight, home, far = (pdf[c].to_numpy() for c in ("rep", "weight", "home", "far"))
+        cid, rep, weight, home, far = (pdf[c].to_numpy() for c in ("cid", "rep", "weight", "home", "far"))
         found = []
         cuts = np.flatnonzero(np.diff(unit)) + 1
         for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(unit)]):
             mid = lo + int(np.searchsorted(query[lo:hi], True))
             if lo < mid < hi:
-                found += block(v, rep, weight, home, far, order[mid:hi], order[lo:mid])
-        out = [np.concatenate(c) for c in zip(*found)] if found else [np.empty(0, np.int64)] * 3
-        return pd.DataFrame(dict(zip(("rep", "n", "root"), out))).astype("int64")
+                found += block(v, cid, rep, weight, home, far, order[mid:hi], order[lo:mid])
+        out = [np.concatenate(c) for c in zip(*found)] if found else [np.empty(0, np.int64)] * 4
+        return pd.DataFrame(dict(zip(("cid", "rep", "n", "root"), out))).astype("int64")
 
     return link
 
@@ -284,26 +284,27 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, recall: float =
     used = rows.where(sound).select("vec_id", F.col("label").cast("string").alias("label"), v.alias("v"), F.unhex(F.sha2(F.to_json(key), 256)).alias("key"))
     used = common.materialize(used, "vectors")
     classes = used.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"))
-    # A repeated vec_id may represent several classes; ids of classes are then told apart by the key's order.
     width = F.size("v")
     first = used.join(classes.withColumnRenamed("rep", "vec_id"), ["key", "vec_id"]).dropDuplicates(["key"])
-    first = first.select(F.col("vec_id").alias("rep"), "weight", "label", "v", width.alias("width"))
+    # One id may represent several classes: these are told apart by a number.
+    first = first.select(F.monotonically_increasing_id().alias("cid"), "key", F.col("vec_id").alias("rep"), "weight", "label", "v", width.alias("width"))
     first = common.materialize(first, "classes")
     widths = [r["width"] for r in first.groupBy("width").count().orderBy("width").collect()]
     found = None
     for w in widths:
         part = _links_of_width(first.where(F.col("width") == w), threshold, recall)
         found = part if found is None else found.unionByName(part)
-    member = used.join(classes, "key").select("vec_id", "rep", "weight")
+    member = common.join_unique(used.select("vec_id", "key"), first.select("key", "cid", "rep", "weight"), "key").drop("key")
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     found = common.materialize(found, "links")
-    counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
+    counts = found.groupBy("cid").agg(F.sum("n").alias("n"))
     edges = found.select(F.col("rep").alias("a"), F.col("root").alias("b"))
     # Ids that stand in several rows tie their classes together.
     ties = member.where("vec_id <> rep").select(F.col("vec_id").alias("a"), F.col("rep").alias("b"))
     groups = components(edges.unionByName(ties)).withColumnRenamed("id", "vec_id")
-    per_row = member.join(counts, "rep", "left").groupBy("vec_id").agg(F.max(F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    counts = first.select("cid").join(counts, "cid", "left").select("cid", F.coalesce("n", F.lit(0)).alias("n"))
+    per_row = common.join_unique(member, counts, "cid").groupBy("vec_id").agg(F.max(F.col("n") + F.col("weight") - 1).alias("n_links"))
     out = rows.select("vec_id").join(per_row, "vec_id", "left").join(groups, "vec_id", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
@@ -317,9 +318,9 @@ def _links_of_width(classes: DataFrame, threshold: float, recall: float) -> Data
         for pdf in batches:
             got = index.walks(unit_rows(pdf["v"].tolist())) if len(pdf) else []
             home, walk, far = ([g[k] for g in got] for k in range(3))
-            yield pdf[["rep", "weight", "label", "v"]].assign(home=home, walk=walk, far=far)
+            yield pdf[["cid", "rep", "weight", "label", "v"]].assign(home=home, walk=walk, far=far)
 
-    placed = classes.select("rep", "weight", "label", "v").mapInPandas(place, "rep long, weight long, label string, v array<double>, home long, walk array<long>, far double")
+    placed = classes.select("cid", "rep", "weight", "label", "v").mapInPandas(place, "cid long, rep long, weight long, label string, v array<double>, home long, walk array<long>, far double")
     placed = common.materialize(placed, "placed")
     # Full cells are dealt to blocks of members, and what visits them to blocks of queries.
     members = placed.groupBy("label", F.col("home").alias("cell")).agg(F.count(F.lit(1)).alias("nm"))
@@ -331,8 +332,8 @@ def _links_of_width(classes: DataFrame, threshold: float, recall: float) -> Data
     tasks = max(1, -(-int(size["rows"] or 0) // TASK_ROWS))
     sent = F.broadcast(cells) if size["n"] <= BROADCAST_CELLS else cells
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    dealt = lambda c, tag: F.pmod(F.xxhash64("rep", F.lit(tag)), F.col(c)).cast("int")
-    cols = ["label", "cell", "mb", "qb", "query", "rep", "weight", "home", "far", "v"]
+    dealt = lambda c, tag: F.pmod(F.xxhash64("cid", F.lit(tag)), F.col(c)).cast("int")
+    cols = ["label", "cell", "mb", "qb", "query", "cid", "rep", "weight", "home", "far", "v"]
     home = placed.withColumn("cell", F.col("home")).join(sent, ["label", "cell"]).withColumn("mb", dealt("mbs", 0)).withColumn("qb", every("qbs"))
     walks = placed.withColumn("cell", F.explode("walk")).join(sent, ["label", "cell"]).withColumn("qb", dealt("qbs", 1)).withColumn("mb", every("mbs"))
     both = home.withColumn("query", F.lit(False)).select(*cols).unionByName(walks.withColumn("query", F.lit(True)).select(*cols))

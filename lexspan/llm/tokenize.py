@@ -189,7 +189,7 @@ class ByteCounts:
         return [len(e) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def batch(self, texts: list[str]) -> list[int]:
-        return [r for part in _slices(texts) for r in self._slice(part)]
+        return [r for part in _slices(texts, SLICE_CHARS // 4) for r in self._slice(part)]  # words are held as Python strings
 
     def _slice(self, texts: list[str]) -> list[int]:
         import numpy as np

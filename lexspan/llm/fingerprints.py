@@ -151,7 +151,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     return full.select(
         "doc_id", "n_chars", "edited_sha256", as_text(text["kept"]).alias("fingerprint"), as_text(edit["kept"]).alias("edited_fingerprint"),
         likeness(text, edit).alias("near_edited"), likeness(text, following).alias("near_next"),
-        containment(text, edit).alias("held_by_edited"), containment(edit, text).alias("edited_held"),
+        containment(text, edit).alias("held_by_edited"),
     )
 
 

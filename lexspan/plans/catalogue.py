@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import compare, evaluate, intervals, order, search, skew, walk
+from ..operators import compare, evaluate, intervals, order, report, search, skew, walk
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -152,25 +152,20 @@ reached AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY
   (SELECT q, id, 1 AS hop FROM r1 UNION ALL SELECT q, id, 2 FROM r2 UNION ALL SELECT q, id, 3 FROM r3)) WHERE rank <= 40)"""
 
 
-@query(f"""WITH {_REACH}, per AS (SELECT q, depth, count(id) AS n, count(*) FILTER (id IN (q + 1, q + 2, q + 3)) AS found
-  FROM seed CROSS JOIN (VALUES (1), (2), (3)) d(depth) LEFT JOIN reached USING (q) WHERE hop IS NULL OR hop <= depth GROUP BY q, depth),
-every AS (SELECT q, depth, coalesce(n, 0) AS n, coalesce(found, 0) AS found FROM (SELECT q, depth FROM seed CROSS JOIN (VALUES (1), (2), (3)) d(depth)) LEFT JOIN per USING (q, depth))
-SELECT depth, count(*) AS questions, round(avg(found / 3), 6) AS recall, round(avg(n), 6) AS nodes FROM every GROUP BY depth""")
+@query(f"""WITH {_REACH}, every AS (SELECT q, depth, q % 40 = 0 AS even FROM seed CROSS JOIN (VALUES (1), (2), (3)) d(depth)),
+per AS (SELECT q, depth, even, (SELECT count(*) FROM reached r WHERE r.q = e.q AND hop <= depth) AS n, (SELECT count(*) FROM reached r WHERE r.q = e.q AND hop <= depth AND id IN (q + 1, q + 2, q + 3)) AS found FROM every e)
+SELECT CASE WHEN even THEN 'original' ELSE 'consolidated' END AS version, depth, count(*) AS questions, round(avg(found / 3), 6) AS recall, round(avg(n + 1), 6) AS nodes, round(avg(n + 1), 6) AS articles FROM per GROUP BY 1, 2""")
 def depth_sensitivity(spark, d):
-    """Questions, mean recall and mean reached nodes for depths 1 to 3 under the cap.
+    """Questions, mean recall, nodes and articles by version for depths 1 to 3 under the cap, from one walk to depth 3.
 
-    The ranking is by hop first, so one walk to depth 3 holds the capped walks of all depths.
-    A seed's gold nodes are the three parts numbered after it.
+    A seed's gold nodes are the three parts numbered after it; every part is its own article.
     """
     seeds = _seeds(spark, d)
     reached = walk.walk(seeds, _edges(spark, d), 3, 40).select("query_id", "id", "hop")
-    depths = F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("depth")
-    every = seeds.select("query_id", depths)
-    found = reached.select("query_id", "hop", F.col("id").between(F.col("query_id") + 1, F.col("query_id") + 3).alias("gold"))
-    per = every.join(found, "query_id", "left").groupBy("query_id", "depth").agg(
-        F.count_if(F.col("hop") <= F.col("depth")).alias("n"), F.count_if((F.col("hop") <= F.col("depth")) & F.col("gold")).alias("found")
-    )
-    return per.groupBy("depth").agg(F.count(F.lit(1)).alias("questions"), F.round(F.avg(F.col("found") / 3), 6).alias("recall"), F.round(F.avg("n"), 6).alias("nodes"))
+    gold = F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda k: (F.col("query_id") + k).cast("string"))
+    version = F.when(F.col("query_id") % 40 == 0, "original").otherwise("consolidated")
+    recorded = seeds.select("query_id", version.alias("version"), F.array(F.col("id").cast("string")).alias("searched"), gold.alias("gold"))
+    return report.depth_rows(recorded, reached)
 
 
 @query("""SELECT query_id, id, src FROM (SELECT o_orderkey % 1000 AS query_id, 'c' || o_custkey AS id, 'o' || o_orderkey AS src,

@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import arms, layout, provisions, reader, scoring
+from ..operators import arms, layout, provisions, reader, report, scoring, walk
 from ..sources import html, scratch, stores
-from .catalogue import _CW, query, read
+from . import catalogue
+from .catalogue import _CW, _EDGES, query, read
 
 # --- pages ------------------------------------------------------------------------------
 
@@ -360,3 +361,70 @@ def full_context_arm(spark, d):
     p = _provisions(spark, d).select("version", "ord", "id", "kind", F.col("id").alias("citation"), F.lit("").alias("text"))
     questions = read(spark, d, "orders").where("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("question")).withColumn("version", F.explode(F.array(F.lit("original"), F.lit("consolidated"))))
     return arms.full_context(questions, p).select("question", "version", F.size("searched").alias("searched"), F.size("traversed").alias("traversed"))
+
+
+# --- reports ----------------------------------------------------------------------------
+
+_SUMMARY = catalogue.SQL["arm_summary"]
+
+
+@query(f"""WITH s AS (SELECT * FROM ({_SUMMARY}))
+SELECT arm, version, '| ' || arm || ' | ' || version || ' | ' || prompt_tokens || ' | ' || completion_tokens || ' | ' || coalesce(printf('%.1f s', first_call_ms / 1000), 'failed') || ' | ' ||
+  coalesce(printf('%.1f s', later_calls_ms / 1000), 'one call only') || ' | $' || printf('%.2f', projected_cost) || ' |' AS cost, answered || '/' || failed AS runs, 'abc1234' AS "commit" FROM s""")
+def report_tables(spark, d):
+    """The cost table's lines of the arm summary, stamped."""
+    s = catalogue.QUERIES["arm_summary"](spark, d)
+    lines = report.cost_lines(s).withColumnRenamed("line", "cost").join(report.accuracy_lines(s), ["arm", "version"])
+    cells = F.split("line", r" \| ")
+    rows = lines.select("arm", "version", "cost", F.concat_ws("/", cells[2], cells[3]).alias("runs"))
+    return report.stamped(rows, "abc1234", "2026-01-01").drop("captured_at")
+
+
+@query(f"""WITH {_TRACE}, f AS (SELECT *, q % 11 = 0 AS failed, q % 4 = 0 AS refused FROM a WHERE q % 3 <> 0)
+SELECT q AS question, CASE WHEN failed THEN 'Timeout' END AS error, CASE WHEN NOT failed THEN round(len(list_intersect(gold, arts)) / len(gold), 6) END AS recall, CASE WHEN NOT failed THEN refused END AS refused,
+  CASE WHEN NOT failed AND NOT refused THEN 0.0::DOUBLE END AS faithfulness, CASE WHEN NOT failed THEN CASE WHEN refused THEN 0 ELSE 1 END END AS claims_on_gold FROM f""")
+def flat_results(spark, d):
+    """Traces as answers of one claim on gold that nothing supports, joined with the questions that are known; failures without scores."""
+    q = F.col("q")
+    t = _traces(spark, d).withColumnRenamed("q", "question")
+    questions = _traces(spark, d).where(q % 3 != 0).select(q.alias("question"), F.lit(False).alias("expects_refusal"))
+    claims = F.array(F.struct(F.lit("nothing supports this").alias("statement"), F.slice("gold", 1, 1).alias("cited")))
+    k = F.col("question")
+    rows = report.known_questions(t, questions).withColumn("version", F.lit("v")).withColumn("arm", F.lit("a")).withColumn("refused", k % 4 == 0).withColumn("claims", claims)
+    rows = rows.withColumn("given_text", F.lit("")).withColumn("error", F.when(k % 11 == 0, "Timeout"))
+    return report.flat_results(rows).select("question", "error", F.round("recall", 6).alias("recall"), "refused", "faithfulness", "claims_on_gold")
+
+
+@query(f"""WITH {_EDGES}, n AS (SELECT count(DISTINCT p_partkey) AS nodes FROM part) SELECT nodes, count(*) AS edges, count(DISTINCT s) AS sources FROM e, n GROUP BY nodes""")
+def graph_counts(spark, d):
+    return report.graph_counts(catalogue._edges(spark, d), read(spark, d, "part").select(F.col("p_partkey").alias("id")))
+
+
+@query(f"""WITH {_PROV}, src AS (SELECT version, id, k FROM ids WHERE kind IN ('article', 'roman', 'recital'))
+SELECT DISTINCT s.version || ':' || s.id AS source_id, t.id AS target_id, 'Articles ' || (s.k + 1) || ', ' || (s.k + 2) || ' and ' || (s.k + 4) AS phrase
+FROM src s JOIN (SELECT DISTINCT id, k FROM ids WHERE kind = 'article') t ON t.k IN (s.k + 1, s.k + 2, s.k + 4)""")
+def cited_edges(spark, d):
+    """References of articles, recitals and schedules, with the phrase that names each; paragraphs are no sources."""
+    k = F.regexp_extract(F.col("id"), r"(\d+)", 1).cast("long")
+    p = _provisions(spark, d)
+    text = F.concat(F.lit("As Articles "), (k + 1).cast("string"), F.lit(", "), (k + 2).cast("string"), F.lit(" and "), (k + 4).cast("string"), F.lit(" say, and Articles 1 to 3 of Regulation 5."))
+    sources = p.select(F.concat_ws(":", "version", "id").alias("id"), text.alias("text"), "kind")
+    targets = p.where("kind = 'article'").select("id", F.lit("").alias("text"), F.lit("target").alias("kind")).distinct()
+    return walk.extract_references(sources.unionByName(targets), kinds=("article", "recital", "roman")).select("source_id", "target_id", "phrase").distinct()
+
+
+@query("""WITH v AS (SELECT vec_id, vec_id % 2 AS version, embedding::DOUBLE[] AS e FROM embeddings), n AS (SELECT q.vec_id AS query_id, q.version, v.vec_id, round(list_distance(q.e, v.e), 6) AS dist
+  FROM v q JOIN v ON v.version = q.version AND v.vec_id <> q.vec_id WHERE q.vec_id % 20 < 2)
+SELECT query_id, version, string_agg(vec_id, ',' ORDER BY dist, vec_id) AS searched FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS r FROM n) WHERE r <= 12 GROUP BY 1, 2""")
+def search_by_version(spark, d):
+    """The search arm: nearest vectors of the question's own version, the number asked for left to its default."""
+    from ..operators import search
+
+    v = read(spark, d, "embeddings").select("vec_id", "embedding")
+    found = None
+    for version in (0, 1):
+        part = search.check_width(v.where(F.col("vec_id") % 2 == version), "embedding", v.select(F.size("embedding").alias("n")).first()["n"])
+        hits = search.nearest(part, part.where("vec_id % 20 < 2").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 12)
+        hits = hits.select(F.col("query_id").alias("question"), F.lit(version).alias("version"), F.col("vec_id").alias("id"), "rank")
+        found = hits if found is None else found.unionByName(hits)
+    return arms.search_only(found).select(F.col("question").alias("query_id"), "version", F.array_join("searched", ",").alias("searched"))

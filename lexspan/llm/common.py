@@ -93,16 +93,21 @@ def serve(operator: str) -> None:
     """
     if _SERVED == [operator]:
         return
-    import ctypes
-    import gc
-
-    import pyarrow as pa
-
     for other, caches in _KEPT.items():
         if other != operator:
             for cache in caches:
                 cache.cache_clear()
     _SERVED[:] = [operator]
+    release()
+
+
+def release() -> None:
+    """Gives memory that a task has freed back to the machine, as after training."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

@@ -160,8 +160,10 @@ def train(labelled: DataFrame, rows_a_language: int = ROWS_A_LANGUAGE) -> Langua
     def learn(pdf):
         import pandas as pd
 
+        common.serve("language")
         pdf = pdf.sort_values(["doc_id", "text"])
         model = fit(pdf["text"].tolist(), pdf["lang"].tolist(), [zlib_crc(i) % 5 == 0 for i in pdf["doc_id"].tolist()])
+        common.release()
         return pd.DataFrame({"model": [pickle.dumps((model.languages, model.idf.astype("float32"), model.weights.astype("float32"), model.temperature))]})
 
     got = chosen.select("doc_id", "text", "lang", F.lit(1).alias("one")).groupBy("one").applyInPandas(learn, "model binary").collect()

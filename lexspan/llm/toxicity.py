@@ -35,7 +35,7 @@ from .tokenize import _distinct, _slices
 
 _TOKEN = re.compile(r"\w+")
 #: Bound of labelled rows a class that the model is fitted on.
-ROWS_A_CLASS = 4_000
+ROWS_A_CLASS = 2_000
 #: Lengths of the beginnings and of the end of a word that are features.
 BEGINNINGS, END = (3, 4, 5, 6, 7), 3
 BLOCK = 256
@@ -270,21 +270,24 @@ def fit(texts: list[str], toxic: list[bool], aside: list[bool] | None = None, st
     doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     starts = np.zeros(len(at), bool)
     starts[(ends - lengths)[lengths > 0]] = True
-    # Features of each distinct word, as numbers one after the other; those of fewer than three rows say nothing on other texts.
+    # Features of each distinct word, as numbers one after the other.
     size = np.fromiter((len(word_features(w)) for w in words), np.int64, len(words))
     flat = np.fromiter((xxhash.xxh3_64_intdigest(f) >> 1 for w in words for f in word_features(w)), np.int64, int(size.sum()))
-    flat = np.unique(flat, return_inverse=True)[1].astype(np.int32)
-    n = int(flat.max()) + 1
+    feature_ids, flat = np.unique(flat, return_inverse=True)
+    flat, n = flat.astype(np.int32), len(feature_ids)
     learnt = ~aside[doc]
     bad, every = row_frequencies(doc[learnt], at[learnt], toxic, flat, size, n)
     marks = marking(bad, every, int((toxic & ~aside).sum()), int((~toxic & ~aside).sum()))
-    marks = np.append(marks[every >= 3], False)
-    number = np.where(every >= 3, np.cumsum(every >= 3) - 1, len(marks) - 1)
-    flat, n = number[flat].astype(np.int32), len(marks)
-    holder = np.repeat(np.arange(len(words), dtype=np.int32), size)
+    # Features of fewer than three rows say nothing on other texts and are left out.
+    used = every >= 3
+    holder = np.repeat(np.arange(len(words), dtype=np.int32), size)[used[flat]]
+    number = (np.cumsum(used) - 1).astype(np.int32)
+    flat = number[flat[used[flat]]]
+    marks, feature_ids, n = marks[used], feature_ids[used], int(used.sum())
+    del bad, every, number
     by_word = lambda x: np.bincount(holder, x[flat], len(words))  # noqa: E731  (sums over the features of each word)
-    tag = (by_word(marks.astype(float)) > 0)[at] & toxic[doc]
-    y, token, first = tag[learnt], at[learnt], starts[learnt]
+    y = ((by_word(marks.astype(float)) > 0)[at] & toxic[doc])[learnt].astype(np.float32)
+    token, first = at[learnt], starts[learnt]
     seen = np.zeros((2, 2))
     np.add.at(seen, (y[:-1][~first[1:]].astype(int), y[1:][~first[1:]].astype(int)), 1)
     weights, bias, trans = np.zeros(n), -2.0, np.zeros((2, 2))
@@ -293,17 +296,18 @@ def fit(texts: list[str], toxic: list[bool], aside: list[bool] | None = None, st
         p, moves = text_marginals(by_word(weights)[token] + bias, first, trans, moves=True)
         d = y - p
         g = np.bincount(flat, np.bincount(token, d, len(words))[holder], n) - decay * weights
-        g[-1] = 0.0
         g2 += g * g  # adaptive steps: rare features move as far as frequent ones
         weights += rate * g / np.sqrt(g2)
         bias += 8 * rate * d.sum() / total
         trans = trans + 8 * rate * (seen - moves) / total
     kept: dict[str, float] = {}
-    start = np.cumsum(size) - size
-    for k in np.unique(holder[np.abs(weights)[flat] > 1e-3]):
-        for f, i in zip(word_features(words[k]), flat[start[k] : start[k] + size[k]].tolist()):
-            if abs(weights[i]) > 1e-3:
-                kept[f] = round(float(weights[i]), 6)
+    large = np.abs(weights) > 1e-3
+    value = dict(zip(feature_ids[large].tolist(), weights[large].tolist()))
+    for k in np.unique(holder[large[flat]]).tolist():
+        for f in word_features(words[k]):
+            w = value.get(xxhash.xxh3_64_intdigest(f) >> 1)
+            if w is not None:
+                kept[f] = round(w, 6)
     chain = Chain(kept, float(bias), trans)
     # Calibration: Newton steps of a ridge-penalised logistic fit.
     x = document_features(text_marginals(by_word(weights)[at] + bias, starts, trans)[0], ends)
@@ -334,6 +338,7 @@ def train(docs: DataFrame, labels: DataFrame, rows_a_class: int = ROWS_A_CLASS)
         pdf = pdf.sort_values(["doc_id", "text"])
         aside = [zlib.crc32(f"aside {i}".encode()) % 4 == 0 for i in pdf["doc_id"].tolist()]
         chain = fit(pdf["text"].fillna("").tolist(), [bool(t) for t in pdf["toxic"]], aside)
+        common.release()
         return pd.DataFrame({"model": [pickle.dumps(chain and (chain.weights, chain.bias, chain.trans, chain.scale))]})
 
     got = rows.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(learn, "model binary").collect()

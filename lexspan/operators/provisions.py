@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.units import UNITS, Units
 from ..sources import html
+from ..sources.scratch import materialize
 from . import intervals
 
 # Shapes of written numbers and of leaks.
@@ -51,9 +52,14 @@ def parse(pages: DataFrame, markup: Markup, units: Units = UNITS, key: str = "do
     Provisions stand in page order: chapters before the first article after them, paragraphs
     after their article, then units with roman numbers and recitals, which are anchored by id.
     """
-    flat = pages.select(key, html.flatten_html("html").alias("f"))
+    flat = materialize(html.flattened(pages, key), "flat")  # pages are parsed once
     whole = flat.select(key, F.col("f.text").alias("whole"))
-    found = html.elements(pages, key)
+    found = html.elements(flat, key)
+    headed = (markup.heading, markup.subtitle, markup.division, markup.chapter, markup.chapter_title, markup.body, markup.label, markup.roman_title, markup.marker)
+    used = F.col("id").isNotNull()
+    for cls in headed:
+        used = used | of_class(cls)
+    found = materialize(found.where(used), "elements")
     text_of = lambda a, b: F.expr(f"substr(whole, cast({a} as int) + 1, cast({b} - {a} as int))")
     clean = tx.strip_markers if markup.marker else tx.normalize
     ends = found.where(F.col("id").startswith(units.roman[1] + "_") | (F.col("id").startswith(markup.signature) if markup.signature else F.lit(False)))

@@ -83,6 +83,7 @@ def extract_references(provisions: DataFrame, units: Units = UNITS, kinds: tuple
     sources = sources.where(F.col("text").rlike(rf"\b(?:{units.article[0]}|{units.roman_pattern()})"))
     found = sources.select(F.col("id").alias("source_id"), F.explode(references_of(units)("text")).alias("r")).select("source_id", "r.*")
     found = found.where("target_id <> source_id and not startswith(target_id, concat(source_id, '.'))")
+    found = materialize(found, "references")  # texts are read once, though targets are looked at twice
     named = found.select("target_id").distinct().join(provisions.select(F.col("id").alias("target_id")), "target_id", "left_semi")
     return found.join(named, "target_id").select("source_id", "target_id", "phrase", "ord")
 
@@ -109,7 +110,8 @@ def walk(seeds: DataFrame, edges: DataFrame, depth: int = 2, cap: int | None = 4
     Of seeds that repeat an id the first counts.  A node belongs to its first discoverer in
     queue order: seeds by place, then lifted holders (hop 0, which are reached too); seeds
     are never reached.  The ranking by (hop, id as text) is cut at cap.  Nothing is reached
-    if the walk is not enabled.  One join a hop; each hop is deduplicated and written to the
+    if the walk is not enabled.  A query that has reached as many as the cap goes no further, as
+    later hops rank behind.  One join a hop; each hop is deduplicated and written to the
     shared folder, so plans and lost executors cost one hop; it stays within nodes times queries.
     """
     links = edges.select(F.col("source_id").alias("src"), F.col("target_id").alias("id"), "ord")
@@ -132,5 +134,8 @@ def walk(seeds: DataFrame, edges: DataFrame, depth: int = 2, cap: int | None = 4
         out = out.unionByName(new.select("query_id", "id", F.lit(hop).alias("hop"), "src"))
         seen = seen.unionByName(new.select("query_id", "id"))
         front = new.select("query_id", F.col("id").alias("src"), F.struct(F.lit(0).alias("tier"), F.col("npos").alias("pos")).alias("spos"))
+        if cap is not None and hop < depth:
+            full = out.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= cap).select("query_id")
+            front = front.join(full, "query_id", "left_anti")
     ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("hop", F.col("id").cast("string"))))
     return ranked if cap is None else ranked.where(F.col("rank") <= cap)

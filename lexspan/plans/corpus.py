@@ -20,7 +20,8 @@ _SEEN = r"regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', '', '
 WHERE len(regexp_extract_all({_SEEN}, '<' || t.tag || '[ >]')) > 0""")
 def page_elements(spark, d):
     """Elements of each page by tag, out of the flattened pages."""
-    found = html.elements(read(spark, d, "pages").select("page_id", "html"), "page_id")
+    tags = F.explode(F.transform(html.flatten_html("html")["elements"], lambda e: e["tag"])).alias("tag")
+    found = read(spark, d, "pages").select("page_id", tags)
     return found.where(F.col("tag").isin("p", "li", "h1", "article", "nav", "div")).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -71,13 +71,17 @@ def documents(spark, path: str) -> DataFrame:
     return raw.select(F.col("path").alias("doc"), F.decode("content", "UTF-8").alias("html"))
 
 
-def elements(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """key, n, tag, cls, id, start, end, text of every element of every page; n counts them in page order from 0."""
-    flat = pages.select(key, flatten_html(html).alias("f"))
+def elements(flat: DataFrame, key: str) -> DataFrame:
+    """key, n, tag, cls, id, start, end, text of every element of flattened pages (key, f); n counts them in page order from 0."""
     inside = F.col("f.text").substr(F.col("e.start").cast("int") + 1, (F.col("e.end") - F.col("e.start")).cast("int"))
     return flat.select(key, "f", F.explode("f.elements").alias("e")).select(key, "e.*", inside.alias("text"))
 
 
+def flattened(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """key, f: the pages flattened."""
+    return pages.select(key, flatten_html(html).alias("f"))
+
+
 def anchored(found: DataFrame, prefix: str, kind: str, key: str) -> DataFrame:
     """Elements whose id begins with a prefix, as provisions (key, id, kind, number, text, off)."""
     number = F.expr(f"substr(id, {len(prefix) + 1})")

@@ -18,7 +18,10 @@ LEAST_LANGUAGE_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops null and letterless texts and those of no recognised language; if nothing is labelled, all stay."""
+    """Drops null and letterless texts and those of no recognised language; if nothing is labelled, all stay.
+
+    Rows that repeat an id are judged each by its own text; null ids are no harm.
+    """
     common.small_batches(spark)
     model = language.train(docs.where(~language.held_out()))
     if not model.languages:
@@ -28,7 +31,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts that are rather toxic than not; without labels of both kinds all stay."""
+    """Drops texts that are rather toxic than not; without labels of both kinds all stay.
+
+    Null and empty texts have no tokens and stay; rows that repeat an id are judged each.
+    """
     common.small_batches(spark)
     labels = common.table(spark, sf_dir, "labels", "doc_id", "toxic")
     chain = toxicity.train(docs, labels.where(~toxicity.held_out()))
@@ -37,7 +43,10 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group; one row of a repeated id; null ids stay."""
+    """Keeps the document of smallest id of each group; one row of a repeated id; null ids stay.
+
+    Null and empty texts are like nothing and stay.
+    """
     common.small_batches(spark)
     docs = docs.select(*COLUMNS)
     groups = common.materialize(jaccard.similar_groups(docs), "groups")
@@ -51,6 +60,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs all documents, in pieces of at most 4,096 tokens; a null or empty text is its end id alone."""
     common.small_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
@@ -62,7 +72,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: Language models, random fields and packing can't be expressed in SQL; tests use brute force.
+#: Language models, random fields and packing can't be expressed in SQL; tests/llm/test_pipeline.py checks each stage by brute force.
 ORACLE_SQL = None
 
 

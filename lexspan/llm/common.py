@@ -2,41 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize, scratch_path, shared_dir  # noqa: F401  (used by the operators)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a fresh local one only in a local session without one, as in tests."""
-    sc = spark.sparkContext
-    known = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if known is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-        known = sc.getCheckpointDir()
-    return known.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: the lineage ends there."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Keys that join_unique sends to all tasks at most, and rows that such a key has at least.
 HOT_KEYS, HOT_ROWS = 1_000, 1_000
 

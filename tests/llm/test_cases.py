@@ -84,8 +84,11 @@ def test_vectors_with_odd_rows(spark):
     assert vector_dedup.near_duplicates(frame.where("false")).count() == 0
 
 
-def test_queries_have_their_sql():
-    assert set(queries.ORACLE_SQL) == {"op3_jaccard_join", "op8_vector_dedup"} <= set(queries.QUERIES)
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_matches_sql(spark, name):
+    from oracle import compare
+
+    compare(spark, name, queries.QUERIES[name], queries.ORACLE_SQL[name], "/root/testdata/sf0.001")
 
 
 def test_edited_texts_are_the_contracts(spark):

@@ -50,7 +50,7 @@ def _word_hashes() -> dict:
 
     class Hashes(dict):
         def __missing__(self, word):
-            if len(self) > 400_000:
+            if len(self) > 200_000:
                 self.clear()
             self[word] = h = xxhash.xxh3_64_intdigest(word)
             return h
@@ -102,6 +102,7 @@ def heavy_shingles(docs: DataFrame, size: int, local: int = 3, least: int = 16,
                     yield frequent(sets)
                     sets, held = [], 0
         yield frequent(sets)
+        common.release()
 
     found = docs.select("text").mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     rows = found.orderBy(F.desc("n"), "h").limit(most).collect()
@@ -162,6 +163,7 @@ def describe_sets(docs: DataFrame, size: int, num: int, den: int, heavy: list[tu
             out = pd.DataFrame(rows, columns=["doc_id", "n", "p", "set_key", "prefix", "signature", "cost_lists", "cost_subsets"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
+        common.release()
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, p long, set_key binary, prefix array<long>, signature array<long>, cost_lists double, cost_subsets double")
 
@@ -192,16 +194,27 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) ->
         common.serve("jaccard")
         for pdf in common.slices(batches):
             yield pdf[["doc_id"]].assign(s=[shingle_set(t, size) for t in pdf["text"].tolist()])
+        common.release()
 
     sets = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInPandas(run, "doc_id long, s array<long>")
     sets = common.materialize(sets, "sets")
-    one = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
+    rows, hubs = pairs, {}
+    for side in ("a", "b"):  # each pair is shuffled to its sides' sets; pairs of a hub anywhere, without a set
+        hubs[side] = common.hot_keys(pairs, side, HUBS)
+        at, own = F.struct(F.col(side).alias("id"), F.lit(0).alias("dealt")), sets.select(F.struct(F.col("doc_id").alias("id"), F.lit(0).alias("dealt")).alias("at"), F.col("s").alias(f"s{side}"))
+        if hubs[side] is not None:
+            marked = hubs[side].withColumn("hub", F.lit(True))
+            away = F.struct(F.lit(None).cast("long").alias("id"), (F.pmod(F.xxhash64("a", "b"), F.lit(1 << 20)) + 1).cast("int").alias("dealt"))
+            rows = rows.join(F.broadcast(marked), side, "left").withColumn("at", F.when(F.col("hub"), away).otherwise(at)).drop("hub")
+        else:
+            rows = rows.withColumn("at", at)
+        rows = rows.join(own, "at", "left").drop("at")
+    for side, some in hubs.items():  # a hub's set goes to all tasks, once, in place of once with each of its members
+        if some is not None:
+            far = sets.join(F.broadcast(some.withColumnRenamed(side, "doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias(side), F.col("s").alias("far"))
+            rows = rows.join(F.broadcast(far), side, "left").withColumn(f"s{side}", F.coalesce(f"s{side}", "far")).drop("far")
     both = F.size(F.array_intersect("sa", "sb"))
-    # A hub's set goes to all tasks, once, in place of once with each of its members.
-    pairs = common.join_unique(pairs, one, "a", common.hot_keys(pairs, "a", HUBS))
-    pairs = common.join_unique(pairs, two, "b", common.hot_keys(pairs.select("b"), "b", HUBS))
-    return pairs.where(both * den >= (F.size("sa") + F.size("sb") - both) * num).select("a", "b").distinct()
+    return rows.where(both * den >= (F.size("sa") + F.size("sb") - both) * num).select("a", "b").distinct()
 
 
 def hub_pairs(reps: DataFrame, num: int, den: int) -> DataFrame:

@@ -54,6 +54,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
+        common.release()
 
     return docs.select("doc_id", "text").mapInPandas(cut, schema)
 

@@ -20,7 +20,7 @@ CACHE_WORDS = 300_000
 #: Words of more characters are not kept.
 LONG_WORD = 64
 #: Characters of the texts whose words are held at once.
-SLICE_CHARS = 8_000_000
+SLICE_CHARS = 4_000_000
 #: Control characters that Python counts as white space and the libraries do not.
 _ODD = re.compile("[\x1c-\x1f]")
 # Letters of the Latin blocks that have one lower-case letter (not U+0130), and closing punctuation.
@@ -30,16 +30,14 @@ _PLAIN = f"{_LETTERS}[{_CLOSING}]*$"
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
-def fresh(path: str):
+@lru_cache(maxsize=4)
+def load(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
 
 
-load = lru_cache(maxsize=4)(fresh)
-
-
 def _slices(texts: list[str], chars: int = SLICE_CHARS):
     """Runs of texts of so many characters or a single longer text."""
     part, held = [], 0
@@ -115,14 +113,13 @@ class WordIds:
 
     def __init__(self, path: str):
         import numpy as np
-        from tokenizers import pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.np, self.tok = np, load(path)
         vocabulary = self.tok.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.bare = fresh(path)
-        self.bare.normalizer = None
+        self.bare = Tokenizer(self.tok.model)  # the same model, held once
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
     def _whole(self, texts: list[str]):
@@ -189,7 +186,7 @@ class ByteCounts:
         return [len(e) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def batch(self, texts: list[str]) -> list[int]:
-        return [r for part in _slices(texts, SLICE_CHARS // 4) for r in self._slice(part)]  # words are held as Python strings
+        return [r for part in _slices(texts, SLICE_CHARS // 2) for r in self._slice(part)]  # words are held as Python strings
 
     def _slice(self, texts: list[str]) -> list[int]:
         import numpy as np

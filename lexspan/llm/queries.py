@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat_format import OP12_SQL, op12_chat_format
 from .fingerprints import op5_fingerprints
 from .html_text import op9_html_extraction
 from .jaccard import OP3_SQL, op3_jaccard_join
@@ -24,8 +25,9 @@ QUERIES = {
     "op8_vector_dedup": op8_vector_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_toxicity": op10_toxicity,
+    "op12_chat_format": op12_chat_format,
 }
 
 # No SQL for the others: tokenizers, trained models, packing, automata and sketches over
 # xxHash are tested against brute force, round trips and held-out accuracy.
-ORACLE_SQL: dict[str, str] = {"op3_jaccard_join": OP3_SQL, "op8_vector_dedup": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_jaccard_join": OP3_SQL, "op8_vector_dedup": OP8_SQL, "op12_chat_format": OP12_SQL}

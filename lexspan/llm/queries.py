@@ -7,6 +7,7 @@ from .fingerprints import op5_fingerprints
 from .html_text import op9_html_extraction
 from .jaccard import OP3_SQL, op3_jaccard_join
 from .language import op2_language_id
+from .lexical import OP11_SQL, op11_lexical_search
 from .licenses import op4_license_scan
 from .packing import op1_best_fit_packing
 from .sentencepiece_bpe import op6_sentencepiece
@@ -25,9 +26,10 @@ QUERIES = {
     "op8_vector_dedup": op8_vector_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_toxicity": op10_toxicity,
+    "op11_lexical_search": op11_lexical_search,
     "op12_chat_format": op12_chat_format,
 }
 
 # No SQL for the others: tokenizers, trained models, packing, automata and sketches over
 # xxHash are tested against brute force, round trips and held-out accuracy.
-ORACLE_SQL: dict[str, str] = {"op3_jaccard_join": OP3_SQL, "op8_vector_dedup": OP8_SQL, "op12_chat_format": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_jaccard_join": OP3_SQL, "op8_vector_dedup": OP8_SQL, "op11_lexical_search": OP11_SQL, "op12_chat_format": OP12_SQL}

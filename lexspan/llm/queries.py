@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op13_token_alignment
 from .chat_format import OP12_SQL, op12_chat_format
 from .fingerprints import op5_fingerprints
 from .html_text import op9_html_extraction
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_lexical_search": op11_lexical_search,
     "op12_chat_format": op12_chat_format,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 # No SQL for the others: tokenizers, trained models, packing, automata and sketches over

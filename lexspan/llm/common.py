@@ -97,6 +97,16 @@ def slices(batches, rows: int = 1_000):
             yield pdf.iloc[at : at + rows]
 
 
+def whole_ids(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """rows with key 0 in place of null, and `no_id` where it was: a nullable long would reach pandas as a rounded double."""
+    return rows.withColumn("no_id", F.col(key).isNull()).withColumn(key, F.coalesce(key, F.lit(0).cast("long")))
+
+
+def null_ids(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """rows of whole_ids with their nulls again, without `no_id`."""
+    return rows.withColumn(key, F.when(~F.col("no_id"), F.col(key))).drop("no_id")
+
+
 def remainder(id_col: Column, n: int) -> Column:
     """crc32 of the id written as text, modulo n; a null id counts as remainder 0 of an empty string."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % n

@@ -136,7 +136,7 @@ def parse(page: str | None) -> Node:
 
     def flush():
         nonlocal links
-        text = _SPACE.sub(" ", entities.unescape("".join(buffer))).strip()
+        text = _SPACE.sub(" ", "".join(buffer)).strip()
         if text:
             leaf = Node("text", "", node)
             leaf.text, leaf.size, leaf.links = text, len(text), links
@@ -150,6 +150,8 @@ def parse(page: str | None) -> Node:
 
     for before, tag, closing, attrs in markup(page or ""):
         if before:
+            # Each run between tags on its own: a reference does not go over a tag.
+            before = entities.unescape(before) if "&" in before else before
             buffer.append(before)
             if in_link:
                 links += len(before)
@@ -392,9 +394,10 @@ def extract_text(pages: DataFrame, model: TreeModel) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            yield pdf[["page_id", "url"]].assign(text=[model.extract(h) for h in pdf["html"].tolist()])
+            yield pdf[["page_id", "no_id", "url"]].assign(text=[model.extract(h) for h in pdf["html"].tolist()])
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, text string")
+    whole = common.whole_ids(pages.select("page_id", "url", "html"), "page_id")
+    return common.null_ids(whole.mapInPandas(run, "page_id long, no_id boolean, url string, text string"), "page_id")
 
 
 def op9_html_extraction(spark, sf_dir):

@@ -133,11 +133,11 @@ def describe_sets(docs: DataFrame, size: int, num: int, den: int, heavy: list[tu
         common.serve("jaccard")
         for pdf in common.slices(batches):
             rows = []
-            for doc, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), strict=True):
+            for doc, none, text in zip(pdf["doc_id"].tolist(), pdf["no_id"].tolist(), pdf["text"].tolist(), strict=True):
                 s = shingle_set(text, size)
                 n = len(s)
                 if not n:
-                    rows.append((doc, 0, 0, None, [], [], 0.0, 0.0))
+                    rows.append((doc, none, 0, 0, None, [], [], 0.0, 0.0))
                     continue
                 p = min(n, n - least_overlap(n, num, den) + 2)
                 keep = min(n, p - 2 + SHARED)
@@ -159,13 +159,12 @@ def describe_sets(docs: DataFrame, size: int, num: int, den: int, heavy: list[tu
                 signature = [int(((u * seed) ^ ((u * seed) >> np.uint64(31))).min().view(np.int64)) for seed in seeds]
                 single = float(counts[: p - 1].sum())
                 pairs = p * (p - 1) / 2
-                rows.append((doc, n, p, xxhash.xxh3_128_digest(s.tobytes()), prefix.tolist(), signature, single, pairs))
-            out = pd.DataFrame(rows, columns=["doc_id", "n", "p", "set_key", "prefix", "signature", "cost_lists", "cost_subsets"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+                rows.append((doc, none, n, p, xxhash.xxh3_128_digest(s.tobytes()), prefix.tolist(), signature, single, pairs))
+            yield pd.DataFrame(rows, columns=["doc_id", "no_id", "n", "p", "set_key", "prefix", "signature", "cost_lists", "cost_subsets"])
         common.release()
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, p long, set_key binary, prefix array<long>, signature array<long>, cost_lists double, cost_subsets double")
+    made = "n long, p long, set_key binary, prefix array<long>, signature array<long>, cost_lists double, cost_subsets double"
+    return common.null_ids(common.whole_ids(docs.select("doc_id", "text")).mapInPandas(run, f"doc_id long, no_id boolean, {made}"))
 
 
 def boundary(reps: DataFrame) -> int:

@@ -5,7 +5,7 @@ trained with follow-the-regularised-leader (elastic-net penalties) on a bounded
 labelled rows, a part of which is kept aside to fit the softmax temperature.  Prediction
 runs over every whole text.
 
-Every language of the labelled rows is learned.
+Every language of the labelled rows is learned, up to the MOST_LABELS of most rows.
 
 Defined cases: a text that is null or has no letter (a character that Unicode calls one;
 digits, fractions and numerals are none) is `und` with score 0; without any labelled row
@@ -27,8 +27,10 @@ BITS = 16
 #: Bounds of what is learned from: rows a language, and rows in all (where there are many languages).
 ROWS_A_LANGUAGE = 1_500
 ROWS = 60_000
-#: More different labels than that are taken for an error.
-MOST_LABELS = 2_000
+#: Labels that are learned at most: those of most rows; rows of others are predicted as any.
+MOST_LABELS = 300
+#: Beyond so many labels weights are held as narrow numbers while they are learned.
+WIDE_LABELS = 50
 
 
 def ngram_features(text: str):
@@ -85,10 +87,11 @@ def fit(texts: list[str], langs: list[str], aside: list[bool], epochs: int = 3,
     seen = np.zeros(n)
     for t in texts:
         seen[ngram_features(t)[0]] += 1
-    model = LanguageModel(languages, np.log((1 + len(texts)) / (1 + seen)) + 1, np.zeros((n + 1, k), dtype=np.float64))
+    kind = np.float64 if k <= WIDE_LABELS else np.float32
+    model = LanguageModel(languages, np.log((1 + len(texts)) / (1 + seen)) + 1, np.zeros((n + 1, k), dtype=kind))
     if not texts:
         return model
-    z, q, w = np.zeros((n + 1, k)), np.zeros((n + 1, k)), model.weights
+    z, q, w = np.zeros((n + 1, k), kind), np.zeros((n + 1, k), kind), model.weights
     # The last weight is the bias; narrow types, as all rows are held at once.
     rows = [(np.append(at, n).astype(np.int32), np.append(x, 1.0).astype(np.float32)) for at, x in map(model.vector, texts)]
     target = [languages.index(v) for v in langs]
@@ -125,12 +128,11 @@ def fit(texts: list[str], langs: list[str], aside: list[bool], epochs: int = 3,
 def sample_rows(rows: DataFrame, label: str, most: int, *keys: str) -> DataFrame:
     """At most `most` rows of each label, chosen by a hash of their keys in whole buckets of the hash.
 
-    A bucket that would exceed the bound, as one of a row repeated very often, is passed over.
+    Labels: the MOST_LABELS of most rows.  A bucket that would exceed the bound, as one of a row
+    repeated very often, is passed over; a label of no other buckets gives its first rows by keys.
     Only rows of chosen buckets are ever shuffled.
     """
-    counts = rows.groupBy(label).count().orderBy(label).limit(MOST_LABELS + 1).collect()
-    if len(counts) > MOST_LABELS:
-        raise ValueError(f"more than {MOST_LABELS} different labels in {label}")
+    counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(MOST_LABELS).collect()
     spark, kind = rows.sparkSession, rows.select(label).schema
     # Buckets of about a hundredth of the bound, as many as hold it twice.
     sizes = [(r[label], max(1, min(1 << 30, 100 * r["count"] // most))) for r in counts]
@@ -145,7 +147,10 @@ def sample_rows(rows: DataFrame, label: str, most: int, *keys: str) -> DataFrame
             held[r[label]] = held.get(r[label], 0) + r["count"]
             chosen.append((r[label], r["_bucket"]))
     picked = spark.createDataFrame(chosen, rows.select(label).schema.add("_bucket", "long"))
-    return near.join(F.broadcast(picked), [label, "_bucket"]).select(*rows.columns)
+    out = near.join(F.broadcast(picked), [label, "_bucket"]).select(*rows.columns)
+    for value in [r[label] for r in counts if r[label] not in held]:
+        out = out.unionByName(rows.where(F.col(label) == value).orderBy(*keys).limit(most))
+    return out
 
 
 def train(labelled: DataFrame, rows_a_language: int = ROWS_A_LANGUAGE) -> LanguageModel:
@@ -183,9 +188,9 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
         common.serve("language")
         for pdf in batches:
             got = [model.predict(t) for t in pdf["text"].tolist()]
-            yield pdf[["doc_id"]].assign(lang_pred=[g[0] for g in got], score=[g[1] for g in got])
+            yield pdf[["doc_id", "no_id"]].assign(lang_pred=[g[0] for g in got], score=[g[1] for g in got])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
+    return common.null_ids(common.whole_ids(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, no_id boolean, lang_pred string, score double"))
 
 
 def held_out():

@@ -126,6 +126,10 @@ class Search:
         self.start, self.terms, self.parts = start, terms, parts
         owner = np.repeat(np.arange(len(ids)), np.diff(start))
         docs = np.flatnonzero(np.diff(start) > 0)
+        # Each document's term of most weight: where no term splits a node, documents alike in it stay together.
+        self.main = np.full(len(ids), -1, np.int64)
+        rising = np.lexsort((terms, parts, owner))
+        self.main[owner[rising]] = terms[rising]
         self._visit(docs, np.isin(owner, docs).nonzero()[0], owner, np.zeros(1, np.int64))
 
     def _sums(self, nodes, values):
@@ -199,7 +203,7 @@ class Search:
             has[owner[entries[t == best]]] = True
         else:  # no term splits them well
             has = np.zeros(len(self.ids), bool)
-            has[docs[: len(docs) // 2]] = True
+            has[docs[np.argsort(self.main[docs], kind="stable")[: len(docs) // 2]]] = True
         first, of_first = has[docs], has[owner[entries]]
         return (docs[first], entries[of_first]), (docs[~first], entries[~of_first])
 

@@ -182,11 +182,11 @@ def scanner() -> Scanner:
     return Scanner()
 
 
-SCAN_SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<start: long, end: long, label: string, covered: double>>"
+SCAN_SCHEMA = "doc_id long, no_id boolean, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<start: long, end: long, label: string, covered: double>>"
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
-    """One row of SCAN_SCHEMA for each row of docs (doc_id, text)."""
+    """One row of SCAN_SCHEMA, but no_id, for each row of docs (doc_id, text)."""
 
     def run(batches):
         import pandas as pd
@@ -194,13 +194,13 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         scan = scanner().scan
         for pdf in batches:
             out = pd.DataFrame([scan(t) for t in pdf["text"].tolist()])
-            out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy())
-            out["doc_id"] = out["doc_id"].astype("Int64")
+            out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
+            out.insert(1, "no_id", pdf["no_id"].to_numpy())
             for c in ("first_word", "last_word"):
                 out[c] = out[c].astype("Int64")
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, SCAN_SCHEMA)
+    return common.null_ids(common.whole_ids(docs.select("doc_id", "text")).mapInPandas(run, SCAN_SCHEMA))
 
 
 def op4_license_scan(spark, sf_dir):

@@ -1,8 +1,9 @@
 """Best-fit packing of token sequences by swap-based local search.
 
 Documents are encoded once, cut into pieces of at most `capacity` tokens and dealt at
-random into groups of bounded size.  A group starts from best fit in the order dealt.  Local search
-then empties its bins, emptiest first: it moves a document to the fullest bin that holds
+random into groups of bounded size.  A group starts from best fit by falling length; where search does
+not bring that down to the fewest bins there could be, it starts from the order dealt too, and
+the better end is taken.  Local search empties bins, emptiest first: it moves a document to the fullest bin that holds
 it, or swaps one or two for one of any other underfull bin, each step raising the sum of
 squared fills, until no bin has a step left or the total needs every bin.  Bins that stay
 underfull release their pieces to a second round of groups, so what is lost does not add
@@ -25,12 +26,15 @@ from . import common
 from .tokenize import word_ids
 
 GROUP_PIECES = 16_384
-PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"
-PACKED_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long, bin long, offset long, fill long"
+PIECE_SCHEMA = "doc_id long, no_id boolean, piece int, start long, length long, ids_crc32 long, salt long"
+PACKED_SCHEMA = "doc_id long, no_id boolean, piece int, start long, length long, ids_crc32 long, salt long, bin long, offset long, fill long"
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 1, with_ids: bool = False) -> DataFrame:
-    """One row per piece of each document (doc_id, text); `salt` is unique; with_ids adds the token ids."""
+    """One row per piece of each document (doc_id, text); `salt` is unique; with_ids adds the token ids.
+
+    A null id stands as 0 with `no_id`, so that ids pass through pandas whole.
+    """
     schema = PIECE_SCHEMA + (", ids array<long>" if with_ids else "")
 
     def cut(batches):
@@ -44,19 +48,17 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int
         step = 4 * capacity
         for pdf in batches:
             rows = []
-            for doc, ids in zip(pdf["doc_id"].tolist(), words.batch([t or "" for t in pdf["text"].tolist()]), strict=True):
+            for doc, none, ids in zip(pdf["doc_id"].tolist(), pdf["no_id"].tolist(), words.batch([t or "" for t in pdf["text"].tolist()]), strict=True):
                 ids += end
                 for at in range(0, len(ids), step):
                     part = ids[at : at + step]
                     salt += 1
-                    row = (doc, at // step, at // 4, len(part) // 4, zlib.crc32(part), salt)
+                    row = (doc, none, at // step, at // 4, len(part) // 4, zlib.crc32(part), salt)
                     rows.append(row + (np.frombuffer(part, "<u4").astype("int64").tolist(),) if with_ids else row)
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
         common.release()
 
-    return docs.select("doc_id", "text").mapInPandas(cut, schema)
+    return common.whole_ids(docs.select("doc_id", "text")).mapInPandas(cut, schema)
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -96,6 +98,18 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> li
     return [b for b in bins if b]
 
 
+def pack_lengths(lengths: list[int], capacity: int) -> list[list[int]]:
+    """Bins of indexes: local search from best fit by falling length, and from the order given if bins may still be saved."""
+    least, best = -(-sum(lengths) // capacity), None
+    for order in (sorted(range(len(lengths)), key=lambda i: -lengths[i]), list(range(len(lengths)))):
+        start = [[order[i] for i in b] for b in best_fit([lengths[i] for i in order], capacity)]
+        bins = local_search(start, lengths, capacity)
+        best = bins if best is None or len(bins) < len(best) else best
+        if len(best) <= least:
+            break
+    return best
+
+
 class _Underfull:
     """Bins by room, for moves; pieces by length and room of their bin, for swaps."""
 
@@ -215,7 +229,7 @@ def _pack_round(pieces: DataFrame, capacity: int, groups: int, tag: int) -> Data
     def pack(pdf):
         pdf = pdf.sort_values("salt")
         lengths = pdf["length"].tolist()
-        bins = local_search(best_fit(lengths, capacity), lengths, capacity)
+        bins = pack_lengths(lengths, capacity)
         at, offset, fill = [0] * len(lengths), [0] * len(lengths), [0] * len(lengths)
         base = (tag << 60) + (int(pdf["g"].iloc[0]) << 20)
         for k, b in enumerate(bins):
@@ -247,7 +261,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset per piece of docs (doc_id, text)."""
     pieces = common.materialize(cut_pieces(docs, tokenizer_path, capacity, end_id), "pieces")
     packed = pack_pieces(pieces, capacity)
-    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
+    return common.null_ids(packed).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
 
 
 def op1_best_fit_packing(spark, sf_dir):

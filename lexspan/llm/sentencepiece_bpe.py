@@ -187,9 +187,9 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
         bpe = model(model_path)
         for pdf in batches:
             ids = [bpe.encode(t or "") for t in pdf["text"].tolist()]
-            yield pdf[["doc_id"]].assign(ids=ids, decoded=[bpe.decode(i) for i in ids])
+            yield pdf[["doc_id", "no_id"]].assign(ids=ids, decoded=[bpe.decode(i) for i in ids])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids array<int>, decoded string")
+    return common.null_ids(common.whole_ids(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, no_id boolean, ids array<int>, decoded string"))
 
 
 def encode_digests(docs: DataFrame, model_path: str) -> DataFrame:
@@ -202,9 +202,10 @@ def encode_digests(docs: DataFrame, model_path: str) -> DataFrame:
         for pdf in batches:
             rows = [bpe.digest(t or "") for t in pdf["text"].tolist()]
             got = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            yield pd.concat([pdf[["doc_id"]].reset_index(drop=True), got], axis=1)
+            yield pd.concat([pdf[["doc_id", "no_id"]].reset_index(drop=True), got], axis=1)
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    made = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return common.null_ids(common.whole_ids(docs.select("doc_id", "text")).mapInPandas(run, f"doc_id long, no_id boolean, {made}"))
 
 
 def op6_sentencepiece(spark, sf_dir):

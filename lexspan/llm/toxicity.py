@@ -4,6 +4,7 @@ A token's features are its word, the beginnings of the word and its end, so that
 never seen in training are tagged by their parts.  Tokens are labelled from document
 labels: a feature marks if its document frequency in toxic rows is far above that in clean
 ones, and the tokens of toxic rows that have a marking feature are toxic, all others not.
+Features of fewer than three training rows are left out.
 The two-tag chain (feature and transition weights) is trained on all tokens of the sampled
 rows by gradient ascent of its likelihood.  Forward-backward runs over every token of every
 text; a document's score is a logistic function of its marginals (expected number and
@@ -39,6 +40,8 @@ ROWS_A_CLASS = 2_000
 #: Lengths of the beginnings and of the end of a word that are features.
 BEGINNINGS, END = (3, 4, 5, 6, 7), 3
 BLOCK = 256
+#: Training rows that a feature is of, at least: those of fewer say nothing on other texts.
+LEAST_ROWS = 3
 #: Tokens, about, that are computed side by side, and characters of texts read at once.
 PART, CHARS = 400_000, 2_000_000
 
@@ -278,8 +281,7 @@ def fit(texts: list[str], toxic: list[bool], aside: list[bool] | None = None, st
     learnt = ~aside[doc]
     bad, every = row_frequencies(doc[learnt], at[learnt], toxic, flat, size, n)
     marks = marking(bad, every, int((toxic & ~aside).sum()), int((~toxic & ~aside).sum()))
-    # Features of fewer than three rows say nothing on other texts and are left out.
-    used = every >= 3
+    used = every >= LEAST_ROWS
     holder = np.repeat(np.arange(len(words), dtype=np.int32), size)[used[flat]]
     number = (np.cumsum(used) - 1).astype(np.int32)
     flat = number[flat[used[flat]]]
@@ -355,9 +357,10 @@ def score_toxicity(docs: DataFrame, chain: Chain | None) -> DataFrame:
             texts = pdf["text"].tolist()
             got = list(chain.read(texts)) if chain else [(0.0, [])] * len(texts)
             spans = [[{"start": a, "end": b, "p": p} for a, b, p in found] for _, found in got]
-            yield pdf[["doc_id"]].assign(score=[s for s, _ in got], spans=spans)
+            yield pdf[["doc_id", "no_id"]].assign(score=[s for s, _ in got], spans=spans)
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double, spans array<struct<start: long, end: long, p: double>>")
+    made = "score double, spans array<struct<start: long, end: long, p: double>>"
+    return common.null_ids(common.whole_ids(docs.select("doc_id", "text")).mapInPandas(run, f"doc_id long, no_id boolean, {made}"))
 
 
 def held_out():

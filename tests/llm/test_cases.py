@@ -2,11 +2,12 @@
 
 import hashlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from lexspan.llm import common, fingerprints, html_text, jaccard, language, licenses, packing, queries, sentencepiece_bpe, token_counts, toxicity, vector_dedup
+from lexspan.llm import alignment, common, fingerprints, html_text, jaccard, language, licenses, packing, queries, sentencepiece_bpe, token_counts, toxicity, vector_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, n long, a long, b long, token string, c long, digest binary, k long, bin long, score double, label int, rep long, u long, v long"
 LONG = " ".join(f"word{i % 977} and{i % 31}," for i in range(120_000))
@@ -20,6 +21,7 @@ RUNS = {
     "op5": lambda d: fingerprints.fingerprint_documents(d),
     "op6": lambda d: sentencepiece_bpe.encode_digests(d, public_tokenizers.path("piece_bpe_32k.model")),
     "op7": lambda d: token_counts.count_tokens(d, public_tokenizers.path("byte_bpe_50k.json"), common.scratch_path(d.sparkSession, "cache")),
+    "op13": lambda d: alignment.align(d, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")),
     "op10": lambda d: toxicity.score_toxicity(d, toxicity.train(d, d.select("doc_id", F.col("n").alias("toxic")))),
 }
 
@@ -54,6 +56,20 @@ def test_odd_rows(spark, name):
         assert all(0 <= r.score <= 1 for r in got) and by[5].score == by[6].score
 
 
+@pytest.mark.parametrize("name", sorted(RUNS))
+def test_large_ids_beside_null_ones(spark, name):
+    ids = [2**60 + 1, None, 2**60 + 3, -(2**60) - 5]
+    docs = table(spark, [(i, f"a text of some words, number {k} of them all") for k, i in enumerate(ids)]).coalesce(1)
+    got = [r.doc_id for r in RUNS[name](docs).collect()]
+    assert sorted(got, key=str) == sorted(ids, key=str)
+
+
+def test_large_page_ids_beside_null_ones(spark):
+    ids = [2**60 + 1, None, 2**60 + 3]
+    pages = spark.createDataFrame([(i, "u", f"<article><p>text {k}</p></article>") for k, i in enumerate(ids)], "page_id long, url string, html string").coalesce(1)
+    assert sorted((r.page_id for r in html_text.extract_text(pages, html_text.train(pages)).collect()), key=str) == sorted(ids, key=str)
+
+
 @pytest.mark.parametrize("name", sorted(RUNS))
 def test_empty_table(spark, name):
     assert RUNS[name](table(spark, TEXTS).where("false")).count() == 0
@@ -133,6 +149,32 @@ def test_hot_contents_and_hot_classes(spark, monkeypatch):
     assert sorted(r.component_id for r in jaccard.similar_groups(docs, 4, 85, 100).collect() if r.doc_id is not None and r.doc_id < 40) == [0] * 41
 
 
+def test_many_labels_and_labels_of_one_row(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LABELS", 60)
+    rows = [(i, f"wort{i % 70} und text{i % 70} aus {i % 70}", f"l{i % 70:02d}", "s", 0) for i in range(700)] + [(9_000, "zebra zebra quagga", "zz", "s", 0)] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    model = language.train(docs, 100)
+    assert len(model.languages) == 60 and "zz" in model.languages and model.weights.dtype == "float32"
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs, model).collect()}
+    assert len(got) == 701 and got[9_000] == "zz"
+
+
+@pytest.mark.parametrize("lengths", [
+    lambda r: r.integers(1, 4_097, 16_384), lambda r: r.integers(900, 1_501, 8_000), lambda r: r.integers(1_300, 2_601, 8_000),
+    lambda r: np.minimum(4_096, r.lognormal(6, 1.2, 16_000).astype(int) + 1),
+])
+def test_never_more_sequences_than_best_fit_by_falling_length(lengths):
+    n = lengths(np.random.default_rng(7)).tolist()
+    bins = packing.pack_lengths(n, 4_096)
+    assert sorted(i for b in bins for i in b) == list(range(len(n))) and max(sum(n[i] for i in b) for b in bins) <= 4_096
+    assert len(bins) <= len(packing.best_fit(sorted(n, reverse=True), 4_096))
+
+
+def test_references_end_with_their_run():
+    got = html_text.order(html_text.parse("<p>AT&<b>amp;</b> x &amp;lt; &eacute;</p><p>&l<!-- -->t; y</p>"))
+    assert [x.text for x in got if x.tag == "text"] == ["AT&amp; x &lt; é", "&lt; y"]
+
+
 def test_rows_of_one_id_do_not_break_the_sample(spark):
     docs = spark.range(30_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("x").alias("text"), F.lit("en").alias("lang")).unionByName(
         spark.range(900).select("id", F.format_string("text %d", "id").alias("text"), F.lit("de").alias("lang")).withColumnRenamed("id", "doc_id"))

@@ -217,18 +217,24 @@ def capture_merge(spark, d):
     return stores.capture(new, one, ["doc_id"], two).select("doc_id", "run", "quality")
 
 
-@query("""SELECT conv_id AS stream, count(*) AS frames, count(*) FILTER (turn % 3 = 0) AS with_ids, CASE WHEN conv_id % 3 = 0 THEN 'answered' WHEN conv_id % 3 = 1 THEN 'error' ELSE 'failed' END AS state FROM conversations GROUP BY conv_id""")
+@query("""WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS place FROM conversations),
+f AS (SELECT conv_id, count(*) AS frames, count(*) FILTER (turn % 3 = 0 AND NOT (conv_id % 5 = 4 AND turn = 1)) AS with_ids, min(place) FILTER (conv_id % 5 = 4 AND turn = 1) AS broken FROM c GROUP BY conv_id)
+SELECT conv_id AS stream, frames, with_ids, coalesce(broken, frames) AS delivered,
+  CASE WHEN broken IS NOT NULL THEN 'failed' WHEN conv_id % 3 = 0 THEN 'answered' WHEN conv_id % 3 = 1 THEN 'error' ELSE 'failed' END AS state FROM f""")
 def frames_read(spark, d):
-    """Turns written as event streams and read back: absent fields stay absent, and a stream that just ends has failed."""
+    """Turns written as event streams and read back: absent fields stay absent, a stream that just ends has failed, and so has one at its first unreadable frame."""
     c = read(spark, d, "conversations").select("conv_id", "turn", "role", "text")
     ids = F.when(F.col("turn") % 3 == 0, F.array(F.concat(F.lit("art_"), F.col("turn").cast("string"))))
     node = stores.frame("node", F.struct(F.col("role").alias("node"), ids.alias("searched_ids")))
-    text = c.groupBy("conv_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("turn", node.alias("f")))).getField("f"), "").alias("body"))
+    # Some frames break off, some are of an event that nobody knows.
+    broken = F.when(F.col("conv_id") % 2 == 0, "event: node\ndata: {\"node\": \n\n").otherwise("event: other\ndata: {}\n\n")
+    node = F.when((F.col("conv_id") % 5 == 4) & (F.col("turn") == 1), broken).otherwise(node)
+    text = c.groupBy("conv_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("turn", "role", "text", node.alias("f")))).getField("f"), "").alias("body"))
     last = F.when(F.col("conv_id") % 3 == 0, "event: answer\ndata: {}\n\n").when(F.col("conv_id") % 3 == 1, "event: error\ndata: {}\n\n").otherwise("")
     frames = stores.read_frames(text.withColumn("body", F.concat("body", last)), "conv_id", "body", "node string, searched_ids array<string>")
     frames = scratch.materialize(frames, "frames")
-    counts = frames.where("event = 'node'").groupBy("conv_id").agg(F.count(F.lit(1)).alias("frames"), F.count("body.searched_ids").alias("with_ids"))
-    return counts.join(stores.stream_state(frames, "conv_id"), "conv_id").select(F.col("conv_id").alias("stream"), "frames", "with_ids", "state")
+    counts = frames.where("event not in ('answer', 'error')").groupBy("conv_id").agg(F.count(F.lit(1)).alias("frames"), F.count("body.searched_ids").alias("with_ids"))
+    return counts.join(stores.stream_state(frames, "conv_id"), "conv_id").select(F.col("conv_id").alias("stream"), "frames", "with_ids", F.col("nodes").alias("delivered"), "state")
 
 
 # --- reading ----------------------------------------------------------------------------

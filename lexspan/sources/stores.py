@@ -88,16 +88,34 @@ def frame(event: str, body: Column) -> Column:
     return F.concat(F.lit(f"event: {event}\ndata: "), F.to_json(body), F.lit("\n\n"))
 
 
+#: Events of a stream; the last two end it.
+EVENTS = ("node", "answer", "error")
+
+
 def read_frames(streams: DataFrame, key: str, text: str, schema: str) -> DataFrame:
-    """key, at, event, body of the frames of a stream's text, in order; a frame without data has a null body."""
+    """key, at, event, body, unreadable of the frames of a stream's text, in order.
+
+    Unreadable: of no known event, without data, no JSON of the schema, or a node's frame that names no node.
+    """
     each = streams.select(key, F.posexplode(F.filter(F.split(text, r"\r?\n\r?\n"), lambda f: F.trim(f) != "")).alias("at", "frame"))
     field = lambda name: F.regexp_extract("frame", rf"(?m)^{name}: ?(.*)$", 1)
-    data = field("data")
-    return each.select(key, "at", field("event").alias("event"), F.when(data != "", F.from_json(data, schema)).alias("body"))
+    data, event = field("data"), field("event")
+    parsed = F.from_json(data, f"{schema}, _unread string", {"columnNameOfCorruptRecord": "_unread"})
+    rows = each.select(key, "at", event.alias("event"), F.when(data != "", parsed).alias("b"))
+    names = [f.name for f in rows.schema["b"].dataType.fields if f.name != "_unread"]
+    unreadable = ~F.col("event").isin(*EVENTS) | F.col("b").isNull() | F.col("b._unread").isNotNull()
+    if "node" in names:
+        unreadable = unreadable | ((F.col("event") == "node") & F.col("b.node").isNull())
+    body = F.when(F.col("b").isNotNull(), F.struct(*(F.col(f"b.{n}").alias(n) for n in names)))
+    return rows.select(key, "at", "event", body.alias("body"), unreadable.alias("unreadable"))
 
 
 def stream_state(frames: DataFrame, key: str) -> DataFrame:
-    """key, state of each stream: answered, error, or failed where it ended before either."""
-    last = F.max_by("event", F.when(F.col("event").isin("answer", "error"), F.col("at")))
-    state = F.when(last == "answer", "answered").when(last == "error", "error").otherwise("failed")
-    return frames.groupBy(key).agg(state.alias("state"))
+    """key, state, nodes, ended of each stream: answered or error by the frame that closes it, failed where the first
+    such frame can't be read or none came; the readable node frames before that; the closing frame's place or null."""
+    ends = F.col("event").isin("answer", "error") | F.col("unreadable")
+    first = F.min(F.when(ends, F.struct("at", F.when(F.col("unreadable"), "unreadable").otherwise(F.col("event")).alias("event"))))
+    closed = frames.groupBy(key).agg(first.alias("end"), F.sort_array(F.collect_list(F.when(~ends, F.col("at")))).alias("nodes"))
+    state = F.when(F.col("end.event") == "answer", "answered").when(F.col("end.event") == "error", "error").otherwise("failed")
+    before = F.size(F.filter("nodes", lambda n: F.col("end").isNull() | (n < F.col("end.at"))))
+    return closed.select(key, state.alias("state"), before.alias("nodes"), F.col("end.at").alias("ended"))

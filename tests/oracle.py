@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import time
 
@@ -45,4 +46,4 @@ if __name__ == "__main__":
             n = compare(spark, name, qs[name], sqls[name], f"/root/testdata/{sf}") if name in sqls else qs[name](spark, f"/root/testdata/{sf}").count()
             print("OK" if name in sqls else "rows", name, n, round(time.time() - s, 1), flush=True)
         except Exception as x:
-            print("BAD", name, str(x)[:500], flush=True)
+            print("BAD", name, str(x)[:int(os.environ.get("CHARS", "500"))], flush=True)

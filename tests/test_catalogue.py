@@ -3,7 +3,7 @@
 import pytest
 from oracle import compare
 
-from lexspan.plans import answers, catalogue, corpus  # noqa: F401  (each registers its queries)
+from lexspan.plans import answers, catalogue, corpus, streams  # noqa: F401  (each registers its queries)
 
 SF = "/root/testdata/sf0.001"
 

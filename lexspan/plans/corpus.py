@@ -179,15 +179,18 @@ def refusal_records(spark, d):
 # --- stores and frames ------------------------------------------------------------------
 
 
-@query("""SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN 'original' ELSE 'consolidated' END AS version, CASE WHEN vec_id % 2 = 0 THEN 2 ELSE 1 END AS written FROM embeddings""")
+@query("""SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN 'original' ELSE 'consolidated' END AS version, CASE WHEN vec_id % 2 = 0 THEN 2 ELSE 1 END AS written,
+  round(list_sum(list_transform(embedding::DOUBLE[], lambda x, i: i * x * CASE WHEN vec_id % 2 = 0 THEN -1 ELSE 1 END)), 6) AS reading FROM embeddings""")
 def index_rewrite(spark, d):
-    """The vector index written for both versions, then one rewritten: the other stays as it was."""
-    v = read(spark, d, "embeddings").select("vec_id", F.when(F.col("vec_id") % 2 == 0, "original").otherwise("consolidated").alias("version"))
+    """The vector index written for both versions, then one rewritten with its vectors turned round: the other stays as it was."""
+    v = read(spark, d, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 2 == 0, "original").otherwise("consolidated").alias("version"))
     path = scratch.scratch_path(spark, "index")
     stores.write_versions(v.withColumn("written", F.lit(1)), path)
-    stores.write_versions(v.where("version = 'original'").withColumn("written", F.lit(2)), path)
+    turned = v.where("version = 'original'").withColumn("embedding", F.transform("embedding", lambda x: -x))
+    stores.write_versions(turned.withColumn("written", F.lit(2)), path)
     both = [stores.read_version(spark, path, name) for name in ("original", "consolidated")]
-    return both[0].unionByName(both[1]).select("vec_id", "version", "written")
+    weighed = F.transform("embedding", lambda x, i: x.cast("double") * (i + 1))
+    return both[0].unionByName(both[1]).select("vec_id", "version", "written", F.round(F.aggregate(weighed, F.lit(0.0), lambda a, x: a + x), 6).alias("reading"))
 
 
 @query("""SELECT event_id, r.run, event_type AS arm, coalesce(CASE WHEN event_id % 3 = 0 THEN event_id % 7 END, 0) AS claims_on_gold FROM events, (VALUES ('current'), ('v1.0-first')) r(run) WHERE event_id % 2 = 0 OR r.run = 'current'""")
@@ -202,19 +205,19 @@ def run_results(spark, d):
     stores.append_results(e.where("event_id % 3 <> 0 and event_id % 2 = 1"), path)
     from pyspark.sql import types as T
 
-    schema = T.StructType().add("event_id", "long").add("arm", "string").add("claims_on_gold", "integer").add("run", "string")
-    runs = [stores.read_results(spark, path, schema, {"claims_on_gold": 0}, run) for run in ("current", "v1.0-first")]
+    schema = T.StructType().add("event_id", "long").add("arm", "string").add("claims_on_gold", "integer")
+    runs = [stores.read_results(spark, path, schema, {"claims_on_gold": 0}, run).withColumn("run", F.lit(run)) for run in ("current", "v1.0-first")]
     return runs[0].unionByName(runs[1]).select("event_id", "run", "arm", "claims_on_gold")
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 AND doc_id % 8 <> 0 THEN 'new' ELSE 'old' END AS run, CASE WHEN doc_id % 4 = 0 AND doc_id % 8 <> 0 THEN 1 - quality ELSE quality END AS quality FROM labels""")
 def capture_merge(spark, d):
-    """Captures merged by key into a new table; failed ones change nothing."""
+    """Captures merged by key into their table; failed ones change nothing."""
     rows = read(spark, d, "labels").select("doc_id", "quality").withColumn("error", F.lit(None).cast("string"))
-    one, two = (scratch.scratch_path(spark, "captures") for _ in range(2))
-    stores.capture(rows.withColumn("run", F.lit("old")), one, ["doc_id"], one)
+    path = scratch.scratch_path(spark, "captures")
+    stores.capture(rows.withColumn("run", F.lit("old")), path, ["doc_id"])
     new = rows.where("doc_id % 4 = 0").select("doc_id", (1 - F.col("quality")).alias("quality"), F.when(F.col("doc_id") % 8 == 0, "Timeout").alias("error"), F.lit("new").alias("run"))
-    return stores.capture(new, one, ["doc_id"], two).select("doc_id", "run", "quality")
+    return stores.capture(new, path, ["doc_id"]).select("doc_id", "run", "quality")
 
 
 @query("""WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS place FROM conversations),

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .snapshots import Snapshots
+
 # Fixed value: what a run may be called.
 LABEL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]*")
 
@@ -28,15 +30,14 @@ def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def write_versions(rows: DataFrame, path: str, column: str = "version") -> None:
-    """Replaces the partitions of the versions that rows hold, and no others, in one commit."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
+    """Replaces the rows of the versions that rows hold, and no others, in one commit."""
+    Snapshots(rows.sparkSession, path).replace(rows, column)
 
 
 def read_version(spark: SparkSession, path: str, version: str, column: str = "version") -> DataFrame:
-    """One version's rows; MissingPartition names the version if the store or the partition is missing."""
-    stored = read_or_none(spark, path)
-    rows = stored.where(F.col(column) == version) if stored is not None else None
-    if rows is None or rows.isEmpty():
+    """One version's rows; MissingPartition names the version if the store or the version is missing."""
+    rows = Snapshots(spark, path).rows(f"{column}={version}")
+    if rows is None:
         raise MissingPartition(f"no {version} in {path}; write it first")
     return rows
 
@@ -49,14 +50,15 @@ def run_label(label: str) -> str:
 
 
 def append_results(rows: DataFrame, path: str, label: str | None = None) -> None:
-    """Appends result rows to the current run, and to a labelled copy if asked for."""
-    for run in ("current", *([run_label(label)] if label else [])):
-        rows.withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").parquet(path)
+    """Appends result rows to the current run, and to a labelled one if asked for: written once, in both by one commit."""
+    Snapshots(rows.sparkSession, path).append(rows, "current", *([run_label(label)] if label else []))
 
 
 def read_results(spark: SparkSession, path: str, schema: T.StructType, defaults: dict, run: str = "current") -> DataFrame:
     """A run's rows under the schema; fields that older rows lack get their defaults."""
-    rows = spark.read.schema(schema).parquet(path).where(F.col("run") == run)
+    rows = Snapshots(spark, path).rows(run, schema=schema)
+    if rows is None:
+        raise MissingPartition(f"no run {run} in {path}")
     return rows.select(*(F.coalesce(c, F.lit(defaults[c])).alias(c) if c in defaults else F.col(c) for c in schema.fieldNames()))
 
 
@@ -74,13 +76,12 @@ def read_export(spark: SparkSession, path: str, schema: T.StructType, version: s
     return rows if version is None else rows.where(F.col("version") == version)
 
 
-def capture(new: DataFrame, path: str, keys: list[str], into: str) -> DataFrame:
-    """Merges new captures over those at a path by keys and writes them `into` another; failures (error set) change nothing."""
+def capture(new: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """Merges new captures over those of the table at a path by keys; failures (error set) change nothing."""
     good = new.where("error is null").drop("error")
-    old = read_or_none(new.sparkSession, path)
-    merged = good if old is None else good.unionByName(old.join(good.select(*keys).distinct(), keys, "left_anti"))
-    merged.write.mode("overwrite").parquet(into)
-    return new.sparkSession.read.parquet(into)
+    table = Snapshots(new.sparkSession, path)
+    merged = lambda old: good if old is None else good.unionByName(old.join(good.select(*keys).distinct(), keys, "left_anti"))
+    return table.rows("captures", table.update("captures", merged))
 
 
 def frame(event: str, body: Column) -> Column:

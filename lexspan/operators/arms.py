@@ -7,6 +7,9 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
+from . import order
+
 # Task prefixes that embedding models were trained with.
 PREFIXES = {"nomic-embed-text": ("search_document: ", "search_query: "), "snowflake-arctic-embed2": ("", "query: ")}
 RESULT = "text string, prompt_tokens long, completion_tokens long, error string"
@@ -56,18 +59,46 @@ def generate(prompts: DataFrame, key: str, generator: Generator) -> DataFrame:
     return prompts.select(key, "prompt").mapInPandas(run, f"{key} {kind}, {RESULT}")
 
 
-def stuffed(provisions: DataFrame, group: str) -> DataFrame:
-    """group, ids, items: every provision but paragraphs, in document order; items are struct(citation, text)."""
+#: Characters of a piece of a prompt, about.
+PIECE_CHARS = 100_000
+
+
+def stuffed(provisions: DataFrame, group: str, budget: int) -> DataFrame:
+    """provisions but paragraphs with `place` (from 0, document order), and whether each is `kept`: the prefix that the budget holds.
+
+    A block costs its text, its citation and 8 characters; the first one is always kept.
+    """
     rows = provisions.where("kind <> 'paragraph'")
-    held = F.sort_array(F.collect_list(F.struct("ord", "id", "citation", "text")))
-    got = rows.groupBy(group).agg(held.alias("h"))
-    return got.select(group, F.transform("h", lambda x: x["id"]).alias("ids"), F.transform("h", lambda x: F.struct(x["citation"].alias("citation"), x["text"].alias("text"))).alias("items"))
+    cost = F.coalesce(F.length("text"), F.lit(0)) + F.coalesce(F.length("citation"), F.lit(0)) + 8
+    return order.running(rows, group, ["ord", "id"], cost).withColumn("kept", (F.col("running") <= budget) | (F.col("place") == 0))
 
 
-def full_context(questions: DataFrame, provisions: DataFrame) -> DataFrame:
-    """question, version, searched, traversed of the arm that hands over a whole version; nothing is searched or walked."""
-    none = F.array().cast("array<string>")
-    return questions.join(stuffed(provisions, "version"), "version").select("question", "version", F.col("ids").alias("searched"), none.alias("traversed"))
+def prompt_pieces(placed: DataFrame, group: str) -> DataFrame:
+    """group, piece, n, text of what stuffed() keeps: its numbered blocks, joined in order, in pieces of about PIECE_CHARS."""
+    block = F.concat(F.lit("["), (F.col("place") + 1).cast("string"), F.lit("] "), F.coalesce("citation", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))
+    rows = placed.where("kept").select(group, F.floor(F.col("running") / PIECE_CHARS).alias("piece"), "place", block.alias("block"))
+    held = F.sort_array(F.collect_list(F.struct("place", "block")))
+    return rows.groupBy(group, "piece").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(held, lambda x: x["block"]), "\n\n").alias("text"))
+
+
+def prompts(pieces: DataFrame, group: str) -> DataFrame:
+    """group, supplied, prompt of prompt_pieces(): as long as the budget at most, however large the version is."""
+    held = F.sort_array(F.collect_list(F.struct("piece", "text")))
+    return pieces.groupBy(group).agg(F.sum("n").alias("supplied"), F.array_join(F.transform(held, lambda x: x["text"]), "\n\n").alias("prompt"))
+
+
+def full_context(questions: DataFrame, provisions: DataFrame, budget: int) -> tuple[DataFrame, DataFrame]:
+    """The arm that hands over a whole version, as far as the budget goes; nothing is searched or walked.
+
+    question, version, prompt_key, supplied, dropped of questions (question, version); and the
+    prompts, one row a version: prompt_key, prompt.  Questions name their prompt by its key.
+    """
+    placed = stuffed(provisions, "version", budget)
+    made = materialize(prompts(prompt_pieces(placed, "version"), "version").withColumn("prompt_key", F.sha2("prompt", 256)), "prompts")
+    counts = placed.groupBy("version").agg(F.count_if(~F.col("kept")).alias("dropped"))
+    # One row a version, without its text.
+    keys = made.select("version", "prompt_key", "supplied").join(counts, "version")
+    return questions.join(keys, "version").select("question", "version", "prompt_key", "supplied", "dropped"), made.select("prompt_key", "prompt")
 
 
 def search_only(hits: DataFrame) -> DataFrame:

@@ -364,13 +364,18 @@ def arm_runs(spark, d):
     return got.groupBy("arm").agg(F.count(F.lit(1)).alias("runs"), F.count("error").alias("failures"), F.sum("prompt_tokens").alias("prompt_tokens"), F.max("error").alias("error"))
 
 
-@query(f"""WITH {_PROV}, v AS (SELECT version, count(*) AS n, min(id) AS a FROM (SELECT version, id FROM ids WHERE kind <> 'paragraph') GROUP BY 1)
-SELECT o_orderkey AS question, v.version, n AS searched, 0 AS traversed FROM orders, v WHERE o_orderkey % 100 = 0""")
+@query(f"""WITH {_PROV}, b AS (SELECT version, doc_id, row_number() OVER w AS i, citation || chr(10) || text AS block, sum(length(text) + length(citation) + 8) OVER (w ROWS UNBOUNDED PRECEDING) AS run
+  FROM ids WHERE kind <> 'paragraph' WINDOW w AS (PARTITION BY version ORDER BY doc_id, id)),
+v AS (SELECT version, count(*) FILTER (run <= 300000 OR i = 1) AS supplied, count(*) FILTER (NOT (run <= 300000 OR i = 1)) AS dropped,
+  string_agg('[' || i || '] ' || block, chr(10) || chr(10) ORDER BY i) FILTER (run <= 300000 OR i = 1) AS prompt FROM b GROUP BY version)
+SELECT o_orderkey AS question, version, sha256(prompt) AS prompt_key, supplied, dropped, length(prompt) AS chars FROM orders, v""")
 def full_context_arm(spark, d):
-    """The arm that hands over all provisions but paragraphs of a version, for questions numbered by hundreds."""
-    p = _provisions(spark, d).select("version", "ord", "id", "kind", F.col("id").alias("citation"), F.lit("").alias("text"))
-    questions = read(spark, d, "orders").where("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("question")).withColumn("version", F.explode(F.array(F.lit("original"), F.lit("consolidated"))))
-    return arms.full_context(questions, p).select("question", "version", F.size("searched").alias("searched"), F.size("traversed").alias("traversed"))
+    """The arm that hands over a version as far as 300,000 characters go, for every order as a question: the prompt's digest and size."""
+    p = _provisions(spark, d)
+    p = p.withColumn("citation", tx.citation(F.col("kind"), F.col("number"), F.col("parent_id")))
+    questions = read(spark, d, "orders").select(F.col("o_orderkey").alias("question")).withColumn("version", F.explode(F.array(F.lit("original"), F.lit("consolidated"))))
+    asked, prompts = arms.full_context(questions, p, 300_000)
+    return asked.join(prompts.select("prompt_key", F.length("prompt").alias("chars")), "prompt_key").select("question", "version", "prompt_key", "supplied", "dropped", "chars")
 
 
 # --- reports ----------------------------------------------------------------------------

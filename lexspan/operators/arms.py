@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
+from ..sources.snapshots import Snapshots
 from . import order
 
 # Task prefixes that embedding models were trained with.
@@ -31,7 +33,10 @@ def refuse_truncated(chunks: DataFrame, count: Callable[[str], int], limit: int)
 
     Only texts of more than 3 * limit characters are counted: no shorter one can have so many.
     """
-    counted = F.udf(count, "long")
+    @F.pandas_udf("long")
+    def counted(texts: pd.Series) -> pd.Series:
+        return texts.map(count)
+
     long = F.length("text") > 3 * limit
     tokens = F.when(long, counted(F.when(long, F.col("text")).otherwise("")))
     message = F.concat("chunk_id", F.lit(" is "), tokens.cast("string"), F.lit(f" tokens against a limit of {limit}"))
@@ -43,20 +48,89 @@ def generate(prompts: DataFrame, key: str, generator: Generator) -> DataFrame:
     kind = dict(prompts.dtypes)[key]
 
     def run(batches: Iterator):
-        import pandas as pd
+        import pyarrow as pa
 
-        for pdf in batches:
+        for batch in batches:
             rows = []
-            for prompt in pdf["prompt"]:
+            for prompt in batch.column("prompt").to_pylist():
                 try:
                     rows.append((*generator(prompt), None))
                 except EXPECTED as error:
                     rows.append((None, None, None, f"{type(error).__name__}: {error}"))
-            got = pd.DataFrame(rows, columns=["text", "prompt_tokens", "completion_tokens", "error"]).astype({"prompt_tokens": "Int64", "completion_tokens": "Int64"})
-            got.insert(0, key, pdf[key].to_numpy())
-            yield got
+            text, asked, made, error = zip(*rows) if rows else ((),) * 4
+            # The key never leaves Arrow: null or large ones come back as they are.
+            yield pa.RecordBatch.from_pydict({
+                key: batch.column(key), "text": pa.array(text, pa.string()), "prompt_tokens": pa.array(asked, pa.int64()),
+                "completion_tokens": pa.array(made, pa.int64()), "error": pa.array(error, pa.string()),
+            })
+
+    return prompts.select(key, "prompt").mapInArrow(run, f"{key} {kind}, {RESULT}")
+
+
+#: Texts of one call -> (index, vector) of each in any order, and the tokens that the call read.
+Embedder = Callable[[list[str]], tuple[list[tuple[int, list[float]]], int]]
+#: Texts of a call, and tries of it before its rows fail.
+CALL_TEXTS, TRIES = 16, 3
+EMBEDDED = "vector array<float>, call_tokens long, error string"
+
 
-    return prompts.select(key, "prompt").mapInPandas(run, f"{key} {kind}, {RESULT}")
+def embed(chunks: DataFrame, key: str, embedder: Embedder, size: int = CALL_TEXTS, tries: int = TRIES) -> DataFrame:
+    """key with EMBEDDED of chunks (key, text): calls of `size` texts, filled over the batches of a task.
+
+    Vectors are put in order by their index.  A call that fails as EXPECTED, or does not give one
+    vector a text, is made again; after the last try its rows hold the error and no vector.
+    """
+    kind = dict(chunks.dtypes)[key]
+
+    def call(texts: list[str]):
+        for left in range(tries - 1, -1, -1):
+            try:
+                got, tokens = embedder(texts)
+                if sorted(i for i, _ in got) != list(range(len(texts))):
+                    raise ValueError(f"asked for {len(texts)} vectors and got {len(got)}")
+                return [v for _, v in sorted(got, key=lambda x: x[0])], tokens, None
+            except EXPECTED as error:
+                if not left:
+                    return [None] * len(texts), None, f"{type(error).__name__}: {error}"
+
+    def run(batches: Iterator):
+        import pyarrow as pa
+
+        held = None
+
+        def made(rows):
+            vectors, tokens, error = call(rows.column("text").to_pylist())
+            n = rows.num_rows
+            return pa.RecordBatch.from_pydict({
+                key: rows.column(key).combine_chunks() if isinstance(rows, pa.Table) else rows.column(key), "vector": pa.array(vectors, pa.list_(pa.float32())),
+                "call_tokens": pa.array([tokens] * n, pa.int64()), "error": pa.array([error] * n, pa.string()),
+            })
+
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            whole = rows.num_rows // size * size
+            for at in range(0, whole, size):
+                yield made(rows.slice(at, size))
+            held = rows.slice(whole)
+        if held is not None and held.num_rows:
+            yield made(held)
+
+    return chunks.where("text is not null").select(key, "text").mapInArrow(run, f"{key} {kind}, {EMBEDDED}")
+
+
+def embed_missing(chunks: DataFrame, key: str, embedder: Embedder, path: str, **options) -> tuple[DataFrame, DataFrame]:
+    """The vectors stored at a path (key, vector) and the failures of this run (key, error).
+
+    Chunks whose keys the store holds are not sent again; what succeeds is added in one commit, so
+    a run after a failed one does only the rest.
+    """
+    store = Snapshots(chunks.sparkSession, path)
+    known = store.rows("vectors")
+    todo = chunks if known is None else chunks.join(known.select(key), key, "left_anti")
+    # Written before it is looked at twice: each text is sent once.
+    got = materialize(embed(todo, key, embedder, **options), "embedded")
+    store.append(got.where("error is null").select(key, "vector"), "vectors")
+    return store.rows("vectors"), got.where("error is not null").select(key, "error")
 
 
 #: Characters of a piece of a prompt, about.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.units import UNITS, Units
-from ..sources.scratch import materialize
+from ..sources.scratch import materialize, scratch_path
+from . import order
 
 # What follows a reference to another act.
 OTHER_ACT = r"(\s*(?:,\s*)?(?:and\s+)?of\s+(?:Directive|Regulation|Decision|Council|the\s+(?:Directive|Regulation)))?"
@@ -111,10 +113,12 @@ def walk(seeds: DataFrame, edges: DataFrame, depth: int = 2, cap: int | None = 4
     queue order: seeds by place, then lifted holders (hop 0, which are reached too); seeds
     are never reached.  The ranking by (hop, id as text) is cut at cap.  Nothing is reached
     if the walk is not enabled.  A query that has reached as many as the cap goes no further, as
-    later hops rank behind.  One join a hop; each hop is deduplicated and written to the
+    later hops rank behind.  Edges are written once by buckets of their source, so a hop moves
+    the frontier only; each hop is deduplicated, numbered by ranges of its queue and written to the
     shared folder, so plans and lost executors cost one hop; it stays within nodes times queries.
     """
     links = edges.select(F.col("source_id").alias("src"), F.col("target_id").alias("id"), "ord")
+    links, table = by_bucket(links, "src") if enabled and depth > 1 else (links, None)
     start = seeds.groupBy("query_id", "id").agg(F.min("pos").cast("long").alias("pos"))
     none = start.where("false").select("query_id", "id", F.lit(0).alias("hop"), F.col("id").alias("src"))
     seen = start.select("query_id", "id")
@@ -127,15 +131,27 @@ def walk(seeds: DataFrame, edges: DataFrame, depth: int = 2, cap: int | None = 4
     for hop in range(1, depth + 1 if enabled else 1):
         first = Window.partitionBy("query_id", "id").orderBy("spos", "ord")
         new = front.join(links, "src").join(seen, ["query_id", "id"], "left_anti")
-        new = new.withColumn("_n", F.row_number().over(first)).where("_n = 1")
-        queue = Window.partitionBy("query_id").orderBy("spos", "ord", "id")
-        new = new.withColumn("npos", F.row_number().over(queue).cast("long")).select("query_id", "id", "src", "npos")
-        new = materialize(new, f"hop{hop}")
+        new = new.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("query_id", "id", "src", "spos", "ord")
+        # running() writes what it numbers.
+        new = order.running(new, "query_id", ["spos", "ord", "id"], F.lit(1)).select("query_id", "id", "src", F.col("running").alias("npos"))
         out = out.unionByName(new.select("query_id", "id", F.lit(hop).alias("hop"), "src"))
         seen = seen.unionByName(new.select("query_id", "id"))
         front = new.select("query_id", F.col("id").alias("src"), F.struct(F.lit(0).alias("tier"), F.col("npos").alias("pos")).alias("spos"))
         if cap is not None and hop < depth:
             full = out.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= cap).select("query_id")
             front = front.join(full, "query_id", "left_anti")
-    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("hop", F.col("id").cast("string"))))
-    return ranked if cap is None else ranked.where(F.col("rank") <= cap)
+    if table is not None:  # every hop is written
+        seeds.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
+    by = ["hop", F.col("id").cast("string")]
+    if cap is None:
+        return order.running(out, "query_id", by, F.lit(1)).select(*out.columns, F.col("running").alias("rank"))
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*by))).where(F.col("rank") <= cap)
+
+
+def by_bucket(rows: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """rows as a table in the shared folder, bucketed by key, and its name: joins by that key don't move it again."""
+    spark = rows.sparkSession
+    name = f"bucketed_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.write.bucketBy(buckets, key).sortBy(key).option("path", scratch_path(spark, name)).saveAsTable(name)
+    return spark.table(name), name

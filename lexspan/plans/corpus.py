@@ -378,6 +378,30 @@ def full_context_arm(spark, d):
     return asked.join(prompts.select("prompt_key", F.length("prompt").alias("chars")), "prompt_key").select("question", "version", "prompt_key", "supplied", "dropped", "chars")
 
 
+@query("""SELECT doc_id, length(text) AS n_chars, length(text) - length(replace(text, 'a', '')) AS n_a, text LIKE '%e' AS failed_first FROM documents""")
+def embedded_texts(spark, d):
+    """Documents embedded in calls of 16 by a scripted model that answers in any order: calls that fail at first are made good by a second run."""
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    path = scratch.scratch_path(spark, "vectors")
+
+    def scripted(texts):
+        vectors = [(i, [float(len(t)), float(t.count("a"))]) for i, t in enumerate(texts)]
+        return sorted(vectors, key=lambda v: v[1]), sum(map(len, texts)) // 4
+
+    def moody(texts):
+        if any(t.endswith("e") for t in texts):
+            raise TimeoutError("slow")
+        return scripted(texts)
+
+    _, failures = arms.embed_missing(docs, "doc_id", moody, path, size=1)
+    vectors, none = arms.embed_missing(docs, "doc_id", scripted, path)
+    if not none.isEmpty():
+        raise RuntimeError("the second run failed too")
+    sure = lambda i: F.col("vector")[i].cast("long")
+    marked = vectors.join(failures.select("doc_id", F.lit(True).alias("failed_first")), "doc_id", "left")
+    return marked.select("doc_id", sure(0).alias("n_chars"), sure(1).alias("n_a"), F.coalesce("failed_first", F.lit(False)).alias("failed_first"))
+
+
 # --- reports ----------------------------------------------------------------------------
 
 _SUMMARY = catalogue.SQL["arm_summary"]

@@ -46,6 +46,13 @@ def knn_topk(spark, d):
     return _knn(spark, d)
 
 
+@query(f"WITH {_KNN} SELECT query_id, vec_id, d, rank FROM knn")
+def knn_pruned(spark, d):
+    """The same by cells around centres, of which those out of reach are left out."""
+    v = read(spark, d, "embeddings").select("vec_id", "embedding")
+    return search.nearest_pruned(v, v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 12)
+
+
 @query(f"""WITH {_KNN}, kept AS (SELECT *, sum(100 + vec_id % 50) OVER (PARTITION BY query_id ORDER BY rank) AS run FROM knn)
 SELECT query_id, count(*) AS n_searched, count(*) FILTER (run <= 1000 OR rank = 1) AS n_kept,
   count(*) FILTER (NOT (run <= 1000 OR rank = 1)) AS n_dropped,

@@ -15,23 +15,25 @@ SPANS = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.Struc
 def common_words(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Index pairs of a longest common subsequence; of equal choices the left side moves on.
 
-    Rows of lengths are kept at every root-th word of `a` only; the rows between are made
-    again, as bits, for the stretch that the way passes through.  So memory grows with
-    len(b) times the root of len(a).
+    Lengths of the rest from each word of `a` are bits of one number: bit j, from the end of `b`, is
+    clear where the word there adds one.  A row takes a few operations on whole numbers, and a length is a
+    count of bits.  Rows are kept at every root-th word of `a` only and made again for the
+    stretch that the way passes through, so memory grows with len(b) times the root of len(a), in bits.
     """
-    import numpy as np
-
-    names: dict[str, int] = {}
-    x, y = (np.array([names.setdefault(w, len(names)) for w in side], np.int64) for side in (a, b))
-    n, m = len(x), len(y)
-    step = max(1, int(n**0.5))
-
-    def above(row, i):  # lengths of the rest from word i of a, out of those from word i + 1
-        best = np.where(y == x[i], row[1:] + 1, row[:-1])
-        return np.append(np.maximum.accumulate(best[::-1])[::-1], 0)
-
-    kept = {n: np.zeros(m + 1, np.int32)}
-    row = kept[n]
+    n, m = len(a), len(b)
+    if not n or not m:
+        return []
+    places: dict[str, int] = {}
+    for j, w in enumerate(b):
+        places[w] = places.get(w, 0) | 1 << (m - 1 - j)
+    full, step = (1 << m) - 1, max(1, int(n**0.5))
+
+    def above(row, i):  # the row of word i of a, out of that of the word after it
+        hit = row & places.get(a[i], 0)
+        return (row + hit | row - hit) & full
+
+    kept = {n: full}
+    row = full
     for i in range(n - 1, -1, -1):
         row = above(row, i)
         if i % step == 0:
@@ -39,14 +41,20 @@ def common_words(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     out, j = [], 0
     for low in range(0, n, step):
         high = min(n, low + step)
-        row, bits = kept[high], {}
+        rows = {high: kept[high]}
         for i in range(high - 1, low - 1, -1):
-            below, row = row, above(row, i)
-            bits[i] = np.packbits(below[:-1] >= row[1:])  # whether the left side moves on
+            rows[i] = above(rows[i + 1], i)
         for i in range(low, high):
-            while j < m and x[i] != y[j] and not bits[i][j >> 3] >> (7 - (j & 7)) & 1:
+            here, after = rows[i], rows[i + 1]
+            # The left side moves on if the rest is as long without its word: only where the two rows differ can they part.
+            if here == after and a[i] not in places:
+                continue
+            while j < m and a[i] != b[j]:
+                rest = (1 << (m - j)) - 1
+                if (here & rest).bit_count() == (after & rest).bit_count():
+                    break
                 j += 1
-            if j < m and x[i] == y[j]:
+            if j < m and a[i] == b[j]:
                 out.append((i, j))
                 j += 1
     return out

@@ -37,6 +37,20 @@ def first_inside(spans_: DataFrame, points: DataFrame, key: str, start: str, end
     return spans_.join(found, [key, start], "left").withColumn(name, inside).drop("_next")
 
 
+def holder_of(points: DataFrame, spans_: DataFrame, key: str, at: str, start: str, end: str, order: str) -> DataFrame:
+    """points with the columns of the span of their key that holds them (start <= at < end), for spans that do not overlap; others are left out.
+
+    One sweep of each key's points and spans in order: a point is held by the last span that began, if by any.
+    """
+    named = [c for c in spans_.columns if c != key]
+    opened = spans_.select(F.col(key), F.col(start).alias("_at"), F.lit(0).alias("_probe"), F.col(order).cast("long").alias("_order"), F.struct(*named).alias("_span"))
+    asked = points.select(F.col(key), F.col(at).alias("_at"), F.lit(1).alias("_probe"), F.lit(None).cast("long").alias("_order"), F.struct(*(c for c in points.columns if c != key)).alias("_point"))
+    both = opened.unionByName(asked, allowMissingColumns=True)
+    sweep = Window.partitionBy(key).orderBy("_at", "_probe", "_order").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_span", F.last("_span", ignorenulls=True).over(sweep)).where(f"_probe = 1 and _span is not null and _at < _span.{end}")
+    return found.select(F.col(key), "_point.*", "_span.*")
+
+
 def state_at(rows: DataFrame, key: str, order: list, state: Column) -> Column:
     """The last non-null state up to and including each row (backward as-of)."""
     return F.last(state, ignorenulls=True).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))

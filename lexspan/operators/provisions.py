@@ -22,6 +22,8 @@ DIVISION_LEAK = r"\b(CHAPTER\s+[IVXLC]+|SECTION\s+\d+)\b"
 SIGNATURE_LEAK = "Done at Brussels"
 MARKER_LEAK = "▼"
 TITLE_CHARS = 120
+#: Characters of a stretch of a page, within which lines meet what holds them.
+STRETCH = 4_096
 
 
 @dataclass(frozen=True)
@@ -54,13 +56,11 @@ def parse(pages: DataFrame, markup: Markup, units: Units = UNITS, key: str = "do
     """
     flat = materialize(html.flattened(pages, key), "flat")  # pages are parsed once
     whole = flat.select(key, F.col("f.text").alias("whole"))
-    found = html.elements(flat, key)
     headed = (markup.heading, markup.subtitle, markup.division, markup.chapter, markup.chapter_title, markup.body, markup.label, markup.roman_title, markup.marker)
     used = F.col("id").isNotNull()
     for cls in headed:
         used = used | of_class(cls)
-    found = materialize(found.where(used), "elements")
-    text_of = lambda a, b: F.expr(f"substr(whole, cast({a} as int) + 1, cast({b} - {a} as int))")
+    found = materialize(html.elements(flat, key, used), "elements")
     clean = tx.strip_markers if markup.marker else tx.normalize
     ends = found.where(F.col("id").startswith(units.roman[1] + "_") | (F.col("id").startswith(markup.signature) if markup.signature else F.lit(False)))
     limit = whole.select(key, F.length("whole").cast("long").alias("n")).join(ends.groupBy(key).agg(F.min("start").alias("first")), key, "left")
@@ -81,7 +81,7 @@ def parse(pages: DataFrame, markup: Markup, units: Units = UNITS, key: str = "do
     articles = intervals.first_inside(articles, subtitles, key, "start", "stop_at", "start", "value", "title")
     number = F.regexp_extract(tx.normalize(F.col("text")), rf"{units.article[0]}\s+(\d+[a-z]?)", 1)
     articles = articles.withColumn("number", number).where("number <> ''").withColumn("title", _without_quotes(clean(F.coalesce("title", F.lit("")))))
-    articles = articles.select(key, F.col("start").alias("off"), "stop_at", F.concat(F.lit(units.article[1] + "_"), "number").alias("id"), "number", "title")
+    articles = articles.select(key, "n", F.col("start").alias("off"), "stop_at", F.concat(F.lit(units.article[1] + "_"), "number").alias("id"), "number", "title")
     # The chapter at an article: the last one that begins at or before it.
     both = chapters.select(key, "off", F.lit(0).alias("probe"), F.col("id").alias("chapter_id"), F.lit(None).cast("string").alias("article"))
     both = both.unionByName(articles.select(key, "off", F.lit(1).alias("probe"), F.lit(None).cast("string").alias("chapter_id"), F.col("id").alias("article")))
@@ -92,15 +92,16 @@ def parse(pages: DataFrame, markup: Markup, units: Units = UNITS, key: str = "do
     labelled = labelled.withColumn("label", F.regexp_extract("plain", LEADING_LABEL if markup.body else LABEL, 1))
     if markup.body:  # bodies without a number are text of the paragraph before them
         labelled = labelled.where("label <> ''")
-    inside = labelled.select(key, "n", F.col("start").alias("at"), "label").join(articles.withColumnRenamed("title", "_t"), key).where("off <= at and at < stop_at")
+    # Articles do not overlap: a label is of the last one that began, unless that has ended.
+    inside = intervals.holder_of(labelled.select(key, "n", F.col("start").alias("at"), "label"), articles.select(key, F.col("n").alias("heading"), "off", "stop_at", "id", "chapter_id"), key, "at", "off", "stop_at", "heading")
     follow = F.lead("at").over(Window.partitionBy(key, "off").orderBy("at", "n"))
     paragraphs = inside.withColumn("to", F.coalesce(follow, "stop_at")).where("label <> ''")
     paragraphs = paragraphs.select(key, F.col("at").alias("off"), "to", F.concat("id", F.lit("."), "label").alias("id"), F.col("label").alias("number"), F.col("id").alias("parent_id"), "chapter_id")
 
-    article_rows = articles.join(whole, key).withColumn("text", clean(text_of("off", "stop_at"))).withColumn("kind", F.lit("article"))
-    paragraph_rows = paragraphs.join(whole, key).withColumn("text", clean(text_of("off", "to"))).withColumn("kind", F.lit("paragraph")).withColumn("title", F.lit(""))
+    article_rows = html.cut(flat, articles, key, "off", "stop_at", "text").withColumn("text", clean(F.col("text"))).withColumn("kind", F.lit("article"))
+    paragraph_rows = html.cut(flat, paragraphs, key, "off", "to", "text").withColumn("text", clean(F.col("text"))).withColumn("kind", F.lit("paragraph")).withColumn("title", F.lit(""))
     tail = html.anchored(found, units.roman[1] + "_", "roman", key).unionByName(html.anchored(found, units.recital[1] + "_", "recital", key))
-    tail = tail.join(_roman_titles(found, markup, key), [key, "id"], "left").withColumn("title", F.coalesce("title", F.lit(""))).withColumn("text", clean(F.col("text")))
+    tail = tail.join(_roman_titles(found, markup, units, key), [key, "id"], "left").withColumn("title", F.coalesce("title", F.lit(""))).withColumn("text", clean(F.col("text")))
     cols = [key, "off", "id", "kind", "number", "title", "text", "parent_id", "chapter_id", "end", "tier"]
     null = F.lit(None).cast("string")
     rows = chapters.select(key, "off", "id", F.lit("chapter").alias("kind"), "number", "title", "text", null.alias("parent_id"), null.alias("chapter_id"), F.col("off").alias("end"), F.lit(0).alias("tier"))
@@ -118,11 +119,15 @@ def _without_quotes(text: Column) -> Column:
     return F.regexp_replace(text, "[`'\"]+$", "")
 
 
-def _roman_titles(found: DataFrame, markup: Markup, key: str) -> DataFrame:
+def _roman_titles(found: DataFrame, markup: Markup, units: Units, key: str) -> DataFrame:
     """The heading lines after the first of each anchored element, joined and cut; without any, the first body text in it."""
-    holders = found.where("id is not null").select(key, "id", F.col("start").alias("a"), F.col("end").alias("b"), F.col("n").alias("h"))
+    anchored = F.col("id").startswith(units.roman[1] + "_") | F.col("id").startswith(units.recital[1] + "_")
+    holders = found.where(anchored).select(key, "id", F.col("start").alias("a"), F.col("end").alias("b"), F.col("n").alias("h"))
     lines = found.where(of_class(markup.roman_title)).select(key, "n", "start", "text")
-    held = lines.join(holders, key).where("n > h and start >= a and start < b")
+    # They may stand inside each other; by stretches of the page, a line meets those that reach into its own.
+    stretch = lambda c: F.floor(F.col(c) / STRETCH)
+    held = lines.withColumn("_s", stretch("start")).join(holders.withColumn("_s", F.explode(F.sequence(stretch("a"), stretch("b")))), [key, "_s"])
+    held = held.where("n > h and start >= a and start < b")
     joined = held.groupBy(key, "id").agg(F.sort_array(F.collect_list(F.struct("n", "text"))).alias("l"))
     title = F.array_join(F.transform(F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(0))), lambda x: x["text"]), " ")
     return joined.select(key, "id", F.left(tx.normalize(title), F.lit(TITLE_CHARS)).alias("title"))
@@ -137,7 +142,8 @@ def _amended(rows: DataFrame, found: DataFrame, markup: Markup, key: str) -> Dat
     both = marks.unionByName(probes)
     at = both.withColumn("at", F.coalesce(intervals.state_at(both, key, ["off", "probe", "text"], F.col("state")), F.lit(False))).where("probe = 1").select(key, "ord", "at")
     opened = marks.where("state").select(key, F.col("off").alias("o"))
-    inside = rows.where("kind = 'article'").join(opened, key).where("off <= o and o < end").select(key, "ord").distinct().withColumn("inside", F.lit(True))
+    articles = rows.where("kind = 'article'").select(key, "ord", "off", "end")
+    inside = intervals.holder_of(opened, articles, key, "o", "off", "end", "ord").select(key, "ord").distinct().withColumn("inside", F.lit(True))
     joined = rows.join(at, [key, "ord"]).join(inside, [key, "ord"], "left")
     return joined.withColumn("amended", F.col("at") | F.coalesce("inside", F.lit(False)))
 

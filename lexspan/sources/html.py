@@ -5,7 +5,7 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,10 +71,27 @@ def documents(spark, path: str) -> DataFrame:
     return raw.select(F.col("path").alias("doc"), F.decode("content", "UTF-8").alias("html"))
 
 
-def elements(flat: DataFrame, key: str) -> DataFrame:
-    """key, n, tag, cls, id, start, end, text of every element of flattened pages (key, f); n counts them in page order from 0."""
-    inside = F.col("f.text").substr(F.col("e.start").cast("int") + 1, (F.col("e.end") - F.col("e.start")).cast("int"))
-    return flat.select(key, "f", F.explode("f.elements").alias("e")).select(key, "e.*", inside.alias("text"))
+def elements(flat: DataFrame, key: str, used: Column | None = None) -> DataFrame:
+    """key, n, tag, cls, id, start, end, text of the elements of flattened pages (key, f) that are used, or all; n counts every one in page order from 0."""
+    each = flat.select(key, F.explode("f.elements").alias("e")).select(key, "e.*")
+    return cut(flat, each if used is None else each.where(used), key, "start", "end", "text")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _slices(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+    return pd.Series([[t[s:e] for s, e in zip(a, b)] for t, a, b in zip(texts, starts, ends, strict=True)])
+
+
+def cut(flat: DataFrame, rows: DataFrame, key: str, start: str, end: str, name: str) -> DataFrame:
+    """rows with `name`, the stretch of their page's text from start up to end.
+
+    A page's stretches are taken from its text together, each at the cost of its own length, and the text is not copied to each.
+    """
+    held = rows.groupBy(key).agg(F.collect_list(F.struct(*(c for c in rows.columns if c != key))).alias("_r")).join(flat.select(key, F.col("f.text").alias("_whole")), key)
+    of = lambda c: F.transform("_r", lambda x: x[c].cast("int"))
+    texts = held.select(key, "_r", _slices("_whole", of(start), of(end)).alias("_t"))
+    each = texts.select(key, F.explode(F.arrays_zip("_r", "_t")).alias("_x"))
+    return each.select(key, "_x._r.*", F.col("_x._t").alias(name))
 
 
 def flattened(pages: DataFrame, key: str, html: str = "html") -> DataFrame:

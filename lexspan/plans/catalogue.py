@@ -348,6 +348,24 @@ def lcs_diff(spark, d):
     return out.select("doc_id", "other", size("x.before").alias("n_gone"), size("x.after").alias("n_come"), digest("x.before").alias("gone"), digest("x.after").alias("come"))
 
 
+_WORDS = "regexp_extract_all(p_name || ' ' || p_type || ' ' || p_brand, '[A-Za-z0-9]+')"
+
+
+@query(f"""WITH RECURSIVE w AS (SELECT p_partkey AS p, {_WORDS} AS after, lag({_WORDS}) OVER (ORDER BY p_partkey) AS before FROM part QUALIFY before IS NOT NULL),
+x AS (SELECT p, generate_subscripts(before, 1) AS i, unnest(before) AS word FROM w), y AS (SELECT p, generate_subscripts(after, 1) AS j, unnest(after) AS word FROM w),
+hit AS (SELECT x.p, i, j FROM x JOIN y ON x.p = y.p AND x.word = y.word),
+way AS (SELECT p, i, j, 1 AS n FROM hit UNION SELECT h.p, h.i, h.j, n + 1 FROM way JOIN hit h ON h.p = way.p AND h.i > way.i AND h.j > way.j),
+common AS (SELECT p, max(n) AS n FROM way GROUP BY p)
+SELECT w.p AS p_partkey, len(before) - coalesce(n, 0) AS n_gone, len(after) - coalesce(n, 0) AS n_come FROM w LEFT JOIN common USING (p)""")
+def name_diff(spark, d):
+    """Word diff of what each part and the one before it are called."""
+    said = F.concat_ws(" ", "p_name", "p_type", "p_brand")
+    rows = order.numbered(read(spark, d, "part").select("p_partkey", said.alias("said")), ["p_partkey"], "at")
+    before = rows.select((F.col("at") + 1).alias("at"), F.col("said").alias("before"))
+    changed = lambda c: F.size(F.filter(c, lambda s: s["changed"]))
+    return rows.join(before, "at").select("p_partkey", compare.word_diff("before", "said").alias("x")).select("p_partkey", changed("x.before").alias("n_gone"), changed("x.after").alias("n_come"))
+
+
 # --- versions, reports, captures --------------------------------------------------------
 
 

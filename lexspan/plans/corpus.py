@@ -25,7 +25,9 @@ def page_elements(spark, d):
     return found.where(F.col("tag").isin("p", "li", "h1", "article", "nav", "div")).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"""WITH t AS (SELECT page_id, replace(replace(replace(replace(regexp_replace(replace({_SEEN}, '<p>', chr(1) || '1. '), '<[^>]*>', '', 'g'), '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&') AS w FROM pages),
+whole AS (SELECT page_id, 'article' AS kind, 'Article ' || page_id || replace(w, chr(1), '') AS x FROM t UNION ALL SELECT page_id, 'paragraph', unnest(string_split(w, chr(1))[2:]) FROM t)
+SELECT page_id, kind, count(*) AS n, sum(length(trim(regexp_replace(x, '\\s+', ' ', 'g'))))::BIGINT AS chars FROM whole GROUP BY 1, 2""")
 def page_provisions(spark, d):
     """Pages with their lines of text as articles' paragraphs: parsed as provisions, counted by kind."""
     line = F.regexp_replace(F.col("html"), "<p>", '<p class="body">1. ')
@@ -58,12 +60,26 @@ def _provisions(spark, d):
     )
 
 
-@query(f"""WITH {_PROV}, heads AS (SELECT version, k, citation || CASE WHEN kind = 'paragraph' AND EXISTS (SELECT 1 FROM ids a WHERE a.version = ids.version AND a.k = ids.k - 1) THEN ' Title ' || (k - 1) ELSE '' END AS head FROM ids)
-SELECT ids.version, id AS chunk_id, citation, kind, CASE WHEN kind IN ('paragraph', 'recital') THEN sha256(head || chr(10) || replace(text, '(', '')) ELSE sha256(replace(text, '(', '')) END AS digest
-FROM ids JOIN heads USING (version, k) WHERE NOT (kind = 'article' AND EXISTS (SELECT 1 FROM ids p WHERE p.version = ids.version AND p.kind = 'paragraph' AND p.k = ids.k + 1))""")
+_CUT = r"regexp_replace({}, '(\s)(\(\d+\)\s)', '\1' || chr(1) || '\2', 'g')"
+
+
+@query(f"""WITH RECURSIVE {_PROV}, heads AS (SELECT version, k, citation || CASE WHEN kind = 'paragraph' AND EXISTS (SELECT 1 FROM ids a WHERE a.version = ids.version AND a.k = ids.k - 1) THEN ' Title ' || (k - 1) ELSE '' END AS head FROM ids),
+w AS (SELECT ids.version, id, citation, kind, CASE WHEN kind IN ('paragraph', 'recital') THEN head || chr(10) || text ELSE text END AS whole
+  FROM ids JOIN heads USING (version, k) WHERE NOT (kind = 'article' AND EXISTS (SELECT 1 FROM ids p WHERE p.version = ids.version AND p.kind = 'paragraph' AND p.k = ids.k + 1))),
+p AS (SELECT version, id, string_split({_CUT.format(_CUT.format('whole'))}, chr(1)) AS s FROM w WHERE length(whole) > 6000),
+points AS (SELECT version, id, generate_subscripts(s, 1) AS i, unnest(s) AS x FROM p),
+filled AS (SELECT version, id, row_number() OVER (PARTITION BY version, id ORDER BY i) AS i, x FROM points WHERE regexp_replace(x, '\\s', '', 'g') <> ''),
+many AS (SELECT version, id FROM filled GROUP BY ALL HAVING count(*) > 1),
+fold AS (SELECT version, id, 1::BIGINT AS i, 0 AS part, length(x) AS n FROM filled JOIN many USING (version, id) WHERE i = 1
+  UNION ALL SELECT f.version, f.id, f.i + 1, CASE WHEN f.n + length(t.x) > 6000 THEN f.part + 1 ELSE f.part END, CASE WHEN f.n + length(t.x) > 6000 THEN length(t.x) ELSE f.n + length(t.x) END
+  FROM fold f JOIN filled t ON t.version = f.version AND t.id = f.id AND t.i = f.i + 1),
+parts AS (SELECT version, id, part, trim(string_agg(x, '' ORDER BY i), E' \n\t\r') AS chunk FROM fold JOIN filled USING (version, id, i) GROUP BY ALL
+  UNION ALL SELECT version, id, 0, whole FROM w WHERE (version, id) NOT IN (SELECT (version, id) FROM many)),
+sized AS (SELECT *, count(*) OVER (PARTITION BY version, id) AS n FROM parts)
+SELECT version, CASE WHEN n = 1 THEN id ELSE id || '#' || part END AS chunk_id, citation, kind, sha256(chunk) AS digest FROM sized JOIN w USING (version, id)""")
 def chunk_table(spark, d):
-    """Embeddable units: articles with a paragraph stand back for it, paragraphs and recitals are headed; without brackets no text has numbered points."""
-    rows = provisions.chunks(_provisions(spark, d).where("text is not null").withColumn("text", F.replace("text", F.lit("("), F.lit(""))))
+    """Embeddable units: articles with a paragraph stand back for it, paragraphs and recitals are headed, long texts are cut at their numbered points."""
+    rows = provisions.chunks(_provisions(spark, d).where("text is not null"))
     return rows.select("version", "chunk_id", "citation", "kind", F.sha2("text", 256).alias("digest"))
 
 

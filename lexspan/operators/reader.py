@@ -42,7 +42,7 @@ def outcome_line(original: Column, consolidated: Column) -> Column:
 
     both = F.when(original, "Refused on both texts").otherwise("Answered on both texts")
     line = F.concat_ws(", ", on(original, "original"), on(consolidated, "consolidated"))
-    return F.when(original == consolidated, both).otherwise(F.concat(F.upper(F.left(line, F.lit(1))), F.expr("''"), F.substring(line, 2, 1_000)))
+    return F.when(original == consolidated, both).otherwise(F.concat(F.upper(F.left(line, F.lit(1))), F.expr("''"), F.substring(line, 2, 2**31 - 1)))
 
 
 def file_name(question: Column, version: Column) -> Column:
@@ -52,7 +52,7 @@ def file_name(question: Column, version: Column) -> Column:
 def identifier(question: Column, version: Column) -> Column:
     """A binding's name out of both: pieces between dashes and dots, capitalised after the first."""
     parts = F.split(F.concat_ws("-", question, version), "[-.]")
-    return F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.concat(F.upper(F.left(p, F.lit(1))), F.lower(F.substring(p, 2, 1_000)))), ""))
+    return F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.concat(F.upper(F.left(p, F.lit(1))), F.lower(F.substring(p, 2, 2**31 - 1)))), ""))
 
 
 def grouped_number(n: Column) -> Column:
@@ -131,6 +131,18 @@ def stepped(rows: DataFrame, group: str, place: str, value: str) -> DataFrame:
     return rows.withColumn("previous", F.lag(value).over(w)).withColumn("next", F.lead(value).over(w))
 
 
+def cited_steps(current: Column, cited: Column) -> Column:
+    """struct(previous, next): where a step among the cited provisions lands from the current one.
+
+    current: its id, null where none is; the first and the last of `cited` (array, in order) are then the next and the
+    previous one.  Null past either end; an id that is not cited stands as none.
+    """
+    at = F.coalesce(F.array_position(cited, current), F.lit(0)).cast("int")
+    none = at == 0
+    step = lambda i: F.try_element_at(cited, F.when(i > 0, i))
+    return F.struct(step(F.when(none, F.size(cited)).otherwise(at - 1)).alias("previous"), step(F.when(none, F.lit(1)).otherwise(at + 1)).alias("next"))
+
+
 def captured_on(asked: DataFrame, manifest: DataFrame) -> DataFrame:
     """asked (question, version) with `captured_on`: the pair's stamp, else the latest of all; '' in an empty manifest."""
     latest = manifest.agg(F.coalesce(F.max("captured_at"), F.lit("")).alias("latest"))

@@ -83,16 +83,21 @@ def chunk_table(spark, d):
     return rows.select("version", "chunk_id", "citation", "kind", F.sha2("text", 256).alias("digest"))
 
 
-@query(f"""WITH {_PROV}, n AS (SELECT version, kind, count(*) AS found FROM ids GROUP BY 1, 2),
+_LEAKING = "text || CASE doc_id % 13 WHEN 0 THEN ' Done at Brussels' WHEN 1 THEN ' ▼M1' WHEN 2 THEN ' CHAPTER IV' WHEN 3 THEN ' SECTION 12' ELSE '' END"
+
+
+@query(f"""WITH {_PROV.replace("doc_id, text,", f"doc_id, {_LEAKING} AS text,", 1)}, n AS (SELECT version, kind, count(*) AS found FROM ids GROUP BY 1, 2),
 expected(version, kind, expected) AS (VALUES ('original', 'article', 1), ('consolidated', 'recital', 2), ('original', 'chapter', 0))
 SELECT e.version || ': expected ' || expected || ' ' || e.kind || ', parsed ' || coalesce(found, 0) AS message FROM expected e LEFT JOIN n USING (version, kind) WHERE coalesce(found, 0) <> expected
 UNION ALL SELECT version || ': ' || id || ' carries a division heading' FROM ids WHERE kind IN ('article', 'paragraph') AND regexp_matches(text, '\\b(CHAPTER\\s+[IVXLC]+|SECTION\\s+\\d+)\\b')
 UNION ALL SELECT version || ': ' || id || ' carries the signature block' FROM ids WHERE kind = 'article' AND contains(text, 'Done at Brussels')
 UNION ALL SELECT version || ': ' || id || ' carries a consolidation marker' FROM ids WHERE contains(text, '▼')""")
 def corpus_checks(spark, d):
-    """Counts and leaks that disagree with what the two versions should hold."""
+    """Counts and leaks that disagree with what the two versions should hold; some of their texts carry leaks."""
+    rows, n = _provisions(spark, d), F.col("ord") % 13
+    leak = F.when(n == 0, " Done at Brussels").when(n == 1, " ▼M1").when(n == 2, " CHAPTER IV").when(n == 3, " SECTION 12").otherwise("")
     expected = spark.createDataFrame([("original", "article", 1), ("consolidated", "recital", 2), ("original", "chapter", 0)], "version string, kind string, expected int")
-    return provisions.disagreements(_provisions(spark, d), expected)
+    return provisions.disagreements(rows.withColumn("text", F.concat("text", leak)), expected)
 
 
 @query(f"""WITH {_PROV}, c AS (SELECT *, regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '\\s+([.,;:)])', '\\1', 'g') AS t FROM ids)
@@ -354,12 +359,25 @@ def walk_layout(spark, d):
     later = F.when(F.col("m") > 1, F.sequence(F.lit(2), F.col("m"))).otherwise(F.array().cast("array<int>"))
     edges = F.transform(later, lambda x: F.struct(node(F.least(x - 1, F.lit(5))).alias("source"), node(x).alias("target"), F.least(x - 2, F.lit(4)).alias("hop")))
     walks = l.select("query_id", "m", F.array(F.lit("n1")).alias("searched"), F.transform(later, node).alias("traversed"), edges.alias("edges"))
-    rows = scratch.materialize(layout.reveal_order(layout.walk_rows(walks)), "layout")
+    rows = layout.reveal_order(layout.walk_rows(walks))
     told = walks.select("query_id", layout.summary(F.lit(1), F.size("traversed"), F.when(F.col("m") > 1, 1).otherwise(0), F.lit(0)).alias("said"))
-    found = rows.join(layout.paths(rows, 5), ["query_id", "id"]).join(told, "query_id")
+    found = rows.join(told, "query_id")
     return found.select(F.col("query_id").alias("q"), "reveal", "id", "hop", F.array_join("path", ",").alias("path"), "said")
 
 
+@query("""WITH l AS (SELECT l_orderkey AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS r, count(*) OVER (PARTITION BY l_orderkey) AS m FROM lineitem)
+SELECT q, r, CASE WHEN r % 2 = 1 THEN CASE WHEN r > 2 THEN 'n' || r - 2 END ELSE 'n' || m - 1 + m % 2 END AS previous,
+  CASE WHEN r % 2 = 1 THEN CASE WHEN r + 2 <= m THEN 'n' || r + 2 END ELSE 'n1' END AS next FROM l""")
+def cited_section_steps(spark, d):
+    """Lines of an order as sections of which the odd ones are cited: where a step among the cited lands from each."""
+    l = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("q")).agg(F.count(F.lit(1)).cast("int").alias("m"))
+    node = lambda c: F.concat(F.lit("n"), c.cast("string"))
+    every = F.sequence(F.lit(1), "m")
+    cited = F.transform(F.filter(every, lambda i: i % 2 == 1), node)
+    rows = l.select("q", cited.alias("cited"), F.explode(every).alias("r"))
+    return rows.select("q", "r", reader.cited_steps(node(F.col("r")), F.col("cited")).alias("s")).select("q", "r", "s.*")
+
+
 # --- arms -------------------------------------------------------------------------------
 
 
@@ -425,13 +443,13 @@ _SUMMARY = catalogue.SQL["arm_summary"]
 
 @query(f"""WITH s AS (SELECT * FROM ({_SUMMARY}))
 SELECT arm, version, '| ' || arm || ' | ' || version || ' | ' || prompt_tokens || ' | ' || completion_tokens || ' | ' || coalesce(printf('%.1f s', first_call_ms / 1000), 'failed') || ' | ' ||
-  coalesce(printf('%.1f s', later_calls_ms / 1000), 'one call only') || ' | $' || printf('%.2f', projected_cost) || ' |' AS cost, answered || '/' || failed AS runs, 'abc1234' AS "commit" FROM s""")
+  coalesce(printf('%.1f s', later_calls_ms / 1000), 'one call only') || ' | $' || printf('%.2f', projected_cost) || ' |' AS cost,
+  '| ' || arm || ' | ' || version || ' | ' || answered || ' | ' || failed || ' | ' || printf('%.2f', recall) || ' | ' || printf('%.2f', recall_reached) || ' | ' || printf('%.3f', precision_over_nodes) || ' | ' || printf('%.3f', precision_over_articles) || ' | ' ||
+  printf('%.1f', nodes_supplied) || ' | ' || coalesce(printf('%.2f', faithfulness), 'not scored') || ' | ' || coalesce(printf('%.2f', answer_recall), 'not scored') || ' | ' || no_gold_answers || ' | ' || correct_refusals || '/' || refusal_questions || ' | ' || false_refusals || '/' || answer_questions || ' |' AS accuracy, 'abc1234' AS "commit" FROM s""")
 def report_tables(spark, d):
-    """The cost table's lines of the arm summary, stamped."""
+    """The lines of the cost and the accuracy table of the arm summary, stamped."""
     s = catalogue.QUERIES["arm_summary"](spark, d)
-    lines = report.cost_lines(s).withColumnRenamed("line", "cost").join(report.accuracy_lines(s), ["arm", "version"])
-    cells = F.split("line", r" \| ")
-    rows = lines.select("arm", "version", "cost", F.concat_ws("/", cells[2], cells[3]).alias("runs"))
+    rows = report.cost_lines(s).withColumnRenamed("line", "cost").join(report.accuracy_lines(s).withColumnRenamed("line", "accuracy"), ["arm", "version"])
     return report.stamped(rows, "abc1234", "2026-01-01").drop("captured_at")
 
 

@@ -88,6 +88,17 @@ def cost_lines(summary: DataFrame) -> DataFrame:
     return summary.select("arm", "version", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
 
 
+def covered(chunks: DataFrame, by: str = "version") -> DataFrame:
+    """by, chunks, provisions: how many chunks there are, of how many different provisions."""
+    return chunks.groupBy(by).agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("provision_id").alias("provisions"))
+
+
+def capture_counts(captures: DataFrame, by: str = "version") -> DataFrame:
+    """by, captures, refused, failed of a capture run (version, refused, error)."""
+    good = F.col("error").isNull()
+    return captures.groupBy(by).agg(F.count_if(good).alias("captures"), F.count_if(good & F.col("refused")).alias("refused"), F.count_if(~good).alias("failed"))
+
+
 def graph_counts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """nodes, edges, sources of a graph of edges (source_id, target_id) and nodes (id)."""
     n = nodes.agg(F.countDistinct("id").alias("nodes"))

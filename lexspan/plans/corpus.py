@@ -436,6 +436,33 @@ def embedded_texts(spark, d):
     return marked.select("doc_id", sure(0).alias("n_chars"), sure(1).alias("n_a"), F.coalesce("failed_first", F.lit(False)).alias("failed_first"))
 
 
+@query(f"""SELECT version, count(*) AS chunks, count(DISTINCT split_part(chunk_id, '#', 1)) AS provisions FROM ({catalogue.SQL["chunk_table"]}) GROUP BY version""")
+def chunk_coverage(spark, d):
+    """Chunks of each version, and the provisions that they cover."""
+    return report.covered(provisions.chunks(_provisions(spark, d).where("text is not null")))
+
+
+@query("""SELECT quality AS version, count(*) FILTER (doc_id % 9 <> 0) AS captures, count(*) FILTER (doc_id % 9 <> 0 AND toxic = 1) AS refused, count(*) FILTER (doc_id % 9 = 0) AS failed FROM labels GROUP BY quality""")
+def capture_run(spark, d):
+    """Labels as a capture run: how many were captured, refused and failed by version."""
+    rows = read(spark, d, "labels").select(F.col("quality").alias("version"), (F.col("toxic") == 1).alias("refused"), F.when(F.col("doc_id") % 9 == 0, "Timeout").alias("error"))
+    return report.capture_counts(rows)
+
+
+@query("""SELECT 'q' || item_id AS question, v.version, unnest(CASE v.version WHEN 'original' THEN ['art_' || item_id] ELSE ['art_' || item_id, 'art_' || (item_id + 1)] END) AS root, sha256(text) AS digest, item_id % 5 = 0 AS expects_refusal
+FROM benchmark, (VALUES ('original'), ('consolidated')) v(version)""")
+def question_set(spark, d):
+    """Benchmark items as a question set, written and read back: the gold of each version, row by row."""
+    b, path = read(spark, d, "benchmark"), scratch.scratch_path(spark, "questions")
+    art = lambda k: F.concat(F.lit("art_"), (F.col("item_id") + k).cast("string"))
+    gold = F.create_map(F.lit("original"), F.array(art(0)), F.lit("consolidated"), F.array(art(0), art(1)))
+    rows = b.select(F.concat(F.lit("q"), "item_id").alias("id"), F.col("text").alias("description"), F.lit("ask").alias("flow"), gold.alias("gold"), (F.col("item_id") % 5 == 0).alias("expects_refusal"))
+    stores.write_questions(rows, path)
+    asked = stores.read_questions(spark, path).withColumnRenamed("id", "question")
+    told = asked.select("question", F.sha2("description", 256).alias("digest"), "expects_refusal")
+    return report.gold_rows(asked).select("question", "version", F.explode("gold").alias("root")).join(told, "question")
+
+
 # --- reports ----------------------------------------------------------------------------
 
 _SUMMARY = catalogue.SQL["arm_summary"]
@@ -453,6 +480,15 @@ def report_tables(spark, d):
     return report.stamped(rows, "abc1234", "2026-01-01").drop("captured_at")
 
 
+@query(f"""SELECT 'abc1234' AS "commit", '2026-01-01' AS captured_at, 'small' AS generator, * FROM ({_SUMMARY})""")
+def summary_file(spark, d):
+    """The arm summary, stamped, written as a file and read back."""
+    path = scratch.scratch_path(spark, "summary")
+    rows = report.stamped(catalogue.QUERIES["arm_summary"](spark, d), "abc1234", "2026-01-01", generator="small")
+    stores.write_summary(rows, path)
+    return stores.read_summary(spark, path, rows.schema)
+
+
 @query(f"""WITH {_TRACE}, f AS (SELECT *, q % 11 = 0 AS failed, q % 4 = 0 AS refused FROM a WHERE q % 3 <> 0)
 SELECT q AS question, CASE WHEN failed THEN 'Timeout' END AS error, CASE WHEN NOT failed THEN round(len(list_intersect(gold, arts)) / len(gold), 6) END AS recall, CASE WHEN NOT failed THEN refused END AS refused,
   CASE WHEN NOT failed AND NOT refused THEN 0.0::DOUBLE END AS faithfulness, CASE WHEN NOT failed THEN CASE WHEN refused THEN 0 ELSE 1 END END AS claims_on_gold FROM f""")

@@ -76,6 +76,31 @@ def read_export(spark: SparkSession, path: str, schema: T.StructType, version: s
     return rows if version is None else rows.where(F.col("version") == version)
 
 
+QUESTION = "id string, description string, flow string, gold map<string, array<string>>, expects_refusal boolean"
+
+
+def write_questions(questions: DataFrame, path: str) -> None:
+    """A question set (QUESTION) as JSON lines; a question without gold of every version it is asked of is for the reader to refuse."""
+    questions.write.mode("overwrite").json(path)
+
+
+def read_questions(spark: SparkSession, path: str, versions: tuple[str, ...] = ("original", "consolidated")) -> DataFrame:
+    """The question set at a path; its read fails with the name of a question that has no gold for one of the versions."""
+    rows = spark.read.schema(QUESTION).json(path)
+    lacking = F.filter(F.array(*map(F.lit, versions)), lambda v: ~F.map_contains_key("gold", v))
+    whole = F.when(F.size(lacking) > 0, F.raise_error(F.concat(F.lit("question "), "id", F.lit(" has no gold for "), F.array_join(lacking, ", ")))).otherwise(F.col("id"))
+    return rows.withColumn("id", F.when(F.col("id").isNotNull(), whole))
+
+
+def write_summary(stamped: DataFrame, path: str) -> None:
+    """Stamped summary rows as JSON lines, nulls written out."""
+    stamped.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def read_summary(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
 def capture(new: DataFrame, path: str, keys: list[str]) -> DataFrame:
     """Merges new captures over those of the table at a path by keys; failures (error set) change nothing."""
     good = new.where("error is null").drop("error")

@@ -1,3 +1,6 @@
+import re
+
+import pytest
 from oracle import compare
 from pyspark.sql import functions as F
 
@@ -40,3 +43,41 @@ def test_dates_must_be_cited(spark):
 def test_registered(spark):
     for name in ("verify_answers", "containment_supplied", "closest_point", "first_vs_later", "cost_projection", "progress_stream"):
         compare(spark, name, getattr(answers, name), catalogue.SQL[name], SF)
+
+
+def test_small_rules_of_reports(spark):
+    from lexspan.operators import reader, report
+
+    questions = spark.createDataFrame([("q1", {"original": ["a"]})], "question string, gold map<string, array<string>>")
+    asked = lambda *q: spark.createDataFrame([(x,) for x in q], "question string")
+    assert report.must_know(asked("q1"), questions).count() == 1
+    with pytest.raises(Exception, match="no question q9"):
+        report.must_know(asked("q1", "q9"), questions).collect()
+    assert [tuple(r) for r in report.gold_rows(questions).collect()] == [("q1", "original", ["a"])]
+    one = spark.range(2).select(
+        report.correlation_id().alias("id"), report.preview(F.array(*map(F.lit, range(12)))).alias("first"), report.preview(F.array(F.lit(1))).alias("few"),
+        report.merged_tokens(F.lit(3), F.lit(None).cast("long"), F.lit(4)).alias("tokens"), report.cited_root(F.lit("Article 5(2)")).alias("root"),
+        reader.file_name(F.lit("q1"), F.lit("original")).alias("file"),
+    ).collect()
+    assert one[0].first == list(range(8)) and one[0].few == [1] and one[0].tokens == 7 and one[0].root == "art_5" and one[0].file == "q1.original.json"
+    assert re.fullmatch("[0-9a-f]{4}-[0-9a-f]{4}", one[0].id) and one[0].id != one[1].id
+
+
+def test_steps_among_cited(spark):
+    from lexspan.operators import reader
+
+    rows = [(None, ["a", "b", "c"]), ("a", ["a", "b"]), ("b", ["a", "b"]), ("x", ["a", "b"]), ("a", [])]
+    got = spark.createDataFrame(rows, "now string, cited array<string>").select(reader.cited_steps(F.col("now"), F.col("cited")).alias("s")).select("s.*").collect()
+    assert [tuple(r) for r in got] == [("c", "a"), (None, "b"), ("a", None), ("b", "a"), (None, None)]
+
+
+def test_ways_back_are_whole_and_end(spark):
+    from lexspan.operators import layout
+
+    chain = [{"source": f"n{i}", "target": f"n{i + 1}", "hop": i + 1} for i in range(40)]
+    loop = [{"source": "a", "target": "b", "hop": 1}, {"source": "b", "target": "a", "hop": 2}]
+    rows = [(2**60 + 1, ["n0"], [f"n{i + 1}" for i in range(40)], chain), (None, ["a", "a"], ["b"], loop), (3, None, None, None)]
+    schema = "query_id long, searched array<string>, traversed array<string>, edges array<struct<source:string,target:string,hop:int>>"
+    got = layout.walk_rows(spark.createDataFrame(rows, schema).coalesce(1)).collect()
+    assert [r.path for r in got if r.id == "n40"] == [[f"n{i}" for i in range(40, -1, -1)]] and {r.query_id for r in got} == {2**60 + 1, None}
+    assert [(r.id, r.path) for r in got if r.query_id is None] == [("a", ["a", "b"]), ("b", ["b", "a"])]

@@ -87,3 +87,12 @@ def test_captures_of_failures_change_nothing(spark):
     stores.capture(rows((1, "a", None), (2, "b", None)), path, ["k"])
     got = stores.capture(rows((1, "x", "Timeout"), (2, "y", None), (3, "z", None)), path, ["k"])
     assert sorted((r.k, r.v) for r in got.collect()) == [(1, "a"), (2, "y"), (3, "z")]
+
+
+def test_a_question_without_gold_is_named(spark):
+    path = scratch.scratch_path(spark, "questions")
+    rows = [("q1", "d", "ask", {"original": ["a"], "consolidated": ["b", "c"]}, False), ("q2", "d", "ask", {"original": ["a"]}, True)]
+    stores.write_questions(spark.createDataFrame(rows, stores.QUESTION), path)
+    assert stores.read_questions(spark, path, ("original",)).count() == 2
+    with pytest.raises(Exception, match="question q2 has no gold for consolidated"):
+        stores.read_questions(spark, path).collect()

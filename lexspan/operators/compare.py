@@ -84,6 +84,38 @@ def word_diff(before: pd.Series, after: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([diff(a, b) for a, b in zip(before, after, strict=True)], columns=["before", "after"])
 
 
+def slice_spans(spans: list[dict], bounds: list[tuple[int, int]]) -> list[list[dict]]:
+    """cut_spans() for each of several stretches, given in order; runs are gone through once."""
+    out, k, at = [], 0, 0
+    for start, end in bounds:
+        while k < len(spans) and at + len(spans[k]["text"]) <= start:
+            at += len(spans[k]["text"])
+            k += 1
+        held, i, place = [], k, at
+        while i < len(spans) and place < end:
+            text = spans[i]["text"][max(0, start - place) : end - place]
+            held += [{"text": text, "changed": spans[i]["changed"]}] if text else []
+            place += len(spans[i]["text"])
+            i += 1
+        out.append(held)
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("path", T.ArrayType(T.StringType())), T.StructField("spans", SPANS)])))
+def passage_diff(before: pd.Series, after: pd.Series) -> pd.Series:
+    """The diff of two whole texts, as the runs of each segment of the later one: changed runs joined over white space, ends trimmed."""
+    from .passages import segments
+
+    def one(old, new):
+        new = new or ""
+        found = segments(new)
+        bounds = [(s[0], e[0]) for s, e in zip(found, [*found[1:], (len(new),)])]
+        runs = slice_spans(diff(old, new)[1], bounds)
+        return [{"path": s[2], "spans": trim_spans(join_spans(r))} for s, r in zip(found, runs)]
+
+    return pd.Series([one(a, b) for a, b in zip(before, after, strict=True)])
+
+
 def cut_spans(spans: list[dict], start: int, end: int | None = None) -> list[dict]:
     """The runs of text between two places of the text they make up."""
     out, at = [], 0

@@ -63,6 +63,18 @@ def passages(text: str | None) -> list[tuple[int, list[str], list[str], str]]:
     return [(at, [v[0] for v in p], [v[2] for v in p], text[at:end].strip()) for (at, p), end in zip(found, ends, strict=True)]
 
 
+def segments(text: str | None) -> list[tuple[int, list[str], list[str], str]]:
+    """passages(), after what stands before the first of them (kinds and path empty) if that is not blank."""
+    found = passages(text)
+    lead = (text or "")[: found[0][0] if found else None].strip()
+    return [(0, [], [], lead), *found] if lead else found
+
+
+@F.pandas_udf(PASSAGES)
+def segments_of(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: [dict(zip(("start", "kinds", "path", "text"), p, strict=True)) for p in segments(t)])
+
+
 @F.pandas_udf(PASSAGES)
 def passages_of(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [dict(zip(("start", "kinds", "path", "text"), p, strict=True)) for p in passages(t)])

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import passages, verify
+from ..operators import compare, passages, verify
 from ..sources.scratch import scratch_path
 from ..streaming import progress
 from .catalogue import _CW, _FACTS, alike, query, read
@@ -61,6 +61,32 @@ def closest_point(spark, d):
     return rows.select("doc_id", "other", "p.kind", "p.name", "p.shared")
 
 
+@query(f"""WITH s AS (SELECT doc_id, {_SENTENCES.format("coalesce(text, '')")} AS s FROM documents)
+SELECT doc_id, 1 + len(s) AS n, 'Scope of this text.' AS lead, CASE WHEN len(s) > 0 THEN len(s)::VARCHAR ELSE '' END AS last_path,
+  CASE WHEN len(s) > 0 THEN sha256(trim(len(s) || '. ' || s[-1], E' \\n\\t\\r')) ELSE sha256('Scope of this text.') END AS last_text FROM s""")
+def document_segments(spark, d):
+    """Documents with their sentences numbered after a lead: cut at their numbers, the lead first."""
+    sentences = F.filter(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "[0-9()]", ""), r"\. "), lambda s: F.trim(s) != "")
+    numbered = F.concat_ws(" ", F.lit("Scope of this text."), F.when(F.size(sentences) > 0, F.array_join(F.transform(sentences, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), ". ")))
+    rows = read(spark, d, "documents").select("doc_id", passages.segments_of(numbered).alias("p"))
+    last = F.element_at("p", -1)
+    return rows.select("doc_id", F.size("p").alias("n"), F.col("p")[0]["text"].alias("lead"), F.array_join(last["path"], ".").alias("last_path"), F.sha2(last["text"], 256).alias("last_text"))
+
+
+@query(f"""WITH s AS (SELECT doc_id, len({_SENTENCES.format("coalesce(text, '')")}) AS m FROM documents)
+SELECT doc_id, m AS n, (m + 1) // 2 AS n_changed, sha256(array_to_string(list_transform(range(1, m + 1, 2), lambda i: i || ':neww wordd' || i), '|')) AS changed FROM s""")
+def segment_changes(spark, d):
+    """Documents with words added to every other numbered sentence: the diff of the whole, sentence by sentence."""
+    sentences = F.filter(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "[0-9()]", ""), r"\. "), lambda s: F.trim(s) != "")
+    number = lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)
+    joined = lambda f: F.array_join(F.transform(sentences, f), ". ")
+    longer = joined(lambda x, i: F.when(i % 2 == 0, F.concat(number(x, i), F.lit(" neww wordd"), (i + 1).cast("string"))).otherwise(number(x, i)))
+    rows = read(spark, d, "documents").select("doc_id", compare.passage_diff(joined(number), longer).alias("p"))
+    changed = F.transform("p", lambda p: F.struct(F.array_join(p["path"], ".").alias("at"), F.array_join(F.transform(F.filter(p["spans"], lambda s: s["changed"]), lambda s: s["text"]), "/").alias("text")))
+    told = rows.select("doc_id", F.size("p").alias("n"), F.filter(changed, lambda c: c["text"] != "").alias("c"))
+    return told.select("doc_id", "n", F.size("c").alias("n_changed"), F.sha2(F.array_join(F.transform("c", lambda c: F.concat_ws(":", c["at"], c["text"])), "|"), 256).alias("changed"))
+
+
 @query(f"""WITH w AS (SELECT item_id, unnest({_CW.replace('{}', 'text')}) AS word FROM benchmark), have AS (SELECT DISTINCT unnest({_CW.replace('{}', 'text')}) AS word FROM documents),
 n AS (SELECT item_id, count(*) AS n_words, count(have.word) AS n_contained FROM w LEFT JOIN have USING (word) GROUP BY 1)
 SELECT item_id, coalesce(n_words, 0) AS n_words, coalesce(n_contained, 0) AS n_contained FROM benchmark LEFT JOIN n USING (item_id)""")

@@ -81,3 +81,22 @@ def test_ways_back_are_whole_and_end(spark):
     got = layout.walk_rows(spark.createDataFrame(rows, schema).coalesce(1)).collect()
     assert [r.path for r in got if r.id == "n40"] == [[f"n{i}" for i in range(40, -1, -1)]] and {r.query_id for r in got} == {2**60 + 1, None}
     assert [(r.id, r.path) for r in got if r.query_id is None] == [("a", ["a", "b"]), ("b", ["b", "a"])]
+
+
+def test_slices_of_runs_are_cuts():
+    import random
+
+    from lexspan.operators import compare
+
+    r = random.Random(2)
+    for _ in range(200):
+        spans = [{"text": "x" * r.randrange(1, 5), "changed": bool(r.randrange(2))} for _ in range(r.randrange(8))]
+        n = sum(len(s["text"]) for s in spans)
+        cuts = sorted(r.randrange(n + 1) for _ in range(4))
+        bounds = list(zip(cuts, cuts[1:]))
+        assert compare.slice_spans(spans, bounds) == [compare.cut_spans(spans, a, b) for a, b in bounds]
+
+
+def test_segments_begin_with_the_lead():
+    assert [p[3] for p in passages.segments("Scope. 1. One. 2. Two.")] == ["Scope.", "1. One.", "2. Two."]
+    assert passages.segments("1. One. 2. Two.")[0][2] == ["1"] and passages.segments(None) == [] and passages.segments("  plain ") == [(0, [], [], "plain")]

@@ -91,3 +91,12 @@ def test_change_notes(spark):
     got = {(r.version, r.id): r.note for r in provisions.change_notes(rows).collect()}
     assert got["original", "art_1"] is None and got["consolidated", "art_2"] == "The wording of Article 2 differs between the original and the consolidated text."
     assert got["original", "rct_1"] == "Recital 1 appears in the original text and not in the consolidated text."
+
+
+def test_a_page_of_very_many_labels(spark):
+    labels = "".join(f'<p class="normal">{i}. Text {i}.</p>' for i in range(1, 100_001))
+    page = f'<p class="ti-art">Article 1</p>{labels}<p class="ti-art">Article 2</p><p class="normal">1. Last.</p>'
+    rows = provisions.parse(spark.createDataFrame([("d", page)], "doc string, html string"), PLAIN).where("kind = 'paragraph'")
+    got = {r.id: r.text for r in rows.where("id in ('art_1.1', 'art_1.77777', 'art_1.100000', 'art_2.1')").collect()}
+    assert got == {"art_1.1": "1. Text 1.", "art_1.77777": "77777. Text 77777.", "art_1.100000": "100000. Text 100000.", "art_2.1": "1. Last."}
+    assert rows.count() == 100_001

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.units import UNITS, Units
 from ..sources.scratch import materialize, scratch_path
@@ -25,53 +22,49 @@ def reference_pattern(units: Units = UNITS) -> str:
     return rf"({article}|\b{units.roman_pattern()}\s+[IVXLC]+{more('[IVXLC]+')}\b){OTHER_ACT}"
 
 
-def targets_of(phrase: str, units: Units = UNITS) -> list[str]:
-    """Ids that one reference phrase names; `a to b` stands for all between."""
-    if not phrase.startswith(units.article[0]):
-        return [f"{units.roman[1]}_{n}" for n in re.findall(r"\b[IVXLC]+\b", phrase.split(None, 1)[1])]
-    prefix = units.article[1]
-    part = re.search(r"\(\s*(\d+[a-z]?)\s*\)", phrase)
-    out: list[str] = []
-    to = False
-    for word in re.findall(r"\d+[a-z]?|\bto\b", re.sub(r"\([^)]*\)", "", phrase)):
-        if word == "to":
-            to = bool(out)
-            continue
-        out += [*(_between(out[-1], word) if to else ()), word]
-        to = False
-    if part and len(out) == 1:
-        return [f"{prefix}_{out[0]}.{part[1]}", f"{prefix}_{out[0]}"]
-    return [f"{prefix}_{n}" for n in out]
-
-
-def _between(a: str, b: str) -> list[str]:
-    """Numbers strictly between two; lettered ones of one stem go by letter."""
-    if a.isdigit() and b.isdigit():
-        return [str(n) for n in range(int(a) + 1, int(b))]
-    if a[:-1] == b[:-1] and a[-1:].isalpha() and b[-1:].isalpha():
-        return [a[:-1] + chr(c) for c in range(ord(a[-1]) + 1, ord(b[-1]))]
-    return []
-
+def targets_of(phrase: Column, units: Units = UNITS) -> Column:
+    """Ids that one reference phrase names, in order; `a to b` stands for all between."""
+    roman = F.transform(F.regexp_extract_all(F.regexp_replace(phrase, r"^\S+\s+", ""), F.lit(r"\b[IVXLC]+\b"), F.lit(0)), lambda n: F.concat(F.lit(f"{units.roman[1]}_"), n))
+    words = F.regexp_extract_all(F.regexp_replace(phrase, r"\([^)]*\)", ""), F.lit(r"\d+[a-z]?|\bto\b"), F.lit(0))
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("named"), F.lit(False).alias("to"))
 
-def references_of(units: Units = UNITS):
-    """A column function of a text: its references, each target of the text with its first phrase and their order."""
-    pattern = re.compile(reference_pattern(units))
-    schema = T.ArrayType(T.StructType().add("target_id", T.StringType()).add("phrase", T.StringType()).add("ord", T.LongType()))
+    def read(state: Column, word: Column) -> Column:
+        last = F.try_element_at(state["named"], F.lit(-1))
+        named = F.concat(state["named"], F.when(state["to"], _between(last, word)).otherwise(none), F.array(word))
+        to = (word == "to") & (F.size(state["named"]) > 0)
+        return F.struct(F.when(word == "to", state["named"]).otherwise(named).alias("named"), to.alias("to"))
 
-    @F.pandas_udf(schema)
-    def found(texts: pd.Series) -> pd.Series:
-        def one(text):
-            first: dict[str, tuple[str, int]] = {}
-            for m in pattern.finditer(text or ""):
-                if m[2]:
-                    continue
-                for target in targets_of(m[1], units):
-                    first.setdefault(target, (m[1], len(first)))
-            return [{"target_id": t, "phrase": p, "ord": n} for t, (p, n) in first.items()]
+    prefix = F.lit(f"{units.article[1]}_")
+    numbers = F.aggregate(words, start, read, lambda s: s["named"])
+    part = F.regexp_extract(phrase, r"\(\s*(\d+[a-z]?)\s*\)", 1)
+    whole = F.transform(numbers, lambda n: F.concat(prefix, n))
+    one = (part != "") & (F.size(numbers) == 1)
+    article = F.when(one, F.concat(F.transform(whole, lambda w: F.concat(w, F.lit("."), part)), whole)).otherwise(whole)
+    return F.when(phrase.startswith(units.article[0]), article).otherwise(roman)
 
-        return texts.map(one)
 
-    return found
+def _between(a: Column, b: Column) -> Column:
+    """Numbers strictly between two; lettered ones of one stem go by letter."""
+    none = F.array().cast("array<string>")
+    digits, lettered = r"^\d{1,9}$", r"^\d+[a-z]$"
+    stem = lambda c: F.left(c, F.length(c) - 1)
+    code = lambda c: F.ascii(F.right(c, F.lit(1)))
+    run = lambda low, high: F.when(high - low > 1, F.sequence(low + 1, high - 1))
+    number = lambda c: F.when(c.rlike(digits), c.cast("int"))
+    plain = F.transform(run(number(a), number(b)), lambda n: n.cast("string"))
+    letters = F.transform(run(code(a), code(b)), lambda n: F.concat(stem(a), F.char(n)))
+    return F.coalesce(F.when(a.rlike(digits) & b.rlike(digits), plain).when(a.rlike(lettered) & b.rlike(lettered) & (stem(a) == stem(b)), letters), none)
+
+
+def references_of(text: Column, units: Units = UNITS) -> Column:
+    """array<struct<target_id, phrase, ord>> of a text: each target with its first phrase, in order; those to other acts are left out."""
+    pattern = F.lit(f"(?U){reference_pattern(units)}")
+    # The act that a phrase belongs to stands beside it in a group of its own, empty for this act.
+    pairs = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(1)).alias("phrase"), F.regexp_extract_all(text, pattern, F.lit(2)).alias("act"))
+    phrases = F.transform(F.filter(pairs, lambda p: F.coalesce(p["act"], F.lit("")) == ""), lambda p: p["phrase"])
+    every = F.flatten(F.transform(phrases, lambda p: F.transform(targets_of(p, units), lambda t: F.struct(t.alias("target_id"), p.alias("phrase")))))
+    return F.transform(every, lambda x, i: F.struct(x["target_id"].alias("target_id"), x["phrase"].alias("phrase"), i.cast("long").alias("ord")))
 
 
 def extract_references(provisions: DataFrame, units: Units = UNITS, kinds: tuple[str, ...] | None = None) -> DataFrame:
@@ -83,9 +76,11 @@ def extract_references(provisions: DataFrame, units: Units = UNITS, kinds: tuple
     sources = provisions if kinds is None else provisions.where(F.col("kind").isin(*kinds))
     # Only texts that name a unit at all go to a Python worker.
     sources = sources.where(F.col("text").rlike(rf"\b(?:{units.article[0]}|{units.roman_pattern()})"))
-    found = sources.select(F.col("id").alias("source_id"), F.explode(references_of(units)("text")).alias("r")).select("source_id", "r.*")
+    found = sources.select(F.col("id").alias("source_id"), F.explode(references_of(F.col("text"), units)).alias("r")).select("source_id", "r.*")
     found = found.where("target_id <> source_id and not startswith(target_id, concat(source_id, '.'))")
-    found = materialize(found, "references")  # texts are read once, though targets are looked at twice
+    # The first phrase of each target of a source; texts are read once, though targets are looked at twice.
+    found = found.groupBy("source_id", "target_id").agg(F.min(F.struct("ord", "phrase")).alias("r")).select("source_id", "target_id", "r.phrase", "r.ord")
+    found = materialize(found, "references")
     named = found.select("target_id").distinct().join(provisions.select(F.col("id").alias("target_id")), "target_id", "left_semi")
     return found.join(named, "target_id").select("source_id", "target_id", "phrase", "ord")
 

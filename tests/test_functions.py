@@ -8,11 +8,10 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
 
-def test_reference_targets():
-    assert walk.targets_of("Articles 8 to 11 and 15") == ["art_8", "art_9", "art_10", "art_11", "art_15"]
-    assert walk.targets_of("Article 6(3)") == ["art_6.3", "art_6"]
-    assert walk.targets_of("Schedules I to III") == ["sch_I", "sch_III"]
-    assert walk.targets_of("Articles 5a to 5c") == ["art_5a", "art_5b", "art_5c"]
+def test_reference_targets(spark):
+    rows = {"Articles 8 to 11 and 15": "art_8 art_9 art_10 art_11 art_15", "Article 6(3)": "art_6.3 art_6", "Schedules I to III": "sch_I sch_III", "Articles 5a to 5c": "art_5a art_5b art_5c", "Articles 5 to 3b, 4": "art_5 art_3b art_4"}
+    frame = spark.createDataFrame([(k,) for k in rows], "p string")
+    assert {r.p: " ".join(r.t) for r in frame.select("p", walk.targets_of(F.col("p")).alias("t")).collect()} == rows
 
 
 def test_references_to_other_acts_are_dropped(spark):
@@ -51,3 +50,41 @@ def test_walk_order_and_cap(spark):
     assert got == [("art_10", 1, "s"), ("art_8", 1, "s")]
     full = {r.id: r.src for r in walk.walk(seeds, edges, 3, None).collect()}
     assert full == {"art_8": "s", "art_10": "s", "z": "art_8"}
+
+
+def test_references_equal_a_plain_reading(spark):
+    import random
+    import re
+
+    def between(a, b):
+        if a.isdigit() and b.isdigit():
+            return [str(n) for n in range(int(a) + 1, int(b))]
+        if a[:-1] == b[:-1] and a[-1].isalpha() and b[-1].isalpha():
+            return [a[:-1] + chr(c) for c in range(ord(a[-1]) + 1, ord(b[-1]))]
+        return []
+
+    def plain(text):
+        out = []
+        for m in re.finditer(walk.reference_pattern(), text):
+            if m[2]:
+                continue
+            if not m[1].startswith("Article"):
+                out += [(f"sch_{n}", m[1]) for n in re.findall(r"\b[IVXLC]+\b", m[1].split(None, 1)[1])]
+                continue
+            part, named, to = re.search(r"\(\s*(\d+[a-z]?)\s*\)", m[1]), [], False
+            for w in re.findall(r"\d+[a-z]?|\bto\b", re.sub(r"\([^)]*\)", "", m[1])):
+                if w == "to":
+                    to = bool(named)
+                    continue
+                named += [*(between(named[-1], w) if to else ()), w]
+                to = False
+            ids = [f"art_{n}" for n in named]
+            out += [(x, m[1]) for x in ([f"{ids[0]}.{part[1]}", ids[0]] if part and len(ids) == 1 else ids)]
+        return out
+
+    rng = random.Random(4)
+    bits = ["Article ", "Articles ", "Schedule ", "Schedules ", "3", "7", "12", "3a", "3c", "(2)", "( 4b )", " to ", " and ", ", ", "IV", "II", " of Directive 5", ", and of the Regulation", " say ", "é", "\u00a0", "\n"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(2, 14))) for _ in range(1_500)] + ["", None]
+    got = spark.createDataFrame(list(enumerate(texts)), "n long, t string").select("n", walk.references_of(F.col("t")).alias("r")).collect()
+    for r in got:
+        assert [(x.target_id, x.phrase) for x in r.r or []] == plain(texts[r.n] or ""), texts[r.n]

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import arms, layout, provisions, reader, report, scoring, walk
+from ..operators import arms, layout, provisions, reader, report, scoring, versions, walk
 from ..sources import html, scratch, stores
 from . import catalogue
 from .catalogue import _CW, _EDGES, query, read
@@ -37,6 +37,27 @@ def page_provisions(spark, d):
     return provisions.parse(pages, markup, key="page_id").groupBy("page_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
+@query(f"""WITH t AS (SELECT page_id % 2 AS v, replace({_SEEN}, '<p>', chr(1)) AS w FROM pages),
+n AS (SELECT CASE v WHEN 0 THEN 'original' ELSE 'consolidated' END AS version, 'article' AS kind, count(*) AS found FROM t GROUP BY 1
+  UNION ALL SELECT CASE v WHEN 0 THEN 'original' ELSE 'consolidated' END, 'paragraph', sum(len(string_split(w, chr(1))) - 1)::BIGINT FROM t GROUP BY 1),
+e(version, kind, expected) AS (VALUES ('consolidated', 'article', 1), ('consolidated', 'recital', 0), ('original', 'article', 2), ('original', 'chapter', 3))
+SELECT e.version || ': expected ' || expected || ' ' || e.kind || ', parsed ' || coalesce(found, 0) AS message FROM e LEFT JOIN n USING (version, kind) WHERE coalesce(found, 0) <> expected
+UNION ALL SELECT version || ': ' || found || ' ' || kind FROM n""")
+def versions_loaded(spark, d):
+    """Pages as two versions, each in a markup of its own: loaded by the registry, counted, and held against what is expected."""
+    def pages(rest: int, cls: str):
+        line = F.regexp_replace("html", "<p>", f'<p class="{cls}">1. ')
+        head = F.concat(F.lit(f'<p class="{cls}-head">Article '), F.col("page_id").cast("string"), F.lit("</p>"))
+        return lambda s: read(s, d, "pages").where(F.col("page_id") % 2 == rest).select(F.col("page_id").cast("string").alias("doc"), F.concat(head, line).alias("html"))
+
+    markup = lambda cls: provisions.Markup(f"{cls}-head", f"{cls}-sub", f"{cls}-division*", f"{cls}-chapter", f"{cls}-chapter-title", body=cls)
+    sources = [versions.Source("original", pages(0, "one"), markup("one"), {"article": 2, "chapter": 3}), versions.Source("consolidated", pages(1, "two"), markup("two"), {"article": 1, "recital": 0})]
+    rows = scratch.materialize(versions.load(spark, sources).select("version", "kind"), "versions")
+    counts = rows.groupBy("version", "kind").agg(F.count(F.lit(1)).alias("n"))
+    told = counts.select(F.format_string("%s: %d %s", "version", "n", "kind").alias("message"))
+    return provisions.counts_as_expected(rows, versions.expected(spark, sources)).unionByName(told)
+
+
 # --- provisions written from documents --------------------------------------------------
 
 _PROV = """prov AS (SELECT CASE doc_id % 2 WHEN 0 THEN 'original' ELSE 'consolidated' END AS version, doc_id // 2 AS k, doc_id, text,
@@ -381,19 +402,21 @@ def cited_section_steps(spark, d):
 # --- arms -------------------------------------------------------------------------------
 
 
-@query("""WITH q AS (SELECT DISTINCT conv_id FROM conversations), a AS (SELECT conv_id, arm, conv_id % 7 = 0 AND arm <> 'full' AS failed FROM q, (VALUES ('full'), ('search'), ('walk')) a(arm))
-SELECT arm, count(*) AS runs, count(*) FILTER (failed) AS failures, sum(CASE WHEN NOT failed THEN length(arm || ' ' || conv_id) END)::BIGINT AS prompt_tokens, max(CASE WHEN failed THEN 'TimeoutError: slow' END) AS error FROM a GROUP BY arm""")
+@query("""WITH q AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn, role, text) AS said FROM conversations GROUP BY conv_id), a AS (SELECT conv_id, said, arm, conv_id % 7 = 0 AND arm <> 'full' AS failed FROM q, (VALUES ('full'), ('search'), ('walk')) a(arm))
+SELECT arm, count(*) AS runs, count(*) FILTER (failed) AS failures, sum(CASE WHEN NOT failed THEN length(arm || ' ' || conv_id || ' ' || said) END)::BIGINT AS prompt_tokens, max(CASE WHEN failed THEN 'TimeoutError: slow' END) AS error FROM a GROUP BY arm""")
 def arm_runs(spark, d):
     """Every question under three arms with a scripted generator; what it fails on is a row, not the end of the run."""
     def scripted(prompt: str) -> tuple[str, int, int]:
-        arm, conv = prompt.split()
+        arm, conv, _ = prompt.split(" ", 2)
         if int(conv) % 7 == 0 and arm != "full":
             raise TimeoutError("slow")
         return f"answer to {conv}", len(prompt), 3
 
     names = F.explode(F.array(*map(F.lit, ("full", "search", "walk"))))
-    prompts = read(spark, d, "conversations").select("conv_id").distinct().withColumn("arm", names)
-    prompts = prompts.select(F.concat_ws(" ", "arm", F.col("conv_id").cast("string")).alias("call"), F.concat_ws(" ", "arm", F.col("conv_id").cast("string")).alias("prompt"))
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
+    prompts = read(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda t: t["text"]), " ").alias("said")).withColumn("arm", names)
+    call = F.concat_ws(" ", "arm", F.col("conv_id").cast("string"))
+    prompts = prompts.select(call.alias("call"), F.concat_ws(" ", call, "said").alias("prompt"))
     got = arms.generate(prompts, "call", scripted).withColumn("arm", F.substring_index("call", " ", 1))
     return got.groupBy("arm").agg(F.count(F.lit(1)).alias("runs"), F.count("error").alias("failures"), F.sum("prompt_tokens").alias("prompt_tokens"), F.max("error").alias("error"))
 
@@ -517,7 +540,7 @@ def cited_edges(spark, d):
     k = F.regexp_extract(F.col("id"), r"(\d+)", 1).cast("long")
     p = _provisions(spark, d)
     text = F.concat(F.lit("As Articles "), (k + 1).cast("string"), F.lit(", "), (k + 2).cast("string"), F.lit(" and "), (k + 4).cast("string"), F.lit(" say, and Articles 1 to 3 of Regulation 5."))
-    sources = p.select(F.concat_ws(":", "version", "id").alias("id"), text.alias("text"), "kind")
+    sources = p.select(F.concat_ws(":", "version", "id").alias("id"), F.concat_ws(" ", "text", text).alias("text"), "kind")
     targets = p.where("kind = 'article'").select("id", F.lit("").alias("text"), F.lit("target").alias("kind")).distinct()
     return walk.extract_references(sources.unionByName(targets), kinds=("article", "recital", "roman")).select("source_id", "target_id", "phrase").distinct()
 

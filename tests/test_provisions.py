@@ -100,3 +100,16 @@ def test_a_page_of_very_many_labels(spark):
     got = {r.id: r.text for r in rows.where("id in ('art_1.1', 'art_1.77777', 'art_1.100000', 'art_2.1')").collect()}
     assert got == {"art_1.1": "1. Text 1.", "art_1.77777": "77777. Text 77777.", "art_1.100000": "100000. Text 100000.", "art_2.1": "1. Last."}
     assert rows.count() == 100_001
+
+
+def test_versions_are_told_apart(spark):
+    from lexspan.operators import versions
+
+    pages = lambda page: lambda s: s.createDataFrame([("d", page)], "doc string, html string")
+    sources = [versions.Source("original", pages(PLAIN_PAGE), PLAIN, {"article": 2, "recital": 1}), versions.Source("consolidated", pages(MARKED_PAGE), MARKED, {"article": 3})]
+    rows = versions.load(spark, sources)
+    assert {r.version for r in rows.where("id = 'art_1' and amended").collect()} == {"consolidated"}
+    assert {r.version for r in versions.load(spark, sources, ("original",)).collect()} == {"original"}
+    assert [r.message for r in provisions.counts_as_expected(rows, versions.expected(spark, sources)).collect()] == ["consolidated: expected 3 article, parsed 2"]
+    with pytest.raises(versions.UnknownVersion, match="no source of draft"):
+        versions.load(spark, sources, ("draft",))

@@ -22,7 +22,9 @@ def arm_summary(results: DataFrame) -> DataFrame:
         F.count_if(answered & (F.col("claims_on_gold") == 0)).alias("no_gold_answers"),
         F.count_if(ok & F.col("expects_refusal")).alias("refusal_questions"), F.count_if(ok & F.col("expects_refusal") & F.col("refused")).alias("correct_refusals"),
         F.count_if(ok & ~F.col("expects_refusal")).alias("answer_questions"), F.count_if(ok & ~F.col("expects_refusal") & F.col("refused")).alias("false_refusals"),
+        F.count_if(ok & F.col("truncated")).alias("truncated"),
         F.coalesce(F.sum(F.when(ok, F.col("prompt_tokens"))), F.lit(0)).alias("prompt_tokens"), F.coalesce(F.sum(F.when(ok, F.col("completion_tokens"))), F.lit(0)).alias("completion_tokens"),
+        F.coalesce(F.sum(F.when(ok, F.col("duration_ms"))), F.lit(0)).alias("duration_ms"),
         F.max(F.when(ok & (F.col("call_index") == 0), F.col("duration_ms"))).alias("first_call_ms"),
         F.round(mean("duration_ms", ok & (F.col("call_index") > 0)), 6).alias("later_calls_ms"),
         F.round(F.coalesce(cost, F.lit(0.0)), 6).alias("projected_cost"),

@@ -74,7 +74,7 @@ def accuracy_lines(summary: DataFrame) -> DataFrame:
     cells = [
         F.col("arm"), F.col("version").cast("string"), F.col("answered").cast("string"), F.col("failed").cast("string"), two("recall"), two("recall_reached"),
         F.format_string("%.3f", F.col("precision_over_nodes")), F.format_string("%.3f", F.col("precision_over_articles")), F.format_string("%.1f", F.col("nodes_supplied")),
-        score("faithfulness"), score("answer_recall"), F.col("no_gold_answers").cast("string"), of("correct_refusals", "refusal_questions"), of("false_refusals", "answer_questions"),
+        score("faithfulness"), score("answer_recall"), F.col("no_gold_answers").cast("string"), of("correct_refusals", "refusal_questions"), of("false_refusals", "answer_questions"), F.col("truncated").cast("string"),
     ]
     return summary.select("arm", "version", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
 
@@ -83,11 +83,29 @@ def cost_lines(summary: DataFrame) -> DataFrame:
     """arm, version, line: the cost table's lines."""
     cells = [
         F.col("arm"), F.col("version").cast("string"), F.col("prompt_tokens").cast("string"), F.col("completion_tokens").cast("string"),
-        seconds(F.col("first_call_ms"), "failed"), seconds(F.col("later_calls_ms"), "one call only"), F.format_string("$%.2f", F.col("projected_cost")),
+        seconds(F.col("duration_ms"), ""), seconds(F.col("first_call_ms"), "failed"), seconds(F.col("later_calls_ms"), "one call only"), F.lit("$0.00"), F.format_string("$%.2f", F.col("projected_cost")),
     ]
     return summary.select("arm", "version", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
 
 
+def question_lines(results: DataFrame) -> DataFrame:
+    """question, arm, version, line: the question table's lines of results (question, flow, arm, version, recall, faithfulness, refused, refusal_correct, duration_ms, missed, error)."""
+    yes = lambda c: F.when(F.col(c), "yes").otherwise("no")
+    failed = [F.lit("failed")] * 4
+    faith = F.when(F.col("faithfulness").isNull(), "not scored").otherwise(F.format_string("%.2f", F.col("faithfulness")))
+    missed = F.when(F.size("missed") > 0, F.array_join("missed", ", ")).otherwise("nothing")
+    head, took = [F.col("question").cast("string"), "flow", "arm", F.col("version").cast("string")], seconds(F.col("duration_ms"), "")
+    good = F.concat_ws(" | ", *head, F.format_string("%.2f", F.col("recall")), faith, yes("refused"), yes("refusal_correct"), took, missed)
+    line = F.when(F.col("error").isNotNull(), F.concat_ws(" | ", *head, *failed, took, "error")).otherwise(good)
+    return results.select("question", "arm", "version", F.concat(F.lit("| "), line, F.lit(" |")).alias("line"))
+
+
+def depth_lines(rows: DataFrame) -> DataFrame:
+    """version, depth, line: the sensitivity table's lines of depth_rows()."""
+    cells = [F.col("version").cast("string"), F.col("depth").cast("string"), F.col("questions").cast("string"), F.format_string("%.2f", F.col("recall")), F.format_string("%.1f", F.col("nodes")), F.format_string("%.1f", F.col("articles"))]
+    return rows.select("version", "depth", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+
+
 def covered(chunks: DataFrame, by: str = "version") -> DataFrame:
     """by, chunks, provisions: how many chunks there are, of how many different provisions."""
     return chunks.groupBy(by).agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("provision_id").alias("provisions"))

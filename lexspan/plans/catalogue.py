@@ -391,7 +391,7 @@ def anti_chunk_units(spark, d):
 
 _FACTS = """f AS (SELECT event_type AS arm, user_id % 2 AS version, row_number() OVER (PARTITION BY event_type, user_id % 2 ORDER BY event_id) - 1 AS call_index,
   event_id % 11 = 0 AS failed, event_id % 7 = 0 AS refused, user_id % 3 = 0 AS expects_refusal, event_id % 10 / 10.0 AS recall, event_id % 20 / 20.0 AS reached, event_id % 4 / 4.0 AS p_nodes, event_id % 8 / 8.0 AS p_articles, user_id % 40 AS nodes,
-  CASE WHEN event_id % 5 > 0 THEN event_id % 5 / 5.0 END AS faith, event_id % 3 AS on_gold, event_id % 1000 AS pt, event_id % 100 AS ct, event_id % 997 AS ms FROM events)"""
+  CASE WHEN event_id % 5 > 0 THEN event_id % 5 / 5.0 END AS faith, event_id % 3 AS on_gold, event_id % 1000 AS pt, event_id % 100 AS ct, event_id % 997 AS ms, event_id % 13 = 0 AS cut FROM events)"""
 
 
 @query(f"""WITH {_FACTS} SELECT arm, version, count(*) FILTER (NOT failed) AS answered, count(*) FILTER (failed) AS failed,
@@ -400,8 +400,8 @@ _FACTS = """f AS (SELECT event_type AS arm, user_id % 2 AS version, row_number()
  round(avg(faith) FILTER (NOT failed), 6) AS faithfulness, round(avg(recall) FILTER (NOT failed AND NOT refused), 6) AS answer_recall,
  count(*) FILTER (NOT failed AND NOT refused AND on_gold = 0) AS no_gold_answers, count(*) FILTER (NOT failed AND expects_refusal) AS refusal_questions,
  count(*) FILTER (NOT failed AND expects_refusal AND refused) AS correct_refusals, count(*) FILTER (NOT failed AND NOT expects_refusal) AS answer_questions,
- count(*) FILTER (NOT failed AND NOT expects_refusal AND refused) AS false_refusals, coalesce(sum(pt) FILTER (NOT failed), 0)::BIGINT AS prompt_tokens,
- coalesce(sum(ct) FILTER (NOT failed), 0)::BIGINT AS completion_tokens, max(ms) FILTER (NOT failed AND call_index = 0) AS first_call_ms,
+ count(*) FILTER (NOT failed AND NOT expects_refusal AND refused) AS false_refusals, count(*) FILTER (NOT failed AND cut) AS truncated, coalesce(sum(pt) FILTER (NOT failed), 0)::BIGINT AS prompt_tokens,
+ coalesce(sum(ct) FILTER (NOT failed), 0)::BIGINT AS completion_tokens, coalesce(sum(ms) FILTER (NOT failed), 0)::BIGINT AS duration_ms, max(ms) FILTER (NOT failed AND call_index = 0) AS first_call_ms,
  round(avg(ms) FILTER (NOT failed AND call_index > 0), 6) AS later_calls_ms,
  round(coalesce(sum(pt) FILTER (NOT failed), 0)::DOUBLE / 1e6 * 3 + coalesce(sum(ct) FILTER (NOT failed), 0)::DOUBLE / 1e6 * 15, 6) AS projected_cost
 FROM f GROUP BY arm, version""")
@@ -414,7 +414,7 @@ def arm_summary(spark, d):
     facts = e.select(
         F.col("event_type").alias("arm"), (u % 2).alias("version"), index.alias("call_index"), F.when(i % 11 == 0, "Timeout").alias("error"), (i % 7 == 0).alias("refused"), (u % 3 == 0).alias("expects_refusal"),
         (i % 10 / 10.0).alias("recall"), (i % 20 / 20.0).alias("recall_reached"), (i % 4 / 4.0).alias("precision_over_nodes"), (i % 8 / 8.0).alias("precision_over_articles"), (i % 10 / 10.0).alias("answer_recall"), (u % 40).alias("nodes_supplied"), F.when(i % 5 > 0, i % 5 / 5.0).alias("faithfulness"), (i % 3).alias("claims_on_gold"),
-        (i % 1000).alias("prompt_tokens"), (i % 100).alias("completion_tokens"), (i % 997).alias("duration_ms"),
+        (i % 1000).alias("prompt_tokens"), (i % 100).alias("completion_tokens"), (i % 997).alias("duration_ms"), (i % 13 == 0).alias("truncated"),
     )
     return evaluate.arm_summary(facts)
 

@@ -492,10 +492,10 @@ _SUMMARY = catalogue.SQL["arm_summary"]
 
 
 @query(f"""WITH s AS (SELECT * FROM ({_SUMMARY}))
-SELECT arm, version, '| ' || arm || ' | ' || version || ' | ' || prompt_tokens || ' | ' || completion_tokens || ' | ' || coalesce(printf('%.1f s', first_call_ms / 1000), 'failed') || ' | ' ||
-  coalesce(printf('%.1f s', later_calls_ms / 1000), 'one call only') || ' | $' || printf('%.2f', projected_cost) || ' |' AS cost,
+SELECT arm, version, '| ' || arm || ' | ' || version || ' | ' || prompt_tokens || ' | ' || completion_tokens || ' | ' || printf('%.1f s', duration_ms / 1000) || ' | ' || coalesce(printf('%.1f s', first_call_ms / 1000), 'failed') || ' | ' ||
+  coalesce(printf('%.1f s', later_calls_ms / 1000), 'one call only') || ' | $0.00 | $' || printf('%.2f', projected_cost) || ' |' AS cost,
   '| ' || arm || ' | ' || version || ' | ' || answered || ' | ' || failed || ' | ' || printf('%.2f', recall) || ' | ' || printf('%.2f', recall_reached) || ' | ' || printf('%.3f', precision_over_nodes) || ' | ' || printf('%.3f', precision_over_articles) || ' | ' ||
-  printf('%.1f', nodes_supplied) || ' | ' || coalesce(printf('%.2f', faithfulness), 'not scored') || ' | ' || coalesce(printf('%.2f', answer_recall), 'not scored') || ' | ' || no_gold_answers || ' | ' || correct_refusals || '/' || refusal_questions || ' | ' || false_refusals || '/' || answer_questions || ' |' AS accuracy, 'abc1234' AS "commit" FROM s""")
+  printf('%.1f', nodes_supplied) || ' | ' || coalesce(printf('%.2f', faithfulness), 'not scored') || ' | ' || coalesce(printf('%.2f', answer_recall), 'not scored') || ' | ' || no_gold_answers || ' | ' || correct_refusals || '/' || refusal_questions || ' | ' || false_refusals || '/' || answer_questions || ' | ' || truncated || ' |' AS accuracy, 'abc1234' AS "commit" FROM s""")
 def report_tables(spark, d):
     """The lines of the cost and the accuracy table of the arm summary, stamped."""
     s = catalogue.QUERIES["arm_summary"](spark, d)
@@ -503,6 +503,26 @@ def report_tables(spark, d):
     return report.stamped(rows, "abc1234", "2026-01-01").drop("captured_at")
 
 
+@query("""WITH e AS (SELECT *, event_id % 9 = 0 AS failed FROM events)
+SELECT event_id AS question, event_type AS arm, user_id % 2 AS version, '| ' || event_id || ' | ask | ' || event_type || ' | ' || user_id % 2 || ' | ' || CASE WHEN failed THEN 'failed | failed | failed | failed | ' || printf('%.1f s', floor((event_id % 997 + 50) / 100) / 10) || ' | Timeout'
+  ELSE printf('%.2f', event_id % 5 / 4) || ' | ' || CASE WHEN event_id % 4 = 0 THEN 'not scored' ELSE printf('%.2f', event_id % 4 / 4) END || ' | ' || CASE WHEN event_id % 7 = 0 THEN 'yes' ELSE 'no' END || ' | ' || CASE WHEN event_id % 3 = 0 THEN 'yes' ELSE 'no' END || ' | ' ||
+  printf('%.1f s', floor((event_id % 997 + 50) / 100) / 10) || ' | ' || CASE event_id % 3 WHEN 0 THEN 'nothing' WHEN 1 THEN 'art_1' ELSE 'art_1, art_2' END END || ' |' AS line FROM e""")
+def question_table(spark, d):
+    """Events as results, as the lines of the question table."""
+    e, i = read(spark, d, "events").select("event_id", "event_type", "user_id"), F.col("event_id")
+    rows = e.select(
+        i.alias("question"), F.lit("ask").alias("flow"), F.col("event_type").alias("arm"), (F.col("user_id") % 2).alias("version"), (i % 5 / 4).alias("recall"), F.when(i % 4 != 0, i % 4 / 4).alias("faithfulness"),
+        (i % 7 == 0).alias("refused"), (i % 3 == 0).alias("refusal_correct"), (i % 997).alias("duration_ms"), F.slice(F.array(F.lit("art_1"), F.lit("art_2")), 1, (i % 3).cast("int")).alias("missed"), F.when(i % 9 == 0, "Timeout").alias("error"),
+    )
+    return report.question_lines(rows)
+
+
+@query(f"""SELECT version, depth, '| ' || version || ' | ' || depth || ' | ' || questions || ' | ' || printf('%.2f', recall) || ' | ' || printf('%.1f', nodes) || ' | ' || printf('%.1f', articles) || ' |' AS line FROM ({catalogue.SQL["depth_sensitivity"]})""")
+def depth_table(spark, d):
+    """The lines of the sensitivity table."""
+    return report.depth_lines(catalogue.QUERIES["depth_sensitivity"](spark, d))
+
+
 @query(f"""SELECT 'abc1234' AS "commit", '2026-01-01' AS captured_at, 'small' AS generator, * FROM ({_SUMMARY})""")
 def summary_file(spark, d):
     """The arm summary, stamped, written as a file and read back."""

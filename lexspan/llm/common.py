@@ -5,13 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import materialize, scratch_path, shared_dir  # noqa: F401  (used by the operators)
+from ..sources.scratch import scratch_path, shared_dir  # noqa: F401  (used by the operators)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols)
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """df as a written table: the lineage ends there, and a lost executor costs no more than its tasks."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of materialize() that nothing reads any more: what was made of them is written itself."""
+    for table in tables:
+        spark, path = table.sparkSession, table._scratch_path
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 #: Keys that join_unique sends to all tasks at most, and rows that such a key has at least.
 HOT_KEYS, HOT_ROWS = 1_000, 1_000
 

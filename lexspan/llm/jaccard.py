@@ -183,7 +183,7 @@ def _similar_sizes(num: int, den: int):
 
 
 def verify(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """The distinct pairs (a, b) whose whole sets reach the threshold."""
+    """The distinct pairs (a, b) whose whole sets reach the threshold, as a written table."""
     pairs = common.materialize(pairs.select("a", "b").distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     # Sets are made anew for the documents in question only; few ids are sent to the tasks.
@@ -213,7 +213,9 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) ->
             far = sets.join(F.broadcast(some.withColumnRenamed(side, "doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias(side), F.col("s").alias("far"))
             rows = rows.join(F.broadcast(far), side, "left").withColumn(f"s{side}", F.coalesce(f"s{side}", "far")).drop("far")
     both = F.size(F.array_intersect("sa", "sb"))
-    return rows.where(both * den >= (F.size("sa") + F.size("sb") - both) * num).select("a", "b").distinct()
+    out = common.materialize(rows.where(both * den >= (F.size("sa") + F.size("sb") - both) * num).select("a", "b").distinct(), "links")
+    common.discard(pairs, sets)
+    return out
 
 
 def hub_pairs(reps: DataFrame, num: int, den: int) -> DataFrame:
@@ -246,8 +248,8 @@ def postings(reps: DataFrame, small: int, num: int, den: int) -> DataFrame:
     return usable.select(F.explode(tokens).alias("t"), "doc_id", "n").select("t.token", "t.pos", "doc_id", "n")
 
 
-def list_pairs(reps: DataFrame, small: int, num: int, den: int) -> DataFrame:
-    """Candidate pairs of different components (column c) that share a token."""
+def list_pairs(reps: DataFrame, small: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs of different components (column c) that share a token, and the written lists they are made of."""
     found = postings(reps.drop("c"), small, num, den).join(reps.select("doc_id", "c"), "doc_id")
     mixed = found.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
     kept = common.materialize(found.join(mixed, "token", "left_semi"), "lists")
@@ -261,7 +263,7 @@ def list_pairs(reps: DataFrame, small: int, num: int, den: int) -> DataFrame:
     overlap = F.col("n") - F.col("p") + 2  # the least overlap of a set of n, or less
     side = lambda k: reps.select(F.col("doc_id").alias(k), F.col("prefix").alias(f"x{k}"), overlap.alias(f"o{k}"))
     shared = F.size(F.array_intersect("xa", "xb"))
-    return found.join(side("a"), "a").join(side("b"), "b").where(shared >= F.least(F.lit(SHARED), "oa", "ob")).select("a", "b")
+    return found.join(side("a"), "a").join(side("b"), "b").where(shared >= F.least(F.lit(SHARED), "oa", "ob")).select("a", "b"), kept
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -273,18 +275,25 @@ def similar_groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     usable = sets.where("n > 0 and doc_id is not null")
     reps = usable.groupBy("set_key").agg(F.min(F.struct(*rest)).alias("r")).select("set_key", "r.*")
     reps = common.materialize(reps, "classes")
+    # From here on only keys and sizes of all sets are asked for; prefixes and signatures stay with the classes.
+    sizes = common.materialize(sets.select("doc_id", "n", "set_key"), "sizes")
+    common.discard(sets)
     small = boundary(reps)
-    linked = common.materialize(verify(hub_pairs(reps, num, den), docs, shingle, num, den), "links")
+    linked = verify(hub_pairs(reps, num, den), docs, shingle, num, den)
     first = components(linked)
     light = reps.select("doc_id", "n", "p", "prefix").join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
     light = common.materialize(light, "light")
-    more = verify(list_pairs(light, small, num, den), docs, shingle, num, den)
+    keys = common.materialize(reps.select("set_key", F.col("doc_id").alias("rep")), "keys")
+    common.discard(reps)
+    pairs, lists = list_pairs(light, small, num, den)
+    more = verify(pairs, docs, shingle, num, den)
+    common.discard(lists, light)
     # Rows of one id with different texts are one node: their representatives hang on that id.
-    keyed = common.join_unique(usable.select("doc_id", "set_key"), reps.select("set_key", F.col("doc_id").alias("rep")), "set_key")
+    keyed = common.join_unique(sizes.where("n > 0 and doc_id is not null").select("doc_id", "set_key"), keys, "set_key")
     same = keyed.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     stars = first.select(F.col("id").alias("a"), F.col("component").alias("b"))
     final = components(stars.unionByName(more).unionByName(same)).withColumnRenamed("id", "doc_id")
-    rows = sets.select("doc_id", F.col("n").alias("n_shingles"))
+    rows = sizes.select("doc_id", F.col("n").alias("n_shingles"))
     return rows.join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 

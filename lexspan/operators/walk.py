@@ -57,14 +57,14 @@ def _between(a: Column, b: Column) -> Column:
     return F.coalesce(F.when(a.rlike(digits) & b.rlike(digits), plain).when(a.rlike(lettered) & b.rlike(lettered) & (stem(a) == stem(b)), letters), none)
 
 
-def references_of(text: Column, units: Units = UNITS) -> Column:
-    """array<struct<target_id, phrase, ord>> of a text: each target with its first phrase, in order; those to other acts are left out."""
+def references(rows: DataFrame, units: Units = UNITS) -> DataFrame:
+    """source_id, target_id, phrase, ord of the references in rows (id, text), in their order; those to other acts are left out."""
     pattern = F.lit(f"(?U){reference_pattern(units)}")
     # The act that a phrase belongs to stands beside it in a group of its own, empty for this act.
-    pairs = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(1)).alias("phrase"), F.regexp_extract_all(text, pattern, F.lit(2)).alias("act"))
-    phrases = F.transform(F.filter(pairs, lambda p: F.coalesce(p["act"], F.lit("")) == ""), lambda p: p["phrase"])
-    every = F.flatten(F.transform(phrases, lambda p: F.transform(targets_of(p, units), lambda t: F.struct(t.alias("target_id"), p.alias("phrase")))))
-    return F.transform(every, lambda x, i: F.struct(x["target_id"].alias("target_id"), x["phrase"].alias("phrase"), i.cast("long").alias("ord")))
+    pairs = F.arrays_zip(F.regexp_extract_all("text", pattern, F.lit(1)).alias("phrase"), F.regexp_extract_all("text", pattern, F.lit(2)).alias("act"))
+    each = rows.select(F.col("id").alias("source_id"), F.posexplode(pairs).alias("n", "x")).where("x.act = ''").select("source_id", "n", F.col("x.phrase").alias("phrase"))
+    named = each.select("source_id", "n", "phrase", F.posexplode(targets_of(F.col("phrase"), units)).alias("m", "target_id"))
+    return named.select("source_id", "target_id", "phrase", (F.col("n").cast("long") * (1 << 31) + F.col("m")).alias("ord"))
 
 
 def extract_references(provisions: DataFrame, units: Units = UNITS, kinds: tuple[str, ...] | None = None) -> DataFrame:
@@ -74,10 +74,9 @@ def extract_references(provisions: DataFrame, units: Units = UNITS, kinds: tuple
     parts.  Sources may be restricted to kinds.  Ids are unique, so each pair is found in one row.
     """
     sources = provisions if kinds is None else provisions.where(F.col("kind").isin(*kinds))
-    # Only texts that name a unit at all go to a Python worker.
+    # Only texts that name a unit at all are read for references.
     sources = sources.where(F.col("text").rlike(rf"\b(?:{units.article[0]}|{units.roman_pattern()})"))
-    found = sources.select(F.col("id").alias("source_id"), F.explode(references_of(F.col("text"), units)).alias("r")).select("source_id", "r.*")
-    found = found.where("target_id <> source_id and not startswith(target_id, concat(source_id, '.'))")
+    found = references(sources, units).where("target_id <> source_id and not startswith(target_id, concat(source_id, '.'))")
     # The first phrase of each target of a source; texts are read once, though targets are looked at twice.
     found = found.groupBy("source_id", "target_id").agg(F.min(F.struct("ord", "phrase")).alias("r")).select("source_id", "target_id", "r.phrase", "r.ord")
     found = materialize(found, "references")

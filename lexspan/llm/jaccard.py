@@ -80,28 +80,35 @@ def shingle_set(text: str | None, size: int):
     return np.unique(mixed.view(np.int64))
 
 
+def frequent(sets: list, least: int):
+    """(hashes, counts) of those in `least` sets or more; empties the list, so that the sets are held once."""
+    import numpy as np
+
+    h = np.concatenate([np.empty(0, np.int64), *sets])
+    sets.clear()
+    h.sort()
+    # One that is there n times equals the one least - 1 places on n - least + 1 times; the rest is never copied.
+    first = h[: max(0, len(h) - least + 1)]
+    h, n = np.unique(first[first == h[least - 1 :]], return_counts=True)
+    return h, n + (least - 1)
+
+
 def heavy_shingles(docs: DataFrame, size: int, local: int = 3, least: int = 16, most: int = HEAVY) -> list[tuple[int, int]]:
     """(hash, count) of the most frequent shingles, counts ascending; stretches of about COUNTED shingles report those frequent in them."""
 
     def count(batches):
-        import numpy as np
         import pandas as pd
 
         common.serve("jaccard")
-
-        def frequent(sets):
-            h, n = np.unique(np.concatenate([np.empty(0, np.int64), *sets]), return_counts=True)
-            return pd.DataFrame({"h": h[n >= local], "n": n[n >= local]})
-
         sets, held = [], 0
         for pdf in batches:
             for text in pdf["text"].tolist():
                 sets.append(shingle_set(text, size))
                 held += len(sets[-1])
                 if held >= COUNTED:
-                    yield frequent(sets)
-                    sets, held = [], 0
-        yield frequent(sets)
+                    yield pd.DataFrame(dict(zip("hn", frequent(sets, local))))
+                    held = 0
+        yield pd.DataFrame(dict(zip("hn", frequent(sets, local))))
         common.release()
 
     found = docs.select("text").mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)

@@ -163,7 +163,8 @@ class WordIds:
         return ids, np.add.reduceat(n, np.cumsum(joined) - joined) if len(n) else n
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        return [r for part in _slices(texts) for r in self._slice(part)]
+        # A run's words and the library's records of them take some forty bytes a character.
+        return [r for part in _slices(texts, SLICE_CHARS // 16) for r in self._slice(part)]
 
     def _slice(self, texts: list[str]) -> list[bytes]:
         np = self.np

@@ -17,6 +17,8 @@ from itertools import chain
 from . import common
 
 CACHE_WORDS = 300_000
+#: Words kept with their ids at most, and characters of the texts whose distinct words are looked up at once.
+KEPT_WORDS, STRETCH_CHARS = 100_000, 1_000_000
 #: Words of more characters are not kept.
 LONG_WORD = 64
 #: Characters of the texts whose words are held at once.
@@ -101,6 +103,52 @@ class _Words:
             known.update(zip(part, self.encode(part), strict=True))
 
 
+class _Kept:
+    """Ids of distinct words (Arrow arrays) by `encode`; those used most stay from one call to the next.
+
+    All is held in flat arrays.  Beyond `most` words the half of them used in most calls stays, and
+    uses so far count half; words longer than LONG_WORD never stay, so the bound holds in bytes too.
+    """
+
+    def __init__(self, encode, most: int = KEPT_WORDS):
+        import numpy as np
+        import pyarrow as pa
+
+        self.np, self.encode, self.most = np, encode, most
+        self.words = pa.array([], pa.large_string())
+        self.ids, self.size, self.used = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def of(self, words):
+        """The ids of the words, joined, and how many each has."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        np, n = self.np, len(self.words)
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
+        new = at < 0
+        self.used[at[~new]] += 1
+        at[new] = n + np.arange(new.sum())
+        words = words.filter(pa.array(new))
+        ids, size = self.encode(words.to_pylist())
+        got = _gather(np.concatenate([self.ids, ids]), np.concatenate([self.size, size]), at)
+        short = pc.less_equal(pc.utf8_length(words), LONG_WORD)
+        place = np.flatnonzero(short.to_numpy(zero_copy_only=False))
+        ids, size = _gather(ids, size, place)
+        self.words = pa.concat_arrays([self.words, words.filter(short)])
+        self.ids, self.size = np.concatenate([self.ids, ids]), np.concatenate([self.size, size])
+        self.used = np.concatenate([self.used, np.ones(len(place), np.int64)])
+        if len(self.words) > self.most:
+            self.halve()
+        return got
+
+    def halve(self) -> None:
+        """Leaves the words of most uses, of equal ones the later."""
+        np = self.np
+        stay = np.sort(np.argsort(self.used, kind="stable")[-(self.most // 2) :])
+        self.words, self.used = self.words.take(stay), self.used[stay] // 2
+        self.ids, self.size = _gather(self.ids, self.size, stay)
+
+
 class WordIds:
     """Ids of a tokenizer that drops white space, as little-endian unsigned 32-bit bytes.
 
@@ -108,7 +156,7 @@ class WordIds:
     only lowers such letters, and the tokenizer splits before the punctuation; so the
     lower-cased letters go to the library's model alone, without the rest of its stages,
     many words a call: each word's last token is one that ends a word.  The distinct words
-    of a run of texts are encoded once; nothing is kept from one run to the next.
+    of a stretch of texts are looked up once, those used most are kept from one to the next.
     """
 
     def __init__(self, path: str):
@@ -121,6 +169,7 @@ class WordIds:
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.bare = Tokenizer(self.tok.model)  # the same model, held once
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.stems, self.others = _Kept(self._model_alone), _Kept(self._whole, KEPT_WORDS // 4)
 
     def _whole(self, texts: list[str]):
         """Ids of texts by the whole tokenizer, and how many each has."""
@@ -147,8 +196,8 @@ class WordIds:
         plain = pc.match_substring_regex(words, _PLAIN)
         stem = pc.utf8_lower(pc.utf8_rtrim(words.filter(plain), characters=_CLOSING)).dictionary_encode()
         closing = pc.replace_substring_regex(words.filter(plain), _LETTERS, "").dictionary_encode()
-        parts = [self._model_alone(stem.dictionary.to_numpy(zero_copy_only=False).tolist())]
-        parts += [self._whole(a.to_pylist()) for a in (closing.dictionary, words.filter(pc.invert(plain)))]
+        parts = [self.stems.of(stem.dictionary)]
+        parts += [self.others.of(a) for a in (closing.dictionary, words.filter(pc.invert(plain)))]
         ids, size = (np.concatenate(a) for a in zip(*parts))
         # Each word is one or two of these parts.
         plain = plain.to_numpy(zero_copy_only=False)
@@ -163,17 +212,30 @@ class WordIds:
         return ids, np.add.reduceat(n, np.cumsum(joined) - joined) if len(n) else n
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        # A run's words and the library's records of them take some forty bytes a character.
-        return [r for part in _slices(texts, SLICE_CHARS // 16) for r in self._slice(part)]
+        return [r for part in _slices(texts, STRETCH_CHARS) for r in self._stretch(part)]
+
+    def _stretch(self, texts: list[str]) -> list[bytes]:
+        """Ids of a stretch: split a run at a time, distinct words looked up together, ids joined a run at a time."""
+        import pyarrow as pa
+
+        np, out = self.np, []
+        # A run's words and the places of their ids take some forty bytes a character.
+        runs, counts = zip(*[self._slice(part) for part in _slices(texts, STRETCH_CHARS // 4)])
+        runs = pa.chunked_array(runs).unify_dictionaries().chunks
+        ids, n = self._encode(runs[0].dictionary)
+        for run, k in zip(runs, counts):
+            got, m = _gather(ids, n, run.indices.to_numpy())
+            end = np.concatenate([[0], np.cumsum(m)])
+            cuts = end[np.cumsum([0, *k])].tolist()
+            out += [got[i:j].tobytes() for i, j in zip(cuts, cuts[1:])]
+        return out
+
+    def _slice(self, texts: list[str]):
+        """The words of a run of texts, dictionary-encoded, and how many each text has."""
+        import pyarrow as pa
 
-    def _slice(self, texts: list[str]) -> list[bytes]:
-        np = self.np
         lists = [[t] if _ODD.search(t) else t.split() for t in texts]
-        words, at = _distinct(lists)
-        ids, n = _gather(*self._encode(words), at)
-        end = np.concatenate([[0], np.cumsum(n)])
-        cuts = end[np.cumsum([0, *map(len, lists)])].tolist()
-        return [ids[i:j].tobytes() for i, j in zip(cuts, cuts[1:])]
+        return pa.array(list(chain.from_iterable(lists)), pa.large_string()).dictionary_encode(), list(map(len, lists))
 
 
 class ByteCounts:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..sources.scratch import scratch_path, shared_dir  # noqa: F401  (used by the operators)
 
@@ -29,6 +30,13 @@ def discard(*tables: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: StructType) -> DataFrame:
+    """Rows of the driver as a local table.  They go by Arrow: a plain list goes through Python workers of its own on the executors, which stay beside those of the work."""
+    import pyarrow as pa
+
+    return spark.createDataFrame(pa.table({c: pa.array([r[i] for r in rows]) for i, c in enumerate(schema.names)}), schema)
+
+
 #: Keys that join_unique sends to all tasks at most, and rows that such a key has at least.
 HOT_KEYS, HOT_ROWS = 1_000, 1_000
 
@@ -40,7 +48,7 @@ def hot_keys(rows: DataFrame, key: str, most: int = HOT_KEYS, least: int = HOT_R
     """
     counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     found = counts.orderBy(F.desc("n"), key).limit(most).select(key).collect()
-    return rows.sparkSession.createDataFrame(found, rows.select(key).schema) if found else None
+    return small_table(rows.sparkSession, found, rows.select(key).schema) if found else None
 
 
 def join_unique(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None = None) -> DataFrame:
@@ -62,10 +70,10 @@ BATCH_ROWS = 1_000
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of this session hold at most BATCH_ROWS rows; a smaller number set by the user stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "0")) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Batches of this session, as Arrow's and as read from Parquet, hold at most BATCH_ROWS rows; smaller numbers set by the user stay."""
+    for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
+        if not 0 < int(spark.conf.get(key, "0")) <= BATCH_ROWS:
+            spark.conf.set(key, str(BATCH_ROWS))
 
 
 _KEPT: dict[str, list] = {}

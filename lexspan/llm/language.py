@@ -136,7 +136,7 @@ def sample_rows(rows: DataFrame, label: str, most: int, *keys: str) -> DataFrame
     spark, kind = rows.sparkSession, rows.select(label).schema
     # Buckets of about a hundredth of the bound, as many as hold it twice.
     sizes = [(r[label], max(1, min(1 << 30, 100 * r["count"] // most))) for r in counts]
-    sized = spark.createDataFrame(sizes, kind.add("_buckets", "long"))
+    sized = common.small_table(spark, sizes, kind.add("_buckets", "long"))
     bucket = F.pmod(F.xxhash64(*keys, F.lit("sample")), F.col("_buckets"))
     near = rows.join(F.broadcast(sized), label).withColumn("_bucket", bucket).where("_bucket < 200")
     found = near.groupBy(label, "_bucket").count().orderBy(label, "_bucket").collect()  # at most 200 a label
@@ -146,7 +146,7 @@ def sample_rows(rows: DataFrame, label: str, most: int, *keys: str) -> DataFrame
         if held.get(r[label], 0) + r["count"] <= most:
             held[r[label]] = held.get(r[label], 0) + r["count"]
             chosen.append((r[label], r["_bucket"]))
-    picked = spark.createDataFrame(chosen, rows.select(label).schema.add("_bucket", "long"))
+    picked = common.small_table(spark, chosen, rows.select(label).schema.add("_bucket", "long"))
     out = near.join(F.broadcast(picked), [label, "_bucket"]).select(*rows.columns)
     for value in [r[label] for r in counts if r[label] not in held]:
         out = out.unionByName(rows.where(F.col(label) == value).orderBy(*keys).limit(most))

@@ -123,22 +123,30 @@ def chain_marginals(odds, starts, trans, moves: bool = False):
     return p.T.ravel()[:n], sums
 
 
-def text_marginals(odds, starts, trans, moves: bool = False):
-    """chain_marginals of runs of whole texts, so that memory stays small."""
+def chain_parts(starts) -> list[tuple[int, int]]:
+    """Bounds of runs of whole texts of about PART tokens or a single longer text, so that memory stays small."""
     import numpy as np
 
-    firsts = np.flatnonzero(starts)
-    cuts, out, sums, at = [0], [], np.zeros((2, 2)), 0
-    while len(odds) - cuts[-1] > PART:
+    firsts, n = np.flatnonzero(starts), len(starts)
+    cuts = [0]
+    while n - cuts[-1] > PART:
         at = int(np.searchsorted(firsts, cuts[-1] + PART))
         if at == len(firsts):
             break
         cuts.append(int(firsts[at]))
-    for lo, hi in zip(cuts, [*cuts[1:], len(odds)]):
+    return list(zip(cuts, [*cuts[1:], n]))
+
+
+def text_marginals(odds, starts, trans, moves: bool = False):
+    """chain_marginals of the tokens of all texts, a run of whole texts at a time."""
+    import numpy as np
+
+    out, sums = [np.empty(0)], np.zeros((2, 2))
+    for lo, hi in chain_parts(starts):
         p, m = chain_marginals(odds[lo:hi], starts[lo:hi], trans, moves)
         out.append(p)
         sums += m
-    return np.concatenate([np.empty(0), *out]), sums
+    return np.concatenate(out), sums
 
 
 class Chain:
@@ -220,8 +228,8 @@ def row_frequencies(doc, at, toxic, flat, size, n: int):
 
     start = np.cumsum(size) - size
     bad, every = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    edges = np.searchsorted(doc, np.arange(0, len(toxic) + 400, 400))
-    for lo, hi in zip(edges, edges[1:]):  # some hundred rows at a time
+    edges = np.searchsorted(doc, np.arange(0, len(toxic) + 100, 100))
+    for lo, hi in zip(edges, edges[1:]):  # a hundred rows at a time
         if lo == hi:
             continue
         pair = np.unique(doc[lo:hi].astype(np.int64) * len(size) + at[lo:hi])
@@ -278,6 +286,7 @@ def fit(texts: list[str], toxic: list[bool], aside: list[bool] | None = None, st
     flat = np.fromiter((xxhash.xxh3_64_intdigest(f) >> 1 for w in words for f in word_features(w)), np.int64, int(size.sum()))
     feature_ids, flat = np.unique(flat, return_inverse=True)
     flat, n = flat.astype(np.int32), len(feature_ids)
+    common.release()
     learnt = ~aside[doc]
     bad, every = row_frequencies(doc[learnt], at[learnt], toxic, flat, size, n)
     marks = marking(bad, every, int((toxic & ~aside).sum()), int((~toxic & ~aside).sum()))
@@ -286,22 +295,39 @@ def fit(texts: list[str], toxic: list[bool], aside: list[bool] | None = None, st
     number = (np.cumsum(used) - 1).astype(np.int32)
     flat = number[flat[used[flat]]]
     marks, feature_ids, n = marks[used], feature_ids[used], int(used.sum())
-    del bad, every, number
+    del bad, every, number, used
+    common.release()
     by_word = lambda x: np.bincount(holder, x[flat], len(words))  # noqa: E731  (sums over the features of each word)
     y = ((by_word(marks.astype(float)) > 0)[at] & toxic[doc])[learnt].astype(np.float32)
     token, first = at[learnt], starts[learnt]
+    del doc, learnt, size
     seen = np.zeros((2, 2))
     np.add.at(seen, (y[:-1][~first[1:]].astype(int), y[1:][~first[1:]].astype(int)), 1)
     weights, bias, trans = np.zeros(n), -2.0, np.zeros((2, 2))
     g2, total = np.full(n, 1e-6), max(1, len(y))
+    parts = chain_parts(first)
     for _ in range(steps):
-        p, moves = text_marginals(by_word(weights)[token] + bias, first, trans, moves=True)
-        d = y - p
-        g = np.bincount(flat, np.bincount(token, d, len(words))[holder], n) - decay * weights
+        odds, push, pushed, moves = by_word(weights) + bias, np.zeros(len(words)), 0.0, np.zeros((2, 2))
+        for lo, hi in parts:
+            p, m = chain_marginals(odds[token[lo:hi]], first[lo:hi], trans, moves=True)
+            d = y[lo:hi] - p
+            np.add.at(push, token[lo:hi], d)
+            pushed += d.sum()
+            moves += m
+        g = np.bincount(flat, push[holder], n) - decay * weights
         g2 += g * g  # adaptive steps: rare features move as far as frequent ones
         weights += rate * g / np.sqrt(g2)
-        bias += 8 * rate * d.sum() / total
+        bias += 8 * rate * pushed / total
         trans = trans + 8 * rate * (seen - moves) / total
+    # Calibration reads every text; the weights get their names when the tokens are gone.
+    odds, x = by_word(weights) + bias, []
+    for lo, hi in chain_parts(starts):
+        here = (ends > lo) & (ends <= hi) & (lengths > 0)
+        x.append(document_features(chain_marginals(odds[at[lo:hi]], starts[lo:hi], trans)[0], ends[here] - lo))
+    features = document_features(np.empty(0), np.zeros(len(ends), np.int64))  # of texts without tokens
+    features[lengths > 0] = np.concatenate(x)
+    del at, starts, token, first, y
+    common.release()
     kept: dict[str, float] = {}
     large = np.abs(weights) > 1e-3
     value = dict(zip(feature_ids[large].tolist(), weights[large].tolist()))
@@ -311,10 +337,9 @@ def fit(texts: list[str], toxic: list[bool], aside: list[bool] | None = None, st
             if w is not None:
                 kept[f] = round(w, 6)
     chain = Chain(kept, float(bias), trans)
-    # Calibration: Newton steps of a ridge-penalised logistic fit.
-    x = document_features(text_marginals(by_word(weights)[at] + bias, starts, trans)[0], ends)
+    # Newton steps of a ridge-penalised logistic fit.
     use = aside if aside.any() else ~aside
-    x, t = x[use], toxic[use].astype(float)
+    x, t = features[use], toxic[use].astype(float)
     scale = np.zeros(x.shape[1])
     for _ in range(30):
         q = 1 / (1 + np.exp(-np.clip(x @ scale, -30, 30)))

@@ -332,7 +332,7 @@ def parse_draft(spark, d):
 def alike(spark, d):
     """Pairs of different documents that begin with the same eight words: each with the first of its group."""
     docs = read(spark, d, "documents").select("doc_id", "text").where("text is not null")
-    key = F.sha2(F.lower(F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 1, 8), " ")), 256)
+    key = F.sha2(F.lower(F.array_join(F.slice(F.split(F.trim("text"), r"\s+", 9), 1, 8), " ")), 256)
     docs = docs.withColumn("k", key)
     first = docs.groupBy("k").agg(F.min(F.struct("doc_id", "text")).alias("first"))
     return skew.join_unique(docs, first, "k").where("text <> first.text").select("doc_id", "text", F.col("first.doc_id").alias("other"), F.col("first.text").alias("other_text"))

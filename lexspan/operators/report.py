@@ -62,30 +62,55 @@ def stamped(summary: DataFrame, commit: str, captured_at: str, **models: str) ->
     return summary.select(F.lit(commit).alias("commit"), F.lit(captured_at).alias("captured_at"), *(F.lit(v).alias(k) for k, v in models.items()), *summary.columns)
 
 
+def fixed(number: Column, digits: int) -> Column:
+    """A number with so many digits after its point, rounded by its exact binary value, halves to even, as printf does.
+
+    format_string() rounds the shortest decimal that stands for it, halves up: 60.555, a little less than that, to 60.56.
+    """
+    return F.call_function("format_number", number.cast("double"), F.lit("0." + "0" * digits))
+
+
 def seconds(ms: Column, absent: str) -> Column:
     return F.when(ms.isNull(), absent).otherwise(F.format_string("%.1f s", ms / 1000))
 
 
-def accuracy_lines(summary: DataFrame) -> DataFrame:
-    """arm, version, line: the accuracy table's lines of arm_summary rows."""
-    two = lambda c: F.format_string("%.2f", F.col(c))
+def table_line(cells: list[Column]) -> Column:
+    """Cells as a line of a table; null if one of them is."""
+    marks = [F.lit(" | ")] * len(cells)
+    return F.concat(F.lit("| "), *[x for pair in zip(cells, marks) for x in pair][:-1], F.lit(" |"))
+
+
+def accuracy_line() -> Column:
+    """The accuracy table's line of an arm_summary row."""
+    two = lambda c: fixed(F.col(c), 2)
     score = lambda c: F.when(F.col(c).isNull(), "not scored").otherwise(two(c))
     of = lambda a, b: F.concat(F.col(a).cast("string"), F.lit("/"), F.col(b).cast("string"))
     cells = [
         F.col("arm"), F.col("version").cast("string"), F.col("answered").cast("string"), F.col("failed").cast("string"), two("recall"), two("recall_reached"),
-        F.format_string("%.3f", F.col("precision_over_nodes")), F.format_string("%.3f", F.col("precision_over_articles")), F.format_string("%.1f", F.col("nodes_supplied")),
+        fixed(F.col("precision_over_nodes"), 3), fixed(F.col("precision_over_articles"), 3), fixed(F.col("nodes_supplied"), 1),
         score("faithfulness"), score("answer_recall"), F.col("no_gold_answers").cast("string"), of("correct_refusals", "refusal_questions"), of("false_refusals", "answer_questions"), F.col("truncated").cast("string"),
     ]
-    return summary.select("arm", "version", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+    return table_line(cells)
 
 
-def cost_lines(summary: DataFrame) -> DataFrame:
-    """arm, version, line: the cost table's lines."""
+def accuracy_lines(summary: DataFrame) -> DataFrame:
+    """arm, version, line: the accuracy table's lines of arm_summary rows."""
+    return summary.select("arm", "version", accuracy_line().alias("line"))
+
+
+def cost_line() -> Column:
+    """The cost table's line of an arm_summary row."""
+    took = lambda c, absent: F.when(F.col(c).isNull(), absent).otherwise(F.concat(fixed(F.col(c) / 1000, 1), F.lit(" s")))
     cells = [
         F.col("arm"), F.col("version").cast("string"), F.col("prompt_tokens").cast("string"), F.col("completion_tokens").cast("string"),
-        seconds(F.col("duration_ms"), ""), seconds(F.col("first_call_ms"), "failed"), seconds(F.col("later_calls_ms"), "one call only"), F.lit("$0.00"), F.format_string("$%.2f", F.col("projected_cost")),
+        took("duration_ms", ""), took("first_call_ms", "failed"), took("later_calls_ms", "one call only"), F.lit("$0.00"), F.concat(F.lit("$"), fixed(F.col("projected_cost"), 2)),
     ]
-    return summary.select("arm", "version", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+    return table_line(cells)
+
+
+def cost_lines(summary: DataFrame) -> DataFrame:
+    """arm, version, line: the cost table's lines."""
+    return summary.select("arm", "version", cost_line().alias("line"))
 
 
 def question_lines(results: DataFrame) -> DataFrame:
@@ -102,7 +127,7 @@ def question_lines(results: DataFrame) -> DataFrame:
 
 def depth_lines(rows: DataFrame) -> DataFrame:
     """version, depth, line: the sensitivity table's lines of depth_rows()."""
-    cells = [F.col("version").cast("string"), F.col("depth").cast("string"), F.col("questions").cast("string"), F.format_string("%.2f", F.col("recall")), F.format_string("%.1f", F.col("nodes")), F.format_string("%.1f", F.col("articles"))]
+    cells = [F.col("version").cast("string"), F.col("depth").cast("string"), F.col("questions").cast("string"), fixed(F.col("recall"), 2), fixed(F.col("nodes"), 1), fixed(F.col("articles"), 1)]
     return rows.select("version", "depth", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
 
 

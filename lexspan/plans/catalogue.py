@@ -409,10 +409,14 @@ def arm_summary(spark, d):
     e = read(spark, d, "events").select("event_id", "user_id", "event_type")
     i, u = F.col("event_id"), F.col("user_id")
     opening = e.groupBy("event_type", (u % 2).alias("v")).agg(F.min("event_id").alias("opening"))  # a row an arm and version
-    e = e.withColumn("v", u % 2).join(F.broadcast(opening), ["event_type", "v"])
-    index = F.when(i == F.col("opening"), 0).otherwise(1)  # only the first call is told apart
+    opening = opening.select(F.col("event_type").alias("of"), F.col("v").alias("at"), "opening")
+    e = e.join(F.broadcast(opening), F.col("event_type").eqNullSafe(F.col("of")) & (u % 2).eqNullSafe(F.col("at")))
+    # Only the first call is told apart; of several with its number, one is.
+    least = i.eqNullSafe(F.col("opening"))
+    turn = F.row_number().over(Window.partitionBy("of", "at").orderBy("event_id", "user_id")) - 1
+    e = e.where(~least).withColumn("call_index", F.lit(1)).unionByName(e.where(least).withColumn("call_index", turn))
     facts = e.select(
-        F.col("event_type").alias("arm"), (u % 2).alias("version"), index.alias("call_index"), F.when(i % 11 == 0, "Timeout").alias("error"), (i % 7 == 0).alias("refused"), (u % 3 == 0).alias("expects_refusal"),
+        F.col("event_type").alias("arm"), (u % 2).alias("version"), "call_index", F.when(i % 11 == 0, "Timeout").alias("error"), (i % 7 == 0).alias("refused"), (u % 3 == 0).alias("expects_refusal"),
         (i % 10 / 10.0).alias("recall"), (i % 20 / 20.0).alias("recall_reached"), (i % 4 / 4.0).alias("precision_over_nodes"), (i % 8 / 8.0).alias("precision_over_articles"), (i % 10 / 10.0).alias("answer_recall"), (u % 40).alias("nodes_supplied"), F.when(i % 5 > 0, i % 5 / 5.0).alias("faithfulness"), (i % 3).alias("claims_on_gold"),
         (i % 1000).alias("prompt_tokens"), (i % 100).alias("completion_tokens"), (i % 997).alias("duration_ms"), (i % 13 == 0).alias("truncated"),
     )

@@ -499,7 +499,7 @@ SELECT arm, version, '| ' || arm || ' | ' || version || ' | ' || prompt_tokens |
 def report_tables(spark, d):
     """The lines of the cost and the accuracy table of the arm summary, stamped."""
     s = catalogue.QUERIES["arm_summary"](spark, d)
-    rows = report.cost_lines(s).withColumnRenamed("line", "cost").join(report.accuracy_lines(s).withColumnRenamed("line", "accuracy"), ["arm", "version"])
+    rows = s.select("arm", "version", report.cost_line().alias("cost"), report.accuracy_line().alias("accuracy"))
     return report.stamped(rows, "abc1234", "2026-01-01").drop("captured_at")
 
 
